@@ -7,9 +7,10 @@ from importlib import import_module
 #: Query name -> module of this package that defines the function of that name.
 _HOME = {
     "op1_html_text": "html_text",
+    "op3_chat_format": "chat_format",
 }
 #: Queries that SQL can express -> module whose ``ORACLE_SQL`` holds the text.
-_SQL: tuple[str, ...] = ()
+_SQL: tuple[str, ...] = ("op3_chat_format",)
 
 
 def queries() -> dict:
