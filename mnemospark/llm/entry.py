@@ -8,9 +8,10 @@ from importlib import import_module
 _HOME = {
     "op1_html_text": "html_text",
     "op3_chat_format": "chat_format",
+    "op7_exact_dedup": "exact_dedup",
 }
 #: Queries that SQL can express -> module whose ``ORACLE_SQL`` holds the text.
-_SQL: tuple[str, ...] = ("op3_chat_format",)
+_SQL: tuple[str, ...] = ("op3_chat_format", "op7_exact_dedup")
 
 
 def queries() -> dict:
