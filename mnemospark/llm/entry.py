@@ -8,6 +8,7 @@ from importlib import import_module
 _HOME = {
     "op1_html_text": "html_text",
     "op3_chat_format": "chat_format",
+    "op4_simhash": "simhash",
     "op7_exact_dedup": "exact_dedup",
 }
 #: Queries that SQL can express -> module whose ``ORACLE_SQL`` holds the text.
