@@ -9,6 +9,7 @@ _HOME = {
     "op1_html_text": "html_text",
     "op3_chat_format": "chat_format",
     "op4_simhash": "simhash",
+    "op5_token_counts": "token_counts",
     "op7_exact_dedup": "exact_dedup",
 }
 #: Queries that SQL can express -> module whose ``ORACLE_SQL`` holds the text.
