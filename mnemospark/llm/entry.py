@@ -10,10 +10,11 @@ _HOME = {
     "op3_chat_format": "chat_format",
     "op4_simhash": "simhash",
     "op5_token_counts": "token_counts",
+    "op6_mixing": "mixing",
     "op7_exact_dedup": "exact_dedup",
 }
 #: Queries that SQL can express -> module whose ``ORACLE_SQL`` holds the text.
-_SQL: tuple[str, ...] = ("op3_chat_format", "op7_exact_dedup")
+_SQL: tuple[str, ...] = ("op3_chat_format", "op6_mixing", "op7_exact_dedup")
 
 
 def queries() -> dict:
