@@ -14,6 +14,7 @@ _HOME = {
     "op7_exact_dedup": "exact_dedup",
     "op8_toxicity": "toxicity",
     "op9_curve_neighbours": "curve_neighbours",
+    "op10_line_dedup": "line_dedup",
 }
 #: Queries that SQL can express -> module whose ``ORACLE_SQL`` holds the text.
 _SQL: tuple[str, ...] = ("op3_chat_format", "op6_mixing", "op7_exact_dedup")
