@@ -15,6 +15,7 @@ are shuffled, never texts.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -68,23 +69,29 @@ def _bit(i: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("long"), i)
 
 
-def links(fps: DataFrame, fp: str = "fp") -> DataFrame:
-    """Edges (a, b) between distinct fingerprints that differ in 1 or 2 bits, enough to connect all that are linked."""
-    distinct = fps.select(F.col(fp).alias("fp")).distinct()
-    # flip -1 is the fingerprint itself
-    variants = distinct.select("fp", F.explode(F.sequence(F.lit(-1), F.lit(63))).alias("flip")).select(
+def _meets(fps: DataFrame, bits: int) -> DataFrame:
+    """Arrays of the distinct values of column fp that meet at a variant: two members or more, at most ``bits`` + 1.
+
+    Only the low ``bits`` bits are flipped; what stands above them must be equal.
+    """
+    variants = fps.select("fp", F.explode(F.sequence(F.lit(-1), F.lit(bits - 1))).alias("flip")).select(  # flip -1: fp itself
         F.when(F.col("flip") < 0, F.col("fp")).otherwise(F.col("fp").bitwiseXOR(_bit(F.greatest("flip", F.lit(0))))).alias("variant"),
         F.when(F.col("flip") < 0, F.lit(0).cast("long")).otherwise(_bit(F.greatest("flip", F.lit(0)))).alias("flipped"),
         (F.col("flip") < 0).cast("int").alias("itself"),
     )
     meets = variants.groupBy("variant").agg(F.bit_or("flipped").alias("mask"), F.max("itself").alias("itself"))
     meets = meets.where(F.bit_count("mask") + F.col("itself") > 1)
-    flips = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda i: F.col("mask").bitwiseAND(_bit(i)) != 0)
+    flips = F.filter(F.sequence(F.lit(0), F.lit(bits - 1)), lambda i: F.col("mask").bitwiseAND(_bit(i)) != 0)
     members = F.concat(
         F.when(F.col("itself") == 1, F.array("variant")).otherwise(F.array().cast("array<long>")),
         F.transform(flips, lambda i: F.col("variant").bitwiseXOR(_bit(i))),
     )
-    stars = meets.select(members.alias("m")).select(F.array_min("m").alias("a"), F.explode("m").alias("b"))
+    return meets.select("variant", members.alias("m"))
+
+
+def links(fps: DataFrame, fp: str = "fp") -> DataFrame:
+    """Edges (a, b) between distinct fingerprints that differ in 1 or 2 bits, enough to connect all that are linked."""
+    stars = _meets(fps.select(F.col(fp).alias("fp")).distinct(), 64).select(F.array_min("m").alias("a"), F.explode("m").alias("b"))
     return stars.where((F.col("a") != F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2)).distinct()
 
 
@@ -105,6 +112,86 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle
     return prints.join(found, "fp").select("doc_id", "fp", "component_id")
 
 
+TABLES, TABLE_BITS = 4, 40
+
+
+def _mixed(hashes: np.ndarray, k: int) -> np.ndarray:
+    """Another 64-bit hash of each word, from its hash and the number of a table."""
+    with np.errstate(over="ignore"):
+        x = (hashes ^ np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+        return x ^ (x >> np.uint64(29))
+
+
+def sketch(text: str | None) -> list[int]:
+    """Fingerprints of a text's words, each weighing the root of its count, one for each of ``TABLES`` hashes."""
+    counts = Counter((text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split())
+    if not counts:
+        return [0] * TABLES
+    hashes = np.array([xxhash.xxh64_intdigest(w, 42) for w in counts], dtype="<u8")
+    weights = np.sqrt(np.fromiter(counts.values(), float))
+    found = []
+    for k in range(TABLES):
+        ones = np.zeros(64)
+        for at in range(0, len(hashes), _BLOCK):
+            part = _mixed(hashes[at : at + _BLOCK], k)
+            ones += weights[at : at + _BLOCK] @ np.unpackbits(part.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        found.append(int(np.packbits(2 * ones > weights.sum(), bitorder="little").view("<i8")[0]))
+    return found
+
+
+def shingle_hashes(text: Column, words: int) -> Column:
+    """Distinct hashes of a text's lower-case word shingles; a text with fewer words is one shingle."""
+    w = F.split(F.trim(F.regexp_replace(F.lower(text), r"[\x20\x09-\x0D]+", " ")), " ")
+    return F.element_at(
+        F.transform(
+            F.array(w),
+            lambda w: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - (words - 1), F.lit(1))), lambda i: F.xxhash64(F.slice(w, i, words)))),
+        ),
+        1,
+    )
+
+
+def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, broadcast_ids: int = 1 << 20) -> DataFrame:
+    """One row per document: doc_id, component_id (smallest doc_id in its group of near duplicates).
+
+    Near duplicates are verified: the sets of their five-word shingles have a Jaccard similarity of 0.8 or
+    more. A fingerprint of word shingles moves too far for a ball of radius 2 at that similarity, so
+    candidates come from ``TABLES`` fingerprints of the words, of ``TABLE_BITS`` bits each: those that lie in one ball in any
+    table. At each meeting point the members are compared with one of them, another one at each of
+    the many balls and tables, so a large group costs a number of pairs in proportion to its size.
+
+    Ids must be unique and not null. Texts without words are alike. An empty table gives an empty result.
+    """
+
+    @F.pandas_udf("array<long>")
+    def sketches(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield pd.Series([sketch(x) for x in batch])
+
+    rows = docs.select(F.col(doc_id).cast("long").alias("node"), F.coalesce(text, F.lit("")).alias("text"))
+    prints = materialize(rows.select("node", sketches("text").alias("fps")), "near-prints")
+    low = (1 << TABLE_BITS) - 1
+    parts = F.transform("fps", lambda x, k: x.bitwiseAND(F.lit(low)).bitwiseOR(F.call_function("shiftleft", k.cast("long"), F.lit(TABLE_BITS))))
+    held = prints.select("node", F.explode(parts).alias("fp"))
+    heads = materialize(held.groupBy("fp").agg(F.min_by("node", F.xxhash64("node", "fp")).alias("head"), F.count(F.lit(1)).alias("n")), "near-heads")
+    same = held.join(heads.where("n > 1"), "fp").select(F.col("head").alias("a"), F.col("node").alias("b"))
+    meets = _meets(heads.select("fp"), TABLE_BITS)
+    star = meets.select(F.element_at("m", (F.pmod(F.xxhash64("variant"), F.size("m").cast("long")) + 1).cast("int")).alias("x"), F.explode("m").alias("y")).where("x <> y").distinct()
+    balls = star.join(heads.select(F.col("fp").alias("x"), F.col("head").alias("a")), "x").join(heads.select(F.col("fp").alias("y"), F.col("head").alias("b")), "y")
+    pairs = same.unionByName(balls.select("a", "b")).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = materialize(pairs, "near-pairs")
+    wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "near-wanted")
+    few = wanted.count() <= broadcast_ids
+    sets = rows.join(F.broadcast(wanted) if few else wanted, "node", "left_semi").select("node", shingle_hashes(F.col("text"), shingle).alias("s"))
+    sets = materialize(sets, "near-shingles")
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a")
+    both = both.join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
+    alike = both.withColumn("common", F.size(F.array_intersect("sa", "sb"))).where(F.col("common") >= similarity * (F.size("sa") + F.size("sb") - F.col("common")) - 1e-9)
+    groups = components(alike.select("a", "b"))
+    return prints.select("node").join(groups, "node", "left").select(F.col("node").alias("doc_id"), F.coalesce("component", "node").alias("component_id"))
+
+
 def op4_simhash(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return classes(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
