@@ -7,9 +7,9 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-FLAGSHIP = "table_counts"
+FLAGSHIP = "f01_live"
 #: Modules with ``QUERIES`` (name -> function of spark and folder) and ``SQL`` (name -> DuckDB text).
-MODULES: tuple[str, ...] = ()
+MODULES: tuple[str, ...] = ("q_filters",)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
