@@ -138,7 +138,7 @@ def compound(rrf: Column, imp: Column, days: Column) -> Column:
 def recency_step(age_hours: Column) -> Column:
     """Steps by age; 0.05 for unknown times."""
     h = F.greatest(age_hours, F.lit(0))
-    return F.when(h <= 1, 1.0).when(h <= 24, 0.85).when(h <= 168, 0.60).when(h <= 720, 0.35).when(h <= 2160, 0.15).otherwise(0.05)
+    return F.when(age_hours.isNull(), 0.05).when(h <= 1, 1.0).when(h <= 24, 0.85).when(h <= 168, 0.60).when(h <= 720, 0.35).when(h <= 2160, 0.15).otherwise(0.05)
 
 
 def decay_factor(retrievals: Column, days: Column) -> Column:
