@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 FLAGSHIP = "f01_live"
 #: Modules with ``QUERIES`` (name -> function of spark and folder) and ``SQL`` (name -> DuckDB text).
-MODULES: tuple[str, ...] = ("q_filters", "q_aggregates", "q_windows", "q_joins")
+MODULES: tuple[str, ...] = ("q_filters", "q_aggregates", "q_windows", "q_joins", "q_evaluate")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
