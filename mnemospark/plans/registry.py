@@ -7,9 +7,9 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-FLAGSHIP = "f01_live"
+FLAGSHIP = "job01_hybrid_retrieve"
 #: Modules with ``QUERIES`` (name -> function of spark and folder) and ``SQL`` (name -> DuckDB text).
-MODULES: tuple[str, ...] = ("q_filters", "q_aggregates", "q_windows", "q_joins", "q_evaluate")
+MODULES: tuple[str, ...] = ("q_filters", "q_aggregates", "q_windows", "q_joins", "q_evaluate", "q_jobs")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
