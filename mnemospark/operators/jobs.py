@@ -270,3 +270,37 @@ def cleanup_report(entries: DataFrame, ratio: float = 0.5) -> DataFrame:
     n, c = F.length("text"), F.length(T.compress(F.col("text")))
     verbose = entries.where(c < ratio * n).select("id", F.lit("verbose").alias("kind"), F.round(100.0 * (n - c) / n, 4).alias("saved"))
     return again.unionByName(verbose)
+
+
+def novelty(batch: DataFrame, base: DataFrame, latest: int = 50, least: float = 0.25) -> DataFrame:
+    """Add surprise and admitted to incoming rows (id, owner_id, tokens): 1 less the likest of the owner's latest active rows.
+
+    Each row meets at most ``latest`` rows of its owner; owners without rows are all surprise.
+    """
+    recent = J.latest_per_owner(base.where("status = 'active'"), latest).select("owner_id", F.col("tokens").alias("__t"))
+    best = batch.join(recent, "owner_id").groupBy("id").agg(F.max(T.jaccard(F.col("tokens"), F.col("__t"))).alias("__likest"))
+    surprise = F.round(1.0 - F.coalesce("__likest", F.lit(0.0)), 9)
+    return batch.join(best, "id", "left").withColumn("surprise", surprise).withColumn("admitted", F.col("surprise") >= least).drop("__likest")
+
+
+def retrieve_semantic(query_vectors: DataFrame, vectors: DataFrame, corpus: DataFrame, as_of: str, k: int = 10, depth: int = 50, floor: float = 0.30, spread: float = 0.16) -> DataFrame:
+    """Vector-only retrieval: the nearest by cosine, times up to half of ``spread`` more or less by freshness."""
+    near = J.vector_topk(query_vectors, vectors, depth, floor).select("query_id", "id", "cosine")
+    days = F.greatest(S.seconds_between(at(as_of), F.col("created_at")), F.lit(0)) / 86400.0
+    fresh = 1.0 + (1.0 / (1.0 + days / 14.0) - 0.5) * spread
+    scored = near.join(corpus.select("id", "source", "created_at"), "id").withColumn("relevance", F.round(F.col("cosine") * F.coalesce(fresh, F.lit(1.0 - spread / 4)), 4))
+    return W.top_k(scored, k).select("query_id", "rank", "id", "source", "relevance")
+
+
+def retrieve_budgeted(results: DataFrame, edges: DataFrame, corpus: DataFrame, queries: DataFrame, budget: int, share: float = 0.5) -> DataFrame:
+    """Results (query_id, source, relevance) joined by associated sources, packed into a token budget per query.
+
+    An associated source's relevance is its strength by the strongest of its query, times ``share`` of the query's best.
+    """
+    extra = J.associate(results.select("query_id", "source"), edges)
+    top = extra.groupBy("query_id").agg(F.max("strength").alias("most")).join(results.groupBy("query_id").agg(F.max("relevance").alias("best")), "query_id")
+    more = extra.join(top, "query_id").select("query_id", "source", F.round(share * F.col("best") * F.col("strength") / F.col("most"), 4).alias("relevance"))
+    every = results.select("query_id", "source", "relevance").unionByName(more)
+    texts = corpus.select("source", T.tokens(F.col("text")).alias("tokens"), T.token_set(F.col("text"), "terms").alias("terms"))
+    terms = queries.select("query_id", F.array_distinct(T.search_keywords(F.col("query"))).alias("query_terms"))
+    return apply_budget(every.join(texts, "source").join(terms, "query_id").withColumn("rank", F.lit(0)), budget)

@@ -85,6 +85,16 @@ def str01(s, d):
     return st.read_merged(s, f"{run}/table", keys, counters)
 
 
+def str05(s, d):
+    import uuid
+
+    run = f"{shared_dir(s)}/stream-{uuid.uuid4().hex}"
+    raw = s.readStream.schema(s.read.parquet(f"{d}/events.parquet").schema).parquet(f"{d}/events.parquet*")
+    bucket = F.concat(F.lit("k"), (F.get_json_object("props", "$.k").cast("long") % 20).cast("string"))
+    st.stream_pairs(raw.select(F.array("event_type", bucket, F.concat(F.lit("u"), (F.col("user_id") % 5).cast("string"))).alias("items")), f"{run}/table", f"{run}/state").awaitTermination()
+    return st.read_merged(s, f"{run}/table", ["a", "b"], ["n"])
+
+
 def str06(s, d):
     e = _ev(s, d)
     t = F.timestamp_diff("SECOND", F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"), F.col("ts"))
@@ -115,7 +125,7 @@ QUERIES = {
     "str03_rate_audit": lambda s, d: st.rate_audit(_ev(s, d), 3, 7200, ["event_type", "operation"]).select("event_id", "accepted"),
     "str03_load_count": lambda s, d: st.load_count(_ev(s, d), ["event_type"], 3600).select("event_id", "load"),
     "str04_sessions": lambda s, d: st.sessions(_ev(s, d), AS_OF),
-    "str06_lock_audit": str06, "str07_task_durations": str07,
+    "str05_stream_pairs": str05, "str06_lock_audit": str06, "str07_task_durations": str07,
 }
 
 _MEM, _EV, _TURN = duck("v_memory"), duck("v_event"), duck("v_turn")
@@ -124,6 +134,7 @@ _HIT = lambda w: f"len(list_filter({_sql_list(w)}, lambda w: contains(lower(text
 _KW = "list_filter(list_filter(string_split(regexp_replace(lower(text), '[^a-z0-9-]+', ' ', 'g'), ' '), lambda w: w <> ''), lambda w: length(w) > 1)"
 
 SQL = {
+    "str05_stream_pairs": f"{_EV}, i as (select event_id, unnest([event_type, 'k' || (k % 20), 'u' || (user_id % 5)]) as x from v_event) select a.x as a, b.x as b, count(*) as n from i a join i b on a.event_id = b.event_id and a.x < b.x group by 1, 2",
     "src01_load_corpus": "select lang, count(*) as n from documents group by 1",
     "src02_explode_conversations": "select 'c' || conv_id as title, role, row_number() over (partition by conv_id order by turn)::integer as turn, length(trim(text, ' ')) as n from conversations where length(trim(text, ' ')) >= 30",
     "src04_extract_section": "select doc_id, length(trim(substr(text, 1, case when position(chr(10) || '## ' in text) > 0 then position(chr(10) || '## ' in text) - 1 else length(text) end), ' ')) + 1 as n from documents",

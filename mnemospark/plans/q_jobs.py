@@ -94,7 +94,30 @@ def m03(s, d):
     return op.term_groups(view(s, d, "v_query"), syn)
 
 
+def f11(s, d):
+    rows = _tokens(s, d).join(_mem(s, d).select("id", "owner_id", "status", "created_at"), "id")
+    return op.novelty(rows.where("id % 4 = 0"), rows.where("id % 4 <> 0")).select("id", F.round("surprise", 6).alias("surprise"), "admitted")
+
+
+def _query_vectors(s, d):
+    v = view(s, d, "v_vector")
+    return v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), v.where("vec_id % 50 <> 0").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+
+
+def job02(s, d):
+    q, v = _query_vectors(s, d)
+    return op.retrieve_semantic(q, v, _mem(s, d), AS_OF, floor=0.2)
+
+
+def job03(s, d):
+    corpus = _mem(s, d)
+    basket = _candidates(s, d).where("relevance > 0.8").select("query_id", "source")
+    edges = basket.join(basket.select("query_id", F.col("source").alias("b")), "query_id").where("source < b").groupBy(F.col("source").alias("a"), "b").agg(F.count(F.lit(1)).alias("n"))
+    return op.retrieve_budgeted(hybrid_retrieve(s, d), edges, corpus, view(s, d, "v_query"), 4000)
+
+
 QUERIES = {
+    "f11_novelty": f11, "job02_semantic_retrieve": job02, "job03_budgeted_retrieve": job03,
     "job01_hybrid_retrieve": hybrid_retrieve, "job04_headlines": job04, "job05_leader_clusters": _leaders, "job05_leader_vectors": job05_vectors,
     "job06_summaries": lambda s, d: op.summarize_clusters(_mem(s, d), _leaders(s, d)),
     "job07_search_clusters": job07,
@@ -134,6 +157,8 @@ _RETRIEVE = (
 )
 
 SQL = {
+    "f11_novelty": f"{_MEM}, {_TOK}, r as (select m.owner_id, t.t, row_number() over (partition by m.owner_id order by m.created_at desc, m.id desc) as rn from v_memory m join t on t.id = m.id where m.status = 'active' and m.id % 4 <> 0), x as (select m.id, 1 - coalesce(max(case when len(t.t) + len(r.t) = 0 then 1.0 else {_JJ.format(a='t.t', b='r.t')} end), 0) as s from v_memory m join t on t.id = m.id left join r on r.owner_id = m.owner_id and rn <= 50 where m.id % 4 = 0 group by 1) select id, round(s, 6)::double as surprise, round(s, 9) >= 0.25 as admitted from x",
+    "job02_semantic_retrieve": f"{_MEM}, p as (select a.vec_id as query_id, b.vec_id as id, list_dot_product(a.embedding::double[], b.embedding::double[]) / sqrt(list_dot_product(a.embedding::double[], a.embedding::double[]) * list_dot_product(b.embedding::double[], b.embedding::double[])) as c from embeddings a, embeddings b where a.vec_id % 50 = 0 and b.vec_id % 50 <> 0), k as (select *, row_number() over (partition by query_id order by round(c, 9) desc, id) as r from p where c > 0.2), s as (select query_id, k.id, source, round(c * (1 + (1 / (1 + (epoch({_NOW}) - epoch(created_at)) / 86400.0::double / 14) - 0.5::double) * 0.16::double), 4) as relevance from k join v_memory m on m.id = k.id where r <= 50), t as (select *, row_number() over (partition by query_id order by relevance desc, source)::integer as rank from s) select query_id, rank, id, source, relevance from t where rank <= 10",
     "job01_hybrid_retrieve": _RETRIEVE,
     "job04_headlines": f"{_CAND} select query_id, count(*) as results, sum(ceil(strlen(text) / 3.8::double))::bigint as full, sum(ceil(strlen(c.source) / 3.8::double))::bigint as served, (sum(ceil(strlen(text) / 3.8::double)) - sum(ceil(strlen(c.source) / 3.8::double)))::bigint as saved from c join documents on doc_id = id where relevance >= 0.5 group by 1",
     "job07_search_clusters": "with p as (select label, i, avg(embedding[i]::double) as x from embeddings, range(1, 65) r(i) group by 1, 2), c as (select label, list(x order by i) as v from p group by 1), s as (select vec_id as query_id, c.label::bigint as id, list_dot_product(embedding::double[], v) / sqrt(list_dot_product(v, v) * list_dot_product(embedding::double[], embedding::double[])) as c from embeddings, c where vec_id % 50 = 0), r as (select *, row_number() over (partition by query_id order by round(c, 9) desc, id)::integer as rank from s where c > 0.05) select query_id, rank, id, round(c * 1.15::double, 6) as relevance from r where rank <= 3",

@@ -112,3 +112,11 @@ def merge_sink(path: str, keys: list[str], counters: list[str]):
 
 def read_merged(spark, path: str, keys: list[str], counters: list[str]) -> DataFrame:
     return spark.read.parquet(path).groupBy(*keys).agg(*[F.sum(c).alias(c) for c in counters])
+
+
+def stream_pairs(baskets: DataFrame, path: str, checkpoint: str, most: int = 10):
+    """Start an additive pair count over a stream of baskets (items); read it by ``read_merged`` with keys a and b."""
+    items = baskets.select(F.slice(F.array_sort(F.array_distinct("items")), 1, most).alias("i"))
+    pairs = F.flatten(F.transform("i", lambda a: F.transform(F.filter("i", lambda b: b > a), lambda b: F.struct(a.alias("a"), b.alias("b")))))
+    rows = items.select(F.explode(pairs).alias("p")).select("p.a", "p.b", F.lit(1).cast("long").alias("n"))
+    return rows.writeStream.foreachBatch(merge_sink(path, ["a", "b"], ["n"])).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
