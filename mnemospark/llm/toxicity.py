@@ -31,6 +31,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mnemospark.plans.scratch import materialize
+
 LETTERS = "abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïñòóôõöøùúûüýÿœ"
 _K = len(LETTERS) + 2  # 0: none, the last: any other letter
 _INDEX = np.zeros(0x250, np.int32)
@@ -298,7 +300,11 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     total = ids.count()
     share = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < max(1, int(1e6 * min(1.0, max_train / max(total, 1))))
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    return fit(texts, texts.where(share).join(ids.where(share), "doc_id").select("text", "label"), **options)
+    chosen = ids.where(share)
+    if chosen.count() <= 2 * max_train:  # the sample's bound; ids that labels repeat may exceed it
+        chosen = F.broadcast(chosen)
+    sample = materialize(texts.where(share).join(chosen, "doc_id").select("text", "label"), "toxic-sample")
+    return fit(texts, sample, **options)
 
 
 def op8_toxicity(spark, sf_dir: str) -> DataFrame:
