@@ -7,6 +7,7 @@ from importlib import import_module
 #: Query name -> module of this package that defines the function of that name.
 _HOME = {
     "op1_html_text": "html_text",
+    "op2_best_fit_packing": "packing",
     "op3_chat_format": "chat_format",
     "op4_simhash": "simhash",
     "op5_token_counts": "token_counts",
