@@ -44,7 +44,7 @@ def with_prefix(df: DataFrame, prefix: str) -> DataFrame:
 def permitted(requests: DataFrame, grants: DataFrame) -> DataFrame:
     """Requests (client, scope, rank) for which some grant of the client has the scope, or '*', and rank enough."""
     g = grants.select(F.col("client").alias("g_client"), F.col("scope").alias("g_scope"), F.col("rank").alias("g_rank"))
-    fits = (F.col("client") == F.col("g_client")) & F.col("g_scope").isin("*") | (F.col("client") == F.col("g_client")) & (F.col("scope") == F.col("g_scope"))
+    fits = (F.col("client") == F.col("g_client")) & ((F.col("g_scope") == "*") | (F.col("scope") == F.col("g_scope")))
     return requests.join(g, fits & (F.col("g_rank") >= F.col("rank")), "left_semi")
 
 

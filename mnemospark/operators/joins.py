@@ -236,6 +236,7 @@ def unread(feed: DataFrame, acks: DataFrame, latest: int = 200) -> DataFrame:
     last = feed.agg(F.max(day("ts")).alias("last"))
     known = anchor.where("a_ts is not null").crossJoin(F.broadcast(last)).select("agent", "ack_id", "a_ts", F.explode(F.sequence(day("a_ts"), F.greatest("last", day("a_ts")))).alias("day"))
     after = feed.withColumn("day", day("ts")).join(known, "day").where("agent <> author and (ts > a_ts or ts = a_ts and id > ack_id)").select("agent", "id")
+    # agents without an anchor meet ``latest`` rows at most
     lost = anchor.where("a_ts is null").select("agent", F.lit(1).alias("one"))
     newest = feed.orderBy(F.desc("ts"), F.desc("id")).limit(latest).withColumn("one", F.lit(1))
     return after.unionByName(newest.join(lost, "one").where("agent <> author").select("agent", "id"))
