@@ -358,7 +358,7 @@ def test_line_dedup_equals_brute_force(spark):
     lines = sorted({n for *_, n in occ if n})
 
     def fp(n):
-        h = [xxhash.xxh64_intdigest(w.encode(), 42) for w in n.split(" ")]
+        h = [xxhash.xxh64_intdigest(w.encode(), 42) for w in set(n.split(" "))]
         return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
     prints, most = [fp(n) for n in lines], lambda a, b: int(0.2 * max(len(a), len(b)) + 1e-9)
