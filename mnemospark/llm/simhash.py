@@ -15,7 +15,8 @@ are shuffled, never texts.
 
 from __future__ import annotations
 
-from collections import Counter
+import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -112,84 +113,137 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle
     return prints.join(found, "fp").select("doc_id", "fp", "component_id")
 
 
-TABLES, TABLE_BITS = 4, 40
+_P = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _mixed(hashes: np.ndarray, k: int) -> np.ndarray:
-    """Another 64-bit hash of each word, from its hash and the number of a table."""
-    with np.errstate(over="ignore"):
-        x = (hashes ^ np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
-        return x ^ (x >> np.uint64(29))
-
-
-def sketch(text: str | None) -> list[int]:
-    """Fingerprints of a text's words, each weighing the root of its count, one for each of ``TABLES`` hashes."""
-    counts = Counter((text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split())
-    if not counts:
-        return [0] * TABLES
-    hashes = np.array([xxhash.xxh64_intdigest(w, 42) for w in counts], dtype="<u8")
-    weights = np.sqrt(np.fromiter(counts.values(), float))
-    found = []
-    for k in range(TABLES):
-        ones = np.zeros(64)
-        for at in range(0, len(hashes), _BLOCK):
-            part = _mixed(hashes[at : at + _BLOCK], k)
-            ones += weights[at : at + _BLOCK] @ np.unpackbits(part.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        found.append(int(np.packbits(2 * ones > weights.sum(), bitorder="little").view("<i8")[0]))
-    return found
-
-
-def shingle_hashes(text: Column, words: int) -> Column:
-    """Distinct hashes of a text's lower-case word shingles; a text with fewer words is one shingle."""
-    w = F.split(F.trim(F.regexp_replace(F.lower(text), r"[\x20\x09-\x0D]+", " ")), " ")
-    return F.element_at(
-        F.transform(
-            F.array(w),
-            lambda w: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - (words - 1), F.lit(1))), lambda i: F.xxhash64(F.slice(w, i, words)))),
-        ),
-        1,
-    )
-
+def shingles(text: str | None, words: int, known: dict[bytes, int]) -> tuple[bytes, np.ndarray]:
+    """Digest of a text's words, and the distinct hashes of its word shingles; fewer words are one shingle.
 
-def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, broadcast_ids: int = 1 << 20) -> DataFrame:
+    Words are runs of bytes other than space and \\t to \\r. ``known`` keeps hashes of words between calls.
+    """
+    parts = (text or "").encode("utf-8", "surrogatepass").split()
+    if len(known) > 1 << 18:
+        known.clear()
+    for w in set(parts).difference(known):
+        known[w] = xxhash.xxh64_intdigest(w, 42)
+    hashes = np.fromiter(map(known.__getitem__, parts), np.uint64, len(parts))
+    width = min(words, len(parts))
+    n = len(parts) - width + 1
+    with np.errstate(over="ignore"):
+        x = np.full(n, width, np.uint64)
+        for j in range(width):
+            x = (x ^ hashes[j : j + n]) * _P
+            x ^= x >> np.uint64(32)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        x ^= x >> np.uint64(31)
+    return hashlib.sha256(b" ".join(parts)).digest(), np.unique(x).view(np.int64)
+
+
+def _first(hashes: np.ndarray, similarity: float, often: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The hashes one of which any set as similar must share, in the common order: by rank in ``often`` (0 for others), then hash."""
+    n = len(hashes)
+    p = n - math.ceil(similarity * n - 1e-9) + 1
+    if len(often):
+        at = np.minimum(np.searchsorted(often, hashes), len(often) - 1)
+        place = np.where(often[at] == hashes, rank[at], 0)
+        hashes = hashes[np.lexsort((hashes, place))]
+    return hashes[:p]
+
+
+def _may(na: str, ia: str, nb: str, ib: str, similarity: float) -> Column:
+    """Whether sets of sizes na and nb whose first common hash is at places ia and ib can be as similar."""
+    return F.lit(1) + F.least(F.col(na) - F.col(ia), F.col(nb) - F.col(ib)) >= F.lit(similarity / (1 + similarity)) * (F.col(na) + F.col(nb)) - 1e-9
+
+
+def near_classes(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, stars: int = 3, sample: int = 16, listed: int = 1 << 18, broadcast_ids: int = 1 << 20
+) -> DataFrame:
     """One row per document: doc_id, component_id (smallest doc_id in its group of near duplicates).
 
-    Near duplicates are verified: the sets of their five-word shingles have a Jaccard similarity of 0.8 or
-    more. A fingerprint of word shingles moves too far for a ball of radius 2 at that similarity, so
-    candidates come from ``TABLES`` fingerprints of the words, of ``TABLE_BITS`` bits each: those that lie in one ball in any
-    table. At each meeting point the members are compared with one of them, another one at each of
-    the many balls and tables, so a large group costs a number of pairs in proportion to its size.
+    Near duplicates are all pairs whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
+    Candidates are complete: texts of equal words are one class; in one order of all shingles two such
+    sets share a shingle among the first fifth of each, and their sizes and its places there bound what they can have in
+    common. Any order is right; shingles that are frequent in one of ``sample`` documents come last (the
+    ``listed`` most frequent ones), so that common passages are no meeting points.
+
+    At a meeting point members are first compared with one of them, in ``stars`` rounds with one that is not yet in the
+    first one's group, and then those outside the first one's group with all of other groups. So near copies cost
+    pairs in proportion to their number, and no link between different groups is left out.
 
     Ids must be unique and not null. Texts without words are alike. An empty table gives an empty result.
     """
+    spark = docs.sparkSession
+    rows = docs.select(F.col(doc_id).cast("long").alias("node"), F.lower(F.coalesce(text, F.lit(""))).alias("text"))
 
     @F.pandas_udf("array<long>")
-    def sketches(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def sets_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        known: dict[bytes, int] = {}
+        for batch in batches:
+            yield pd.Series([shingles(x, shingle, known)[1] for x in batch], dtype=object)
+
+    part = rows.where(F.pmod(F.xxhash64("node"), F.lit(sample)) == 0).select(F.explode(sets_of("text")).alias("t"))
+    top = part.groupBy("t").agg(F.count(F.lit(1)).alias("f")).where("f > 2").orderBy(F.desc("f"), "t").limit(listed).toPandas().sort_values("t")
+    order = spark.sparkContext.broadcast((top["t"].to_numpy(np.int64), top["f"].to_numpy(np.int64)))
+
+    @F.pandas_udf("digest binary, n int, firsts array<long>")
+    def prints_of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        known: dict[bytes, int] = {}
+        often, rank = order.value
         for batch in batches:
-            yield pd.Series([sketch(x) for x in batch])
-
-    rows = docs.select(F.col(doc_id).cast("long").alias("node"), F.coalesce(text, F.lit("")).alias("text"))
-    prints = materialize(rows.select("node", sketches("text").alias("fps")), "near-prints")
-    low = (1 << TABLE_BITS) - 1
-    parts = F.transform("fps", lambda x, k: x.bitwiseAND(F.lit(low)).bitwiseOR(F.call_function("shiftleft", k.cast("long"), F.lit(TABLE_BITS))))
-    held = prints.select("node", F.explode(parts).alias("fp"))
-    heads = materialize(held.groupBy("fp").agg(F.min_by("node", F.xxhash64("node", "fp")).alias("head"), F.count(F.lit(1)).alias("n")), "near-heads")
-    same = held.join(heads.where("n > 1"), "fp").select(F.col("head").alias("a"), F.col("node").alias("b"))
-    meets = _meets(heads.select("fp"), TABLE_BITS)
-    star = meets.select(F.element_at("m", (F.pmod(F.xxhash64("variant"), F.size("m").cast("long")) + 1).cast("int")).alias("x"), F.explode("m").alias("y")).where("x <> y").distinct()
-    balls = star.join(heads.select(F.col("fp").alias("x"), F.col("head").alias("a")), "x").join(heads.select(F.col("fp").alias("y"), F.col("head").alias("b")), "y")
-    pairs = same.unionByName(balls.select("a", "b")).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    pairs = materialize(pairs, "near-pairs")
-    wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "near-wanted")
-    few = wanted.count() <= broadcast_ids
-    sets = rows.join(F.broadcast(wanted) if few else wanted, "node", "left_semi").select("node", shingle_hashes(F.col("text"), shingle).alias("s"))
-    sets = materialize(sets, "near-shingles")
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a")
-    both = both.join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
-    alike = both.withColumn("common", F.size(F.array_intersect("sa", "sb"))).where(F.col("common") >= similarity * (F.size("sa") + F.size("sb") - F.col("common")) - 1e-9)
-    groups = components(alike.select("a", "b"))
-    return prints.select("node").join(groups, "node", "left").select(F.col("node").alias("doc_id"), F.coalesce("component", "node").alias("component_id"))
+            found = [shingles(x, shingle, known) for x in batch]
+            yield pd.DataFrame({"digest": [d for d, _ in found], "n": [len(s) for _, s in found], "firsts": [_first(s, similarity, often, rank) for _, s in found]})
+
+    prints = materialize(rows.select("node", prints_of("text").alias("p")).select("node", "p.*"), "near-prints")
+    owners = materialize(prints.groupBy("digest").agg(F.min("node").alias("owner"), F.count(F.lit(1)).alias("n")), "near-owners")
+    copies = owners.where("n > 1").select("digest", "owner")
+    same = prints.select("digest", "node").join(copies, "digest").where("node <> owner").select("node", "owner")
+    same = materialize(same, "near-same")
+    alone = prints.select("node", "n", "firsts").join(same.select("node"), "node", "left_anti")
+    held = alone.select("node", "n", F.posexplode("firsts").alias("i", "t")).select("t", "node", "n", (F.col("i") + 1).alias("i"))
+    shared = held.groupBy("t").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("t")
+    held = materialize(held.join(shared, "t"), "near-held")
+
+    labels, edges = None, None
+    for step in range(stars + 1):
+        seen = held.withColumn("label", F.col("node"))
+        if labels is not None:
+            seen = held.join(labels.withColumnRenamed("label", "known"), "node", "left").select(*held.columns, F.coalesce("known", "node").alias("label"))
+        member = F.struct("label", "node", "n", "i")
+        firsts = seen.groupBy("t").agg(F.min(member).alias("lead"), F.max("label").alias("last"))
+        firsts = firsts.where("lead.label < last").select("t", "lead")  # elsewhere all are in one group
+        open_ = seen.join(firsts, "t")
+        if step == stars:
+            open_ = materialize(open_, "near-rest")
+            x = open_.where("label <> lead.label")
+            x = x.select("t", F.col("node").alias("a"), F.col("n").alias("na"), F.col("i").alias("ia"), F.col("label").alias("la"))
+            y = open_.select("t", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("i").alias("ib"), F.col("label").alias("lb"))
+            pairs = x.join(y, "t").where("la <> lb")
+        else:
+            if step:
+                nexts = open_.where("label <> lead.label").groupBy("t").agg(F.min_by(member, F.xxhash64("node", F.lit(step))).alias("other"))
+                open_ = open_.drop("lead").join(nexts.withColumnRenamed("other", "lead"), "t")
+            x = open_.where("label <> lead.label")
+            pairs = x.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("i").alias("ia"), *[F.col(f"lead.{c}").alias(f"{d}b" if c != "node" else "b") for c, d in (("node", ""), ("n", "n"), ("i", "i"))])
+        pairs = pairs.where(_may("na", "ia", "nb", "ib", similarity)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        pairs = materialize(pairs, "near-pairs")
+        wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "near-wanted")
+        n_wanted = wanted.count()
+        if not n_wanted:
+            continue
+        sets = rows.join(F.broadcast(wanted) if n_wanted <= broadcast_ids else wanted, "node", "left_semi").select("node", sets_of("text").alias("s"))
+        sets = materialize(sets, "near-shingles")
+        both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
+        both = both.withColumn("common", F.size(F.array_intersect("sa", "sb")))
+        alike = materialize(both.where(F.col("common") >= similarity * (F.size("sa") + F.size("sb") - F.col("common")) - 1e-9).select("a", "b"), "near-links")
+        if alike.isEmpty():
+            continue
+        edges = alike if edges is None else edges.unionByName(alike)
+        labels = components(edges).select("node", F.col("component").alias("label"))
+    found = same.select("node", "owner").unionByName(owners.select(F.col("owner").alias("node"), "owner"))
+    if labels is not None:
+        found = found.join(labels.withColumnRenamed("node", "owner"), "owner", "left").select("node", F.coalesce("label", "owner").alias("owner"))
+    return found.select(F.col("node").alias("doc_id"), F.col("owner").alias("component_id"))
 
 
 def op4_simhash(spark, sf_dir: str) -> DataFrame:

@@ -188,6 +188,27 @@ def test_near_classes_by_shingles(spark):
     assert got == {3: 3, 5: 3, 9: 9, 1: 1, 2: 1, 4: 4}
 
 
+def test_near_classes_find_every_pair_of_appended_and_block_edited_copies(spark):
+    rng = random.Random(17)
+    fresh = lambda n: [f"w{rng.randint(0, 900)}" for _ in range(n)]
+    common = fresh(40)
+    texts = []
+    for _ in range(30):
+        base = fresh(rng.randint(60, 300))
+        n = len(base)
+        texts += [base, [*base, *fresh(n // 10)], [*base, *fresh(n * 3 // 20)], [*base, *fresh(n // 5)]]
+        for share in (0.05, 0.08, 0.1):
+            at, k = rng.randint(0, n // 2), int(share * n)
+            texts.append([*base[:at], *fresh(k), *base[at + k :]])
+    texts += [[*common, *fresh(k % 12)] for k in range(60)]  # meet at one passage, but not all are alike
+    rng.shuffle(texts)
+    sets = [{tuple(t[k : k + 5]) for k in range(len(t) - 4)} for t in texts]
+    want = union_find(range(len(sets)), [(a, b) for b in range(len(sets)) for a in range(b) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])])
+    df = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], DOCS)
+    for options in ({}, {"sample": 1, "stars": 1}):
+        assert {r["doc_id"]: r["component_id"] for r in simhash.near_classes(df, **options).collect()} == want
+
+
 @pytest.mark.parametrize("edges", [[], [(1, 1)], [(k, k + 1) for k in range(40)], [(0, k) for k in range(1, 30)] + [(50, 51), (51, 52)]])
 def test_components(spark, edges):
     want = union_find({x for e in edges for x in e}, edges)
