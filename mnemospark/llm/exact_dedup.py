@@ -81,8 +81,8 @@ def directory(entries: DataFrame, capacity: int) -> DataFrame:
     return slots.select(F.col("cell").alias("slot"), "bucket", "local_depth")
 
 
-def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity: int = 1 << 16, key=hash_key, broadcast_keys: int = 1 << 20) -> DataFrame:
-    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256, n_chars.
+def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity: int = 1 << 16, key=hash_key, broadcast_keys: int = 1 << 20, row_key: Column | None = None) -> DataFrame:
+    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256, n_chars, row_key.
 
     Null texts count as empty; all empty and blank texts are one group. Repeated rows each count in
     group_size, and where even id and length agree one result row each is given, all kept. Rows with a
@@ -91,8 +91,8 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity:
     right result, as bytes are compared. ``capacity`` is the number of keys a bucket holds.
     """
     norm = normalise(F.col(text))
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), norm.alias("norm"), F.coalesce(F.length(text), F.lit(0)).cast("long").alias("n_chars"))
-    narrow = materialize(rows.select("doc_id", key(F.col("norm")).alias("key"), "n_chars", F.sha2(F.col("norm").cast("binary"), 256).alias("text_sha256")), "exact-keys")
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), norm.alias("norm"), F.coalesce(F.length(text), F.lit(0)).cast("long").alias("n_chars"), (F.lit(None).cast("long") if row_key is None else row_key).alias("row_key"))
+    narrow = materialize(rows.select("doc_id", "row_key", key(F.col("norm")).alias("key"), "n_chars", F.sha2(F.col("norm").cast("binary"), 256).alias("text_sha256")), "exact-keys")
     order = _order(F.col("n_chars"), F.col("doc_id"))
     keys = materialize(narrow.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max(order).alias("best")), "exact-counts")
     shared = keys.where("n > 1").select("key")
@@ -117,8 +117,8 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity:
         single = narrow.join(several, "key", "left_anti").join(index.select("key", "n", "best"), "key")
         again = rows.withColumn("key", key(F.col("norm"))).join(several, "key", "left_semi")
         texts = again.groupBy("key", "norm").agg(F.count(F.lit(1)).alias("n"), F.max(order).alias("best"))
-        by_bytes = again.join(texts, ["key", "norm"]).select("key", "doc_id", "n_chars", F.sha2(F.col("norm").cast("binary"), 256).alias("text_sha256"), "n", "best")
-        found = single.select("key", "doc_id", "n_chars", "text_sha256", "n", "best").unionByName(by_bytes)
+        by_bytes = again.join(texts, ["key", "norm"]).select("key", "doc_id", "row_key", "n_chars", F.sha2(F.col("norm").cast("binary"), 256).alias("text_sha256"), "n", "best")
+        found = single.select("key", "doc_id", "row_key", "n_chars", "text_sha256", "n", "best").unionByName(by_bytes)
     return found.select(
         "doc_id",
         _doc_id(F.col("best")).alias("keep_id"),
@@ -126,6 +126,7 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity:
         (order == F.col("best")).alias("kept"),
         "text_sha256",
         "n_chars",
+        "row_key",
     )
 
 

@@ -93,16 +93,19 @@ def pack(
     rows = materialize(rows.withColumn("size", F.least(F.lit(capacity).cast("long"), F.col("words") - F.col("start"))), "pack-pieces")
     shards = max(1, math.ceil(rows.count() / shard_rows))
     rows = rows.withColumn("shard", F.pmod(F.xxhash64("tie", "piece"), F.lit(shards)))
+    # pandas would turn ids beside nulls into doubles
+    rows = rows.withColumn("no_id", F.col("doc_id").isNull()).withColumn("doc_id", F.coalesce("doc_id", F.lit(0).cast("long")))
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["size", "doc_id", "piece", "tie"], ascending=[False, True, True, True], kind="stable", ignore_index=True)
+        part = part.sort_values(["size", "no_id", "doc_id", "piece", "tie"], ascending=[False, True, True, True, True], kind="stable", ignore_index=True)
         lone = [("alone", i) if pd.isna(c) else c for i, c in enumerate(part["cluster"])]
         names = [None if pd.isna(x) else x for x in part["source"]]
         bins = best_fit(part["size"].tolist(), names, lone, capacity, max_per_source)
         part["bin_id"] = int(part["shard"].iloc[0]) * (1 << 32) + np.array(bins, np.int64)
-        return part[["doc_id", "piece", "start", "size", "bin_id", "source", "cluster"]]
+        return part[["doc_id", "no_id", "piece", "start", "size", "bin_id", "source", "cluster"]]
 
-    return rows.groupBy("shard").applyInPandas(run, "doc_id long, piece int, start long, size long, bin_id long, source string, cluster long")
+    packed = rows.groupBy("shard").applyInPandas(run, "doc_id long, no_id boolean, piece int, start long, size long, bin_id long, source string, cluster long")
+    return packed.withColumn("doc_id", F.when(~F.col("no_id"), F.col("doc_id"))).drop("no_id")
 
 
 def op2_best_fit_packing(spark, sf_dir: str) -> DataFrame:
