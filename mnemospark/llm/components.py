@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mnemospark.plans.scratch import materialize
+from mnemospark.plans.scratch import discard, materialize
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 100) -> DataFrame:
@@ -30,7 +30,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 1
         lower = materialize(lower, "labels-lower")
         jump = lower.select(F.col("node").alias("label"), F.col("label").alias("root"))
         after = materialize(lower.join(jump, "label", "left").select("node", "old", F.least("label", "root").alias("label")), "labels")
+        discard(lower, labels)
         if after.where("old <> label").isEmpty():
+            discard(both)
             return after.select("node", F.col("label").alias("component"))
-        labels = after.select("node", "label")
+        labels = after
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")

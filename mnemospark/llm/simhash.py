@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mnemospark.llm.components import components
-from mnemospark.plans.scratch import materialize
+from mnemospark.plans.scratch import discard, materialize
 
 _LOWER = bytes(range(256)).lower()
 _BLOCK = 1 << 16
@@ -151,13 +151,29 @@ def _first(hashes: np.ndarray, similarity: float, often: np.ndarray, rank: np.nd
     return hashes[:p]
 
 
+def _parity(hashes: np.ndarray) -> bytes:
+    """Bitmap of the set: a bit for each value of the hashes' low bits, set where an odd number of members have it; about a bit a member."""
+    bits = 1 << max(8, int(len(hashes)).bit_length())
+    odd = np.bincount(hashes & (bits - 1), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def _least_apart(a: bytes, b: bytes) -> int:
+    """A lower bound of the number of members that only one of two sets has: places where their bitmaps, folded to one size, differ."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    if len(x) > len(y):
+        x, y = y, x
+    y = np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0)
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def _may(na: str, ia: str, nb: str, ib: str, similarity: float) -> Column:
     """Whether sets of sizes na and nb whose first common hash is at places ia and ib can be as similar."""
     return F.lit(1) + F.least(F.col(na) - F.col(ia), F.col(nb) - F.col(ib)) >= F.lit(similarity / (1 + similarity)) * (F.col(na) + F.col(nb)) - 1e-9
 
 
 def near_classes(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, stars: int = 3, sample: int = 16, listed: int = 1 << 18, broadcast_ids: int = 1 << 20
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, stars: int = 1, sample: int = 16, listed: int = 1 << 18, broadcast_ids: int = 1 << 20
 ) -> DataFrame:
     """One row per document: doc_id, component_id (smallest doc_id in its group of near duplicates).
 
@@ -169,7 +185,8 @@ def near_classes(
 
     At a meeting point members are first compared with one of them, in ``stars`` rounds with one that is not yet in the
     first one's group, and then those outside the first one's group with all of other groups. So near copies cost
-    pairs in proportion to their number, and no link between different groups is left out.
+    pairs in proportion to their number, and no link between different groups is left out. Before shingles are
+    fetched, bitmaps of their parities, a bit a shingle, rule out pairs that differ in too many; this too is exact.
 
     Ids must be unique and not null. Texts without words are alike. An empty table gives an empty result.
     """
@@ -182,27 +199,31 @@ def near_classes(
         for batch in batches:
             yield pd.Series([shingles(x, shingle, known)[1] for x in batch], dtype=object)
 
+    @F.pandas_udf("long")
+    def apart(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([_least_apart(x, y) for x, y in zip(a, b, strict=True)], dtype="int64")
+
     part = rows.where(F.pmod(F.xxhash64("node"), F.lit(sample)) == 0).select(F.explode(sets_of("text")).alias("t"))
     top = part.groupBy("t").agg(F.count(F.lit(1)).alias("f")).where("f > 2").orderBy(F.desc("f"), "t").limit(listed).toPandas().sort_values("t")
     order = spark.sparkContext.broadcast((top["t"].to_numpy(np.int64), top["f"].to_numpy(np.int64)))
 
-    @F.pandas_udf("digest binary, n int, firsts array<long>")
+    @F.pandas_udf("digest binary, n int, firsts array<long>, odd binary")
     def prints_of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         known: dict[bytes, int] = {}
         often, rank = order.value
         for batch in batches:
             found = [shingles(x, shingle, known) for x in batch]
-            yield pd.DataFrame({"digest": [d for d, _ in found], "n": [len(s) for _, s in found], "firsts": [_first(s, similarity, often, rank) for _, s in found]})
+            yield pd.DataFrame({"digest": [d for d, _ in found], "n": [len(s) for _, s in found], "firsts": [_first(s, similarity, often, rank) for _, s in found], "odd": [_parity(s) for _, s in found]})
 
     prints = materialize(rows.select("node", prints_of("text").alias("p")).select("node", "p.*"), "near-prints")
     owners = materialize(prints.groupBy("digest").agg(F.min("node").alias("owner"), F.count(F.lit(1)).alias("n")), "near-owners")
     copies = owners.where("n > 1").select("digest", "owner")
-    same = prints.select("digest", "node").join(copies, "digest").where("node <> owner").select("node", "owner")
-    same = materialize(same, "near-same")
+    same = materialize(prints.select("digest", "node").join(copies, "digest").where("node <> owner").select("node", "owner"), "near-same")
     alone = prints.select("node", "n", "firsts").join(same.select("node"), "node", "left_anti")
     held = alone.select("node", "n", F.posexplode("firsts").alias("i", "t")).select("t", "node", "n", (F.col("i") + 1).alias("i"))
     shared = held.groupBy("t").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("t")
     held = materialize(held.join(shared, "t"), "near-held")
+    maps = prints.select("node", "odd")
 
     labels, edges = None, None
     for step in range(stars + 1):
@@ -225,21 +246,24 @@ def near_classes(
                 open_ = open_.drop("lead").join(nexts.withColumnRenamed("other", "lead"), "t")
             x = open_.where("label <> lead.label")
             pairs = x.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("i").alias("ia"), *[F.col(f"lead.{c}").alias(f"{d}b" if c != "node" else "b") for c, d in (("node", ""), ("n", "n"), ("i", "i"))])
-        pairs = pairs.where(_may("na", "ia", "nb", "ib", similarity)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        pairs = materialize(pairs, "near-pairs")
+        pairs = pairs.where(_may("na", "ia", "nb", "ib", similarity))
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), (F.col("na") + F.col("nb")).alias("sizes")).distinct()
+        near = pairs.join(maps.select(F.col("node").alias("a"), F.col("odd").alias("oa")), "a").join(maps.select(F.col("node").alias("b"), F.col("odd").alias("ob")), "b")
+        near = near.where(apart("oa", "ob") <= F.lit((1 - similarity) / (1 + similarity)) * F.col("sizes") + 1e-9)
+        pairs = materialize(near.select("a", "b"), "near-pairs")
         wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "near-wanted")
         n_wanted = wanted.count()
-        if not n_wanted:
-            continue
-        sets = rows.join(F.broadcast(wanted) if n_wanted <= broadcast_ids else wanted, "node", "left_semi").select("node", sets_of("text").alias("s"))
-        sets = materialize(sets, "near-shingles")
-        both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
-        both = both.withColumn("common", F.size(F.array_intersect("sa", "sb")))
-        alike = materialize(both.where(F.col("common") >= similarity * (F.size("sa") + F.size("sb") - F.col("common")) - 1e-9).select("a", "b"), "near-links")
-        if alike.isEmpty():
-            continue
-        edges = alike if edges is None else edges.unionByName(alike)
-        labels = components(edges).select("node", F.col("component").alias("label"))
+        if n_wanted:
+            sets = rows.join(F.broadcast(wanted) if n_wanted <= broadcast_ids else wanted, "node", "left_semi").select("node", sets_of("text").alias("s"))
+            sets = materialize(sets, "near-shingles")
+            both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
+            both = both.withColumn("common", F.size(F.array_intersect("sa", "sb")))
+            alike = materialize(both.where(F.col("common") >= similarity * (F.size("sa") + F.size("sb") - F.col("common")) - 1e-9).select("a", "b"), "near-links")
+            discard(sets)
+            edges = alike if edges is None else edges.unionByName(alike)
+            labels = components(edges).select("node", F.col("component").alias("label"))
+        discard(pairs, wanted, *([open_] if step == stars else []))
+    discard(held, prints)
     found = same.select("node", "owner").unionByName(owners.select(F.col("owner").alias("node"), "owner"))
     if labels is not None:
         found = found.join(labels.withColumnRenamed("node", "owner"), "owner", "left").select("node", F.coalesce("label", "owner").alias("owner"))
