@@ -77,7 +77,7 @@ def pack(
 
     ``size``: words of the text unless given. ``cluster``: duplicate cluster, by default a hash of the
     lower-case text without white space. Null and blank texts have size 0 and are one piece that
-    takes no room. Null sources are a source of their own, null clusters never clash. Every row counts,
+    takes no room and has no cluster. Null sources are a source of their own, null clusters never clash. Every row counts,
     repeated ones too (they are one cluster). Other columns are ignored; an empty table gives an empty result.
     """
     own = F.xxhash64(F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", "")))
@@ -87,12 +87,15 @@ def pack(
         F.col(source).cast("string").alias("source"),
         (own if cluster is None else cluster).cast("long").alias("cluster"),
         F.xxhash64(F.col(doc_id), F.coalesce(text, F.lit(""))).alias("tie"),
+        F.monotonically_increasing_id().alias("row"),
     )
+    if cluster is None:
+        rows = rows.withColumn("cluster", F.when(F.col("words") > 0, F.col("cluster")))
     rows = rows.withColumn("piece", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.col("words") / capacity) - 1).cast("int"))))
     rows = rows.withColumn("start", F.col("piece") * F.lit(capacity).cast("long"))
     rows = materialize(rows.withColumn("size", F.least(F.lit(capacity).cast("long"), F.col("words") - F.col("start"))), "pack-pieces")
     shards = max(1, math.ceil(rows.count() / shard_rows))
-    rows = rows.withColumn("shard", F.pmod(F.xxhash64("tie", "piece"), F.lit(shards)))
+    rows = rows.withColumn("shard", F.pmod(F.xxhash64("tie", "piece", "row"), F.lit(shards)))
     # pandas would turn ids beside nulls into doubles
     rows = rows.withColumn("no_id", F.col("doc_id").isNull()).withColumn("doc_id", F.coalesce("doc_id", F.lit(0).cast("long")))
 
