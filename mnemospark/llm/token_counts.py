@@ -12,6 +12,10 @@ Where two chunks share no such place, the document's chunks and overlaps are wid
 until one chunk holds it all; that is the plain encoding. Per chunk only totals and the places in
 its overlaps are kept, joined on document and chunk number, so no document meets in one task.
 
+Texts encoded where they lie are split at spaces between characters that are not white space. By the same proof each
+unit counts for itself, so a worker encodes a unit once and looks it up afterwards. Texts with other white
+space than single spaces, tabs and line ends inside units, and texts most of whose units are new, are encoded whole.
+
 Other tokenizers than byte-level ones have no such proof and encode every text whole.
 """
 
@@ -19,6 +23,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -26,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mnemospark.plans.scratch import materialize
+from mnemospark.plans.scratch import discard, materialize
 
 DEFAULT_TOKENIZER = "byte_bpe_50k.json"
 _MARGIN = 64
@@ -74,6 +79,44 @@ def counts(texts: list[str], name: str) -> list[int]:
     return found
 
 
+#: Units that begin or end with white space, or characters that the pattern may take for white space.
+_ODD_WHITE = "".join(chr(c) for c in range(0x10000) if chr(c).isspace() and chr(c) not in " \t\n\r") + "".join(map(chr, (0x180E, 0x200B, 0x2060, 0xFEFF)))
+_UNEVEN = re.compile(rf"^[ \t\r\n]|[ \t\r\n]$| [ \t\r\n]|[\t\r\n] |[{_ODD_WHITE}]")
+
+
+class UnitCounts:
+    """Counts texts by their units, which are encoded once and remembered."""
+
+    def __init__(self, name: str, most: int = 1 << 18):
+        self.name, self.most = name, most
+        self.known: dict[str, int] = {}
+
+    def counts(self, texts: list[str]) -> list[int]:
+        found, whole = [0] * len(texts), []
+        for k, text in enumerate(texts):
+            if not text:
+                continue
+            if _UNEVEN.search(text):
+                whole.append(k)
+                continue
+            units = text.split(" ")
+            first = units[0]
+            units[0] = "\n" + first  # parts a unit without a space before it from the others: no unit begins so
+            new = list(set(units).difference(self.known))
+            if 4 * len(new) > 3 * len(units) and len(units) > 64:
+                whole.append(k)
+                continue
+            if len(self.known) + len(new) > self.most:
+                self.known.clear()
+                new = list(set(units))
+            if new:
+                self.known.update(zip(new, counts([x[1:] if x[0] == "\n" else " " + x for x in new], self.name), strict=True))
+            found[k] = sum(map(self.known.__getitem__, units))
+        for k, n in zip(whole, counts([texts[k] for k in whole], self.name), strict=True):
+            found[k] = n
+        return found
+
+
 def is_byte_level(name: str) -> bool:
     path = tokenizer_path(name)
     if not path.endswith(".json"):
@@ -81,7 +124,7 @@ def is_byte_level(name: str) -> bool:
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     pre = spec.get("pre_tokenizer") or {}
-    plain = all(not (t.get("lstrip") or t.get("rstrip")) and len(t["content"]) < _MARGIN for t in spec.get("added_tokens") or [])
+    plain = all(not (t.get("lstrip") or t.get("rstrip") or t.get("single_word")) and len(t["content"]) < _MARGIN and not re.search(r"\s", t["content"]) for t in spec.get("added_tokens") or [])
     return bool(spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and plain)
 
 
@@ -150,35 +193,47 @@ def count_tokens(docs: DataFrame, text: str = "text", tokenizer: str = DEFAULT_T
     """
     if chunk_chars <= 2 * overlap or overlap < 4 * _MARGIN:
         raise ValueError("chunks must be longer than two overlaps, and overlaps than four margins")
-    docs = docs.drop(*[c for c in ("n_bytes", "n_tokens", "over_limit") if c != text])
+    byte_level = is_byte_level(tokenizer)
 
     @F.pandas_udf("long")
     def whole(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        units = UnitCounts(tokenizer)
         for batch in batches:
-            yield pd.Series(counts(["" if x is None else x for x in batch], tokenizer), dtype="int64")
-
-    sized = docs.withColumn("n_bytes", F.coalesce(F.octet_length(text), F.lit(0)).cast("long"))
-    short = F.coalesce(F.length(text), F.lit(0)) <= chunk_chars
-    byte_level = is_byte_level(tokenizer)
-    done = (sized.where(short) if byte_level else sized).withColumn("n_tokens", whole(F.col(text)))
+            texts = ["" if x is None else x for x in batch]
+            yield pd.Series(units.counts(texts) if byte_level else counts(texts, tokenizer), dtype="int64")
+
+    # names of the columns that hold texts and keys on the way, which no column of the input bears
+    body, key, n = (_free(docs, name) for name in ("body", "row", "count"))
+    rest = docs.withColumn(body, F.coalesce(F.col(text), F.lit(""))).drop(*(c for c in _ADDED if c != text))
+    short = F.length(body) <= chunk_chars
+    done = (rest.where(short) if byte_level else rest).withColumn(n, whole(F.col(body)))
     if byte_level:
-        huge = sized.where(~short)
+        huge = rest.where(~short)
         if not huge.isEmpty():
-            done = done.unionByName(_count_huge(huge, text, tokenizer, chunk_chars, overlap))
-    return done.withColumn("over_limit", F.col("n_tokens") > limit)
+            done = done.unionByName(_count_huge(huge, body, key, n, tokenizer, chunk_chars, overlap))
+    return done.withColumns({"n_bytes": F.octet_length(body).cast("long"), "n_tokens": F.col(n), "over_limit": F.col(n) > limit}).drop(body, n)
+
+
+_ADDED = ("n_bytes", "n_tokens", "over_limit")
+
+
+def _free(docs: DataFrame, name: str) -> str:
+    while name in docs.columns or name in _ADDED:
+        name = f"_{name}"
+    return name
 
 
-def _count_huge(huge: DataFrame, text: str, tokenizer: str, chunk_chars: int, overlap: int) -> DataFrame:
-    key = "__row"
+def _count_huge(huge: DataFrame, text: str, key: str, n: str, tokenizer: str, chunk_chars: int, overlap: int) -> DataFrame:
     huge = materialize(huge.withColumn(key, F.monotonically_increasing_id()), "huge-texts")
     parts = huge.sparkSession.sparkContext.defaultParallelism * 4
     todo, found = huge.select(F.col(key).alias("row"), F.col(text).alias("text")), []
     while True:
         pieces = todo.mapInPandas(_cut(chunk_chars, overlap), "row long, chunk int, start long, last boolean, piece string")
         encoded = materialize(pieces.repartition(parts).mapInPandas(_encode_chunks(tokenizer, overlap), _ENCODED), "encoded")
-        spliced = splice(encoded)
-        found.append(spliced.where("ok").select(F.col("row").alias(key), "n_tokens"))
-        failed = materialize(spliced.where("not ok").select("row"), "widen")
+        spliced = materialize(splice(encoded), "spliced")
+        discard(encoded)
+        found.append(spliced.where("ok").select(F.col("row").alias(key), F.col("n_tokens").alias(n)))
+        failed = spliced.where("not ok").select("row")
         if failed.isEmpty():
             break
         todo = todo.join(failed, "row", "left_semi")
