@@ -4,16 +4,15 @@ Texts are equal when they agree after deleting every character of ``[\x20\x09-\x
 
 1. Keys: every row's 64-bit hash of its normalised text goes to a narrow table, with the sizes and
    the digest that later steps need. Texts themselves are not moved.
-2. Directory: the distinct keys are counted by the low bits of the hash. It starts with one
-   bucket and doubles; only buckets with more keys than ``capacity`` split, each to its own local
+2. Directory: the distinct keys are counted by the low bits of their slot hash. From one
+   bucket it doubles; only buckets with more keys than ``capacity`` split, each to its own local
    depth, so a directory of ``2^depth`` slots points to fewer buckets.
-3. Chains: a key that several rows share may still stand for different texts. The rows of such keys,
-   and no others, are grouped by key and normalised bytes; each distinct text is a link of the
-   key's chain. Copies are combined before the shuffle, so a text that a third of all rows repeat
-   sends one row per task.
-4. Index: entries are written by bucket ranges, one owner task each, sorted by key, to the
-   shared folder.
-5. Lookup: rows find their entry by key, or by key and bytes where the chain has several links.
+3. Index: every row is routed by its key's slot to a bucket. Owner tasks build the buckets' entries, one per key with its
+   rows counted (combined before the shuffle), and write them in key ranges to the shared folder.
+4. Chains: an entry that several rows share may still stand for different texts. The rows of such entries,
+   and no others, are grouped by bucket, key and normalised bytes; each distinct text is a link of the
+   entry's chain.
+5. Lookup: rows find their entry in their bucket by key, or by key and bytes where the chain has several links.
 
 The row with the most code points in the original text stays, then the smallest doc_id (nulls
 last). All tables beside the input are narrow; nothing is collected but the depth and counts.
@@ -24,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mnemospark.plans.scratch import materialize
+from mnemospark.plans.scratch import discard, materialize
 
 _MAX = 9223372036854775807
 #: Parts code points from ids in the packed ordering; above the range of a long.
@@ -51,34 +50,34 @@ def _doc_id(order: Column) -> Column:
     return F.when(rest > 0, F.lit(_MAX).cast("decimal(38,0)") + F.lit(1) - rest).cast("long")
 
 
-def directory(entries: DataFrame, capacity: int) -> DataFrame:
+def _slot(key: Column, depth: int) -> Column:
+    """Directory slot of a key: the low ``depth`` bits of a hash of it, so that any key function spreads."""
+    return F.xxhash64(key).bitwiseAND((1 << depth) - 1)
+
+
+def directory(keys: DataFrame, capacity: int) -> DataFrame:
     """Slots of the directory at its final depth: slot, bucket, local_depth.
 
-    ``entries`` has one row per key. Counts are taken once at a depth beyond the needed one and
-    summed up level by level; the number of slots is a fixed multiple of keys / capacity.
+    ``keys`` has a column key, repeats allowed. Distinct keys are counted once by the slots of a depth with
+    room to spare and summed for every depth above it; a slot belongs to the bucket of the smallest depth whose
+    keys fit, as doubling from one bucket and splitting overfull ones gives it. A bucket's number is its
+    low bits; no two buckets share one, as one would hold the other.
     """
-    spark = entries.sparkSession
-    total = entries.count()
     deepest = 0
-    while (capacity << deepest) < 8 * total and deepest < 24:
+    while (capacity << deepest) < 8 * keys.count():
         deepest += 1
-    cells = entries.groupBy(F.col("key").bitwiseAND((1 << deepest) - 1).alias("cell")).agg(F.count(F.lit(1)).alias("n"))
-    slots = spark.range(1 << deepest).withColumnRenamed("id", "cell").join(cells, "cell", "left").fillna(0, ["n"])
-    slots = slots.withColumn("bucket", F.lit(None).cast("long")).withColumn("local_depth", F.lit(None).cast("int"))
-    # a slot's bucket is the first prefix of its bits, from the shortest, whose keys fit
-    for depth in range(deepest + 1):
-        at = F.col("cell").bitwiseAND((1 << depth) - 1)
-        sums = slots.where("bucket is null").groupBy(at.alias("b")).agg(F.sum("n").alias("keys"))
-        fits = sums.where((F.col("keys") <= capacity) if depth < deepest else F.lit(True)).select("b", F.lit(depth).alias("d"))
-        slots = materialize(
-            slots.withColumn("b", at)
-            .join(fits, "b", "left")
-            .select("cell", "n", F.coalesce("bucket", F.when(F.col("d").isNotNull(), F.col("b"))).alias("bucket"), F.coalesce("local_depth", "d").alias("local_depth")),
-            "directory",
-        )
-        if slots.where("bucket is null").isEmpty():
-            break
-    return slots.select(F.col("cell").alias("slot"), "bucket", "local_depth")
+    cells = keys.distinct().groupBy(_slot(F.col("key"), deepest).alias("slot")).agg(F.count(F.lit(1)).alias("n"))
+    slots = keys.sparkSession.range(1 << deepest).select(F.col("id").alias("slot")).join(cells, "slot", "left").fillna(0, ["n"])
+    levels = slots.withColumn("local_depth", F.explode(F.sequence(F.lit(0), F.lit(deepest))))
+    levels = levels.withColumn("bucket", F.col("slot").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), "local_depth") - 1))
+    levels = materialize(levels, "directory-levels")
+    fits = levels.groupBy("local_depth", "bucket").agg(F.sum("n").alias("keys")).where(F.col("keys") <= capacity).select("local_depth", "bucket")
+    first = F.min(F.struct("local_depth", "bucket")).alias("at")
+    found = materialize(levels.join(fits, ["local_depth", "bucket"]).groupBy("slot").agg(first).select("slot", "at.bucket", "at.local_depth"), "directory")
+    discard(levels)
+    if found.count() < 1 << deepest:
+        raise RuntimeError("a bucket holds more keys than its capacity at the deepest level")
+    return found
 
 
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity: int = 1 << 16, key=hash_key, broadcast_keys: int = 1 << 20, row_key: Column | None = None) -> DataFrame:
@@ -93,32 +92,37 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity:
     norm = normalise(F.col(text))
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), norm.alias("norm"), F.coalesce(F.length(text), F.lit(0)).cast("long").alias("n_chars"), (F.lit(None).cast("long") if row_key is None else row_key).alias("row_key"))
     narrow = materialize(rows.select("doc_id", "row_key", key(F.col("norm")).alias("key"), "n_chars", F.sha2(F.col("norm").cast("binary"), 256).alias("text_sha256")), "exact-keys")
+    slots = directory(narrow.select("key"), capacity)
+    n_slots = slots.count()
+
+    def send(table: DataFrame, n: int) -> DataFrame:
+        return F.broadcast(table) if n <= broadcast_keys else table
+
+    def routed(keyed: DataFrame) -> DataFrame:
+        """Rows with the bucket that their key's slot points to."""
+        at = keyed.withColumn("slot", _slot(F.col("key"), n_slots.bit_length() - 1))
+        return at.join(send(slots.select("slot", "bucket"), n_slots), "slot").drop("slot")
+
+    # owners build their buckets' entries; a text that many rows repeat sends one row per task
     order = _order(F.col("n_chars"), F.col("doc_id"))
-    keys = materialize(narrow.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max(order).alias("best")), "exact-counts")
-    shared = keys.where("n > 1").select("key")
-    n_shared = shared.count()
-    # the rows of shared keys, with their bytes; the set of keys is sent out only while it is small
-    wanted = F.broadcast(shared) if n_shared <= broadcast_keys else shared
-    alike = rows.withColumn("key", key(F.col("norm"))).join(wanted, "key", "left_semi")
-    chains = alike.groupBy("key", "norm").agg(F.count(F.lit(1)).alias("n"), F.max(order).alias("best"))
-    links = materialize(
-        chains.select("key", "n", "best", F.sha2(F.col("norm").cast("binary"), 256).alias("text_sha256")),
-        "exact-chains",
-    )
-    chained = links.groupBy("key").agg(F.count(F.lit(1)).alias("links")).where("links > 1")
-    slots = directory(keys, capacity)
-    depth_mask = slots.count() - 1
-    owned = keys.withColumn("slot", F.col("key").bitwiseAND(depth_mask)).join(slots, "slot").select("bucket", "local_depth", "key", "n", "best")
-    index = materialize(owned.repartitionByRange("bucket", "key").sortWithinPartitions("bucket", "key"), "exact-index")
-    if chained.isEmpty():
-        found = narrow.join(index.select("key", "n", "best"), "key")
-    else:  # keys with several texts: their rows are looked up by the bytes
-        several = materialize(chained.select("key"), "exact-several")
-        single = narrow.join(several, "key", "left_anti").join(index.select("key", "n", "best"), "key")
-        again = rows.withColumn("key", key(F.col("norm"))).join(several, "key", "left_semi")
-        texts = again.groupBy("key", "norm").agg(F.count(F.lit(1)).alias("n"), F.max(order).alias("best"))
-        by_bytes = again.join(texts, ["key", "norm"]).select("key", "doc_id", "row_key", "n_chars", F.sha2(F.col("norm").cast("binary"), 256).alias("text_sha256"), "n", "best")
-        found = single.select("key", "doc_id", "row_key", "n_chars", "text_sha256", "n", "best").unionByName(by_bytes)
+    entries = routed(narrow).groupBy("bucket", "key").agg(F.count(F.lit(1)).alias("n"), F.max(order).alias("best"))
+    index = materialize(entries.repartitionByRange("bucket", "key").sortWithinPartitions("bucket", "key"), "exact-index")
+    # chains: the rows of entries with several rows, with their bytes
+    shared = index.where("n > 1").select("bucket", "key")
+    alike = routed(rows.withColumn("key", key(F.col("norm")))).join(send(shared, shared.count()), ["bucket", "key"], "left_semi")
+    chains = alike.groupBy("bucket", "key", "norm").agg(F.count(F.lit(1)).alias("n"), F.max(order).alias("best"))
+    several = chains.groupBy("bucket", "key").agg(F.count(F.lit(1)).alias("links")).where("links > 1")
+    several = materialize(several.select("bucket", "key"), "exact-several")
+    found = routed(narrow)
+    n_several = several.count()
+    if n_several:
+        found = found.join(send(several, n_several), ["bucket", "key"], "left_anti")
+    found = found.join(index, ["bucket", "key"]).select("doc_id", "row_key", "n_chars", "text_sha256", "n", "best")
+    if n_several:  # keys with a chain of texts: their rows are looked up by the bytes
+        again = routed(rows.withColumn("key", key(F.col("norm")))).join(send(several, n_several), ["bucket", "key"], "left_semi")
+        links = again.groupBy("bucket", "key", "norm").agg(F.count(F.lit(1)).alias("n"), F.max(order).alias("best"))
+        by_bytes = again.join(links, ["bucket", "key", "norm"]).select("doc_id", "row_key", "n_chars", F.sha2(F.col("norm").cast("binary"), 256).alias("text_sha256"), "n", "best")
+        found = found.unionByName(by_bytes)
     return found.select(
         "doc_id",
         _doc_id(F.col("best")).alias("keep_id"),
