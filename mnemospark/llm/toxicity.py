@@ -15,8 +15,8 @@ Three things are learned, each by Spark over partitions:
   text itself out, on the same rows.
 
 Labels come from at most about ``max_train`` rows, chosen by a hash of the id, of those the caller
-allows. The model (``max_features`` features, the trigram table, four coefficients) goes to the tasks
-as a broadcast of that bounded size. Labels, language, source and id are no inputs of a score.
+allows. The model (the features of that sample with enough evidence, the trigram table, four coefficients) goes to the tasks
+as a broadcast of that bounded size. Letters beyond U+024F are one symbol to the trigrams, so other scripts are scored as written. Labels, language, source and id are no inputs of a score.
 """
 
 from __future__ import annotations
@@ -222,7 +222,7 @@ def _sum_trigrams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame({"gram": at, "n": total[at]})
 
 
-def fit(docs: DataFrame, labelled: DataFrame, text: str = "text", label: str = "label", max_features: int = 50_000, prior: float = 20.0, min_texts: int = 5) -> dict:
+def fit(docs: DataFrame, labelled: DataFrame, text: str = "text", label: str = "label", prior: float = 20.0, min_texts: int = 5) -> dict:
     """Learn the model: ``docs`` (text) gives the language model, ``labelled`` (text, label 0 or 1) the rest.
 
     Null labels are left out. Where either class has no rows, the model scores every text alike with
@@ -259,7 +259,7 @@ def fit(docs: DataFrame, labelled: DataFrame, text: str = "text", label: str = "
     base = n1 / (n1 + n0)
     p = (F.col("t") + prior * base) / (F.col("t") + F.col("c") + prior)
     kept = labelled.mapInPandas(count_features, "f string, t long, c long").groupBy("f").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
-    kept = kept.where((F.col("t") >= min_texts) & (p > 1.5 * base)).withColumn("p", p).orderBy(F.desc("p"), "f").limit(max_features)
+    kept = kept.where((F.col("t") >= min_texts) & (p > 1.5 * base))
     known = {r["f"]: (r["t"], r["c"], log_odds(r["t"], r["c"], base, prior)) for r in kept.collect()}
     model = {"grams": counts, "features": known, "base": base, "prior": prior}
     given = sc.broadcast(model)
