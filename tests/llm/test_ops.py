@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import collections
+import itertools
+import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -68,6 +71,58 @@ def test_main_text_survives_deep_and_broken_pages():
     assert html_text.main_text("<p>" + "word " * 200_000) == ("word " * 200_000).strip()
 
 
+LONG = "Long words in a plain paragraph about many things. " * 12
+PARAGRAPHS, BOTH = f"<p>{LONG}</p><p>{LONG}</p>", f"{LONG.strip()} {LONG.strip()}"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<div class='site has-sidebar'>{PARAGRAPHS}</div>", f"<div id='page' class='no-banner'><article>{PARAGRAPHS}</article></div>", f"<form id=aspnet><article>{PARAGRAPHS}</article></form>",
+        f"<div class='post social-news'>{PARAGRAPHS}</div>", f"<head><title>x</title><body>{PARAGRAPHS}", f"<body><nav><a href=x>m</a><div>{PARAGRAPHS}</div>", f"<div><aside><p>x</div><div>{PARAGRAPHS}</div>",
+        f"<p class=notice>cookie<p>{LONG}<p>{LONG}", f"<main><article><p>{LONG}</article><article><p>{LONG}</article></main>",
+        "<div class=a>" + "".join(f"<div class=t><a href=x>Teaser {i} here</a> short</div>" for i in range(6)) + f"</div><div class=b>{PARAGRAPHS}</div><div class=c>Copyright Someone 2020</div>",
+        f"<div class=x><div class=y>{PARAGRAPHS}</div><div class=z><a href=x>one</a> <a href=y>two</a> <a href=y>three</a></div></div>",
+    ],
+)
+def test_wrappers_and_plain_pages_keep_the_article(page):
+    assert html_text.main_text(page) == BOTH
+
+
+def test_hostile_markup_takes_linear_time():
+    for part in ("<p a=\"x", "<div></x><li>x", "<a b='", "<!--", "<title>", "<b>x<div>"):
+        began = time.perf_counter()
+        html_text.main_text(part * 30_000)
+        assert time.perf_counter() - began < 20
+    assert html_text.main_text('<p title="broken>hello</p>') == "hello"
+
+
+def slow_densities(node):
+    """The density rule written out: counts are taken anew for every node."""
+    inside = lambda n: [x for k in n.parts if not isinstance(k, str) for x in [k, *inside(k)]]
+    strings = lambda n: [p for x in [n, *inside(n)] for p in x.parts if isinstance(p, str)]
+    links = lambda n: [x for x in [n, *inside(n)] if x.tag == "a"]
+    count = lambda ns: sum(len(s.strip()) for n in ns for s in strings(n))
+    root = node
+    while root.parent:
+        root = root.parent
+    c, t = count([node]), max(len(inside(node)), 1)
+    lc, lt = count(links(node)), len([x for x in inside(node) if x.tag == "a"])
+    if not c:
+        return 0.0
+    total, total_links = max(count([root]), 1), count(links(root))
+    base = math.log(c / max(c - lc, 1) * lc + total_links / total * c + math.e)
+    return c / t * math.log(max(c / max(lc, 1) * t / max(lt, 1), 1) + 1) / max(base, 1)
+
+
+def test_densities_equal_a_slow_form():
+    page = f"<div><p>{LONG}<a href=x>link text</a></p><ul><li><a href=y>one</a><li>two</ul></div><div><p>short</div>tail"
+    root = html_text.parse(page)
+    nodes = html_text.densities(root)
+    assert len(nodes) == 10 and all(abs(n.density - slow_densities(n)) < 1e-9 * max(1, n.density) for n in nodes)
+    assert html_text.main_nodes(root)[0].tag == "div"
+
+
 def test_extract_keeps_rows_and_columns(spark, data):
     df = spark.createDataFrame([(1, None, "old"), (2, "<p>x", "old"), (2, "<p>x", "old")], "page_id long, html string, text string")
     got = html_text.extract(df)
@@ -112,6 +167,17 @@ def test_packing_constraints(spark, data):
     assert packing.pack(odd, capacity=1).count() >= len(ODD) and packing.pack(odd.limit(0)).count() == 0
 
 
+def test_blank_rows_share_bins_and_few_bins_are_opened(spark, data):
+    blank = spark.createDataFrame([(i, [None, "", " "][i % 3], f"s{i % 200}") for i in range(500)], DOCS + ", source string")
+    assert packing.pack(blank).select("bin_id").distinct().count() <= 4
+    same = spark.createDataFrame([(1, "a b c", "s")] * 300, DOCS + ", source string")
+    got = packing.pack(same, shard_rows=50).toPandas()
+    assert len(got) == 300 and got.bin_id.nunique() == 300 and (got.bin_id // (1 << 32)).nunique() > 3
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    got = packing.pack(docs, max_per_source=10**6, cluster=F.lit(None)).toPandas()
+    assert got.bin_id.nunique() <= 1.02 * got["size"].sum() / 2048 + 1
+
+
 # chat ---------------------------------------------------------------------------------------------
 
 
@@ -230,6 +296,22 @@ def test_spliced_counts_equal_the_library(spark, texts):
     assert token_counts.count_tokens(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_token_counts_with_clashing_names(spark):
+    rows = [(1, "huge words " * 400, "x", 2), (2, None, "y", 3)]
+    df = spark.createDataFrame(rows, "doc_id long, n_bytes string, row string, count int")
+    got = token_counts.count_tokens(df, text="n_bytes", chunk_chars=1024, overlap=300)
+    n = token_counts.counts(["huge words " * 400], token_counts.DEFAULT_TOKENIZER)[0]
+    assert {(r["doc_id"], r["n_bytes"], r["n_tokens"], r["row"], r["count"]) for r in got.collect()} == {(1, 4400, n, "x", 2), (2, 0, 0, "y", 3)}
+
+
+def test_units_count_like_whole_texts():
+    rng = random.Random(5)
+    bits = ["<|endoftext|>", "'s", "'ll", "é", "日本", "😀", "0", "12", "a", "Zz", "--", "the", "x\ny", "\u3000", "\xa0", "’s", "\n", "a\tb", "  "]
+    texts = ["".join(rng.choice(bits) + rng.choice(["", " ", " ", "\n"]) for _ in range(rng.randint(0, 20))) for _ in range(8000)]
+    units = token_counts.UnitCounts(token_counts.DEFAULT_TOKENIZER, most=3000)
+    assert [n for k in range(0, 8000, 400) for n in units.counts(texts[k : k + 400])] == token_counts.counts(texts, token_counts.DEFAULT_TOKENIZER)
+
+
 def test_other_tokenizers_encode_whole(spark):
     df = spark.createDataFrame([(1, "Hello there " * 400), (2, None)], DOCS)
     for name in ("piece_bpe_32k.model", "word_bpe_49k.json"):
@@ -278,11 +360,30 @@ def test_exact_dedup_equals_brute_force(spark, texts, key):
 
 
 def test_directory_splits_only_full_buckets(spark):
-    keys = spark.range(600).select(F.when(F.col("id") < 500, F.col("id") * 64).otherwise(F.col("id")).alias("key")).distinct()
+    keys = spark.range(400).select((F.col("id") * 64).alias("key"))
     d = exact_dedup.directory(keys, 50)
     n = d.count()
-    per = keys.withColumn("slot", F.col("key").bitwiseAND(n - 1)).join(d, "slot").groupBy("bucket", "local_depth").count().collect()
-    assert n & (n - 1) == 0 and sum(r["count"] for r in per) == keys.count() and len({r["local_depth"] for r in per}) > 1
+    per = keys.withColumn("slot", exact_dedup._slot(F.col("key"), n.bit_length() - 1)).join(d, "slot").groupBy("bucket", "local_depth").count().collect()
+    assert n & (n - 1) == 0 and sum(r["count"] for r in per) == keys.count() and len({r["local_depth"] for r in per}) > 1 and max(r["count"] for r in per) <= 50
+    cells = {(r["slot"], r["bucket"], r["local_depth"]) for r in d.collect()}
+    assert all(slot % (1 << depth) == bucket for slot, bucket, depth in cells)
+    parents = collections.Counter((b % (1 << depth - 1), depth - 1) for _, b, depth in {(0, b, dep) for _, b, dep in cells} if depth)
+    sizes = {(r["bucket"], r["local_depth"]): r["count"] for r in per}
+    for (low, depth), _ in parents.items():  # a bucket was split only as its keys did not fit
+        assert sum(c for (b, dep), c in sizes.items() if dep > depth and b % (1 << depth) == low) > 50
+
+
+def test_results_come_through_the_directory(spark, monkeypatch):
+    rows = [(k, f"text {k % 40}") for k in range(120)]
+    df, whole = spark.createDataFrame(rows, DOCS), exact_dedup.directory
+    assert exact_dedup.dedup(df, capacity=4).count() == 120
+
+    def half(keys, capacity):
+        slots = whole(keys, capacity)
+        return slots.withColumn("slot", F.when(F.col("slot") % 2 == 0, F.col("slot")).otherwise(-1 - F.col("slot")))  # odd slots lead nowhere
+
+    monkeypatch.setattr(exact_dedup, "directory", half)
+    assert 0 < exact_dedup.dedup(df, capacity=4).count() < 120
 
 
 # toxicity -----------------------------------------------------------------------------------------
@@ -299,7 +400,43 @@ def test_toxicity_held_out(spark, model):
     docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
     r = toxicity.score(docs, m).join(labels, "doc_id").where(toxicity.held_out(F.col("doc_id"))).toPandas()
     assert ((r.score >= 0.5) == (r.toxic == 1)).mean() > 0.93 and r.score.between(0, 1).all()
-    assert toxicity.score(docs, m).where((F.col("score") >= 0.5) != (F.col("score") >= 0.5)).count() == 0
+    odd = toxicity.score(spark.createDataFrame([*ODD, (9, " \n" * 1000)], DOCS), m).collect()
+    assert len(odd) == len(ODD) + 1 and all(0 <= r["score"] < 0.5 for r in odd) and toxicity.score(docs.limit(0), m).count() == 0
+
+
+def test_viterbi_finds_the_likeliest_of_all_paths(model):
+    channel = toxicity.Channel(model[1]["grams"])
+    rng = random.Random(2)
+    words = ["1d10t", "i.d.i.o.t", "l0s3r", "idiooot", "st*pid", "tr@sh", "$cum"] + ["".join(rng.choice("abe013$@.*oos") for _ in range(rng.randint(2, 6))) for _ in range(150)]
+
+    def total(said):
+        x = y = 0
+        s = 0.0
+        for c in said:
+            z = 0 if c == " " else int(toxicity._INDEX[ord(c)])
+            if z == 0 and y == 0:
+                continue
+            s += channel.log_p[x][y][z]
+            x, y = y, z
+        return s + (channel.log_p[x][y][0] if y else 0.0)
+
+    for word in words:
+        paths = {}
+        for path in itertools.product(*toxicity.Channel._options(word)):
+            said = "".join(c for c, _ in path)
+            clean = re.sub("^ +| +(?= )", "", said)
+            paths[clean] = max(paths.get(clean, -1e9), total(said) + sum(cost for _, cost in path))
+        assert paths[channel.restore(word)] > max(paths.values()) - 1e-9, word
+
+
+def test_log_odds_and_logistic_equal_a_direct_fit():
+    assert abs(toxicity.log_odds(5, 3, 0.2, 10) - (math.log(7 / 11) - math.log(0.2 / 0.8))) < 1e-12
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(400, 2))
+    y = (x[:, 0] - 0.5 * x[:, 1] + rng.normal(size=400) > 0).astype(float)
+    w, design = toxicity.logistic(x, y), np.column_stack([np.ones(400), x])
+    gradient = design.T @ (y - 1 / (1 + np.exp(-design @ w))) - np.array([0, *w[1:]])
+    assert np.abs(gradient).max() < 1e-6
 
 
 def test_obfuscated_words_are_restored(model):
@@ -324,14 +461,50 @@ def test_toxicity_without_labels(spark):
 # neighbours ---------------------------------------------------------------------------------------
 
 
+def brute_neighbours(rows, asks, k=20):
+    """By plain sums of products, every row against every query."""
+    out = {}
+    for i, v in rows:
+        if asks(i):
+            scored = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), j) for j, w in rows if j != i)
+            out[i] = [(j, -s) for s, j in scored[:k]]
+    return out
+
+
+def check_neighbours(got, want, recall=0.9):
+    found = collections.defaultdict(list)
+    for r in sorted(got, key=lambda r: (r["query_id"], r["rank"])):
+        found[r["query_id"]].append((r["vec_id"], r["score"]))
+    assert set(found) == set(want) and all(len(found[i]) == len(want[i]) for i in want)
+    scores = {i: dict(w) for i, w in want.items()}
+    assert all(abs(s - scores[i][j]) < 1e-9 * max(1, abs(s)) for i, f in found.items() for j, s in f if j in scores[i])
+    assert all(f == sorted(f, key=lambda x: (-x[1], x[0])) for f in found.values())
+    hit = sum(len({j for j, _ in found[i]} & set(scores[i])) for i in want)
+    assert hit >= recall * sum(map(len, want.values()))
+
+
 def test_neighbours_recall_and_scores(spark, data):
-    rows = spark.read.parquet(f"{data}/embeddings.parquet").collect()
-    ids, x = np.array([r["vec_id"] for r in rows]), np.array([r["embedding"] for r in rows], float)
-    want = curve_neighbours._best(ids[ids % 20 == 0], x[ids % 20 == 0], ids, x, 20)
-    got = curve_neighbours.op9_curve_neighbours(spark, data).toPandas()
-    a, b = ({(r.query_id, r.vec_id): r.score for r in t.itertuples()} for t in (got, want))
-    assert len(set(a) & set(b)) >= 0.9 * len(b) and all(a[k] == b[k] for k in set(a) & set(b))
-    assert (got.sort_values(["query_id", "rank"]).groupby("query_id")["score"].apply(lambda s: s.is_monotonic_decreasing)).all()
+    rows = [(r["vec_id"], r["embedding"]) for r in spark.read.parquet(f"{data}/embeddings.parquet").collect()]
+    check_neighbours(curve_neighbours.op9_curve_neighbours(spark, data).collect(), brute_neighbours(rows, lambda i: i % 20 == 0))
+
+
+def test_neighbours_of_uneven_norms_in_small_windows(spark):
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(40, 24))
+    x = (centres[rng.integers(0, 40, 3000)] + 0.3 * rng.normal(size=(3000, 24))) * rng.lognormal(0, 0.5, size=(3000, 1))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = curve_neighbours.nearest(df, F.col("vec_id") % 50 == 0, block_rows=64, group_blocks=4)
+    check_neighbours(got.collect(), brute_neighbours(rows, lambda i: i % 50 == 0))
+
+
+def test_neighbours_of_a_vector_many_rows_repeat(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.normal(size=8).tolist()) for i in range(600)] + [(600 + i, [1.0] * 8) for i in range(400)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame([(int(i), v) for i, v in rows], "vec_id long, embedding array<double>")
+    got = curve_neighbours.nearest(df, F.col("vec_id") % 10 == 0, block_rows=400)
+    check_neighbours(got.collect(), brute_neighbours([(int(i), v) for i, v in rows], lambda i: i % 10 == 0), recall=1.0)
 
 
 def test_neighbours_odd_rows(spark):
@@ -363,27 +536,49 @@ def edits(a, b, most):
     return row[-1]
 
 
+def norm(line):
+    return regex.sub(r"[^\p{L}\p{N}]+", " ", line.lower()).strip(" ")
+
+
+def majority(hashes):
+    return sum(1 << b for b in range(63) if 2 * sum(x >> b & 1 for x in hashes) > len(hashes))
+
+
+def line_blocks(text):
+    h = [xxhash.xxh64_intdigest(w.encode(), 42) for w in text.split(" ")]
+    n = len(h)
+    if n < 3:
+        return set()
+    if n < 8:
+        return {("less", i, majority(h[:i] + h[i + 1 :])) for i in range(n)}
+    step = max(4, 1 << n.bit_length() - 3)
+    sizes = [(step, n >= 12)] + ([(step // 2, False)] if n >= 32 else [])
+    parts = [x for k, second in sizes for x in [("first", k, h[:k]), ("last", k, h[-k:])] + ([("second", k, h[k : 2 * k]), ("second last", k, h[-2 * k : -k])] if second else [])]
+    return {(place, k, majority(part)) for place, k, part in parts}
+
+
+def alike(a, b):
+    most = int(0.2 * max(len(a), len(b)) + 1e-9)
+    return abs(len(a) - len(b)) <= most and edits(a, b, most) <= most
+
+
 def test_line_dedup_equals_brute_force(spark):
     rng = random.Random(6)
     vocab = [f"word{k}" for k in range(300)]
-    base = [" ".join(rng.choice(vocab) for _ in range(40)) for _ in range(12)]
+    base = [" ".join(rng.choice(vocab) for _ in range(n)) for n in (3, 5, 7, 8, 9, 15, 16, 17, 31, 32, 33, 40, 63, 64, 70)]
 
     def vary(line):
         w = line.split()
-        for _ in range(rng.randint(0, 2)):
-            w[rng.randrange(len(w))] = rng.choice(vocab)
+        for _ in range(rng.randint(0, 3)):
+            at = rng.randrange(len(w))
+            w[at : at + rng.randint(0, 1)] = rng.choice([[], [rng.choice(vocab)], [w[at] + "x"]])
         return " ".join(w).upper() if rng.random() < 0.3 else " ".join(w)
 
-    docs = [(k, "\n".join(rng.choice([vary(rng.choice(base)), rng.choice(vocab), "--", ""]) for _ in range(rng.randint(1, 6)))) for k in range(60)]
-    occ = [(i, k, regex.sub(r"[^\p{L}\p{N}]+", " ", x.lower()).strip(" ")) for i, t in docs for k, x in enumerate(t.split("\n"))]
+    docs = [(k, "\n".join(rng.choice([vary(rng.choice(base)), vary(rng.choice(base)), rng.choice(vocab), "--", ""]) for _ in range(rng.randint(1, 6)))) for k in range(90)]
+    occ = [(i, k, norm(x)) for i, t in docs for k, x in enumerate(t.split("\n"))]
     lines = sorted({n for *_, n in occ if n})
-
-    def fp(n):
-        h = [xxhash.xxh64_intdigest(w.encode(), 42) for w in set(n.split(" "))]
-        return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
-
-    prints, most = [fp(n) for n in lines], lambda a, b: int(0.2 * max(len(a), len(b)) + 1e-9)
-    links = [(i, j) for i in range(len(lines)) for j in range(i) if bin(prints[i] ^ prints[j]).count("1") <= 3 and edits(lines[i], lines[j], most(lines[i], lines[j])) <= most(lines[i], lines[j])]
+    blocks = [line_blocks(n) for n in lines]
+    links = [(i, j) for i in range(len(lines)) for j in range(i) if blocks[i] & blocks[j] and alike(lines[i], lines[j])]
     group, seen, want = union_find(range(len(lines)), links), set(), {}
     at = {n: k for k, n in enumerate(lines)}
     for i, k, n in occ:
@@ -391,21 +586,52 @@ def test_line_dedup_equals_brute_force(spark):
         if n:
             seen.add(group[at[n]])
     df = spark.createDataFrame(docs, DOCS)
-    got, _ = line_dedup.dedup(df)
-    assert {(r["doc_id"], r["pos"]): r["kept"] for r in got.collect()} == want and links
-    whole = {r["doc_id"]: r["text"] for r in line_dedup.clean(df, got).collect()}
-    assert whole == {i: "\n".join(x for k, x in enumerate(t.split("\n")) if want[i, k]) for i, t in docs}
+    got = line_dedup.dedup(df)
+    assert {(r["doc_id"], r["pos"]): r["kept"] for r in got.collect()} == want and len(links) > 50
+    clash = df.withColumns({"gone0": F.lit("mine"), "of0": F.lit(1)})
+    whole = {r["doc_id"]: (r["text"], r["gone0"], r["of0"]) for r in line_dedup.clean(clash, got).collect()}
+    assert whole == {i: ("\n".join(x for k, x in enumerate(t.split("\n")) if want[i, k]), "mine", 1) for i, t in docs}
+
+
+def test_lines_find_what_edit_similarity_finds(spark, texts):
+    rng = random.Random(11)
+    lines = list({n: None for _, t in texts for x in (t or "").split("\n") if len((n := norm(x)).split(" ")) > 2})[:250]
+    cuts = {"letter": 0, "word": 0, "two letters": 0}
+    rows, pairs = [(k, x) for k, x in enumerate(lines)], []
+    for kind in cuts:
+        for k, line in enumerate(lines):
+            w = line.split(" ")
+            for _ in range(2 if kind == "two letters" else 1):
+                at = rng.randrange(len(w))
+                c = rng.randrange(len(w[at]))
+                w[at] = rng.choice(["klop", "mirtan"]) if kind == "word" else w[at][:c] + rng.choice("qxyz") + w[at][c + 1 :]
+            if alike(line, " ".join(w)) and " ".join(w) != line:
+                pairs.append((k, kind, 1000 * (len(rows) + 1)))
+                rows.append((1000 * (len(rows) + 1), " ".join(w)))
+    kept = {r["doc_id"]: r["kept"] for r in line_dedup.dedup(spark.createDataFrame(rows, DOCS)).collect()}
+    for kind in cuts:
+        found = [not kept[i] for _, x, i in pairs if x == kind]
+        assert len(found) > 150 and sum(found) >= (0.85 if kind == "two letters" else 0.95) * len(found), (kind, sum(found), len(found))
 
 
 def test_line_dedup_odd_rows(spark):
-    got, _ = line_dedup.dedup(spark.createDataFrame([*ODD, (9, "Foo bar\n\nfoo, BAR")], DOCS))
-    assert {(r["doc_id"], r["pos"], r["kept"]) for r in got.collect()} == {(2, 0, True), (None, 0, True), (None, 0, False), (-5, 0, True), (7, 0, False), (8, 0, True), (9, 0, True), (9, 1, True), (9, 2, False)}
-    assert line_dedup.dedup(spark.createDataFrame([], DOCS))[0].count() == 0
-
-
-def test_long_lines_count_alike(spark):
-    line = " ".join(f"w{k % 97}" for k in range(500))
-    df = spark.createDataFrame([(1, line)], DOCS)
-    a = line_dedup._occurrences(df, "doc_id", "text").first()["fp"]
-    b = line_dedup._occurrences(df, "doc_id", "text", most_words=10).first()["fp"]
-    assert a == b == df.select(line_dedup.simhash(F.col("text")).alias("x")).first()["x"]
+    got = line_dedup.dedup(spark.createDataFrame([*ODD, (9, "Foo bar\n\nfoo, BAR")], DOCS))
+    assert collections.Counter((r["doc_id"], r["pos"], r["kept"]) for r in got.collect()) == collections.Counter(
+        [(1, None, True), (2, 0, True), (None, 0, True), (None, 0, False), (-5, 0, True), (7, 0, False), (7, 0, False), (8, 0, True), (9, 0, True), (9, 1, True), (9, 2, False)]
+    )
+    assert line_dedup.dedup(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_lines_of_one_key_are_told_apart(spark, monkeypatch):
+    real = F.xxhash64
+    monkeypatch.setattr(line_dedup.F, "xxhash64", lambda *c: F.lit(5).cast("long") if len(c) == 1 and c[0] == "norm" else real(*c))
+    got = line_dedup.dedup(spark.createDataFrame([(1, "first line here\nquite another text\nfirst line here")], DOCS))
+    assert {r["pos"]: r["kept"] for r in got.collect()} == {0: True, 1: True, 2: False}
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 7, 100, 127, 128, 300, 70_000])
+def test_majorities_of_any_number_of_words(spark, n):
+    hashes = [xxhash.xxh64_intdigest(str(k).encode(), 42) for k in range(n)]
+    counts = np.unpackbits(np.array(hashes, "<u8").view(np.uint8).reshape(n, 8), axis=1, bitorder="little").sum(axis=0)
+    df = spark.range(1).select(line_dedup.simhash(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.xxhash64(k.cast("string")))).alias("x"))
+    assert df.first()["x"] == sum(1 << b for b in range(63) if 2 * int(counts[b]) > n)
