@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,7 +14,7 @@ from mnemospark.operators import joins as J
 from mnemospark.operators import windows as W
 from mnemospark.operators.aggregates import prune_singletons
 from mnemospark.operators.filters import at
-from mnemospark.plans.scratch import materialize
+from mnemospark.plans.scratch import discard, materialize
 
 # fixed values: words that negate, and pairs of opposite words
 NEGATIONS = "not never no without avoid dont can't cannot disable disabled forbid forbidden against".split()
@@ -35,9 +37,9 @@ def retrieve(queries: DataFrame, corpus: DataFrame, vectors: DataFrame, query_ve
     Intermediate scores stay as columns.
     """
     spark = queries.sparkSession
-    post = J.build_postings(corpus, ["text"])
-    groups = term_groups(queries, synonyms if synonyms is not None else spark.createDataFrame([], "term string, synonym string"))
-    strict = J.keyword_candidates(groups, post, depth)
+    post = materialize(J.build_postings(corpus, ["text"]), "postings")
+    groups = materialize(term_groups(queries, synonyms if synonyms is not None else spark.createDataFrame([], "term string, synonym string")), "term-groups")
+    strict = materialize(J.keyword_candidates(groups, post, depth), "keyword-strict")
     keyword = strict.unionByName(J.keyword_fallback(groups, post, strict, depth)).select("query_id", "id", F.lit("keyword").alias("list"), (-F.col("rank")).cast("double").alias("score"))
     semantic = J.vector_topk(query_vectors, vectors, depth, 0.0).select("query_id", "id", F.lit("semantic").alias("list"), (-F.col("rank")).cast("double").alias("score"))
     shape = queries.select("query_id", S.fusion_weights(T.query_shape(F.col("query"))).alias("w"))
@@ -60,33 +62,38 @@ def headlines(results: DataFrame, corpus: DataFrame) -> DataFrame:
     return j.groupBy("query_id").agg(F.count(F.lit(1)).alias("results"), F.sum(T.tokens(F.col("text"))).alias("full"), F.sum(T.tokens(F.col("source"))).alias("served")).withColumn("saved", F.col("full") - F.col("served"))
 
 
-def leader_clusters(pairs: DataFrame, ids: DataFrame, min_size: int = 3, max_rounds: int = 200) -> DataFrame:
+def leader_clusters(pairs: DataFrame, ids: DataFrame, min_size: int = 3, max_rounds: int = 400) -> DataFrame:
     """(id, leader) as a sequential pass over ascending ids would cluster them.
 
     ``pairs`` (a, b) are alike. A row leads if no leader before it is like it; any other joins the first
     leader that is. In rounds: a row without an open smaller neighbour leads, its open neighbours
-    follow. Clusters below ``min_size`` are dropped at the end. It raises an error after ``max_rounds``.
+    follow, and only edges between open rows stay, so rounds shrink. Clusters below ``min_size`` are dropped at the end. It raises an error after ``max_rounds``.
     """
     both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
     both = materialize(both, "cluster-edges")
-    open_rows, leaders = materialize(both.select(F.col("a").alias("id")).distinct(), "cluster-open"), None
+    edges, followers = both, []
     for _ in range(max_rounds):
-        if open_rows.isEmpty():
+        leads = edges.groupBy("a").agg(F.min("b").alias("low")).where("a < low").select("a")
+        touched = materialize(edges.join(leads, "a").select("b").distinct(), "cluster-followers")
+        if touched.isEmpty():
             break
-        live = both.join(open_rows.withColumnRenamed("id", "a"), "a").join(open_rows.withColumnRenamed("id", "b"), "b")
-        blocked = live.where("b < a").select(F.col("a").alias("id")).distinct()
-        new = materialize(open_rows.join(blocked, "id", "left_anti"), "cluster-leaders")
-        leaders = new if leaders is None else leaders.unionByName(new)
-        follow = both.join(new.withColumnRenamed("id", "a"), "a").select(F.col("b").alias("id"))
-        open_rows = materialize(open_rows.join(new.unionByName(follow), "id", "left_anti"), "cluster-open")
+        followers.append(touched)
+        # an edge of a leader has a follower at its other end
+        rest = edges.join(touched.withColumnRenamed("b", "a"), "a", "left_anti").join(touched, "b", "left_anti")
+        after = materialize(rest, "cluster-open")
+        if edges is not both:
+            discard(edges)
+        edges = after
     else:
         raise RuntimeError(f"leader clusters did not settle in {max_rounds} rounds")
-    if leaders is None:
+    if not followers:
         out = ids.select("id", F.col("id").alias("leader"))
     else:
-        joined = both.join(leaders.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.min("b").alias("leader")).withColumnRenamed("a", "id")
-        out = ids.select("id").join(leaders.withColumn("leads", F.lit(True)), "id", "left").join(joined, "id", "left")
-        out = out.select("id", F.when(F.col("leads"), F.col("id")).otherwise(F.coalesce("leader", "id")).alias("leader"))
+        all_followers = materialize(reduce(DataFrame.unionByName, followers), "cluster-followers")
+        discard(*followers)
+        leaders = both.select("a").distinct().join(all_followers.withColumnRenamed("b", "a"), "a", "left_anti")
+        joined = both.join(leaders.withColumnRenamed("a", "b"), "b").join(all_followers.withColumnRenamed("b", "a"), "a", "left_semi").groupBy("a").agg(F.min("b").alias("leader"))
+        out = ids.select("id").join(joined.withColumnRenamed("a", "id"), "id", "left").select("id", F.coalesce("leader", "id").alias("leader"))
     sizes = out.groupBy("leader").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_size)
     return out.join(sizes.select("leader"), "leader", "left_semi").select("id", "leader")
 
@@ -99,14 +106,27 @@ def archive_duplicates(entries: DataFrame, clusters: DataFrame) -> DataFrame:
 
 
 def summarize_clusters(entries: DataFrame, clusters: DataFrame, most: int = 8, overlap: float = 0.8) -> DataFrame:
-    """(leader, size, summary): each member's first sentence in id order, without those like one already taken."""
+    """(leader, size, summary): each member's first sentence in id order, without those like one already taken.
+
+    In at most ``most`` rounds every cluster takes its first open sentence, and the open ones like it close; so
+    all members are looked at, and no cluster is gathered in one place. Equal sentences are one from the start.
+    """
     rows = entries.join(clusters, "id").select("leader", "id", T.one_liner(F.col("text")).alias("s"))
-    first = W.rank_within(rows, ["leader"], [F.col("id")])
-    sizes = first.groupBy("leader").agg(F.count(F.lit(1)).alias("size"))
-    lists = first.where(F.col("rank") <= 4 * most).groupBy("leader").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "s"))), lambda x: x["s"]).alias("l"))
-    fresh = lambda acc, s: F.size(acc).__lt__(most) & ~F.exists(acc, lambda t: T.jaccard(T.token_set(t, "lower2"), T.token_set(s, "lower2")) >= overlap)
-    kept = F.aggregate("l", F.array().cast("array<string>"), lambda acc, s: F.when(fresh(acc, s), F.concat(acc, F.array(s))).otherwise(acc))
-    return sizes.join(lists.select("leader", F.array_join(kept, ". ").alias("summary")), "leader")
+    sizes = rows.groupBy("leader").agg(F.count(F.lit(1)).alias("size"))
+    once = rows.groupBy("leader", "s").agg(F.min("id").alias("id")).withColumn("tokens", T.token_set(F.col("s"), "lower2"))
+    open_, taken = materialize(once, "summary-open"), []
+    for _ in range(most):
+        first = materialize(open_.groupBy("leader").agg(F.min_by(F.struct("id", "s", "tokens"), "id").alias("x")), "summary-taken")
+        taken.append(first)
+        rest = open_.join(first, "leader").where((F.col("id") != F.col("x.id")) & (T.jaccard(F.col("tokens"), F.col("x.tokens")) < overlap)).select(open_.columns)
+        rest = materialize(rest, "summary-open")
+        discard(open_)
+        open_ = rest
+        if open_.isEmpty():
+            break
+    picked = reduce(DataFrame.unionByName, taken).select("leader", F.struct("x.id", "x.s").alias("x"))
+    lists = picked.groupBy("leader").agg(F.array_sort(F.collect_list("x")).alias("l"))  # ``most`` of each at most
+    return sizes.join(lists.select("leader", F.array_join(F.col("l.s"), ". ").alias("summary")), "leader")
 
 
 def age(entries: DataFrame, feedback: DataFrame, as_of: str) -> DataFrame:

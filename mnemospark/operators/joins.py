@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -40,12 +42,16 @@ def bm25(terms: DataFrame, postings: DataFrame, n_docs: DataFrame, weights: dict
 def keyword_candidates(groups: DataFrame, postings: DataFrame, k: int) -> DataFrame:
     """Documents that match all term groups of a query (query_id, group, term): the k with the most occurrences.
 
-    A group's terms are alternatives. Ties go to the smaller id.
+    A group's terms are alternatives. Ties go to the smaller id. Only documents of a query's rarest group can
+    match all, so they alone meet its other terms.
     """
-    need = groups.groupBy("query_id").agg(F.countDistinct("group").alias("need"))
     tf = postings.groupBy("term", "id").agg(F.sum("tf").alias("tf"))
-    hit = groups.join(tf, "term").groupBy("query_id", "id").agg(F.countDistinct("group").alias("matched"), F.sum("tf").alias("tf"))
-    full = hit.join(need, "query_id").where(F.col("matched") == F.col("need"))
+    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    sizes = groups.join(df, "term", "left").groupBy("query_id", "group").agg(F.sum(F.coalesce("df", F.lit(0))).alias("df"))
+    rarest = sizes.groupBy("query_id").agg(F.min_by("group", F.struct("df", "group")).alias("group"), F.count(F.lit(1)).alias("need"), F.min("df").alias("least")).where("least > 0")
+    first = groups.join(rarest.select("query_id", "group"), ["query_id", "group"]).join(tf.drop("tf"), "term").select("query_id", "id").distinct()
+    hit = first.join(groups, "query_id").join(tf, ["term", "id"]).groupBy("query_id", "id").agg(F.countDistinct("group").alias("matched"), F.sum("tf").alias("tf"))
+    full = hit.join(rarest.select("query_id", "need"), "query_id").where(F.col("matched") == F.col("need"))
     return rank_within(full, ["query_id"], [F.desc("tf"), F.col("id")]).where(F.col("rank") <= k).select("query_id", "id", "matched", "tf", "rank")
 
 
@@ -63,12 +69,12 @@ def vector_topk(queries: DataFrame, vectors: DataFrame, k: int, floor: float = 0
     Queries (query_id, vector) and vectors (id, vector) are dealt into blocks; each pair of blocks is one
     matrix product that keeps k rows a query. The query table is stated and small beside the vectors: the
     work is its size times theirs, and no side goes out whole. Vectors of another length, zero or with
-    null or non-finite components are left out.
+    null or non-finite components are left out. A query with a column ``own`` leaves out the vector of that id.
     """
     ok = lambda c: F.col(c).isNotNull() & F.forall(c, lambda x: x.isNotNull() & ~F.isnan(x)) & (S.norm(F.col(c)) > 0) & (S.norm(F.col(c)) < float("inf"))
     n_q = max(1, -(-queries.count() // block_rows))
     n_v = max(1, -(-vectors.count() // block_rows))
-    q = queries.where(ok("vector")).select(F.pmod(F.xxhash64("query_id"), F.lit(n_q)).alias("qb"), "query_id", F.col("vector").cast("array<double>").alias("qv"), F.explode(F.sequence(F.lit(0), F.lit(n_v - 1))).alias("vb"))
+    q = queries.where(ok("vector")).select(F.pmod(F.xxhash64("query_id"), F.lit(n_q)).alias("qb"), "query_id", (F.col("own") if "own" in queries.columns else F.lit(None)).cast("long").alias("own"), F.col("vector").cast("array<double>").alias("qv"), F.explode(F.sequence(F.lit(0), F.lit(n_v - 1))).alias("vb"))
     v = vectors.where(ok("vector")).select(F.pmod(F.xxhash64("id"), F.lit(n_v)).cast("int").alias("wb"), "id", F.col("vector").cast("array<double>").alias("v"), F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))).alias("pb"))
 
     def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -77,7 +83,8 @@ def vector_topk(queries: DataFrame, vectors: DataFrame, k: int, floor: float = 0
             a, b = np.stack(left["qv"].to_list()), np.stack(right["v"].to_list())
             if a.shape[1] == b.shape[1]:
                 a, b, ids = a / np.linalg.norm(a, axis=1, keepdims=True), b / np.linalg.norm(b, axis=1, keepdims=True), right["id"].to_numpy()
-                for qid, line in zip(left["query_id"], a @ b.T, strict=True):
+                for qid, own, line in zip(left["query_id"], left["own"], a @ b.T, strict=True):
+                    line[ids == own] = -np.inf
                     order = np.lexsort((ids, -np.round(line, 9)))[:k]
                     order = order[line[order] > floor]
                     out["query_id"] += [qid] * len(order)
@@ -124,26 +131,47 @@ def near_dup_vectors(df: DataFrame, tokens: DataFrame, hard: float = 0.92, revie
     return j.withColumn("kind", kind).where("kind is not null").select("id", "other", "cosine", "kind")
 
 
-def jaccard_join(left: DataFrame, right: DataFrame, least: float, selfjoin: bool = False) -> DataFrame:
+def jaccard_join(left: DataFrame, right: DataFrame, least: float, selfjoin: bool = False, key: str | None = None) -> DataFrame:
     """Exact pairs (a, b, jaccard) of sets (id, tokens) with similarity ``least`` or more.
 
     Tokens are ordered from rare to frequent; sets that are alike share a token in their prefixes, so rows meet
-    on prefix tokens, are filtered by length, and are verified on the whole sets. Empty sets don't
-    join. Sets that are equal are one class first in a self join, so copies meet once.
+    on prefix tokens and size classes. Of a pair the smaller set needs the shorter prefix. What the prefixes share and what is left behind
+    their last common places bounds the overlap; only pairs that can reach ``least`` are verified on the whole sets. Empty sets don't
+    join. ``key``: a column of both sides that must agree too.
     """
+    by = [] if key is None else [key]
     each = left.select("tokens") if selfjoin else left.select("tokens").unionByName(right.select("tokens"))
-    freq = each.select(F.explode("tokens").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("f"))
+    freq = each.select(F.explode("tokens").alias("w")).groupBy(F.xxhash64("w").alias("t")).agg(F.count(F.lit(1)).alias("f"))
+    share = 2 * least / (1 + least)
+    step = math.log(1 / least) if least < 1 else 1.0
 
     def prefixes(df: DataFrame) -> DataFrame:
-        t = df.where(F.size("tokens") > 0).select("id", F.size("tokens").alias("n"), F.explode("tokens").alias("t")).join(freq, "t")
-        w = Window.partitionBy("id").orderBy("f", "t")
-        return t.withColumn("p", F.row_number().over(w)).where(F.col("p") <= F.col("n") - F.ceil(F.lit(least) * F.col("n") - 1e-9) + 1).select("id", "n", "t")
-
-    x = prefixes(left).select(F.col("id").alias("a"), F.col("n").alias("na"), "t")
-    y = (prefixes(left if selfjoin else right)).select(F.col("id").alias("b"), F.col("n").alias("nb"), "t")
-    met = x.join(y, "t").where((F.col("nb") >= least * F.col("na") - 1e-9) & (F.col("na") >= least * F.col("nb") - 1e-9))
-    met = (met.where("a < b") if selfjoin else met).select("a", "b").distinct()
-    v = met.join(left.select(F.col("id").alias("a"), F.col("tokens").alias("ta")), "a").join((left if selfjoin else right).select(F.col("id").alias("b"), F.col("tokens").alias("tb")), "b")
+        """Places and size classes of prefix tokens; ``short``: also in the prefix that a set needs against larger ones."""
+        t = df.where(F.size("tokens") > 0).select("id", *by, F.size("tokens").alias("n"), F.explode("tokens").alias("w")).withColumn("t", F.xxhash64("w")).drop("w").join(freq, "t")
+        t = t.withColumn("p", F.row_number().over(Window.partitionBy("id").orderBy("f", "t")))
+        t = t.where(F.col("p") <= F.col("n") - F.ceil(F.lit(least) * F.col("n") - 1e-9) + 1)
+        short = F.col("p") <= F.col("n") - F.ceil(F.lit(share) * F.col("n") - 1e-9) + 1
+        return t.select("id", *by, "t", "n", "p", short.alias("short"), F.floor(F.log(F.col("n").cast("double")) / step + 1e-9).alias("size"))
+
+    def met(x: DataFrame, y: DataFrame) -> DataFrame:
+        """Meetings of larger sets x with sets y that come no later in (size, id)."""
+        x = x.select(F.col("id").alias("a"), *by, "t", F.col("n").alias("na"), F.col("p").alias("pa"), F.explode(F.array(F.col("size"), F.col("size") - 1)).alias("size"))
+        y = y.where("short").select(F.col("id").alias("b"), *by, "t", F.col("n").alias("nb"), F.col("p").alias("pb"), "size")
+        can = 1 + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= F.lit(least / (1 + least)) * (F.col("na") + F.col("nb")) - 1e-9
+        return x.join(y, ["t", "size", *by]).where((F.col("nb") >= least * F.col("na") - 1e-9) & can)
+
+    mine = prefixes(left)
+    if selfjoin:
+        pairs = met(mine, mine).where("nb < na or nb = na and b < a")
+    else:
+        other = prefixes(right)
+        swapped = met(other, mine).where("nb < na").select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("nb").alias("na"), F.col("na").alias("nb"), F.col("pb").alias("pa"), F.col("pa").alias("pb"))
+        pairs = met(mine, other).where("nb <= na").select("a", "b", "na", "nb", "pa", "pb").unionByName(swapped)
+    found = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.max("pa").alias("pa"), F.max("pb").alias("pb"), F.first("na").alias("na"), F.first("nb").alias("nb"))
+    found = found.where(F.col("c") + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= F.lit(least / (1 + least)) * (F.col("na") + F.col("nb")) - 1e-9)
+    if selfjoin:
+        found = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    v = found.select("a", "b").join(left.select(F.col("id").alias("a"), F.col("tokens").alias("ta")), "a").join((left if selfjoin else right).select(F.col("id").alias("b"), F.col("tokens").alias("tb")), "b")
     return v.withColumn("jaccard", T.jaccard(F.col("ta"), F.col("tb"))).where(F.col("jaccard") >= least - 1e-9).select("a", "b", "jaccard")
 
 
@@ -254,10 +282,18 @@ def join_gold(answers: DataFrame, gold: DataFrame) -> DataFrame:
 
 
 def match_recent_query(queries: DataFrame, history: DataFrame, least: float = 0.6, ttl_seconds: int = 3600) -> DataFrame:
-    """For each query (id, scope, ts, tokens) the likest earlier one of its scope within the time to live."""
-    pairs = jaccard_join(queries.select("id", "tokens"), history.select("id", "tokens"), least)
-    q = queries.select(F.col("id").alias("a"), "scope", "ts")
-    h = history.select(F.col("id").alias("b"), F.col("scope").alias("s2"), F.col("ts").alias("t2"))
-    age = S.seconds_between(F.col("ts"), F.col("t2"))
-    met = pairs.join(q, "a").join(h, "b").where((F.col("scope") == F.col("s2")) & (F.col("t2") < F.col("ts")) & (age <= ttl_seconds))
+    """For each query (id, scope, ts, tokens) the likest earlier one of its scope within the time to live.
+
+    Queries meet the history of their scope in two spans of the time to live: their own and the one before.
+    """
+    span = lambda ts: F.floor(S.seconds_between(ts, F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")) / ttl_seconds)
+    at = lambda s: F.concat_ws(":", F.col("scope").cast("string"), s.cast("string"))
+    q = queries.withColumn("at", F.explode(F.array(at(span(F.col("ts"))), at(span(F.col("ts")) - 1))))
+    # a set in two spans is two rows of the join
+    q = q.withColumn("row", F.struct("id", "at"))
+    h = history.withColumn("at", at(span(F.col("ts")))).withColumn("row", F.struct("id", "at"))
+    pairs = jaccard_join(q.select(F.col("row").alias("id"), "tokens", "at"), h.select(F.col("row").alias("id"), "tokens", "at"), least, key="at")
+    pairs = pairs.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), "jaccard")
+    met = pairs.join(queries.select(F.col("id").alias("a"), "ts"), "a").join(history.select(F.col("id").alias("b"), F.col("ts").alias("t2")), "b")
+    met = met.where((F.col("t2") < F.col("ts")) & (S.seconds_between(F.col("ts"), F.col("t2")) <= ttl_seconds))
     return rank_within(met, ["a"], [F.desc(F.round("jaccard", 9)), F.desc("t2"), F.col("b")]).where("rank = 1").select(F.col("a").alias("id"), F.col("b").alias("matched"), "jaccard")

@@ -23,7 +23,7 @@ _VIEWS = {
       case when doc_id % 6 = 0 then null else substr(text, 1, 40) end as compressed_text,
       case doc_id % 5 when 0 then 'durable' when 1 then 'operational' when 2 then 'audit' when 3 then 'ephemeral' else 'other' end as retention_class
       from documents""",
-    "v_query": "select item_id as query_id, array_to_string(list_slice(string_split(text, ' '), 1, 12), ' ') as query from benchmark",
+    "v_query": "select item_id as query_id, text as query from benchmark",
     "v_vector": "select vec_id, embedding, label from embeddings",
     "v_event": """select event_id, ts, user_id, event_type, value, props, k,
       case event_type when 'click' then 'recall' when 'purchase' then 'store' when 'view' then 'tool' when 'signup' then 'boot' else 'other' end as operation,
@@ -44,8 +44,6 @@ _VIEWS = {
     "v_turn": "select conv_id, turn, role, text, conv_id * 60 + turn as minute from conversations",
 }
 _SPARK = {
-    "list_slice(string_split(text, ' '), 1, 12)": "slice(split(text, ' ', -1), 1, 12)",
-    "array_to_string": "array_join",
     "json_extract_string": "get_json_object",
 }
 

@@ -23,11 +23,12 @@ def _metrics(s, d):
     found = joins.keyword_candidates(_groups(s, d), post, 10)
     every = found.unionByName(joins.keyword_fallback(_groups(s, d), post, found, 10))
     results = every.join(docs.select("id", T.tokens(F.col("text")).alias("tokens")), "id")
-    items = s.read.parquet(f"{d}/benchmark.parquet").select(F.col("item_id").alias("query_id"), F.left("text", F.lit(40)).alias("start"))
-    # a quoted passage begins with its first word: documents and passages meet on it
-    first = lambda c: F.substring_index(F.lower(c), " ", 1)
-    words = docs.select("id", "text", F.explode(F.array_distinct(F.split(F.lower("text"), r"\s+"))).alias("w"))
-    gold = words.join(items.withColumn("w", first("start")), "w").where(F.col("text").contains(F.col("start"))).select("query_id", "id")
+    items = s.read.parquet(f"{d}/benchmark.parquet").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"))
+    # what quotes a passage holds its second to sixth words as words of its own: documents meet passages on them, then the whole passage is sought
+    five = lambda words, i: F.xxhash64(F.array_join(F.slice(words, i, 5), " "))
+    grams = lambda c: F.transform(F.sequence(F.lit(1), F.greatest(F.size(F.split(c, " ", -1)) - 4, F.lit(1))), lambda i: five(F.split(c, " ", -1), i))
+    meets = docs.select("id", F.explode(F.array_distinct(grams("text"))).alias("at")).join(items.select("query_id", five(F.split("passage", " ", -1), F.lit(2)).alias("at")), "at")
+    gold = meets.select("id", "query_id").join(items, "query_id").join(docs, "id").where(F.col("text").contains(F.col("passage"))).select("query_id", "id")
     return op.retrieval_metrics(results.select("query_id", "id", "rank", "tokens"), gold)
 
 
@@ -84,7 +85,7 @@ QUERIES = {
 
 _RAT = duck("v_rating")
 _M = f"""{_J9}, f2 as (select *, row_number() over (partition by query_id order by matched desc, tf desc, id)::integer as rank from h where query_id not in (select query_id from k)),
-  res as (select query_id, id, rank from k union all select query_id, id, rank from f2 where rank <= 10), g as (select item_id as query_id, d.doc_id as id from benchmark b join documents d on contains(d.text, left(b.text, 40))),
+  res as (select query_id, id, rank from k union all select query_id, id, rank from f2 where rank <= 10), g as (select item_id as query_id, d.doc_id as id from benchmark b join documents d on contains(d.text, b.text)),
   per as (select r.query_id, count(*) as n, count(g.id) as hits, min(case when g.id is not null then rank end) as first, sum(ceil(strlen(x.text) / 3.8::double))::bigint as tokens from res r join documents x on x.doc_id = r.id left join g on g.query_id = r.query_id and g.id = r.id group by 1),
   ng as (select query_id, count(*) as n_gold from g group by 1),
   m as (select ng.query_id, round(case when coalesce(n, 0) > 0 then hits / n else 0 end, 6)::double as precision, round(coalesce(1.0 / first, 0), 6)::double as rr, coalesce((first <= 1)::int, 0)::integer as top1, coalesce((first <= 3)::int, 0)::integer as top3, round(coalesce(hits, 0) / n_gold, 6)::double as coverage, coalesce(hits, 0)::bigint as hits, coalesce(tokens, 0)::bigint as tokens from ng left join per using (query_id))"""

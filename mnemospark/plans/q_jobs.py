@@ -18,12 +18,12 @@ def _mem(s, d):
 
 
 def hybrid_retrieve(s, d):
-    """Every benchmark passage's first words over all documents, with vectors by a declared link."""
+    """Every benchmark passage over all documents, with vectors by a declared link."""
     corpus = _mem(s, d)
     v = view(s, d, "v_vector")
     queries = view(s, d, "v_query")
-    query_vectors = v.where("vec_id % 50 = 0").select((F.col("vec_id") / 50).cast("long").alias("query_id"), F.col("embedding").alias("vector")).join(queries.select("query_id"), "query_id", "left_semi")
-    vectors = v.where("vec_id % 50 <> 0").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")).join(corpus.select("id"), "id", "left_semi")
+    query_vectors = v.where("vec_id % 50 = 0").select((F.col("vec_id") / 50).cast("long").alias("query_id"), F.col("vec_id").alias("own"), F.col("embedding").alias("vector")).join(queries.select("query_id"), "query_id", "left_semi")
+    vectors = v.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")).join(corpus.select("id"), "id", "left_semi")
     boosts = agg.feedback_boost(view(s, d, "v_feedback"), AS_OF).withColumnRenamed("result_source", "source")
     return op.retrieve(queries, corpus, vectors, query_vectors, AS_OF, boosts=boosts)
 
@@ -76,7 +76,7 @@ def m25(s, d):
 
 
 def _items(s, d):
-    return _mem(s, d).select((F.col("id") % 25).alias("context"), F.col("source").alias("name"), T.tokens(F.col("text")).alias("tokens"), F.col("score").alias("priority"))
+    return _mem(s, d).select(F.floor(F.col("id") / 40).alias("context"), F.col("source").alias("name"), T.tokens(F.col("text")).alias("tokens"), F.col("score").alias("priority"))
 
 
 def wn17(s, d):
@@ -101,7 +101,8 @@ def f11(s, d):
 
 def _query_vectors(s, d):
     v = view(s, d, "v_vector")
-    return v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), v.where("vec_id % 50 <> 0").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    queries = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("vec_id").alias("own"), F.col("embedding").alias("vector"))
+    return queries, v.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
 
 
 def job02(s, d):
@@ -111,8 +112,8 @@ def job02(s, d):
 
 def job03(s, d):
     corpus = _mem(s, d)
-    basket = _candidates(s, d).where("relevance > 0.8").select("query_id", "source")
-    edges = basket.join(basket.select("query_id", F.col("source").alias("b")), "query_id").where("source < b").groupBy(F.col("source").alias("a"), "b").agg(F.count(F.lit(1)).alias("n"))
+    basket = _candidates(s, d).where("relevance > 0.8").groupBy("query_id").agg(F.collect_set("source").alias("items"), F.lit(None).cast("timestamp_ntz").alias("seen"))
+    edges = agg.co_occurrence(basket).select("a", "b", "n")
     return op.retrieve_budgeted(hybrid_retrieve(s, d), edges, corpus, view(s, d, "v_query"), 4000)
 
 
@@ -145,7 +146,7 @@ _RETRIEVE = (
     + f""", need as (select query_id, count(*) as need from qt group by 1), h as (select query_id, id, count(distinct term) as matched, sum(tf)::bigint as tf from qt join p using (term) group by 1, 2),
   k as (select query_id, id, row_number() over (partition by query_id order by tf desc, id) as rank from h join need using (query_id) where matched = need),
   f as (select query_id, id, row_number() over (partition by query_id order by matched desc, tf desc, id) as rank from h where query_id not in (select query_id from k)),
-  v as (select a.vec_id // 50 as query_id, b.vec_id as id, list_dot_product(a.embedding::double[], b.embedding::double[]) / sqrt(list_dot_product(a.embedding::double[], a.embedding::double[]) * list_dot_product(b.embedding::double[], b.embedding::double[])) as c from embeddings a, embeddings b where a.vec_id % 50 = 0 and b.vec_id % 50 <> 0 and a.vec_id // 50 in (select query_id from v_query) and b.vec_id in (select doc_id from documents)),
+  v as (select a.vec_id // 50 as query_id, b.vec_id as id, list_dot_product(a.embedding::double[], b.embedding::double[]) / sqrt(list_dot_product(a.embedding::double[], a.embedding::double[]) * list_dot_product(b.embedding::double[], b.embedding::double[])) as c from embeddings a, embeddings b where a.vec_id % 50 = 0 and b.vec_id <> a.vec_id and a.vec_id // 50 in (select query_id from v_query) and b.vec_id in (select doc_id from documents)),
   l as (select query_id, id, rank, 'keyword' as list from k union all select query_id, id, rank, 'keyword' from f union all select query_id, id, row_number() over (partition by query_id order by round(c, 9) desc, id), 'semantic' from v where c > 0),
   sh as (select query_id, (position('/' in query) > 0 or position('"' in query) > 0 or position('`' in query) > 0 or position('::' in query) > 0 or position(chr(92) in query) > 0 or len(list_filter(['.rs', '.ts', '.js', '.py'], lambda w: contains(lower(query), w))) > 0 or len(string_split(trim(query), ' ')) <= 3 or length(trim(query)) <= 24) as e, (len(list_filter(regexp_split_to_array(trim(query), '[ \t\n]+'), lambda w: w <> '')) >= 8 or length(trim(query)) >= 56 or trim(query) like '%?') as n from v_query),
   w as (select l.*, case when list = 'keyword' then 1.0 + e::int * 0.35 - n::int * 0.15 else 1.0 - e::int * 0.15 + n::int * 0.35 end::double as w from l join sh using (query_id) where rank <= 50),
@@ -158,7 +159,7 @@ _RETRIEVE = (
 
 SQL = {
     "f11_novelty": f"{_MEM}, {_TOK}, r as (select m.owner_id, t.t, row_number() over (partition by m.owner_id order by m.created_at desc, m.id desc) as rn from v_memory m join t on t.id = m.id where m.status = 'active' and m.id % 4 <> 0), x as (select m.id, 1 - coalesce(max(case when len(t.t) + len(r.t) = 0 then 1.0 else {_JJ.format(a='t.t', b='r.t')} end), 0) as s from v_memory m join t on t.id = m.id left join r on r.owner_id = m.owner_id and rn <= 50 where m.id % 4 = 0 group by 1) select id, round(s, 6)::double as surprise, round(s, 9) >= 0.25 as admitted from x",
-    "job02_semantic_retrieve": f"{_MEM}, p as (select a.vec_id as query_id, b.vec_id as id, list_dot_product(a.embedding::double[], b.embedding::double[]) / sqrt(list_dot_product(a.embedding::double[], a.embedding::double[]) * list_dot_product(b.embedding::double[], b.embedding::double[])) as c from embeddings a, embeddings b where a.vec_id % 50 = 0 and b.vec_id % 50 <> 0), k as (select *, row_number() over (partition by query_id order by round(c, 9) desc, id) as r from p where c > 0.2), s as (select query_id, k.id, source, round(c * (1 + (1 / (1 + (epoch({_NOW}) - epoch(created_at)) / 86400.0::double / 14) - 0.5::double) * 0.16::double), 4) as relevance from k join v_memory m on m.id = k.id where r <= 50), t as (select *, row_number() over (partition by query_id order by relevance desc, source)::integer as rank from s) select query_id, rank, id, source, relevance from t where rank <= 10",
+    "job02_semantic_retrieve": f"{_MEM}, p as (select a.vec_id as query_id, b.vec_id as id, list_dot_product(a.embedding::double[], b.embedding::double[]) / sqrt(list_dot_product(a.embedding::double[], a.embedding::double[]) * list_dot_product(b.embedding::double[], b.embedding::double[])) as c from embeddings a, embeddings b where a.vec_id % 50 = 0 and b.vec_id <> a.vec_id), k as (select *, row_number() over (partition by query_id order by round(c, 9) desc, id) as r from p where c > 0.2), s as (select query_id, k.id, source, round(c * (1 + (1 / (1 + (epoch({_NOW}) - epoch(created_at)) / 86400.0::double / 14) - 0.5::double) * 0.16::double), 4) as relevance from k join v_memory m on m.id = k.id where r <= 50), t as (select *, row_number() over (partition by query_id order by relevance desc, source)::integer as rank from s) select query_id, rank, id, source, relevance from t where rank <= 10",
     "job01_hybrid_retrieve": _RETRIEVE,
     "job04_headlines": f"{_CAND} select query_id, count(*) as results, sum(ceil(strlen(text) / 3.8::double))::bigint as full, sum(ceil(strlen(c.source) / 3.8::double))::bigint as served, (sum(ceil(strlen(text) / 3.8::double)) - sum(ceil(strlen(c.source) / 3.8::double)))::bigint as saved from c join documents on doc_id = id where relevance >= 0.5 group by 1",
     "job07_search_clusters": "with p as (select label, i, avg(embedding[i]::double) as x from embeddings, range(1, 65) r(i) group by 1, 2), c as (select label, list(x order by i) as v from p group by 1), s as (select vec_id as query_id, c.label::bigint as id, list_dot_product(embedding::double[], v) / sqrt(list_dot_product(v, v) * list_dot_product(embedding::double[], embedding::double[])) as c from embeddings, c where vec_id % 50 = 0), r as (select *, row_number() over (partition by query_id order by round(c, 9) desc, id)::integer as rank from s where c > 0.05) select query_id, rank, id, round(c * 1.15::double, 6) as relevance from r where rank <= 3",
@@ -175,7 +176,7 @@ SQL = {
       select id, target, class, case class when 'CONTRADICTS' then case when trust > trust2 then 'supersede' else 'dispute' end when 'REFINES' then case when same or trust >= trust2 then 'supersede' else 'dispute' end when 'AGREES' then 'merge' else 'insert' end as action from j""",
     "m24_apply_resolutions": f"{_MEM} select id, case when id % 10 = 0 and id % 3 = 2 or id % 10 = 1 and (id - 1) % 3 = 2 then 'archived' when id % 10 = 1 and (id - 1) % 3 = 0 then 'superseded' when id % 10 = 1 and (id - 1) % 3 = 1 then 'merged' else status end as status from v_memory",
     "m25_consensus": f"{_MEM}, p as (select a.id, b.id as other, a.trust_score as t, b.trust_score as u, round(abs(a.trust_score - b.trust_score), 9) as g from v_memory a join v_memory b on b.id = a.id - 1) select id, other, case when g >= 0.4 then case when t > u then id else other end end as winner, case when g < 0.4 then 'margin too small' end as skipped from p",
-    "wn16_pack_greedy": f"""with recursive m as (select doc_id % 25 as context, 'doc::' || doc_id as name, ceil(strlen(text) / 3.8::double)::bigint as tokens, ((doc_id * 37) % 100) / 100.0::double as priority from documents),
+    "wn16_pack_greedy": f"""with recursive m as (select doc_id // 40 as context, 'doc::' || doc_id as name, ceil(strlen(text) / 3.8::double)::bigint as tokens, ((doc_id * 37) % 100) / 100.0::double as priority from documents),
       r as (select *, row_number() over (partition by context order by priority desc, name) as i from m),
       f as (select context, 0 as i, 2000::bigint as room, null::varchar as name, 0::bigint as used from (select distinct context from r) union all
         select f.context, f.i + 1, f.room - (case when r.tokens <= f.room then r.tokens when r.priority >= 0.7 and f.room > 0 then f.room else 0 end), r.name, case when r.tokens <= f.room then r.tokens when r.priority >= 0.7 and f.room > 0 then f.room else 0 end from f join r on r.context = f.context and r.i = f.i + 1)
