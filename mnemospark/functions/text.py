@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -67,11 +69,19 @@ def truncate_to_tokens(text: Column, n: int) -> Column:
 def entropy(df: DataFrame, key: str, text: str, out: str = "entropy") -> DataFrame:
     """(key, out): Shannon entropy of each text's UTF-8 bytes in bits, rows with one key together; 0 without bytes.
 
-    Bytes are counted by key before they meet, so a text of any length sends at most 256 rows.
+    Bytes are counted within their row, over Arrow batches, so a text of any length sends at most 256 numbers.
     """
-    code = F.explode_outer(F.split(F.regexp_replace(F.hex(F.col(text).cast("binary")), "(..)(?=.)", "$1 "), " ")).alias("byte")
-    counts = df.select(key, code).where("byte is null or byte <> ''").groupBy(key, "byte").agg(F.count("byte").alias("n"))
-    sums = counts.groupBy(key).agg(F.sum("n").alias("t"), F.sum(F.when(F.col("n") > 0, F.col("n") * F.log2("n")).otherwise(0.0)).alias("s"))
+
+    @F.pandas_udf("array<struct<byte: int, n: long>>")
+    def counted(texts: pd.Series) -> pd.Series:
+        found = []
+        for x in texts:
+            n = np.bincount(np.frombuffer((x or "").encode("utf-8", "surrogatepass"), np.uint8), minlength=256)
+            found.append([{"byte": int(k), "n": int(n[k])} for k in np.flatnonzero(n)])
+        return pd.Series(found)
+
+    parts = df.select(key, F.explode(counted(F.col(text).cast("string"))).alias("x")).groupBy(key, "x.byte").agg(F.sum("x.n").alias("n"))
+    sums = parts.groupBy(key).agg(F.sum("n").alias("t"), F.sum(F.col("n") * F.log2("n")).alias("s"))
     empty = df.select(key).distinct()
     return empty.join(sums, key, "left").select(key, F.when(F.col("t") > 0, F.log2("t") - F.col("s") / F.col("t")).otherwise(F.lit(0.0)).alias(out))
 

@@ -65,16 +65,22 @@ def token_stats(metrics: DataFrame) -> DataFrame:
     )
 
 
-def percentiles(df: DataFrame, value: str, p: float) -> DataFrame:
-    """Three definitions side by side: linear, the value at the rounded-up index, and at the rounded index."""
-    n = df.where(F.col(value).isNotNull()).agg(F.percentile(value, p).alias("linear"), F.count(value).alias("n"))
-    counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("c"))
-    # ranks of distinct values: one row for each
-    upto = counts.withColumn("upto", F.sum("c").over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)))
-    up = F.greatest(F.ceil(F.lit(p) * F.col("n")), F.lit(1))
-    near = F.floor(F.lit(p) * (F.col("n") - 1) + 0.5) + 1
-    j = upto.crossJoin(F.broadcast(n))  # n: one row
-    return j.groupBy("linear").agg(F.min(F.when(F.col("upto") >= up, F.col(value))).alias("ceil_index"), F.min(F.when(F.col("upto") >= near, F.col(value))).alias("round_index"))
+def percentiles(df: DataFrame, value: str, p: float, parts: int = 64) -> DataFrame:
+    """Three definitions side by side: linear, the value at the rounded-up index, and at the rounded index.
+
+    Distinct values are ranked by ranges whose counts are added up, so none is ranked in one place; no row, no result.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("c"))
+    bounds = counts.agg(F.percentile_approx("v", [i / parts for i in range(1, parts)], 10_000).alias("b"))
+    dealt = counts.crossJoin(F.broadcast(bounds)).withColumn("part", F.size(F.filter("b", lambda e: e <= F.col("v")))).drop("b")  # bounds: one row
+    sums = dealt.groupBy("part").agg(F.sum("c").alias("n"))  # one row a range
+    sums = sums.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("below"), F.sum("n").over(Window.partitionBy()).alias("n"))
+    inner = F.sum("c").over(Window.partitionBy("part").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    upto = dealt.join(F.broadcast(sums), "part").select("v", "n", (F.col("below") + inner).alias("upto"))
+    first = lambda rank: F.min(F.when(F.col("upto") >= rank, F.col("v")))
+    place = F.lit(p) * (F.col("n") - 1)
+    got = upto.groupBy("n").agg(first(F.floor(place) + 1).alias("low"), first(F.ceil(place) + 1).alias("high"), first(F.greatest(F.ceil(F.lit(p) * F.col("n")), F.lit(1))).alias("ceil_index"), first(F.floor(place + 0.5) + 1).alias("round_index"))
+    return got.select((F.col("low") + (F.col("high") - F.col("low")) * (place - F.floor(place))).alias("linear"), "ceil_index", "round_index")
 
 
 def consensus_verdict(ratings: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mnemospark.functions import text as T
+from mnemospark.operators.windows import rank_within
 
 
 def extract_memories(turns: DataFrame, least: int = 30, most: int = 2000, sure: float = 0.5, clip: int = 500, **signals) -> DataFrame:
@@ -31,13 +32,19 @@ def triage(turns: DataFrame, words: list[str], least: float = 0.02, much: float
 
 
 def summarize_entries(entries: DataFrame, signals=T.SIGNAL_WORDS, most: int = 5, clip: int = 500) -> DataFrame:
-    """Per session (session, seq, text): up to three entries joined, of more those with a signal; and the tokens saved in percent."""
-    lists = entries.groupBy("session").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"]).alias("l"))
-    good = F.filter("l", lambda s: T.has_any(F.lower(s), signals))
-    chosen = F.when(F.size("l") <= 3, F.col("l")).when(F.size(good) > 0, F.slice(good, 1, most)).otherwise(F.slice("l", 1, 3))
-    s = lists.select("session", F.size("l").alias("entries"), F.left(F.array_join(chosen, " | "), F.lit(clip)).alias("summary"), F.array_join("l", " ").alias("raw"))
-    raw, new = T.tokens(F.col("raw")), T.tokens(F.col("summary"))
-    return s.select("session", "entries", "summary", F.round(F.when(raw > 0, 100.0 * (raw - new) / raw).otherwise(0.0), 4).alias("saved"))
+    """Per session (session, seq, text): up to three entries joined, of more those with a signal; and the tokens saved in percent.
+
+    Only the entries that a summary can hold are gathered; of all others their bytes are summed.
+    """
+    marked = entries.select("session", "seq", "text", F.coalesce(T.has_any(F.lower("text"), signals), F.lit(False)).alias("good"))
+    sums = marked.groupBy("session").agg(F.count(F.lit(1)).alias("entries"), F.sum(F.octet_length("text")).alias("bytes"), F.count("text").alias("texts"), F.max("good").alias("any"))
+    order = [F.col("seq"), F.col("text")]
+    picked = rank_within(marked.where("good"), ["session"], order).where(F.col("rank") <= most).unionByName(rank_within(marked, ["session"], order).where(F.col("rank") <= 3).withColumn("good", F.lit(False)))
+    lists = picked.groupBy("session", "good").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"]).alias("l"))
+    chosen = sums.join(lists, "session").where(F.col("good") == ((F.col("entries") > 3) & F.col("any")))
+    s = chosen.withColumn("summary", F.left(F.array_join("l", " | "), F.lit(clip)))
+    raw = F.ceil((F.coalesce("bytes", F.lit(0)) + F.greatest(F.col("texts") - 1, F.lit(0))) / F.lit(3.8)).cast("long")
+    return s.select("session", F.col("entries").cast("int").alias("entries"), "summary", F.round(F.when(raw > 0, 100.0 * (raw - T.tokens(F.col("summary"))) / raw).otherwise(0.0), 4).alias("saved"))
 
 
 def chunk_text(text: str, cap: int) -> list[str]:

@@ -226,6 +226,7 @@ SQL = {
     "f07_forget": f"{_MEM} select id, contains(lower(text || chr(10) || source), 'erth') or contains(source, 'doc::7') as forgotten, round(score * case when contains(lower(text || chr(10) || source), 'erth') or contains(source, 'doc::7') then 0.3 else 1 end, 6)::double as score from v_memory",
     "f08_admit": f"select doc_id, quality, case when quality >= 20 then 'admitted' else 'rejected' end as outcome from (select doc_id, ({QUALITY_SQL})::integer as quality from (select doc_id, text as t from documents))",
     "f10_since": f"{_EV} select event_id, user_id from v_event where ts > timestamp '2024-01-17 00:00:00' and ts <= timestamp '2024-01-20 00:00:00'",
+    "f09_hash_sample": "select doc_id as id from documents where ('0x' || substr(md5(doc_id::varchar), 1, 8))::bigint % 100 < 20",
     "m01_entropy": "with b as (select doc_id, hex(encode(text)) as h from documents), p as (select doc_id, unnest(list_transform(range(0, length(h) // 2), lambda i: substr(h, 2 * i + 1, 2))) as c from b), n as (select doc_id, c, count(*) as n, sum(count(*)) over (partition by doc_id) as t from p group by 1, 2) select doc_id, round(-sum(n / t * log2(n / t)), 6) as entropy from n group by 1",
     "m02_keywords": f"select doc_id, array_to_string(list_filter({_ASCII}, lambda w: length(w) > 2 and not list_contains({_sql_list(T.STOPWORDS)}, w)), ' ') as content, len(list_filter({_ASCII}, lambda w: length(w) > 1))::integer as n_search from documents",
     "m04_query_shape": duck("v_query")

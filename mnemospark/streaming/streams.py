@@ -25,17 +25,27 @@ def stream_dedup(served: DataFrame, keys: list[str], ttl: str = "60 seconds") ->
     return served.withWatermark("ts", ttl).dropDuplicatesWithinWatermark(keys)
 
 
-def batch_dedup(served: DataFrame, keys: list[str], ttl_seconds: float = 60) -> DataFrame:
-    """Batch twin: rows whose previous row with equal keys lies more than the time to live back."""
-    prev = F.lag("ts").over(Window.partitionBy(*keys).orderBy("ts", "event_id"))
-    gap = F.timestamp_diff("MICROSECOND", F.col("__prev"), F.col("ts")) / 1e6
-    return served.withColumn("__prev", prev).where(F.col("__prev").isNull() | (gap > ttl_seconds)).drop("__prev")
+def batch_dedup(served: DataFrame, keys: list[str], ttl_seconds: int = 60) -> DataFrame:
+    """Batch twin: rows whose previous row with equal keys lies more than the time to live back.
+
+    Rows are ordered within spans of the time to live; a span's first row meets the last time of the span
+    before. So even one key's rows are spread over time.
+    """
+    micro = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col("ts"))
+    ttl = int(ttl_seconds * 1_000_000)
+    rows = served.withColumn("__t", micro).withColumn("__span", F.floor(F.col("__t") / ttl))
+    last = rows.groupBy(*[F.col(k).alias(f"__{k}") for k in keys], (F.col("__span") + 1).alias("__next")).agg(F.max("__t").alias("__last"))
+    on = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys] + [F.col("__span") == F.col("__next")]
+    met = rows.join(last, on, "left")
+    prev = F.coalesce(F.lag("__t").over(Window.partitionBy(*keys, "__span").orderBy("__t", "event_id")), "__last")
+    kept = met.withColumn("__prev", prev).where(F.col("__prev").isNull() | (F.col("__t") - F.col("__prev") > ttl))
+    return kept.select(served.columns)
 
 
 def rate_audit(requests: DataFrame, limit: int, window_seconds: float, keys: list[str]) -> DataFrame:
     """Accepted or denied for requests (event_id, ts, keys): at most ``limit`` accepted in the window before; denied ones don't count.
 
-    The decision needs the accepted ones in order, so a key's requests are folded in time order, in
+    The decision needs the accepted ones in order, so a key's requests are folded in time order by one task, in
     Arrow batches that carry only the last ``limit`` accepted times from one to the next.
     """
     cols = [*keys, "t", "event_id"]
@@ -63,10 +73,15 @@ def rate_audit(requests: DataFrame, limit: int, window_seconds: float, keys: lis
 
 
 def load_count(requests: DataFrame, keys: list[str], window_seconds: int) -> DataFrame:
-    """Requests of the same keys in the seconds before each, itself included."""
+    """Requests of the same keys in the seconds before each, itself included.
+
+    Rows are counted within spans of the window; each is in its own span and, for the window's reach, in the next.
+    """
     sec = S.seconds_between(F.col("ts"), F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
-    w = Window.partitionBy(*keys).orderBy("__t").rangeBetween(-window_seconds, 0)
-    return requests.withColumn("__t", sec).withColumn("load", F.count(F.lit(1)).over(w)).drop("__t")
+    rows = requests.withColumn("__t", sec).withColumn("__own", F.explode(F.array(F.lit(True), F.lit(False))))
+    rows = rows.withColumn("__span", F.floor(F.col("__t") / window_seconds) + F.when(F.col("__own"), 0).otherwise(1))
+    w = Window.partitionBy(*keys, "__span").orderBy("__t").rangeBetween(-window_seconds, 0)
+    return rows.withColumn("load", F.count(F.lit(1)).over(w)).where("__own").drop("__t", "__own", "__span")
 
 
 def sessions(heartbeats: DataFrame, as_of: str, gap_seconds: int = 7200, active_seconds: int = 75) -> DataFrame:
