@@ -13,6 +13,7 @@ from mnemospark.functions import text as T
 from mnemospark.operators import joins as J
 from mnemospark.operators import windows as W
 from mnemospark.operators.aggregates import prune_singletons
+from mnemospark.operators.boosts import apply_boosts
 from mnemospark.operators.filters import at
 from mnemospark.plans.scratch import discard, materialize
 
@@ -29,12 +30,12 @@ def term_groups(queries: DataFrame, synonyms: DataFrame) -> DataFrame:
     return words.select("query_id", "group", F.col("group").alias("term")).unionByName(more).distinct()
 
 
-def retrieve(queries: DataFrame, corpus: DataFrame, vectors: DataFrame, query_vectors: DataFrame, as_of: str, k: int = 10, depth: int = 50, boosts: DataFrame | None = None, synonyms: DataFrame | None = None) -> DataFrame:
+def retrieve(queries: DataFrame, corpus: DataFrame, vectors: DataFrame, query_vectors: DataFrame, as_of: str, k: int = 10, depth: int = 50, boosts: DataFrame | None = None, synonyms: DataFrame | None = None, head_chars: int = 240) -> DataFrame:
     """Hybrid retrieval for a table of queries (query_id, query) over entries (id, text, source, score, created_at).
 
     Keyword candidates (all term groups, else any) and vector candidates are fused by weighted reciprocal
-    rank, joined by importance and recency, raised by feedback (source, boost) and cut to k per query.
-    Intermediate scores stay as columns.
+    rank, joined by importance and recency, raised by feedback (source, boost) and by the entropy, entities and alignment
+    of the entry's first ``head_chars`` characters, and cut to k per query. Intermediate scores stay as columns.
     """
     spark = queries.sparkSession
     post = materialize(J.build_postings(corpus, ["text"]), "postings")
@@ -52,8 +53,10 @@ def retrieve(queries: DataFrame, corpus: DataFrame, vectors: DataFrame, query_ve
         scored = scored.join(boosts, "source", "left").withColumn("boost", F.coalesce("boost", F.lit(0.0)))
     else:
         scored = scored.withColumn("boost", F.lit(0.0))
-    scored = scored.withColumn("relevance", F.round(F.col("compound") + F.col("boost"), 4))
-    return W.top_k(scored, k).select("query_id", "rank", "id", "source", "relevance", F.round("rrf", 9).alias("rrf"), F.array_join("methods", "+").alias("method"))
+    heads = corpus.select("id", F.left("text", F.lit(head_chars)).alias("excerpt"))
+    found = scored.select("query_id", "id", "source", "rrf", "methods", F.round(F.col("compound") + F.col("boost"), 4).alias("relevance")).join(heads, "id")
+    lifted = apply_boosts(materialize(found, "retrieved"), queries)
+    return W.top_k(lifted, k).select("query_id", "rank", "id", "source", "relevance", F.round("rrf", 9).alias("rrf"), F.array_join("methods", "+").alias("method"), "entropy", F.round("entity", 6).alias("entity"), F.round("alignment", 6).alias("alignment"))
 
 
 def headlines(results: DataFrame, corpus: DataFrame) -> DataFrame:

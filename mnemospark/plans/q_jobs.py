@@ -8,7 +8,9 @@ from mnemospark.functions import text as T
 from mnemospark.operators import aggregates as agg
 from mnemospark.operators import jobs as op
 from mnemospark.operators import joins as J
+from mnemospark.operators.boosts import ENTROPY_RATES
 from mnemospark.plans.fixtures import AS_OF, duck, view
+from mnemospark.plans.q_boosts import HEADS, lifted
 from mnemospark.plans.q_joins import _TERMS, _edges, _emb, _tokens
 from mnemospark.plans.q_windows import _CAND, _candidates
 
@@ -152,9 +154,10 @@ _RETRIEVE = (
   w as (select l.*, case when list = 'keyword' then 1.0 + e::int * 0.35 - n::int * 0.15 else 1.0 - e::int * 0.15 + n::int * 0.35 end::double as w from l join sh using (query_id) where rank <= 50),
   u as (select query_id, id, sum(w / (60.0::double + rank)) as rrf, string_agg(distinct list, '+' order by list) as method from w group by 1, 2),
   b as (select 'doc::' || (user_id % 10) as source, greatest(-0.2, least(0.3, sum((case when event_id % 3 = 0 then 1.0 else -0.5 end)::double * pow(2.0::double, -greatest((epoch({_NOW}) - epoch(date_trunc('second', ts))) / 86400.0::double, 0) / 30.0::double))))::double as boost from events group by 1),
-  x as (select query_id, u.id, 'doc::' || u.id as source, rrf, method, round(rrf * 0.6::double + ((u.id * 37) % 100) / 100.0::double * 0.2::double + exp(-((u.id * 7) % 90) / 30.0::double) * 0.2::double + coalesce(boost, 0), 4) as relevance from u left join b on b.source = 'doc::' || u.id),
-  y as (select *, row_number() over (partition by query_id order by relevance desc, source)::integer as rank from x)
-  select query_id, rank, id, source, relevance, round(rrf, 9) as rrf, method from y where rank <= 10"""
+  x as (select query_id, u.id, 'doc::' || u.id as source, rrf, method, round(rrf * 0.6::double + ((u.id * 37) % 100) / 100.0::double * 0.2::double + exp(-((u.id * 7) % 90) / 30.0::double) * 0.2::double + coalesce(boost, 0), 4) as r0 from u left join b on b.source = 'doc::' || u.id),
+  {HEADS}, {lifted("x", *ENTROPY_RATES["hybrid"], more="rrf, method, ")},
+  y as (select *, row_number() over (partition by query_id order by relevance desc, source)::integer as rank from lift)
+  select query_id, rank, id, source, relevance, round(rrf, 9) as rrf, method, entropy, entity, alignment from y where rank <= 10"""
 )
 
 SQL = {
