@@ -26,6 +26,7 @@ import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import repeat
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -85,9 +86,9 @@ _UNEVEN = re.compile(rf"^[ \t\r\n]|[ \t\r\n]$| [ \t\r\n]|[\t\r\n] |[{_ODD_WHITE}
 
 
 class UnitCounts:
-    """Counts texts by their units, which are encoded once and remembered."""
+    """Counts texts by their units, which are encoded once and remembered, the first ``most`` of them."""
 
-    def __init__(self, name: str, most: int = 1 << 18):
+    def __init__(self, name: str, most: int = 1 << 19):
         self.name, self.most = name, most
         self.known: dict[str, int] = {}
 
@@ -100,23 +101,27 @@ class UnitCounts:
                 whole.append(k)
                 continue
             units = text.split(" ")
-            first = units[0]
-            units[0] = "\n" + first  # parts a unit without a space before it from the others: no unit begins so
+            units[0] = "\n" + units[0]  # parts a unit without a space before it from the others: no unit begins so
             new = list(set(units).difference(self.known))
-            if 4 * len(new) > 3 * len(units) and len(units) > 64:
+            if 2 * len(new) > len(units) and len(units) > 64:  # the text as it stands costs less
                 whole.append(k)
                 continue
-            if len(self.known) + len(new) > self.most:
-                self.known.clear()
-                new = list(set(units))
-            if new:
-                self.known.update(zip(new, counts([x[1:] if x[0] == "\n" else " " + x for x in new], self.name), strict=True))
-            found[k] = sum(map(self.known.__getitem__, units))
+            n = dict(zip(new, counts([x[1:] if x[0] == "\n" else " " + x for x in new], self.name), strict=True)) if new else {}
+            if len(self.known) + len(n) <= self.most:
+                self.known.update(n)
+                n = {}
+            found[k] = sum(map(self.known.get, units, repeat(0))) + sum(n[x] for x in units if x in n)
         for k, n in zip(whole, counts([texts[k] for k in whole], self.name), strict=True):
             found[k] = n
         return found
 
 
+@lru_cache(maxsize=2)
+def _units(name: str) -> UnitCounts:
+    """One memory for all tasks of a worker."""
+    return UnitCounts(name)
+
+
 def is_byte_level(name: str) -> bool:
     path = tokenizer_path(name)
     if not path.endswith(".json"):
@@ -197,7 +202,7 @@ def count_tokens(docs: DataFrame, text: str = "text", tokenizer: str = DEFAULT_T
 
     @F.pandas_udf("long")
     def whole(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        units = UnitCounts(tokenizer)
+        units = _units(tokenizer)
         for batch in batches:
             texts = ["" if x is None else x for x in batch]
             yield pd.Series(units.counts(texts) if byte_level else counts(texts, tokenizer), dtype="int64")
