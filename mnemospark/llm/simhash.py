@@ -92,7 +92,9 @@ def _meets(fps: DataFrame, bits: int) -> DataFrame:
 
 def links(fps: DataFrame, fp: str = "fp") -> DataFrame:
     """Edges (a, b) between distinct fingerprints that differ in 1 or 2 bits, enough to connect all that are linked."""
-    stars = _meets(fps.select(F.col(fp).alias("fp")).distinct(), 64).select(F.array_min("m").alias("a"), F.explode("m").alias("b"))
+    # few bytes become 65 times as many rows: they are dealt out first, by number, as sizes would leave them to one or two tasks
+    spread = fps.select(F.col(fp).alias("fp")).distinct().repartition(4 * fps.sparkSession.sparkContext.defaultParallelism, "fp")
+    stars = _meets(spread, 64).select(F.array_min("m").alias("a"), F.explode("m").alias("b"))
     return stars.where((F.col("a") != F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2)).distinct()
 
 
