@@ -63,8 +63,8 @@ def directory(keys: DataFrame, capacity: int) -> DataFrame:
     keys fit, as doubling from one bucket and splitting overfull ones gives it. A bucket's number is its
     low bits; no two buckets share one, as one would hold the other.
     """
-    deepest = 0
-    while (capacity << deepest) < 8 * keys.count():
+    total, deepest = keys.count(), 0
+    while (capacity << deepest) < 8 * total:
         deepest += 1
     cells = keys.distinct().groupBy(_slot(F.col("key"), deepest).alias("slot")).agg(F.count(F.lit(1)).alias("n"))
     slots = keys.sparkSession.range(1 << deepest).select(F.col("id").alias("slot")).join(cells, "slot", "left").fillna(0, ["n"])
