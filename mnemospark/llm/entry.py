@@ -16,9 +16,12 @@ _HOME = {
     "op8_toxicity": "toxicity",
     "op9_curve_neighbours": "curve_neighbours",
     "op10_line_dedup": "line_dedup",
+    "op11_sharding": "sharding",
+    "op12_prefix_trie": "prefix_trie",
+    "op13_merkle": "merkle",
 }
 #: Queries that SQL can express -> module whose ``ORACLE_SQL`` holds the text.
-_SQL: tuple[str, ...] = ("op3_chat_format", "op6_mixing", "op7_exact_dedup")
+_SQL: tuple[str, ...] = ("op3_chat_format", "op6_mixing", "op7_exact_dedup", "op12_prefix_trie", "op13_merkle")
 
 
 def queries() -> dict:
