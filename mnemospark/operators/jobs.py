@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from mnemospark.functions import scores as S
 from mnemospark.functions import text as T
 from mnemospark.operators import joins as J
+from mnemospark.operators import vectors as V
 from mnemospark.operators import windows as W
 from mnemospark.operators.aggregates import prune_singletons
 from mnemospark.operators.boosts import apply_boosts
@@ -101,6 +102,17 @@ def leader_clusters(pairs: DataFrame, ids: DataFrame, min_size: int = 3, max_rou
     return out.join(sizes.select("leader"), "leader", "left_semi").select("id", "leader")
 
 
+def vector_clusters(df: DataFrame, least: float = 0.70, min_size: int = 3, mode: str = "bands", recall: float = 0.99) -> DataFrame:
+    """(id, leader): leader clusters of vectors (id, vector) at a cosine of ``least``; equal vectors are one row of the clustering."""
+    reps, members = V.vector_classes(df)
+    reps, members = materialize(reps, "vector-classes"), materialize(members, "vector-members")
+    pairs = V.banded_pairs(reps, least, recall) if mode == "bands" else J.vector_pairs(reps, least)
+    lead = leader_clusters(pairs.select("a", "b"), reps.select("id"), 1)
+    whole = lead.join(members, "id").select(F.col("member").alias("id"), "leader")
+    sizes = whole.groupBy("leader").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_size).select("leader")
+    return whole.join(sizes, "leader", "left_semi").select("id", "leader")
+
+
 def archive_duplicates(entries: DataFrame, clusters: DataFrame) -> DataFrame:
     """Status of entries (id, score) in clusters: the best score stays, ties to the smaller id, the rest is archived."""
     j = entries.join(clusters, "id")

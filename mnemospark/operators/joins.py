@@ -11,10 +11,13 @@ from pyspark.sql import functions as F
 
 from mnemospark.functions import scores as S
 from mnemospark.functions import text as T
+from mnemospark.operators import vectors as V
 from mnemospark.operators.windows import keep_latest, rank_within
 
 # fixed values: BM25 constants (Robertson and Zaragoza 2009) and field weights
 K1, B = 1.2, 0.75
+# fixed values: cosines that count at all, what the floor is rescaled to, and factors by the query terms a text holds
+SIM_FLOOR, SCALE_BASE, NO_TERM, ALL_TERMS = 0.30, 0.55, 0.82, 0.08
 FIELD_WEIGHTS = {"text": 4.6, "source": 1.7, "tags": 2.2, "decision": 6.6, "context": 1.0}
 
 
@@ -63,39 +66,36 @@ def keyword_fallback(groups: DataFrame, postings: DataFrame, found: DataFrame, k
     return rank_within(hit, ["query_id"], [F.desc("matched"), F.desc("tf"), F.col("id")]).where(F.col("rank") <= k).select("query_id", "id", "matched", "tf", "rank")
 
 
-def vector_topk(queries: DataFrame, vectors: DataFrame, k: int, floor: float = 0.30, block_rows: int = 4096) -> DataFrame:
-    """Exact (query_id, id, cosine, rank): the k vectors nearest to each query above ``floor``.
+def vector_topk(queries: DataFrame, vectors: DataFrame, k: int, floor: float = 0.30, block_rows: int = 4096, mode: str = "exact", recall: float = 0.97) -> DataFrame:
+    """(query_id, id, cosine, rank): the k vectors nearest to each query above ``floor``; all of them, or by inverted lists (mode ``lists``) about ``recall``.
 
-    Queries (query_id, vector) and vectors (id, vector) are dealt into blocks; each pair of blocks is one
-    matrix product that keeps k rows a query. The query table is stated and small beside the vectors: the
-    work is its size times theirs, and no side goes out whole. Vectors of another length, zero or with
-    null or non-finite components are left out. A query with a column ``own`` leaves out the vector of that id.
+    Queries (query_id, vector[, own]) and vectors (id, vector) are those of ``vectors.nearest``.
     """
-    ok = lambda c: F.col(c).isNotNull() & F.forall(c, lambda x: x.isNotNull() & ~F.isnan(x)) & (S.norm(F.col(c)) > 0) & (S.norm(F.col(c)) < float("inf"))
-    n_q = max(1, -(-queries.count() // block_rows))
-    n_v = max(1, -(-vectors.count() // block_rows))
-    q = queries.where(ok("vector")).select(F.pmod(F.xxhash64("query_id"), F.lit(n_q)).alias("qb"), "query_id", (F.col("own") if "own" in queries.columns else F.lit(None)).cast("long").alias("own"), F.col("vector").cast("array<double>").alias("qv"), F.explode(F.sequence(F.lit(0), F.lit(n_v - 1))).alias("vb"))
-    v = vectors.where(ok("vector")).select(F.pmod(F.xxhash64("id"), F.lit(n_v)).cast("int").alias("wb"), "id", F.col("vector").cast("array<double>").alias("v"), F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))).alias("pb"))
-
-    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = {"query_id": [], "id": [], "cosine": []}
-        if len(left) and len(right):
-            a, b = np.stack(left["qv"].to_list()), np.stack(right["v"].to_list())
-            if a.shape[1] == b.shape[1]:
-                a, b, ids = a / np.linalg.norm(a, axis=1, keepdims=True), b / np.linalg.norm(b, axis=1, keepdims=True), right["id"].to_numpy()
-                for qid, own, line in zip(left["query_id"], left["own"], a @ b.T, strict=True):
-                    line[ids == own] = -np.inf
-                    order = np.lexsort((ids, -np.round(line, 9)))[:k]
-                    order = order[line[order] > floor]
-                    out["query_id"] += [qid] * len(order)
-                    out["id"] += ids[order].tolist()
-                    out["cosine"] += np.minimum(line[order], 1.0).tolist()
-        return pd.DataFrame(out).astype({"query_id": "int64", "id": "int64", "cosine": float})
-
-    met = q.groupBy(F.col("qb").cast("int"), "vb").cogroup(v.groupBy("pb", "wb")).applyInPandas(best, "query_id long, id long, cosine double")
+    met = V.nearest(queries, vectors, k, floor, mode, recall, block_rows)
     return rank_within(met, ["query_id"], [F.desc(F.round("cosine", 9)), F.col("id")]).where(F.col("rank") <= k)
 
 
+def semantic_candidates(queries: DataFrame, query_vectors: DataFrame, vectors: DataFrame, corpus: DataFrame, k: int = 120, floor: float = SIM_FLOOR, more: float = 0.12, mode: str = "exact", recall: float = 0.97) -> DataFrame:
+    """(query_id, source, id, relevance, rank): the k sources nearest to each query (query_id, query), by cosine and shared terms.
+
+    Cosines count above ``floor``, and by ``more`` above it for queries of three or more terms. They are rescaled from
+    the floor up, lowered where the text (id, text, source) holds no term of the query and raised by the share of terms it holds.
+    The best entry stands for a source. Every entry that terms could lift among the k is looked at.
+    """
+    terms = queries.select("query_id", F.array_distinct(T.search_keywords(F.col("query"))).alias("terms"))
+    span = (1.0 - SCALE_BASE) / (1.0 - floor)
+    cut = lambda c: floor + ((SCALE_BASE + (c - floor) * span) * NO_TERM / (1 + ALL_TERMS) - SCALE_BASE) / span
+    asked = query_vectors.join(terms, "query_id", "left").withColumn("floor", F.lit(floor) + F.when(F.size("terms") >= 3, more).otherwise(0.0))
+    rows = vectors.join(corpus.select("id", F.xxhash64("source").alias("grp")), "id")
+    near = V.nearest(asked, rows, k, floor, mode, recall, cut=cut)
+    met = near.join(terms, "query_id", "left").join(corpus.select("id", "source", F.lower("text").alias("low")), "id")
+    held = F.size(F.filter("terms", lambda t: F.contains(F.col("low"), t)))
+    lift = F.when(F.coalesce(F.size("terms"), F.lit(0)) <= 0, 1.0).when(held == 0, NO_TERM).otherwise(1.0 + held / F.size("terms") * ALL_TERMS)
+    scored = met.select("query_id", "source", "id", F.round((SCALE_BASE + (F.col("cosine") - floor) * span) * lift, 9).alias("relevance"))
+    best = scored.groupBy("query_id", "source").agg(F.min(F.struct((-F.col("relevance")).alias("r"), "id")).alias("x")).select("query_id", "source", "x.id", (-F.col("x.r")).alias("relevance"))
+    return rank_within(best, ["query_id"], [F.desc("relevance"), F.col("source")]).where(F.col("rank") <= k)
+
+
 def vector_pairs(df: DataFrame, least: float, block_rows: int = 2048) -> DataFrame:
     """Exact pairs (a, b, cosine) with a < b and cosine of ``least`` or more, in blocks, each pair of blocks once."""
     n = max(1, -(-df.count() // block_rows))
@@ -118,14 +118,25 @@ def vector_pairs(df: DataFrame, least: float, block_rows: int = 2048) -> DataFra
     return left.groupBy("x", "y").cogroup(right.groupBy("p", "q")).applyInPandas(near, "a long, b long, cosine double")
 
 
-def near_dup_vectors(df: DataFrame, tokens: DataFrame, hard: float = 0.92, review: float = 0.90, overlap: float = 0.70, most: int = 3) -> DataFrame:
+def near_dup_vectors(df: DataFrame, tokens: DataFrame, hard: float = 0.92, review: float = 0.90, overlap: float = 0.70, most: int = 3, mode: str = "exact", recall: float = 0.99) -> DataFrame:
     """Pairs of near-duplicate vectors: hard above one cosine, or review above another and token overlap.
 
-    ``tokens`` has (id, tokens). Of each row its ``most`` likest are tested, as hard or review.
+    ``tokens`` has (id, tokens). Of each row its ``most`` likest are tested, as hard or review. By hyperplane bands (mode ``bands``)
+    equal vectors are one class, so copies are never paired with each other; every row still gets its ``most`` likest.
     """
-    pairs = vector_pairs(df, review)
+    if mode == "bands":
+        reps, members = V.vector_classes(df)
+        pairs = V.banded_pairs(reps, review, recall)
+    else:
+        pairs = vector_pairs(df, review)
+    order = [F.desc(F.round("cosine", 9)), F.col("other")]
     both = pairs.select(F.col("a").alias("id"), F.col("b").alias("other"), "cosine").unionByName(pairs.select(F.col("b").alias("id"), F.col("a").alias("other"), "cosine"))
-    best = rank_within(both, ["id"], [F.desc(F.round("cosine", 9)), F.col("other")]).where(F.col("rank") <= most)
+    best = rank_within(both, ["id"], order).where(F.col("rank") <= most)
+    if mode == "bands":
+        classes = best.select("id", "other", "cosine").unionByName(reps.select("id", F.col("id").alias("other"), F.lit(1.0).alias("cosine")))
+        first = rank_within(members, ["id"], [F.col("member")]).where(F.col("rank") <= most + 1).select(F.col("id").alias("other"), F.col("member").alias("partner"))
+        met = members.join(classes.join(first, "other"), "id").where("member <> partner").select(F.col("member").alias("id"), F.col("partner").alias("other"), "cosine")
+        best = rank_within(met, ["id"], order).where(F.col("rank") <= most)
     j = best.join(tokens, "id").join(tokens.select(F.col("id").alias("other"), F.col("tokens").alias("t2")), "other")
     kind = F.when(F.col("cosine") > hard, "hard").when(T.jaccard(F.col("tokens"), F.col("t2")) > overlap, "review")
     return j.withColumn("kind", kind).where("kind is not null").select("id", "other", "cosine", "kind")

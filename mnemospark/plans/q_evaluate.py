@@ -8,6 +8,7 @@ from mnemospark.functions import text as T
 from mnemospark.operators import evaluate as op
 from mnemospark.operators import joins
 from mnemospark.plans.fixtures import duck, view
+from mnemospark.plans.scratch import materialize
 from mnemospark.plans.q_joins import _J9, _docs, _groups
 from mnemospark.plans.q_windows import _CAND, _candidates
 
@@ -19,16 +20,13 @@ def _rating(s, d):
 def _metrics(s, d):
     """Keyword retrieval of benchmark passages, measured against the documents that quote them."""
     docs = _docs(s, d)
-    post = joins.build_postings(docs, ["text"])
-    found = joins.keyword_candidates(_groups(s, d), post, 10)
-    every = found.unionByName(joins.keyword_fallback(_groups(s, d), post, found, 10))
+    post = materialize(joins.build_postings(docs, ["text"]), "postings")
+    groups = materialize(_groups(s, d), "term-groups")
+    found = materialize(joins.keyword_candidates(groups, post, 10), "keyword-strict")
+    every = found.unionByName(joins.keyword_fallback(groups, post, found, 10))
     results = every.join(docs.select("id", T.tokens(F.col("text")).alias("tokens")), "id")
     items = s.read.parquet(f"{d}/benchmark.parquet").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"))
-    # what quotes a passage holds its second to sixth words as words of its own: documents meet passages on them, then the whole passage is sought
-    five = lambda words, i: F.xxhash64(F.array_join(F.slice(words, i, 5), " "))
-    grams = lambda c: F.transform(F.sequence(F.lit(1), F.greatest(F.size(F.split(c, " ", -1)) - 4, F.lit(1))), lambda i: five(F.split(c, " ", -1), i))
-    meets = docs.select("id", F.explode(F.array_distinct(grams("text"))).alias("at")).join(items.select("query_id", five(F.split("passage", " ", -1), F.lit(2)).alias("at")), "at")
-    gold = meets.select("id", "query_id").join(items, "query_id").join(docs, "id").where(F.col("text").contains(F.col("passage"))).select("query_id", "id")
+    gold = op.quotations(docs, items)
     return op.retrieval_metrics(results.select("query_id", "id", "rank", "tokens"), gold)
 
 

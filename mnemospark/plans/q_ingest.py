@@ -108,6 +108,21 @@ def str07(s, d):
     return st.task_durations(_ev(s, d).select((F.col("event_id") % 500).alias("task"), state.alias("state"), t.alias("t")).where("state is not null"))
 
 
+def str08(s, d):
+    """The events as a feed that comes in three parts, the stream stopped and started again before each."""
+    import uuid
+
+    run = f"{shared_dir(s)}/feed-{uuid.uuid4().hex}"
+    feed = _ev(s, d).select(F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("ts"), F.col("agent").alias("author"), F.floor(F.dayofmonth("ts") / 12).alias("part"))
+    acks = s.createDataFrame([("u1", 900), ("u2", 500), ("u3", 7777), ("u4", None)], "agent string, ack_id long")
+    anchors = acks.join(feed.select(F.col("id").alias("ack_id"), F.col("ts").alias("ack_ts")), "ack_id", "left").select("agent", "ack_id", "ack_ts")
+    for part in range(3):
+        feed.where(F.col("part") == part).select("id", "ts", "author").write.mode("append").parquet(f"{run}/feed")
+        rows = s.readStream.schema("id long, ts timestamp, author string").parquet(f"{run}/feed")
+        st.run_unread(rows, anchors, f"{run}/out", f"{run}/state").awaitTermination()
+    return s.read.schema("agent string, id long").parquet(f"{run}/out")
+
+
 QUERIES = {
     "src01_load_corpus": lambda s, d: src.load_corpus(s, d)["documents"].groupBy("lang").agg(F.count(F.lit(1)).alias("n")),
     "src02_explode_conversations": src02,
@@ -125,7 +140,7 @@ QUERIES = {
     "str03_rate_audit": lambda s, d: st.rate_audit(_ev(s, d), 3, 7200, ["event_type", "operation"]).select("event_id", "accepted"),
     "str03_load_count": lambda s, d: st.load_count(_ev(s, d), ["event_type"], 3600).select("event_id", "load"),
     "str04_sessions": lambda s, d: st.sessions(_ev(s, d), AS_OF),
-    "str05_stream_pairs": str05, "str06_lock_audit": str06, "str07_task_durations": str07,
+    "str05_stream_pairs": str05, "str06_lock_audit": str06, "str07_task_durations": str07, "str08_unread_stream": str08,
 }
 
 _MEM, _EV, _TURN = duck("v_memory"), duck("v_event"), duck("v_turn")
@@ -156,6 +171,9 @@ SQL = {
     "str02_batch_dedup": f"{_EV}, p as (select event_id, ts, lag(ts) over (partition by event_type, hits order by ts, event_id) as prev from v_event) select event_id from p where prev is null or epoch_us(ts) - epoch_us(prev) > 600000000",
     "str03_load_count": f"{_EV}, t as (select event_id, event_type, {_S} as t from v_event) select event_id, count(*) over (partition by event_type order by t range between 3600 preceding and current row) as load from t",
     "str04_sessions": f"{_EV}, t as (select agent, event_id, ts, epoch(date_trunc('second', ts))::bigint as t from v_event), n as (select *, coalesce((t - lag(t) over w > 7200)::int, 1) as new from t window w as (partition by agent order by ts, event_id)), s as (select *, sum(new) over (partition by agent order by ts, event_id) as session from n) select agent, session::bigint as session, min(t) as started, max(t) as ended, count(*) as beats, epoch(timestamp '{AS_OF}')::bigint - max(t) < 75 as active from s group by 1, 2",
+    "str08_unread_stream": f"""{_EV}, a(agent, ack) as (values ('u1', 900), ('u2', 500), ('u3', 7777), ('u4', null)), k as (select a.agent, e.ts, ack from a left join v_event e on e.event_id = ack),
+      l as (select *, day(ts) // 12 as part from v_event), f as (select k.agent, event_id, row_number() over (partition by k.agent order by l.ts desc, event_id desc) as rn from k join l on k.ts is null and k.agent <> l.agent where part = 0)
+      select k.agent, e.event_id as id from k join v_event e on (e.ts, e.event_id) > (k.ts, k.ack) where k.ts is not null and k.agent <> e.agent union all select agent, event_id from f where rn <= 200 union all select k.agent, event_id from k join l on k.ts is null and k.agent <> l.agent where part > 0""",
     "str06_lock_audit": f"{_EV}, l as (select event_id as id, 'p' || k as path, agent, {_S} as s, {_S} + 600 + k * 60 as e from v_event) select x.path, x.id as a, y.id as b, least(x.e, y.e) - greatest(x.s, y.s) as overlap from l x join l y on x.path = y.path and x.id < y.id and x.agent <> y.agent and x.s < y.e and y.s < x.e",
     "str07_task_durations": f"{_EV}, t as (select event_id % 500 as task, case event_type when 'view' then 'pending' when 'click' then 'claimed' when 'purchase' then 'completed' when 'error' then 'abandoned' end as state, {_S} as t from v_event where event_type <> 'signup') select task, min(t) filter (where state = 'claimed') - min(t) filter (where state = 'pending') as waited, min(t) filter (where state in ('completed', 'abandoned')) - min(t) filter (where state = 'claimed') as worked, arg_max(state, (t, state)) as last from t group by 1",
 }

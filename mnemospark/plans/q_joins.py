@@ -101,6 +101,14 @@ def j11(s, d):
     return op.vector_topk(*_vectors(s, d), 10, 0.2).select("query_id", "rank", "id", F.round("cosine", 6).alias("cosine"))
 
 
+def j11_candidates(s, d):
+    """Benchmark passages with the vectors linked to them, over the documents that have a vector."""
+    corpus = _mem(s, d).select("id", "text", F.concat(F.lit("src"), (F.col("id") % 120).cast("string")).alias("source"))
+    queries, vectors = _vectors(s, d)
+    linked = queries.withColumn("query_id", (F.col("query_id") / 50).cast("long"))
+    return op.semantic_candidates(view(s, d, "v_query"), linked, vectors, corpus, 40, 0.0).withColumn("relevance", F.round("relevance", 6))
+
+
 def j12(s, d):
     v = view(s, d, "v_vector").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
     tokens = v.select("id", F.transform(F.slice("vector", 1, 6), lambda x: F.when(x > 0, "p").otherwise("n")).alias("t")).select("id", F.array_distinct(F.transform("t", lambda x, i: F.concat(x, i.cast("string")))).alias("tokens"))
@@ -158,7 +166,8 @@ QUERIES = {
     "j01_join_targets": j01, "j02_unfold": j02, "j03_unfold_sources": j03, "j04_open_conflicts": j04, "j05_prune_orphans": j05,
     "j06_embedding_backlog": lambda s, d: op.embedding_backlog(_mem(s, d), _emb(s, d), "mini").select("id"),
     "j07_prune_covered": lambda s, d: op.prune_covered(_emb(s, d), _members(s, d)).select("vec_id"),
-    "j08_purge_tagged": j08, "j09_keyword_candidates": j09, "j10_keyword_fallback": j10, "a19_bm25": a19, "j11_vector_topk": j11,
+    "j08_purge_tagged": j08, "j09_keyword_candidates": j09, "j10_keyword_fallback": j10, "a19_bm25": a19, "j11_vector_topk": j11, "j11_semantic_candidates": j11_candidates,
+    "j11_vector_topk_lists": lambda s, d: op.vector_topk(*_vectors(s, d), 10, 0.2, mode="lists").select("query_id", "rank", "id", F.round("cosine", 6).alias("cosine")),
     "j12_near_dup_vectors": j12, "j13_jaccard_join": j13, "j13_jaccard_classes": j13_classes, "j14_latest_per_owner": j14, "j15_associate": j15,
     "j16_unread": j16, "j17_dangling_refs": j17, "j18_join_gold": j18, "j19_match_recent_query": j19,
 }
@@ -184,6 +193,12 @@ SQL = {
     "j10_keyword_fallback": f"{_J9}, f2 as (select *, row_number() over (partition by query_id order by matched desc, tf desc, id)::integer as rank from h where query_id not in (select query_id from k)) select query_id, id, matched, tf, rank from f2 where rank <= 10",
     "a19_bm25": f"{_TERMS}, sp as (select doc_id as id, unnest({_KW.format(c=chr(39) + 'doc::' + chr(39) + ' || doc_id')}) as term from documents), pp as (select term, id, 'text' as field, count(*) as tf from dw group by 1, 2 union all select term, id, 'source', count(*) from sp group by 1, 2), ln as (select id, field, sum(tf) as len from pp group by 1, 2), av as (select field, sum(len) as total from ln group by 1), df as (select term, count(distinct id) as df from pp group by 1), nn as (select count(*) as n from documents), x as (select query_id, id, count(distinct term) as matched, round(sum(case field when 'text' then 4.6 else 1.7 end::double * ln(1 + (n - df + 0.5::double) / (df + 0.5::double)) * tf * 2.2::double / (tf + 1.2::double * (0.25::double + 0.75::double * len / (total / n)))), 6) as bm25 from qt join pp using (term) join ln using (id, field) join av using (field) join df using (term), nn group by 1, 2), r as (select *, row_number() over (partition by query_id order by bm25 desc, id) as rn from x) select query_id, id, matched, bm25 from r where rn <= 10",
     "j11_vector_topk": f"with p as (select a.vec_id as query_id, b.vec_id as id, {_SIM} as c from embeddings a, embeddings b where a.vec_id % 50 = 0 and b.vec_id <> a.vec_id), r as (select *, row_number() over (partition by query_id order by round(c, 9) desc, id)::integer as rank from p where c > 0.2) select query_id, rank, id, round(c, 6) as cosine from r where rank <= 10",
+    "j11_semantic_candidates": f"""with q as (select item_id as query_id, list_distinct({_KW.format(c='text')}) as terms from benchmark),
+      p as (select a.vec_id // 50 as query_id, b.vec_id as id, {_SIM} as c from embeddings a, embeddings b where a.vec_id % 50 = 0 and b.vec_id <> a.vec_id),
+      s as (select query_id, id, 'src' || (id % 120) as source, c, coalesce(len(terms), 0) as n, coalesce(len(list_filter(terms, lambda t: contains(lower(text), t))), 0) as held from p join documents on doc_id = id left join q using (query_id)),
+      r as (select query_id, id, source, round((0.55::double + c * 0.45::double) * case when n = 0 then 1.0::double when held = 0 then 0.82::double else 1.0::double + held / n * 0.08::double end, 9) as relevance from s where c > case when n >= 3 then 0.12::double else 0.0::double end),
+      b as (select *, row_number() over (partition by query_id, source order by relevance desc, id) as one from r), k as (select query_id, source, id, relevance, row_number() over (partition by query_id order by relevance desc, source)::integer as rank from b where one = 1)
+      select query_id, source, id, round(relevance, 6) as relevance, rank from k where rank <= 40""",
     "j12_near_dup_vectors": f"with v as (select vec_id as id, embedding, list_transform(range(0, 6), lambda i: case when embedding[i + 1] > 0 then 'p' else 'n' end || i) as t from embeddings), p as (select a.id, b.id as other, {_SIM} as c, a.t as ta, b.t as tb from v a, v b where a.id <> b.id and {_SIM} >= 0.35), r as (select *, row_number() over (partition by id order by round(c, 9) desc, other) as rn from p), k as (select *, case when c > 0.42 then 'hard' when len(list_intersect(ta, tb)) / (12.0::double - len(list_intersect(ta, tb))) > 0.3 then 'review' end as kind from r where rn <= 3) select id, other, round(c, 6) as cosine, kind from k where kind is not null",
     "j13_jaccard_join": f"with {_SETS} select a.id as a, b.id as b, round(len(list_intersect(a.t, b.t)) / (len(a.t) + len(b.t) - len(list_intersect(a.t, b.t))), 6)::double as jaccard from reps a join reps b on a.id < b.id and len(a.t) >= 0.6 * len(b.t) and len(b.t) >= 0.6 * len(a.t) where len(a.t) > 0 and len(list_intersect(a.t, b.t)) >= 0.6::double * (len(a.t) + len(b.t) - len(list_intersect(a.t, b.t))) - 1e-9",
     "j13_jaccard_classes": f"with {_SETS} select reps.id, s.id as member from s join reps using (t)",

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 FLAGSHIP = "job01_hybrid_retrieve"
 #: Modules with ``QUERIES`` (name -> function of spark and folder) and ``SQL`` (name -> DuckDB text).
-MODULES: tuple[str, ...] = ("q_filters", "q_aggregates", "q_windows", "q_joins", "q_evaluate", "q_jobs", "q_ingest", "q_boosts")
+MODULES: tuple[str, ...] = ("q_filters", "q_aggregates", "q_windows", "q_joins", "q_evaluate", "q_jobs", "q_ingest", "q_boosts", "q_details")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
