@@ -8,11 +8,15 @@ from mnemospark.functions import text as T
 from mnemospark.operators import aggregates as agg
 from mnemospark.operators import jobs as op
 from mnemospark.operators import joins as J
+from mnemospark.operators.admission import admit_batch
+from mnemospark.operators.capsule import SECTIONS, capsule_items, context_capsule
+from mnemospark.operators.consolidate import consolidate
 from mnemospark.operators.boosts import ENTROPY_RATES
 from mnemospark.plans.fixtures import AS_OF, duck, view
 from mnemospark.plans.q_boosts import HEADS, lifted
 from mnemospark.plans.q_joins import _TERMS, _edges, _emb, _tokens
 from mnemospark.plans.q_windows import _CAND, _candidates
+from mnemospark.plans.scratch import shared_dir
 
 
 def _mem(s, d):
@@ -119,7 +123,45 @@ def job03(s, d):
     return op.retrieve_budgeted(hybrid_retrieve(s, d), edges, corpus, view(s, d, "v_query"), 4000)
 
 
+def job06_consolidate(s, d):
+    """Labelled vectors as clusters: a third of them, then all, then all again; what is current, with the version that each crystal has."""
+    import uuid
+
+    path = f"{shared_dir(s)}/crystals-{uuid.uuid4().hex}"
+    docs = _mem(s, d).select("id", "text")
+    entries = view(s, d, "v_vector").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), F.col("label").cast("long").alias("leader")).join(docs, "id")
+    for rows in (entries.where("id % 3 = 0"), entries, entries):
+        found = consolidate(rows.select("id", "text", "vector"), rows.select("id", "leader"), path)
+    return found.select("id", "label", "size", "version")
+
+
+def job12(s, d):
+    rows = _mem(s, d).select("id", F.concat(F.lit("a"), (F.col("id") % 4).cast("string")).alias("agent"), F.col("trust_score").alias("trust"), "text", F.lit(None).cast("string").alias("context"), F.col("score"), F.lit(50).alias("quality"), F.lit(0).cast("long").alias("merged"), "status")
+    decisions, table = admit_batch(rows.where("id % 2 = 1").select("id", "agent", "trust", "text", "context"), rows.where("id % 2 = 0"), negations=["erth", "ung"], flips=[("tion", "heit")])
+    return decisions.join(table.select("id", "status", "score", "quality", "merged"), "id", "left")
+
+
+def job11_items(s, d):
+    e = view(s, d, "v_event")
+    n = F.col("event_id")
+    agents = e.groupBy("agent").agg(F.max(F.when(n % 7 == 0, n)).alias("boot"), F.max(F.when(n % 11 == 0, n)).alias("seen"))
+    when = e.select(n.alias("x"), F.col("ts").alias("t"))
+    agents = agents.join(when.withColumnRenamed("x", "boot").withColumnRenamed("t", "last_boot"), "boot", "left").join(when.withColumnRenamed("x", "seen").withColumnRenamed("t", "seen_ts"), "seen", "left").select("agent", "last_boot", "seen_ts", F.col("seen").alias("seen_id"))
+    messages = e.where("event_type = 'purchase'").select(n.alias("id"), F.concat(F.lit("u"), n % 150).alias("recipient"), F.col("agent").alias("sender"), F.concat(F.lit("m"), n).alias("text"), "ts")
+    sessions = e.where("event_id % 97 = 0").select(n.alias("id"), "agent", F.col("event_type").alias("project"), F.concat(F.lit("s"), n).alias("description"), "ts")
+    locks = e.where("event_id % 89 = 0").select(n.alias("id"), F.concat(F.lit("p"), "k").alias("path"), F.col("agent").alias("holder"), "ts")
+    feed = e.where("event_type = 'view'").select(n.alias("id"), F.col("agent").alias("author"), F.col("operation").alias("kind"), F.concat(F.lit("f"), n).alias("summary"), "ts")
+    tasks = view(s, d, "v_task").select(F.col("task_id").alias("id"), F.concat(F.lit("t"), "task_id").alias("title"), "priority", "status", F.concat(F.lit("u"), F.col("task_id") % 150).alias("owner"))
+    m = _mem(s, d)
+    status = F.when(F.col("id") % 31 == 0, "disputed").otherwise(F.col("status"))
+    decisions = m.select("id", F.col("source").alias("text"), F.concat(F.lit("u"), F.col("id") % 150).alias("author"), status.alias("status"), (F.col("id") - 1).alias("disputes"), F.col("created_at").alias("ts"))
+    memories = m.select("id", "text", F.col("lang").alias("kind"), "status", F.col("updated_at").alias("ts"))
+    return capsule_items(agents, messages, sessions, locks, feed, tasks, decisions, memories, e.select(F.col("event_type").alias("kind"), "ts"))
+
+
 QUERIES = {
+    "job06_consolidate": job06_consolidate, "job12_admit_batch": job12, "job11_capsule_items": job11_items,
+    "job11_context_capsule": lambda s, d: context_capsule(job11_items(s, d), 260),
     "f11_novelty": f11, "job02_semantic_retrieve": job02, "job03_budgeted_retrieve": job03,
     "job01_hybrid_retrieve": hybrid_retrieve, "job04_headlines": job04, "job05_leader_clusters": _leaders, "job05_leader_vectors": job05_vectors,
     "job06_summaries": lambda s, d: op.summarize_clusters(_mem(s, d), _leaders(s, d)),
@@ -160,6 +202,28 @@ _RETRIEVE = (
   select query_id, rank, id, source, relevance, round(rrf, 9) as rrf, method, entropy, entity, alignment from y where rank <= 10"""
 )
 
+_WORDS = "list_filter(list_filter(string_split(regexp_replace(lower(text), '[^a-z0-9-]+', ' ', 'g'), ' '), lambda w: w <> ''), lambda w: length(w) > 2 and not list_contains([" + ", ".join(f"'{x}'" for x in T.STOPWORDS) + "], w))"
+_LEVEL = "case priority when 'critical' then 1 when 'high' then 2 when 'medium' then 3 else 4 end"
+#: Per section: its lines (agent, o: order, line).
+_SECTION_SQL = {
+    "## Pending Messages": "select 'u' || (event_id % 150) as agent, row_number() over (partition by event_id % 150 order by ts desc, event_id desc) as o, 'From ' || agent || ': \"m' || event_id || '\"' as line from v_event where event_type = 'purchase'",
+    "## Active Agents": "select a.agent, row_number() over (partition by a.agent order by ts desc, event_id desc) as o, e.agent || ' working on ' || event_type || ': \"s' || event_id || '\"' from a join v_event e on e.agent <> a.agent where event_id % 97 = 0",
+    "## Active Locks": "select a.agent, row_number() over (partition by a.agent order by ts desc, event_id desc), 'p' || k || ' locked by ' || e.agent from a, v_event e where event_id % 89 = 0",
+    "## Feed": "select a.agent, row_number() over (partition by a.agent order by e.ts desc, event_id desc), '[' || operation || '] ' || e.agent || ': f' || event_id from a join v_event e on e.agent <> a.agent where event_type = 'view' and (seen is null or (e.ts, event_id) > (seen_ts, seen))",
+    "## Pending Tasks": f"select a.agent, row_number() over (partition by a.agent order by {_LEVEL}, task_id), '[' || priority || '] t' || task_id from a, v_task where status = 'pending'",
+    "## Your Active Tasks": f"select 'u' || (task_id % 150), row_number() over (partition by task_id % 150 order by {_LEVEL}, task_id), '[' || priority || '] t' || task_id from v_task where status = 'claimed'",
+    "CONFLICTS:": "select a.agent, row_number() over (partition by a.agent order by m.created_at desc, m.id desc), '#' || m.id || ' (u' || (m.id % 150) || '): ' || m.source || coalesce(' vs #' || (m.id - 1) || ' (u' || (p.id % 150) || '): ' || p.source, '') from a, v_memory m left join v_memory p on p.id = m.id - 1 where m.id % 31 = 0",
+    "New decisions:": "select a.agent, row_number() over (partition by a.agent order by m.created_at desc, m.id desc), '[u' || (m.id % 150) || '] ' || m.source from a join v_memory m on m.created_at >= a.boot_ts where m.status = 'active' and m.id % 31 <> 0",
+    "Recent decisions:": "select a.agent, row_number() over (partition by a.agent order by m.created_at desc, m.id desc), m.source from a join v_memory m on a.boot is null where m.status = 'active' and m.id % 31 <> 0",
+    "New knowledge:": "select a.agent, row_number() over (partition by a.agent order by m.updated_at desc, m.id desc), '[' || lang || '] ' || left(text, 100) from a join v_memory m on m.updated_at >= a.boot_ts where m.status = 'active'",
+}
+_ITEMS = (
+    duck("v_event", "v_memory", "v_task").replace("with ", "with recursive ", 1)
+    + ", b as (select agent, max(event_id) filter (where event_id % 7 = 0) as boot, max(event_id) filter (where event_id % 11 = 0) as seen from v_event group by 1), a as (select b.*, x.ts as boot_ts, y.ts as seen_ts from b left join v_event x on x.event_id = boot left join v_event y on y.event_id = seen), parts as ("
+    + " union all ".join(f"select agent, '{k}' as section, {SECTIONS[k][0]}::double as priority, '{k}' || chr(10) || '- ' || string_agg(line, chr(10) || '- ' order by o) as text from ({q}) q(agent, o, line) where o <= {SECTIONS[k][1]} and agent in (select agent from a) group by 1" for k, q in _SECTION_SQL.items())
+    + f" union all select agent, 'Activity since last boot:', {SECTIONS['Activity since last boot:'][0]}::double, 'Activity since last boot: ' || string_agg(n || ' ' || replace(event_type, '_', ' '), ', ' order by event_type) from (select a.agent, event_type, count(*) as n from a join v_event e on e.ts > a.boot_ts group by 1, 2) group by 1), items as (select *, ceil(strlen(text) / 3.8::double)::bigint as tokens from parts)"
+)
+
 SQL = {
     "f11_novelty": f"{_MEM}, {_TOK}, r as (select m.owner_id, t.t, row_number() over (partition by m.owner_id order by m.created_at desc, m.id desc) as rn from v_memory m join t on t.id = m.id where m.status = 'active' and m.id % 4 <> 0), x as (select m.id, 1 - coalesce(max(case when len(t.t) + len(r.t) = 0 then 1.0 else {_JJ.format(a='t.t', b='r.t')} end), 0) as s from v_memory m join t on t.id = m.id left join r on r.owner_id = m.owner_id and rn <= 50 where m.id % 4 = 0 group by 1) select id, round(s, 6)::double as surprise, round(s, 9) >= 0.25 as admitted from x",
     "job02_semantic_retrieve": f"{_MEM}, p as (select a.vec_id as query_id, b.vec_id as id, list_dot_product(a.embedding::double[], b.embedding::double[]) / sqrt(list_dot_product(a.embedding::double[], a.embedding::double[]) * list_dot_product(b.embedding::double[], b.embedding::double[])) as c from embeddings a, embeddings b where a.vec_id % 50 = 0 and b.vec_id <> a.vec_id), k as (select *, row_number() over (partition by query_id order by round(c, 9) desc, id) as r from p where c > 0.2), s as (select query_id, k.id, source, round(c * (1 + (1 / (1 + (epoch({_NOW}) - epoch(created_at)) / 86400.0::double / 14) - 0.5::double) * 0.16::double), 4) as relevance from k join v_memory m on m.id = k.id where r <= 50), t as (select *, row_number() over (partition by query_id order by relevance desc, source)::integer as rank from s) select query_id, rank, id, source, relevance from t where rank <= 10",
@@ -173,6 +237,17 @@ SQL = {
       union all select 'orphans', (select count(*) from embeddings), (select count(*) from embeddings where vec_id * 3 in (select id from l where status = 'active')) union all select 'singletons', count(*), sum((n >= 2)::int)::bigint from e""",
     "m03_term_groups": duck("v_query")
     + ", w as (select distinct query_id, unnest(list_filter(list_filter(string_split(regexp_replace(lower(query), '[^a-z0-9-]+', ' ', 'g'), ' '), lambda w: w <> ''), lambda w: length(w) > 1)) as \"group\" from v_query) select query_id, \"group\", \"group\" as term from w union all select query_id, \"group\", s from w join (values ('erth', 'earth'), ('the', 'tha'), ('der', 'die')) y(t, s) on t = \"group\"",
+    "job11_capsule_items": f"{_ITEMS} select agent, section, priority, text, tokens from items",
+    "job11_context_capsule": f"""{_ITEMS}, r as (select *, row_number() over (partition by agent order by priority desc, section) as i from items),
+      f as (select agent, 0::bigint as i, 260::bigint as room, null::varchar as section, 0::bigint as used from (select distinct agent from r) union all
+        select f.agent, f.i + 1, f.room - (case when r.tokens <= f.room then r.tokens when r.priority >= 0.7 and f.room > 0 then f.room else 0 end), r.section, case when r.tokens <= f.room then r.tokens when r.priority >= 0.7 and f.room > 0 then f.room else 0 end from f join r on r.agent = f.agent and r.i = f.i + 1)
+      select agent, section, used from f where used > 0""",
+    "job06_consolidate": f"""with e as (select vec_id as id, label as leader, text from embeddings join documents on doc_id = vec_id), w as (select p, leader, id, unnest({_WORDS}) as word from (select 0 as p, * from e where id % 3 = 0 union all select 1, * from e)),
+      n as (select p, leader, count(*) as size from (select 0 as p, * from e where id % 3 = 0 union all select 1, * from e) group by 1, 2), c as (select p, leader, word, count(*) as tf, count(distinct id) as df, any_value(size) as k from w join (select p, leader, count(distinct id) as size from w group by 1, 2) using (p, leader) group by 1, 2, 3),
+      t as (select *, row_number() over (partition by p, leader order by round(tf * greatest(ln(k / df), 0.1::double), 9) desc, word) as rn from c where df >= 0.4::double * k), l as (select n.p, n.leader, n.size, coalesce(string_agg(word, '-' order by rn) filter (where rn <= 4), 'misc') as label from n left join t using (p, leader) group by 1, 2, 3),
+      u as (select p, label, arg_max(size, leader) as size, min(leader) as first from l group by 1, 2), o as (select label, size, row_number() over (order by first, label) as id from u where p = 0), z as (select * from u where p = 1)
+      select o.id, o.label, coalesce(z.size, o.size) as size, case when z.label is null or z.size = o.size then 1 else 2 end as version from o left join z using (label)
+      union all select (select count(*) from o) + row_number() over (order by z.first, z.label), z.label, z.size, 2 from z where label not in (select label from o)""",
     "m22_classify_pairs": f"with {_TOK}, {_PAIRS.format(on='x.id < y.id')} select {_CLASS} as class, count(*) as n from p group by 1",
     "m23_resolve_incoming": f"""with {_TOK}, {_PAIRS.format(on='x.id % 2 = 1 and y.id % 2 = 0')}, r as (select *, row_number() over (partition by a order by round(s, 9) desc, b) as rn from p), c as (select a, b, {_CLASS} as class from r where rn = 1),
       j as (select t.id, b as target, coalesce(class, 'UNRELATED') as class, (t.id * 53) % 100 as trust, (b * 53) % 100 as trust2, t.id % 4 = b % 4 as same from t left join c on c.a = t.id where t.id % 2 = 1)

@@ -39,3 +39,8 @@ def discard(*tables: DataFrame) -> None:
     for table in tables:
         path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table._scratch_path)
         path.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(at)
