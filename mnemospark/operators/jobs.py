@@ -66,21 +66,38 @@ def headlines(results: DataFrame, corpus: DataFrame) -> DataFrame:
     return j.groupBy("query_id").agg(F.count(F.lit(1)).alias("results"), F.sum(T.tokens(F.col("text"))).alias("full"), F.sum(T.tokens(F.col("source"))).alias("served")).withColumn("saved", F.col("full") - F.col("served"))
 
 
-def leader_clusters(pairs: DataFrame, ids: DataFrame, min_size: int = 3, max_rounds: int = 400) -> DataFrame:
+def _rest_in_order(edges: DataFrame) -> DataFrame:
+    """(b): the rows among open edges (a, b), both ways, that follow a leader, by one pass over ascending ids in one task."""
+
+    def settle(part: pd.DataFrame) -> pd.DataFrame:
+        back = part[part["b"] < part["a"]].sort_values(["a", "b"])
+        follows: set[int] = set()
+        for x, y in zip(back["a"].tolist(), back["b"].tolist(), strict=True):
+            if y not in follows:
+                follows.add(x)
+        return pd.DataFrame({"b": sorted(follows)}, dtype="int64")
+
+    return edges.select("a", "b", F.lit(0).alias("all")).groupBy("all").applyInPandas(settle, "b long")
+
+
+def leader_clusters(pairs: DataFrame, ids: DataFrame, min_size: int = 3, max_rounds: int = 400, in_one: int = 2_000_000) -> DataFrame:
     """(id, leader) as a sequential pass over ascending ids would cluster them.
 
     ``pairs`` (a, b) are alike. A row leads if no leader before it is like it; any other joins the first
     leader that is. In rounds: a row without an open smaller neighbour leads, its open neighbours
-    follow, and only edges between open rows stay, so rounds shrink. Clusters below ``min_size`` are dropped at the end. It raises an error after ``max_rounds``.
+    follow, and only edges between open rows stay, so rounds shrink. As soon as no more than ``in_one`` edges (both ways counted) are open, one
+    task, whose memory this bounds, passes over the rest in order; so long chains take no rounds of their own. Clusters below ``min_size`` are dropped at
+    the end. It raises an error if more edges are open after ``max_rounds``.
     """
     both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
     both = materialize(both, "cluster-edges")
     edges, followers = both, []
     for _ in range(max_rounds):
+        if edges.count() <= in_one:
+            followers.append(materialize(_rest_in_order(edges), "cluster-followers"))
+            break
         leads = edges.groupBy("a").agg(F.min("b").alias("low")).where("a < low").select("a")
         touched = materialize(edges.join(leads, "a").select("b").distinct(), "cluster-followers")
-        if touched.isEmpty():
-            break
         followers.append(touched)
         # an edge of a leader has a follower at its other end
         rest = edges.join(touched.withColumnRenamed("b", "a"), "a", "left_anti").join(touched, "b", "left_anti")

@@ -46,13 +46,20 @@ def batch_dedup(served: DataFrame, keys: list[str], ttl_seconds: int = 60) -> Da
 def rate_audit(requests: DataFrame, limit: int, window_seconds: float, keys: list[str]) -> DataFrame:
     """Accepted or denied for requests (event_id, ts, keys): at most ``limit`` accepted in the window before; denied ones don't count.
 
-    The decision needs the accepted ones in order, so a key's requests are folded in time order by one task, in
-    Arrow batches that carry only the last ``limit`` accepted times from one to the next.
+    A request that comes a whole window or more after the one before it starts afresh, so a key's requests are cut into pieces at such gaps and pieces are folded in
+    time order apart from each other, in Arrow batches that carry only the last ``limit`` accepted times from one to the next. Gaps of
+    a window lie between spans of a window: only the spans' first and last times are ordered per key, not the requests.
     """
-    cols = [*keys, "t", "event_id"]
+    cols = [*keys, "piece", "t", "event_id"]
     sec = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col("ts")) / 1e6
-    rows = requests.select(*keys, sec.alias("t"), "event_id")
-    ordered = rows.repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*cols)
+    rows = requests.select(*keys, sec.alias("t"), "event_id").withColumn("span", F.floor(F.col("t") / window_seconds))
+    spans = rows.groupBy(*keys, "span").agg(F.min("t").alias("lo"), F.max("t").alias("hi"))
+    by = Window.partitionBy(*keys).orderBy("span")
+    spans = spans.withColumn("new", F.coalesce((F.col("lo") - window_seconds >= F.lag("hi").over(by)).cast("int"), F.lit(1)))
+    spans = spans.select(*[F.col(k).alias(f"__{k}") for k in keys], F.col("span").alias("__span"), F.sum("new").over(by.rowsBetween(Window.unboundedPreceding, 0)).alias("piece"))
+    on = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys] + [F.col("span") == F.col("__span")]
+    pieces = rows.join(spans, on).select(*cols)
+    ordered = pieces.repartition(*[F.col(k) for k in keys], "piece").sortWithinPartitions(*cols)
     schema = ", ".join([*(f"{k} {dict(requests.dtypes)[k]}" for k in keys), "event_id long, accepted boolean"])
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -61,8 +68,8 @@ def rate_audit(requests: DataFrame, limit: int, window_seconds: float, keys: lis
             out = []
             for row in batch.itertuples(index=False):
                 key = tuple(getattr(row, k) for k in keys)
-                if key != current:
-                    current, times = key, []
+                if (*key, row.piece) != current:
+                    current, times = (*key, row.piece), []
                 times = [t for t in times if t > row.t - window_seconds]
                 ok = len(times) < limit
                 if ok:

@@ -38,8 +38,15 @@ def test_leader_clusters_equal_the_sequential_pass(spark, seed):
     rng = random.Random(seed)
     n = 30
     pairs = [(a, b) for a in range(n) for b in range(a + 1, n) if rng.random() < 0.12]
-    got = jobs.leader_clusters(spark.createDataFrame(pairs, "a long, b long"), spark.range(n), 2)
-    assert {r["id"]: r["leader"] for r in got.collect()} == leaders(n, pairs, 2)
+    for in_one in (0, 40, 2_000_000):  # by rounds alone, in part, by the pass alone
+        got = jobs.leader_clusters(spark.createDataFrame(pairs, "a long, b long"), spark.range(n), 2, in_one=in_one)
+        assert {r["id"]: r["leader"] for r in got.collect()} == leaders(n, pairs, 2)
+
+
+def test_leader_clusters_of_a_long_chain(spark):
+    pairs = spark.range(10_000).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    got = jobs.leader_clusters(pairs, spark.range(10_001), 1)
+    assert got.where("leader = id").count() == 5001 and got.where("id % 2 = 1 and leader = id - 1").count() == 5000
 
 
 def test_leader_clusters_without_pairs(spark):
@@ -149,3 +156,19 @@ def test_plans_hold_no_cross_joins_of_rows(spark, data):
     for name in ("j09_keyword_candidates", "j13_jaccard_join", "j19_match_recent_query", "f04_permitted", "str06_lock_audit"):
         plan = registry.queries()[name](spark, data)._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan and "NestedLoop" not in plan, name
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_rate_audit_in_pieces_equals_one_fold(spark, seed):
+    rng = random.Random(seed)
+    rows, t = [], 0.0
+    for i in range(400):
+        t += rng.choice([0.0, 0.5, 1.0, 3.0, 9.5, 10.0, 10.5, 40.0])
+        rows.append((i, t, rng.choice(["a", "b", None])))
+    want, kept = {}, {}
+    for i, t, k in rows:
+        times = [x for x in kept.get(k, []) if x > t - 10]
+        want[i] = len(times) < 2
+        kept[k] = [*times, t] if want[i] else times
+    df = spark.createDataFrame(rows, "event_id long, t double, k string").select("event_id", "k", F.timestamp_seconds("t").cast("timestamp_ntz").alias("ts"))
+    assert {r["event_id"]: r["accepted"] for r in streams.rate_audit(df, 2, 10, ["k"]).collect()} == want
