@@ -55,14 +55,21 @@ def _slot(key: Column, depth: int) -> Column:
     return F.xxhash64(key).bitwiseAND((1 << depth) - 1)
 
 
+def _low(key: Column, depth: Column) -> Column:
+    """The low ``depth`` bits, 1 to 64, of the hash that names slots."""
+    return F.xxhash64(key).bitwiseAND(F.call_function("shiftrightunsigned", F.lit(-1).cast("long"), (F.lit(64) - depth).cast("int")))
+
+
 def directory(keys: DataFrame, capacity: int) -> DataFrame:
-    """Slots of the directory at its final depth: slot, bucket, local_depth.
+    """Slots of the directory at its final depth: slot, bucket, local_depth; no bucket where a slot is overfull itself (``beyond``).
 
     ``keys`` has a column key, repeats allowed. Distinct keys are counted once by the slots of a depth with
     room to spare and summed for every depth above it; a slot belongs to the bucket of the smallest depth whose
     keys fit, as doubling from one bucket and splitting overfull ones gives it. A bucket's number is its
     low bits; no two buckets share one, as one would hold the other.
     """
+    if capacity < 1:
+        raise ValueError("a bucket must hold a key at least")
     total, deepest = keys.count(), 0
     while (capacity << deepest) < 8 * total:
         deepest += 1
@@ -71,13 +78,27 @@ def directory(keys: DataFrame, capacity: int) -> DataFrame:
     levels = slots.withColumn("local_depth", F.explode(F.sequence(F.lit(0), F.lit(deepest))))
     levels = levels.withColumn("bucket", F.col("slot").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), "local_depth") - 1))
     levels = materialize(levels, "directory-levels")
-    fits = levels.groupBy("local_depth", "bucket").agg(F.sum("n").alias("keys")).where(F.col("keys") <= capacity).select("local_depth", "bucket")
+    fits = levels.groupBy("local_depth", "bucket").agg(F.sum("n").alias("keys")).where(F.col("keys") <= capacity)
     first = F.min(F.struct("local_depth", "bucket")).alias("at")
-    found = materialize(levels.join(fits, ["local_depth", "bucket"]).groupBy("slot").agg(first).select("slot", "at.bucket", "at.local_depth"), "directory")
+    found = levels.join(fits, ["local_depth", "bucket"], "left").where("keys is not null or local_depth = 0")
+    at = F.min(F.when(F.col("keys").isNotNull(), F.struct("local_depth", "bucket"))).alias("at")
+    slots = materialize(found.groupBy("slot").agg(at).select("slot", "at.bucket", "at.local_depth"), "directory")
     discard(levels)
-    if found.count() < 1 << deepest:
-        raise RuntimeError("a bucket holds more keys than its capacity at the deepest level")
-    return found
+    return slots
+
+
+def beyond(keys: DataFrame, slots: DataFrame, depth: int, capacity: int) -> DataFrame | None:
+    """Buckets (bucket, local_depth) of overfull slots, or None: there doubling goes on for the slots' own keys, up to the
+    hash's 64 bits, which differ for different keys."""
+    full = slots.where("bucket is null").select("slot")
+    if full.isEmpty():
+        return None
+    over = keys.distinct().withColumn("slot", _slot(F.col("key"), depth)).join(full, "slot", "left_semi")
+    deeper = over.select("key", F.explode(F.sequence(F.lit(depth + 1), F.lit(64))).alias("local_depth")).withColumn("bucket", _low(F.col("key"), F.col("local_depth")))
+    deeper = materialize(deeper, "directory-deeper")
+    fits = deeper.groupBy("local_depth", "bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= capacity).select("local_depth", "bucket")
+    first = F.min(F.struct("local_depth", "bucket")).alias("at")
+    return materialize(deeper.join(fits, ["local_depth", "bucket"]).groupBy("key").agg(first).select("at.bucket", "at.local_depth").distinct(), "directory-split")
 
 
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity: int = 1 << 16, key=hash_key, broadcast_keys: int = 1 << 20, row_key: Column | None = None) -> DataFrame:
@@ -94,14 +115,20 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity:
     narrow = materialize(rows.select("doc_id", "row_key", key(F.col("norm")).alias("key"), "n_chars", F.sha2(F.col("norm").cast("binary"), 256).alias("text_sha256")), "exact-keys")
     slots = directory(narrow.select("key"), capacity)
     n_slots = slots.count()
+    depth = n_slots.bit_length() - 1
+    split = beyond(narrow.select("key"), slots, depth, capacity)
 
     def send(table: DataFrame, n: int) -> DataFrame:
         return F.broadcast(table) if n <= broadcast_keys else table
 
     def routed(keyed: DataFrame) -> DataFrame:
         """Rows with the bucket that their key's slot points to."""
-        at = keyed.withColumn("slot", _slot(F.col("key"), n_slots.bit_length() - 1))
-        return at.join(send(slots.select("slot", "bucket"), n_slots), "slot").drop("slot")
+        at = keyed.withColumn("slot", _slot(F.col("key"), depth)).join(send(slots.select("slot", "bucket"), n_slots), "slot").drop("slot")
+        if split is None:
+            return at
+        # in overfull slots one of the levels beyond the directory has the row's bucket
+        levels = at.where("bucket is null").withColumn("local_depth", F.explode(F.sequence(F.lit(depth + 1), F.lit(64)))).withColumn("bucket", _low(F.col("key"), F.col("local_depth")))
+        return at.where("bucket is not null").unionByName(levels.join(split, ["local_depth", "bucket"]).select(at.columns))
 
     # owners build their buckets' entries; a text that many rows repeat sends one row per task
     order = _order(F.col("n_chars"), F.col("doc_id"))

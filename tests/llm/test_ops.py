@@ -373,6 +373,23 @@ def test_directory_splits_only_full_buckets(spark):
         assert sum(c for (b, dep), c in sizes.items() if dep > depth and b % (1 << depth) == low) > 50
 
 
+@pytest.mark.parametrize("capacity", [1, 2, 3, 4])
+def test_buckets_of_few_keys_go_on_doubling(spark, capacity):
+    rows = [(i, f"text {i % 150}") for i in range(300)]
+    df = spark.createDataFrame(rows, DOCS)
+    got = {r["doc_id"]: (r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.dedup(df, capacity=capacity).collect()}
+    assert got == {i: (i % 150, 2, i < 150) for i in range(300)}
+    keys = df.select(exact_dedup.hash_key(F.col("text")).alias("key"))
+    slots = exact_dedup.directory(keys, capacity)
+    split = exact_dedup.beyond(keys, slots, slots.count().bit_length() - 1, capacity)
+    assert (split is None) == slots.where("bucket is null").isEmpty()
+
+
+def test_a_bucket_holds_a_key_at_least(spark):
+    with pytest.raises(ValueError):
+        exact_dedup.dedup(spark.createDataFrame(ODD, DOCS), capacity=0)
+
+
 def test_results_come_through_the_directory(spark, monkeypatch):
     rows = [(k, f"text {k % 40}") for k in range(120)]
     df, whole = spark.createDataFrame(rows, DOCS), exact_dedup.directory
