@@ -221,14 +221,20 @@ def normalize_depth(raw: Column, known=("chain-of-thought", "single-shot", "tool
 
 
 def excerpt(text: Column, terms: Column, n: int) -> Column:
-    """A window of ``n`` characters around the first hit of the longest term, a third of it before the hit."""
-    low = F.lower(text)
-    found = F.filter(terms, lambda t: F.instr(low, t) > 0)
-    best = F.element_at(F.transform(F.array_sort(F.transform(found, lambda t: F.struct((-F.length(t)).alias("l"), t.alias("t")))), lambda s: s["t"]), 1)
-    at = F.when(F.size(found) > 0, F.greatest(F.instr(low, best) - n // 3, F.lit(1))).otherwise(1)
-    start = F.greatest(F.lit(1), F.least(at, F.length(text) - n + 1))
-    cut = F.concat(F.when(start > 1, "...").otherwise(""), F.substring(text, start, F.lit(n)), F.when(start + n <= F.length(text), "...").otherwise(""))
-    return F.when(F.length(text) <= n, text).otherwise(cut)
+    """A window of ``n`` characters around the first hit of the longest term, a third of it before the hit. The lower-case text is made once a row."""
+
+    def window(low: Column) -> Column:
+        found = F.filter(terms, lambda t: F.instr(low, t) > 0)
+        best = F.array_min(F.transform(found, lambda t: F.struct((-F.length(t)).alias("l"), t.alias("t"))))["t"]
+        return F.coalesce(F.greatest(F.instr(low, best) - n // 3, F.lit(1)), F.lit(1))
+
+    at = F.when(F.length(text) <= n, F.lit(1)).otherwise(F.element_at(F.transform(F.array(F.lower(text)), window), 1))
+
+    def cut(at: Column) -> Column:
+        start = F.greatest(F.lit(1), F.least(at, F.length(text) - n + 1))
+        return F.concat(F.when(start > 1, "...").otherwise(""), F.substring(text, start, F.lit(n)), F.when(start + n <= F.length(text), "...").otherwise(""))
+
+    return F.when(F.length(text) <= n, text).otherwise(F.element_at(F.transform(F.array(at), cut), 1))
 
 
 def query_terms(query: Column) -> Column:

@@ -49,13 +49,14 @@ def alignment_boost(query: Column, terms: Column, source: Column, excerpt: Colum
 def apply_boosts(results: DataFrame, queries: DataFrame, route: str = "hybrid") -> DataFrame:
     """Results (query_id, id, source, excerpt, relevance) with relevance raised, and entropy, entity and alignment as columns.
 
-    ``queries``: query_id, query. An excerpt's entropy is that of its bytes; ids stand for one excerpt each.
+    ``queries``: query_id, query. An excerpt's entropy is that of its bytes; excerpts that several rows share are counted once.
     """
     rate, most = ENTROPY_RATES[route]
-    bits = T.entropy(results.select("id", "excerpt").distinct(), "id", "excerpt")
+    results = results.withColumn("excerpt", F.coalesce("excerpt", F.lit("")))
+    bits = T.entropy(results.select("excerpt").distinct(), "excerpt", "excerpt")
     words = T.content_keywords(F.col("query"))
     asked = queries.select("query_id", "query", entity_terms(F.col("query")).alias("wanted"), F.array_distinct(F.when(F.size(words) > 0, words).otherwise(T.search_keywords(F.col("query")))).alias("focus"))
-    j = results.join(asked, "query_id").join(bits, "id")
+    j = results.join(asked, "query_id").join(bits, "excerpt")
     j = j.withColumn("entity", entity_boost(F.col("wanted"), entity_terms(F.concat_ws(" ", "source", "excerpt"))))
     j = j.withColumn("alignment", alignment_boost(F.col("query"), F.col("focus"), F.col("source"), F.col("excerpt")))
     steps = (S.clamp((F.col("entropy") - ENTROPY_FLOOR) * rate, 0.0, most), F.col("entity"), F.col("alignment"))

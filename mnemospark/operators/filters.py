@@ -25,15 +25,25 @@ def live(df: DataFrame, as_of: str) -> DataFrame:
     )
 
 
-def visible_to(df: DataFrame, callers: DataFrame) -> DataFrame:
-    """Rows each caller may see: its own, and those shared or for the team. Null callers and owners see and give nothing."""
-    who = callers.select("caller").where("caller is not null").distinct().withColumn("open", F.array(F.lit("own"), F.lit("any")))
-    who = who.select("caller", F.explode("open").alias("way"))
-    # own rows meet their owner; open rows meet every caller, whose number the table of callers bounds
-    keyed = df.where("owner_id is not null").withColumn("way", F.when(F.col("visibility").isin("shared", "team"), "any").otherwise("own"))
-    mine = keyed.where("way = 'own'").join(who.where("way = 'own'").drop("way"), F.col("owner_id") == F.col("caller"))
-    shared = keyed.where("way = 'any'").join(who, "way").select(*mine.columns)
-    return mine.unionByName(shared).drop("way")
+def visible_to(df: DataFrame, callers: DataFrame, sent: int = 4096, parts: int = 64) -> DataFrame:
+    """Rows each caller may see: its own, and those shared or for the team. Null callers and owners see and give nothing.
+
+    Open rows are given to every caller, so the result is as large as both together. Up to ``sent`` callers go to all tasks; more are
+    dealt into buckets of that size, which the open rows meet ``parts`` at a time.
+    """
+    who = callers.select("caller").where("caller is not null").distinct()
+    rows = df.where("owner_id is not null")
+    open_ = rows.where(F.coalesce(F.col("visibility").isin("shared", "team"), F.lit(False)))
+    mine = rows.where(~F.coalesce(F.col("visibility").isin("shared", "team"), F.lit(False))).join(who, F.col("owner_id") == F.col("caller"))
+    n = who.count()
+    if n <= sent:
+        shared = open_.crossJoin(F.broadcast(who))
+    else:
+        buckets = -(-n // sent)
+        dealt = who.withColumn("__b", F.pmod(F.xxhash64("caller"), F.lit(buckets))).withColumn("__p", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+        cut = open_.withColumn("__p", F.pmod(F.monotonically_increasing_id(), F.lit(parts)).cast("int")).withColumn("__b", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).cast("long"))
+        shared = cut.join(dealt, ["__b", "__p"]).drop("__b", "__p")
+    return mine.unionByName(shared.select(*mine.columns))
 
 
 def with_prefix(df: DataFrame, prefix: str) -> DataFrame:

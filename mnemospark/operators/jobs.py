@@ -31,33 +31,74 @@ def term_groups(queries: DataFrame, synonyms: DataFrame) -> DataFrame:
     return words.select("query_id", "group", F.col("group").alias("term")).unionByName(more).distinct()
 
 
-def retrieve(queries: DataFrame, corpus: DataFrame, vectors: DataFrame, query_vectors: DataFrame, as_of: str, k: int = 10, depth: int = 50, boosts: DataFrame | None = None, synonyms: DataFrame | None = None, head_chars: int = 240) -> DataFrame:
-    """Hybrid retrieval for a table of queries (query_id, query) over entries (id, text, source, score, created_at).
-
-    Keyword candidates (all term groups, else any) and vector candidates are fused by weighted reciprocal
-    rank, joined by importance and recency, raised by feedback (source, boost) and by the entropy, entities and alignment
-    of the entry's first ``head_chars`` characters, and cut to k per query. Intermediate scores stay as columns.
+def retrieve(
+    queries: DataFrame,
+    corpus: DataFrame,
+    vectors: DataFrame,
+    query_vectors: DataFrame,
+    as_of: str,
+    k: int = 10,
+    depth: int = 50,
+    boosts: DataFrame | None = None,
+    synonyms: DataFrame | None = None,
+    clusters: DataFrame | None = None,
+    members: DataFrame | None = None,
+    floor: float = J.SIM_FLOOR,
+    excerpt_chars: int = 300,
+    mode: str = "exact",
+) -> DataFrame:
+    """Hybrid retrieval for a table of queries (query_id, query) over entries (id, text, source, score, created_at, retrievals).
+
+    Keyword candidates (all term groups, else any) are ranked by their lexical score; queries that they answer clearly need no
+    vectors and meet none. Both lists are fused by weighted reciprocal rank and joined by importance and recency. Clusters (id, source, text, centroid) near a query are
+    results of their own, for clear queries too; results that are ``members`` (cluster_id, source) of one fold into the nearest that holds them, which gets the best relevance among them
+    and the excerpt with the most of the query's terms. Excerpts of ``excerpt_chars`` characters around the query's terms then raise
+    results by entropy, entities and alignment, feedback (source, boost) multiplies, and the k best stay. Intermediate scores stay as columns.
     """
     spark = queries.sparkSession
     post = materialize(J.build_postings(corpus, ["text"]), "postings")
     groups = materialize(term_groups(queries, synonyms if synonyms is not None else spark.createDataFrame([], "term string, synonym string")), "term-groups")
     strict = materialize(J.keyword_candidates(groups, post, depth), "keyword-strict")
-    keyword = strict.unionByName(J.keyword_fallback(groups, post, strict, depth)).select("query_id", "id", F.lit("keyword").alias("list"), (-F.col("rank")).cast("double").alias("score"))
-    semantic = J.vector_topk(query_vectors, vectors, depth, 0.0).select("query_id", "id", F.lit("semantic").alias("list"), (-F.col("rank")).cast("double").alias("score"))
-    shape = queries.select("query_id", S.fusion_weights(T.query_shape(F.col("query"))).alias("w"))
-    ranked = W.rank_within(keyword.unionByName(semantic), ["query_id", "list"], [F.desc("score"), F.col("id")]).join(shape, "query_id")
-    weight = F.when(F.col("list") == "keyword", F.col("w.keyword")).otherwise(F.col("w.semantic"))
-    fused = ranked.groupBy("query_id", "id").agg(F.sum(weight / (60.0 + F.col("rank"))).alias("rrf"), F.array_sort(F.collect_set("list")).alias("methods"))
+    words = strict.unionByName(J.keyword_fallback(groups, post, strict, depth)).select("query_id", "id", "matched")
+    facts = corpus.select("id", "source", "score", "created_at", "retrievals")
+    need = groups.groupBy("query_id").agg(F.countDistinct("group").alias("terms"))
     days = S.seconds_between(at(as_of), F.col("created_at")) / 86400.0
-    scored = fused.join(corpus.select("id", "source", "score", "created_at"), "id").withColumn("compound", S.compound(F.col("rrf"), F.col("score"), days))
-    if boosts is not None:
-        scored = scored.join(boosts, "source", "left").withColumn("boost", F.coalesce("boost", F.lit(0.0)))
-    else:
-        scored = scored.withColumn("boost", F.lit(0.0))
-    heads = corpus.select("id", F.left("text", F.lit(head_chars)).alias("excerpt"))
-    found = scored.select("query_id", "id", "source", "rrf", "methods", F.round(F.col("compound") + F.col("boost"), 4).alias("relevance")).join(heads, "id")
+    asked = queries.select("query_id", T.query_shape(F.col("query")).alias("shape"), F.array_distinct(T.search_keywords(F.col("query"))).alias("said")).join(need, "query_id", "left")
+    scored = words.join(facts, "id").join(asked, "query_id")
+    lexical = S.lexical_score(S.ranking_weights(F.col("shape"), F.col("terms")), F.col("terms"), F.col("matched"), F.col("score"), F.floor(days), F.col("retrievals"))
+    keyword = materialize(scored.select("query_id", "id", "source", "matched", "terms", F.round(lexical, 9).alias("relevance")), "keyword")
+    clear = W.keyword_confident(keyword).where("confident").select("query_id")
+    semantic = J.semantic_candidates(queries, query_vectors.join(clear, "query_id", "left_anti"), vectors, corpus, depth, floor, mode=mode)
+    lists = keyword.select("query_id", "id", F.lit("keyword").alias("list"), "relevance").unionByName(semantic.select("query_id", "id", F.lit("semantic").alias("list"), "relevance"))
+    ranked = W.rank_within(lists, ["query_id", "list"], [F.desc("relevance"), F.col("id")]).join(queries.select("query_id", S.fusion_weights(T.query_shape(F.col("query"))).alias("w")), "query_id")
+    weight = F.when(F.col("list") == "keyword", F.col("w.keyword")).otherwise(F.col("w.semantic"))
+    fused = ranked.groupBy("query_id", "id").agg(F.sum(weight / (60.0 + F.col("rank"))).alias("rrf"), F.array_join(F.array_sort(F.collect_set("list")), "+").alias("method"))
+    joined = fused.join(corpus, "id").join(asked.select("query_id", "said"), "query_id")
+    found = joined.select("query_id", "id", "source", "rrf", "method", F.round(S.compound(F.col("rrf"), F.col("score"), days), 4).alias("relevance"), T.excerpt(F.coalesce("text", F.lit("")), F.col("said"), excerpt_chars).alias("excerpt"), F.lit(0).cast("long").alias("folded"))
+    if clusters is not None:
+        found = _fold_families(materialize(found, "fused"), queries, query_vectors, clusters, members, floor, excerpt_chars)
     lifted = apply_boosts(materialize(found, "retrieved"), queries)
-    return W.top_k(lifted, k).select("query_id", "rank", "id", "source", "relevance", F.round("rrf", 9).alias("rrf"), F.array_join("methods", "+").alias("method"), "entropy", F.round("entity", 6).alias("entity"), F.round("alignment", 6).alias("alignment"))
+    if boosts is not None:
+        lifted = lifted.join(boosts.select("source", "boost"), "source", "left").withColumn("relevance", F.round(F.col("relevance") * (1 + F.coalesce("boost", F.lit(0.0))), 4))
+    return W.top_k(lifted, k).select("query_id", "rank", "id", "source", "relevance", F.round("rrf", 9).alias("rrf"), "method", "entropy", F.round("entity", 6).alias("entity"), F.round("alignment", 6).alias("alignment"), "folded")
+
+
+def _fold_families(found: DataFrame, queries: DataFrame, query_vectors: DataFrame, clusters: DataFrame, members: DataFrame, floor: float, excerpt_chars: int, most: int = 3) -> DataFrame:
+    """``found`` with the ``most`` nearest clusters of every query as rows, and their members among the rows folded into them."""
+    near = search_clusters(query_vectors, clusters, floor=floor, k=most).select("query_id", F.col("rank").alias("place"), F.col("id").alias("cluster_id"), F.col("relevance").alias("likeness"))
+    terms = F.array_distinct(T.search_keywords(F.col("query")))
+    heads = near.join(clusters.select(F.col("id").alias("cluster_id"), F.col("source").alias("head"), "text"), "cluster_id").join(queries.select("query_id", terms.alias("said")), "query_id")
+    scaled = F.round(J.SCALE_BASE + (F.col("likeness") - floor) * (1.0 - J.SCALE_BASE) / (1.0 - floor), 4)
+    heads = materialize(heads.select("query_id", "place", "cluster_id", "head", "said", scaled.alias("own"), T.excerpt(F.coalesce("text", F.lit("")), F.col("said"), excerpt_chars).alias("told")), "cluster-heads")
+    # of several near clusters that hold a source the nearest takes it
+    kept = heads.join(members, "cluster_id").groupBy("query_id", "source").agg(F.min_by("cluster_id", "place").alias("cluster_id"))
+    marked = materialize(found.join(kept, ["query_id", "source"], "left"), "families")
+    inside = marked.where("cluster_id is not null").join(heads.select("query_id", "cluster_id", "said"), ["query_id", "cluster_id"])
+    rows = inside.select("query_id", "cluster_id", "relevance", "excerpt", "source", "said", F.lit(1).alias("later")).unionByName(heads.select("query_id", "cluster_id", F.col("own").alias("relevance"), F.col("told").alias("excerpt"), F.col("head").alias("source"), "said", F.lit(0).alias("later")))
+    hits = F.size(F.filter("said", lambda t: F.contains(F.lower("excerpt"), t)))
+    folded = rows.groupBy("query_id", "cluster_id").agg(F.max("relevance").alias("relevance"), F.min_by("excerpt", F.struct((-hits).alias("h"), "later", (-F.col("relevance")).alias("r"), "source")).alias("excerpt"), F.sum("later").cast("long").alias("folded"))
+    as_rows = folded.join(heads.select("query_id", "cluster_id", "head"), ["query_id", "cluster_id"]).select("query_id", F.col("cluster_id").alias("id"), F.col("head").alias("source"), F.lit(0.0).alias("rrf"), F.lit("cluster").alias("method"), "relevance", "excerpt", "folded")
+    return marked.where("cluster_id is null").select(found.columns).unionByName(as_rows)
 
 
 def headlines(results: DataFrame, corpus: DataFrame) -> DataFrame:
@@ -335,13 +376,23 @@ def novelty(batch: DataFrame, base: DataFrame, latest: int = 50, least: float =
     return batch.join(best, "id", "left").withColumn("surprise", surprise).withColumn("admitted", F.col("surprise") >= least).drop("__likest")
 
 
-def retrieve_semantic(query_vectors: DataFrame, vectors: DataFrame, corpus: DataFrame, as_of: str, k: int = 10, depth: int = 50, floor: float = 0.30, spread: float = 0.16) -> DataFrame:
-    """Vector-only retrieval: the nearest by cosine, times up to half of ``spread`` more or less by freshness."""
-    near = J.vector_topk(query_vectors, vectors, depth, floor).select("query_id", "id", "cosine")
-    days = F.greatest(S.seconds_between(at(as_of), F.col("created_at")), F.lit(0)) / 86400.0
-    fresh = 1.0 + (1.0 / (1.0 + days / 14.0) - 0.5) * spread
-    scored = near.join(corpus.select("id", "source", "created_at"), "id").withColumn("relevance", F.round(F.col("cosine") * F.coalesce(fresh, F.lit(1.0 - spread / 4)), 4))
-    return W.top_k(scored, k).select("query_id", "rank", "id", "source", "relevance")
+# fixed values: words that ask for what is new, and how far freshness moves a score
+RECENCY = "latest|most recent|recent|newest|current|today|now|up to date|up-to-date"
+FRESH_SPREAD = 0.16
+
+
+def retrieve_semantic(queries: DataFrame, query_vectors: DataFrame, vectors: DataFrame, corpus: DataFrame, as_of: str, k: int = 10, depth: int = 120, floor: float = J.SIM_FLOOR, recency: str = RECENCY, excerpt_chars: int = 280, mode: str = "exact") -> DataFrame:
+    """Vector-only retrieval for queries (query_id, query): semantic candidates, moved by freshness where the query asks for what is new,
+    then raised by the entropy, entities and alignment of their excerpts. Entries: id, text, source, created_at, last_accessed.
+    """
+    near = J.semantic_candidates(queries, query_vectors, vectors, corpus, depth, floor, mode=mode)
+    asked = queries.select("query_id", F.lower("query").rlike(recency).alias("new"), F.array_distinct(T.search_keywords(F.col("query"))).alias("said"))
+    days = F.greatest(S.seconds_between(at(as_of), F.coalesce("last_accessed", "created_at")), F.lit(0)) / 86400.0
+    fresh = F.coalesce(1.0 + (1.0 / (1.0 + days / 14.0) - 0.5) * FRESH_SPREAD, F.lit(1.0 - FRESH_SPREAD / 4))
+    met = near.drop("rank").join(corpus.drop("source"), "id").join(asked, "query_id")
+    base = F.round("relevance", 4)
+    found = met.select("query_id", "id", "source", F.when(F.col("new"), F.round(base * fresh, 4)).otherwise(base).alias("relevance"), T.excerpt(F.coalesce("text", F.lit("")), F.col("said"), excerpt_chars).alias("excerpt"))
+    return W.top_k(apply_boosts(materialize(found, "semantic"), queries, "semantic"), k).select("query_id", "rank", "id", "source", "relevance", "entropy")
 
 
 def retrieve_budgeted(results: DataFrame, edges: DataFrame, corpus: DataFrame, queries: DataFrame, budget: int, share: float = 0.5) -> DataFrame:

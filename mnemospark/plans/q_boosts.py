@@ -69,6 +69,17 @@ def lifted(table: str, rate: float, most: float, more: str = "") -> str:
       lift as (select query_id, id, source, {more}round(round(round(r0 * (1 + greatest(0.0::double, least({most}::double, (bits - {op.ENTROPY_FLOOR}::double) * {rate}::double))), 4) * (1 + entity), 4) * (1 + alignment), 4) as relevance, round(bits, 4)::double as entropy, round(entity, 6)::double as entity, round(alignment, 6)::double as alignment from kk)"""
 
 
+#: CTE: what each query seeks.
+SOUGHT = "qq as (" + HEADS.split("qq as (")[1]
+
+
+def lifted_rows(table: str, rate: float, most: float, more: str = "") -> str:
+    """CTEs to ``lift``: rows of ``table`` (query_id, id, source, r0, ex: the row's own excerpt) with relevance after the three boosts. Needs ``SOUGHT``."""
+    entropy = f"""hb as (select ex, hex(encode(ex)) as hx from (select distinct ex from {table})), hp as (select ex, unnest(list_transform(range(0, length(hx) // 2), lambda i: substr(hx, 2 * i + 1, 2))) as c from hb),
+      hn as (select ex, c, count(*) as n, sum(count(*)) over (partition by ex) as t from hp group by 1, 2), en as (select ex, -sum(n / t * log2(n / t)) as bits from hn group by 1)"""
+    return entropy + ", " + lifted(table, rate, most, more).replace("join hd using (id) ", "").replace("left join en using (id)", "left join en using (ex)")
+
+
 def _boosted(rate: float, most: float) -> str:
     rows = "e as (select id % 20 as query_id, id, source, (id * 7919) % 1000 / 1000.0::double as r0 from v_memory)"
     return f"{duck('v_memory', 'v_query')}, {rows}, {HEADS}, {lifted('e', rate, most)} select query_id, id, relevance, entropy, entity, alignment from lift"

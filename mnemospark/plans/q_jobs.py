@@ -13,7 +13,7 @@ from mnemospark.operators.capsule import SECTIONS, capsule_items, context_capsul
 from mnemospark.operators.consolidate import consolidate
 from mnemospark.operators.boosts import ENTROPY_RATES
 from mnemospark.plans.fixtures import AS_OF, duck, view
-from mnemospark.plans.q_boosts import HEADS, lifted
+from mnemospark.plans.q_boosts import SOUGHT, lifted_rows
 from mnemospark.plans.q_joins import _TERMS, _edges, _emb, _tokens
 from mnemospark.plans.q_windows import _CAND, _candidates
 from mnemospark.plans.scratch import shared_dir
@@ -31,7 +31,10 @@ def hybrid_retrieve(s, d):
     query_vectors = v.where("vec_id % 50 = 0").select((F.col("vec_id") / 50).cast("long").alias("query_id"), F.col("vec_id").alias("own"), F.col("embedding").alias("vector")).join(queries.select("query_id"), "query_id", "left_semi")
     vectors = v.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")).join(corpus.select("id"), "id", "left_semi")
     boosts = agg.feedback_boost(view(s, d, "v_feedback"), AS_OF).withColumnRenamed("result_source", "source")
-    return op.retrieve(queries, corpus, vectors, query_vectors, AS_OF, boosts=boosts)
+    labelled = v.select(F.col("vec_id").alias("id"), F.col("label").cast("long").alias("cluster_id"), F.col("embedding").alias("vector")).join(corpus.select("id", "source", "text"), "id")
+    named = labelled.groupBy("cluster_id").agg(F.min_by("text", "id").alias("text"))
+    clusters = agg.centroids(labelled.select("cluster_id", "vector")).join(named, "cluster_id").select(F.col("cluster_id").alias("id"), F.concat(F.lit("cluster::"), "cluster_id").alias("source"), "text", "centroid")
+    return op.retrieve(queries, corpus, vectors, query_vectors, AS_OF, boosts=boosts, clusters=clusters, members=labelled.where("id % 3 = 0").select("cluster_id", "source"), floor=0.0)
 
 
 def job04(s, d):
@@ -105,15 +108,12 @@ def f11(s, d):
     return op.novelty(rows.where("id % 4 = 0"), rows.where("id % 4 <> 0")).select("id", F.round("surprise", 6).alias("surprise"), "admitted")
 
 
-def _query_vectors(s, d):
-    v = view(s, d, "v_vector")
-    queries = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("vec_id").alias("own"), F.col("embedding").alias("vector"))
-    return queries, v.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-
-
 def job02(s, d):
-    q, v = _query_vectors(s, d)
-    return op.retrieve_semantic(q, v, _mem(s, d), AS_OF, floor=0.2)
+    corpus = _mem(s, d).select("id", "text", "source", "created_at", "last_accessed")
+    v = view(s, d, "v_vector")
+    linked = v.where("vec_id % 50 = 0").select((F.col("vec_id") / 50).cast("long").alias("query_id"), F.col("vec_id").alias("own"), F.col("embedding").alias("vector"))
+    queries = view(s, d, "v_query")
+    return op.retrieve_semantic(queries, linked.join(queries.select("query_id"), "query_id", "left_semi"), v.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), corpus, AS_OF, floor=0.0, recency="ein|der")
 
 
 def job03(s, d):
@@ -185,21 +185,53 @@ _PAIR = "list_has_any({x}.t, ['erth', 'ung'])"
 _PAIRS = f"p as (select x.id as a, y.id as b, {_JJ.format(a='x.t', b='y.t')} as s, {_PAIR.format(x='x')} as na, {_PAIR.format(x='y')} as nb, (list_contains(x.t, 'tion') and list_contains(y.t, 'heit')) or (list_contains(x.t, 'heit') and list_contains(y.t, 'tion')) as flip, list_filter(x.t, lambda w: w not in ('erth', 'ung')) as ca, list_filter(y.t, lambda w: w not in ('erth', 'ung')) as cb from t x join t y on {{on}} and len(x.t) > 0 and len(x.t) >= 0.4 * len(y.t) and len(y.t) >= 0.4 * len(x.t) where {_JJ.format(a='x.t', b='y.t')} >= 0.4::double - 1e-9)"
 _IDLE, _SEEN = f"(epoch({_NOW}) - epoch(updated_at)) / 86400", f"(epoch({_NOW}) - epoch(coalesce(last_accessed, created_at))) / 86400"
 
+_EXCERPT = "case when length({t}) <= 300 then {t} else case when {at} > 1 then '...' else '' end || substr({t}, {at}, 300) || case when {at} + 300 <= length({t}) then '...' else '' end end"
+#: Start of a text's excerpt: a third before the first hit of the longest term held.
+_AT = "greatest(1, least(coalesce(greatest(instr(lower({t}), list_sort(list_transform(list_filter(said, lambda t: contains(lower({t}), t)), lambda t: {{'l': -length(t), 't': t}}))[1].t) - 100, 1), 1), length({t}) - 299))"
+_COSINE = "list_dot_product({a}, {b}) / sqrt(list_dot_product({a}, {a}) * list_dot_product({b}, {b}))"
+
+
+def _cut(table: str, text: str, columns: str) -> str:
+    """A query over ``table`` (with said) that adds ex, the excerpt of ``text``."""
+    return f"select {columns}, {_EXCERPT.format(t=text, at='at_')} as ex from (select *, {_AT.format(t=text)} as at_ from {table})"
+
+
 _RETRIEVE = (
     _TERMS
-    + f""", need as (select query_id, count(*) as need from qt group by 1), h as (select query_id, id, count(distinct term) as matched, sum(tf)::bigint as tf from qt join p using (term) group by 1, 2),
-  k as (select query_id, id, row_number() over (partition by query_id order by tf desc, id) as rank from h join need using (query_id) where matched = need),
-  f as (select query_id, id, row_number() over (partition by query_id order by matched desc, tf desc, id) as rank from h where query_id not in (select query_id from k)),
-  v as (select a.vec_id // 50 as query_id, b.vec_id as id, list_dot_product(a.embedding::double[], b.embedding::double[]) / sqrt(list_dot_product(a.embedding::double[], a.embedding::double[]) * list_dot_product(b.embedding::double[], b.embedding::double[])) as c from embeddings a, embeddings b where a.vec_id % 50 = 0 and b.vec_id <> a.vec_id and a.vec_id // 50 in (select query_id from v_query) and b.vec_id in (select doc_id from documents)),
-  l as (select query_id, id, rank, 'keyword' as list from k union all select query_id, id, rank, 'keyword' from f union all select query_id, id, row_number() over (partition by query_id order by round(c, 9) desc, id), 'semantic' from v where c > 0),
+    + f""", {duck('v_memory')[5:]}, sq as (select query_id, list(term) as said from qt group by 1), need as (select query_id, count(*) as need from qt group by 1), h as (select query_id, id, count(distinct term) as matched, sum(tf)::bigint as tf from qt join p using (term) group by 1, 2),
+  k as (select query_id, id, matched, row_number() over (partition by query_id order by tf desc, id) as rank from h join need using (query_id) where matched = need),
+  f as (select query_id, id, matched, row_number() over (partition by query_id order by matched desc, tf desc, id) as rank from h where query_id not in (select query_id from k)),
   sh as (select query_id, (position('/' in query) > 0 or position('"' in query) > 0 or position('`' in query) > 0 or position('::' in query) > 0 or position(chr(92) in query) > 0 or len(list_filter(['.rs', '.ts', '.js', '.py'], lambda w: contains(lower(query), w))) > 0 or len(string_split(trim(query), ' ')) <= 3 or length(trim(query)) <= 24) as e, (len(list_filter(regexp_split_to_array(trim(query), '[ \t\n]+'), lambda w: w <> '')) >= 8 or length(trim(query)) >= 56 or trim(query) like '%?') as n from v_query),
-  w as (select l.*, case when list = 'keyword' then 1.0 + e::int * 0.35 - n::int * 0.15 else 1.0 - e::int * 0.15 + n::int * 0.35 end::double as w from l join sh using (query_id) where rank <= 50),
-  u as (select query_id, id, sum(w / (60.0::double + rank)) as rrf, string_agg(distinct list, '+' order by list) as method from w group by 1, 2),
+  cg as (select query_id, need, case when e and not n then 1 when n and not e then 2 else 3 end as c, case when need <= 1 then 1 when need >= 5 then 2 else 3 end as g from sh join need using (query_id)),
+  lw as (select query_id, need, 0.40::double + [0.12, -0.08, 0.0][c] + [0.05, -0.04, 0.0][g] as wk, 0.25::double + [-0.03, 0.05, 0.0][c] + [0.01, 0.02, 0.0][g] as ws, 0.20::double + [-0.05, 0.02, 0.0][c] + [-0.03, 0.01, 0.0][g] as wy, 0.15::double + [-0.04, 0.01, 0.0][c] + [-0.03, 0.01, 0.0][g] as wt from cg),
+  kw as (select x.query_id, x.id, source, matched, need, round((matched / need * wk + score * ws + 1 / (1 + floor((epoch({_NOW}) - epoch(created_at)) / 86400.0::double) / 7.0::double) * wy + least(retrievals, 20) / 20.0::double * wt) / (wk + ws + wy + wt), 9) as rel
+    from (select * from k where rank <= 50 union all select * from f where rank <= 50) x join lw using (query_id) join v_memory using (id)),
+  kr as (select *, row_number() over (partition by query_id order by rel desc, source) as rank, lead(rel) over (partition by query_id order by rel desc, source) as next from kw),
+  clear as (select query_id from kr where rank = 1 and rel >= 0.78 and rel - coalesce(next, 0) >= 0.1 and matched >= ceil(0.6::double * need)),
+  v as (select a.vec_id // 50 as query_id, b.vec_id as id, {_COSINE.format(a='a.embedding::double[]', b='b.embedding::double[]')} as c from embeddings a, embeddings b where a.vec_id % 50 = 0 and b.vec_id <> a.vec_id and a.vec_id // 50 in (select query_id from v_query) and b.vec_id in (select doc_id from documents)),
+  sv as (select v.query_id, v.id, c, coalesce(len(said), 0) as n, coalesce(len(list_filter(said, lambda t: contains(lower(text), t))), 0) as held from v join v_memory using (id) left join sq using (query_id) where query_id not in (select query_id from clear)),
+  se as (select query_id, id, round((0.55::double + c * 0.45::double) * case when n = 0 then 1.0::double when held = 0 then 0.82::double else 1.0::double + held / n * 0.08::double end, 9) as rel from sv where c > case when n >= 3 then 0.12::double else 0.0::double end),
+  sr as (select *, row_number() over (partition by query_id order by rel desc, 'doc::' || id) as rank from se),
+  l as (select query_id, id, 'keyword' as list, rel from kw union all select query_id, id, 'semantic', rel from sr where rank <= 50),
+  lr as (select *, row_number() over (partition by query_id, list order by rel desc, id) as rank from l),
+  u as (select query_id, id, sum(case when list = 'keyword' then 1.0 + e::int * 0.35 - n::int * 0.15 else 1.0 - e::int * 0.15 + n::int * 0.35 end::double / (60.0::double + rank)) as rrf, string_agg(distinct list, '+' order by list) as method from lr join sh using (query_id) group by 1, 2),
   b as (select 'doc::' || (user_id % 10) as source, greatest(-0.2, least(0.3, sum((case when event_id % 3 = 0 then 1.0 else -0.5 end)::double * pow(2.0::double, -greatest((epoch({_NOW}) - epoch(date_trunc('second', ts))) / 86400.0::double, 0) / 30.0::double))))::double as boost from events group by 1),
-  x as (select query_id, u.id, 'doc::' || u.id as source, rrf, method, round(rrf * 0.6::double + ((u.id * 37) % 100) / 100.0::double * 0.2::double + exp(-((u.id * 7) % 90) / 30.0::double) * 0.2::double + coalesce(boost, 0), 4) as r0 from u left join b on b.source = 'doc::' || u.id),
-  {HEADS}, {lifted("x", *ENTROPY_RATES["hybrid"], more="rrf, method, ")},
-  y as (select *, row_number() over (partition by query_id order by relevance desc, source)::integer as rank from lift)
-  select query_id, rank, id, source, relevance, round(rrf, 9) as rrf, method, entropy, entity, alignment from y where rank <= 10"""
+  x0 as (select query_id, u.id, source, rrf, method, text, said, round(rrf * 0.6::double + score * 0.2::double + exp(-((epoch({_NOW}) - epoch(created_at)) / 86400.0::double) / 30.0::double) * 0.2::double, 4) as r0 from u join v_memory using (id) join sq using (query_id)),
+  xe as ({_cut('x0', 'text', 'query_id, id, source, rrf, method, r0, said')}),
+  cp as (select label, i, avg(embedding[i]::double) as x from embeddings, range(1, 65) r(i) where vec_id in (select doc_id from documents) group by 1, 2), cc as (select label, list(x order by i) as cv from cp group by 1), ct as (select label, arg_min(text, vec_id) as text from embeddings join documents on doc_id = vec_id group by 1),
+  cs as (select vec_id // 50 as query_id, label, {_COSINE.format(a='embedding::double[]', b='cv')} as c from (select vec_id, embedding from embeddings where vec_id % 50 = 0 and vec_id // 50 in (select query_id from v_query)) e, cc),
+  cr as (select *, row_number() over (partition by query_id order by round(c, 9) desc, label) as place from cs where c > 0),
+  ch0 as (select cr.query_id, place, cr.label::bigint as id, 'cluster::' || cr.label as source, text, said, round(0.55::double + round(c * 1.15::double, 6) * 0.45::double, 4) as r0 from cr join ct using (label) join sq using (query_id) where place <= 3),
+  ch as ({_cut('ch0', 'text', 'query_id, place, id, source, r0, said')}),
+  fm as (select ch.query_id, 'doc::' || vec_id as source, arg_min(ch.id, place) as cid from ch join embeddings e on e.label = ch.id where vec_id % 3 = 0 and vec_id in (select doc_id from documents) group by 1, 2),
+  xm as (select xe.*, cid from xe left join fm using (query_id, source)),
+  cf as (select query_id, id as cid, r0, ex, source, said, 0 as later from ch union all select query_id, cid, r0, ex, source, said, 1 from xm where cid is not null),
+  cg2 as (select query_id, cid, max(r0) as r0, arg_min(ex, (-len(list_filter(said, lambda t: contains(lower(ex), t))), later, -r0, source)) as ex, sum(later)::bigint as folded from cf group by 1, 2),
+  x as (select query_id, id, source, rrf, method, r0, ex, 0::bigint as folded from xm where cid is null union all select query_id, cid, 'cluster::' || cid, 0.0::double, 'cluster', r0, ex, folded from cg2),
+  {SOUGHT}, {lifted_rows("x", *ENTROPY_RATES["hybrid"], more="rrf, method, folded, ")},
+  z as (select lift.* exclude (relevance), round(relevance * (1 + coalesce(boost, 0)), 4) as relevance from lift left join b using (source)),
+  y as (select *, row_number() over (partition by query_id order by relevance desc, source)::integer as rank from z)
+  select query_id, rank, id, source, relevance, round(rrf, 9) as rrf, method, entropy, entity, alignment, folded from y where rank <= 10"""
 )
 
 _WORDS = "list_filter(list_filter(string_split(regexp_replace(lower(text), '[^a-z0-9-]+', ' ', 'g'), ' '), lambda w: w <> ''), lambda w: length(w) > 2 and not list_contains([" + ", ".join(f"'{x}'" for x in T.STOPWORDS) + "], w))"
@@ -226,7 +258,14 @@ _ITEMS = (
 
 SQL = {
     "f11_novelty": f"{_MEM}, {_TOK}, r as (select m.owner_id, t.t, row_number() over (partition by m.owner_id order by m.created_at desc, m.id desc) as rn from v_memory m join t on t.id = m.id where m.status = 'active' and m.id % 4 <> 0), x as (select m.id, 1 - coalesce(max(case when len(t.t) + len(r.t) = 0 then 1.0 else {_JJ.format(a='t.t', b='r.t')} end), 0) as s from v_memory m join t on t.id = m.id left join r on r.owner_id = m.owner_id and rn <= 50 where m.id % 4 = 0 group by 1) select id, round(s, 6)::double as surprise, round(s, 9) >= 0.25 as admitted from x",
-    "job02_semantic_retrieve": f"{_MEM}, p as (select a.vec_id as query_id, b.vec_id as id, list_dot_product(a.embedding::double[], b.embedding::double[]) / sqrt(list_dot_product(a.embedding::double[], a.embedding::double[]) * list_dot_product(b.embedding::double[], b.embedding::double[])) as c from embeddings a, embeddings b where a.vec_id % 50 = 0 and b.vec_id <> a.vec_id), k as (select *, row_number() over (partition by query_id order by round(c, 9) desc, id) as r from p where c > 0.2), s as (select query_id, k.id, source, round(c * (1 + (1 / (1 + (epoch({_NOW}) - epoch(created_at)) / 86400.0::double / 14) - 0.5::double) * 0.16::double), 4) as relevance from k join v_memory m on m.id = k.id where r <= 50), t as (select *, row_number() over (partition by query_id order by relevance desc, source)::integer as rank from s) select query_id, rank, id, source, relevance from t where rank <= 10",
+    "job02_semantic_retrieve": f"""{_TERMS}, {duck('v_memory')[5:]}, sq as (select query_id, list(term) as said from qt group by 1),
+      v as (select a.vec_id // 50 as query_id, b.vec_id as id, {_COSINE.format(a='a.embedding::double[]', b='b.embedding::double[]')} as c from embeddings a, embeddings b where a.vec_id % 50 = 0 and b.vec_id <> a.vec_id and a.vec_id // 50 in (select query_id from v_query)),
+      sv as (select v.*, source, text, said, coalesce(last_accessed, created_at) as seen, coalesce(len(said), 0) as n, coalesce(len(list_filter(said, lambda t: contains(lower(text), t))), 0) as held from v join v_memory using (id) left join sq using (query_id)),
+      se as (select *, round((0.55::double + c * 0.45::double) * case when n = 0 then 1.0::double when held = 0 then 0.82::double else 1.0::double + held / n * 0.08::double end, 9) as rel from sv where c > case when n >= 3 then 0.12::double else 0.0::double end),
+      sr as (select *, row_number() over (partition by query_id order by rel desc, source) as rk from se),
+      x0 as (select query_id, id, source, text, said, case when regexp_matches(lower(query), 'ein|der') then round(round(rel, 4) * (1 + (1 / (1 + greatest(epoch({_NOW}) - epoch(seen), 0) / 86400.0::double / 14) - 0.5::double) * 0.16::double), 4) else round(rel, 4) end as r0 from sr join v_query using (query_id) where rk <= 120),
+      x as (select query_id, id, source, r0, {_EXCERPT.replace('300', '280').format(t='text', at='at_')} as ex from (select *, {_AT.replace('- 100', '- 93').replace('- 299', '- 279').format(t='text')} as at_ from x0)),
+      {SOUGHT}, {lifted_rows("x", *ENTROPY_RATES["semantic"])}, y as (select *, row_number() over (partition by query_id order by relevance desc, source)::integer as rank from lift) select query_id, rank, id, source, relevance, entropy from y where rank <= 10""",
     "job01_hybrid_retrieve": _RETRIEVE,
     "job04_headlines": f"{_CAND} select query_id, count(*) as results, sum(ceil(strlen(text) / 3.8::double))::bigint as full, sum(ceil(strlen(c.source) / 3.8::double))::bigint as served, (sum(ceil(strlen(text) / 3.8::double)) - sum(ceil(strlen(c.source) / 3.8::double)))::bigint as saved from c join documents on doc_id = id where relevance >= 0.5 group by 1",
     "job07_search_clusters": "with p as (select label, i, avg(embedding[i]::double) as x from embeddings, range(1, 65) r(i) group by 1, 2), c as (select label, list(x order by i) as v from p group by 1), s as (select vec_id as query_id, c.label::bigint as id, list_dot_product(embedding::double[], v) / sqrt(list_dot_product(v, v) * list_dot_product(embedding::double[], embedding::double[])) as c from embeddings, c where vec_id % 50 = 0), r as (select *, row_number() over (partition by query_id order by round(c, 9) desc, id)::integer as rank from s where c > 0.05) select query_id, rank, id, round(c * 1.15::double, 6) as relevance from r where rank <= 3",
