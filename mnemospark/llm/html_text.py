@@ -49,12 +49,15 @@ _BOILER = re.compile(
     r"cookies?|consent|gdpr|notice|popup|modal|overlay|newsletter|subscribe|signup|login|share|sharing|social|related|recommend\w*|widget|pagination|pager|skip)(?:$|[\s_-])",
     re.I,
 )
-_COMMENTS = re.compile(r"(?:^|[\s_-])(?:comments?|commentlist|respond|disqus|replies)(?:$|[\s_-])", re.I)
+_COMMENTS = re.compile(r"(?:^|[\s_-])(?:comments?|commentlist|respond|disqus|replies|feedback|discussion)(?:$|[\s_-])", re.I)
 _PAGE_HEADER = re.compile(r"(?:^|[\s_-])(?:header|site-?header|page-?header)(?:$|[\s_-])", re.I)
 #: Names that say what a block has or lacks, not what it is.
 _ABOUT = re.compile(r"(?:^|(?<=\s))(?:has|no|with|without|hide|show)[_-]\S*", re.I)
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 _ARTICLE = frozenset(("article", "main"))
+#: Text blocks of an article: a name of several parts, such as ``share-price``, may speak of what they say, so only links prove that it does not.
+_TEXT = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre td th dt dd figcaption".split())
+_IF_LINKS = -1.0
 #: Share of a page's plain text that makes a declared block a wrapper; reader comments often outgrow the article.
 _WRAPPER, _COMMENT_WRAPPER = 0.5, 0.95
 
@@ -95,6 +98,9 @@ def _declared(tag: str, attrs: dict[str, str], inside: bool) -> float:
     names = _ABOUT.sub(" ", f"{attrs.get('class', '')} {attrs.get('id', '')}")
     if _COMMENTS.search(names):
         return _COMMENT_WRAPPER
+    if inside and tag in _TEXT:
+        said = [name for name in names.split() if _BOILER.search(name)]
+        return _WRAPPER if any(_BOILER.fullmatch(name) for name in said) else _IF_LINKS if said else 0.0
     return _WRAPPER if _BOILER.search(names) or not inside and _PAGE_HEADER.search(names) else 0.0
 
 
@@ -183,6 +189,9 @@ def prune(root: _Node) -> None:
     nodes = _order(root)
     _count(nodes)
     plain = {id(n): n.chars - n.link_chars for n in nodes}
+    for node in nodes:
+        if node.cut == _IF_LINKS:
+            node.cut = _WRAPPER if 2 * node.link_chars > node.chars else 0.0
     held = {id(root): 0.0}  # the strongest mark above a node
     for node in nodes[1:]:
         held[id(node)] = max(node.cut, held[id(node.parent)])

@@ -58,6 +58,8 @@ def texts(duck):
         ("<div class='ad'>buy</div><article><p>x<script>var a='</p>'</script>y &lt;z&gt;</p></article><aside>side</aside>", "xy <z>"),
         ("<article><header><h1>T</h1></header><p>body</p></article><section id=comments><p>" + "I disagree. " * 50 + "</p></section>", "T body"),
         ("<body><header>Site</header><div id=content><h2>A</h2><p>" + "long text " * 30 + "</p><p>end</p></div><div class='cookie-notice'>ok?</div></body>", "A " + "long text " * 30 + "end"),
+        ("<article><p class='notice-period'>three months</p><p class='share-price'>ten</p><p class='notice'>cookies</p><p class='share-links'><a href=x>mail this</a></p><div class='ad-box'>buy</div><h2 class=nav>menu</h2></article>", "three months ten"),
+        ("<article><p>body</p><div class='reader-feedback'><p>" + "I disagree. " * 5 + "</p></div></article>", "body"),
         ("<p>a<form><input><button>Send</button></form><noscript>no</noscript><p hidden>h</p></p><p>b", "a b"),
     ],
 )
@@ -65,6 +67,13 @@ def test_main_text(page, text):
     assert html_text.main_text(page) == text
 
 
+def test_pages_of_an_empty_table_and_clashing_columns(spark):
+    pages = spark.createDataFrame([(1, None, "old", 5), (2, "<p>a &amp; b", "old", 5), (2, "<p>a &amp; b", "old", 5)], "page_id long, html string, text string, n_chars int")
+    got = sorted((r["page_id"], r["text"], r["n_chars"]) for r in html_text.extract(pages).collect())
+    assert got == [(1, "", 0), (2, "a & b", 5), (2, "a & b", 5)]
+    assert html_text.extract(pages.limit(0)).count() == 0
+
+
 def test_main_text_survives_deep_and_broken_pages():
     assert html_text.main_text("<div>" * 3000 + "deep") == "deep"
     assert html_text.main_text("<<<a <b c='") is not None
