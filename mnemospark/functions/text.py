@@ -19,6 +19,11 @@ STOPWORDS = (
 SIGNAL_WORDS = (
     "must never always critical important decision fixed bug error confirmed approved rejected architecture design migration breaking security"
 ).split()
+# fixed values: words that say little in long natural queries
+LOW_SIGNAL = (
+    "the a an is are was were be been being do does did to of in for on with at by from as into about that this it its my your our their i me we you "
+    "what which who how when where why"
+).split()
 # fixed values: marks of specific texts
 FILE_MARKS = ".rs .go .py .ts .tsx .js .jsx .json .toml .yaml .yml .sql .md".split()
 CODE_MARKS = ("fn ", "func ", "def ", "class ", "struct ", "impl ", "select ", "insert ", "update ", "delete ")
@@ -220,6 +225,36 @@ def normalize_depth(raw: Column, known=("chain-of-thought", "single-shot", "tool
     return F.when(x.isin(*known), x).otherwise("single-shot")
 
 
+# fixed values: words for outcomes, the longest label
+OUTCOMES = {"success": ("success", "ok", "pass"), "partial": ("partial", "mixed", "degraded"), "failure": ("failure", "fail", "error")}
+LABEL_BYTES = 160
+
+
+def normalize_outcome(raw: Column) -> Column:
+    """success, partial or failure; null for any other word."""
+    x, out = F.lower(F.trim(raw)), F.lit(None).cast("string")
+    for name, words in OUTCOMES.items():
+        out = F.when(x.isin(*words), name).otherwise(out)
+    return out
+
+
+def normalize_task_class(raw: Column) -> Column:
+    return F.lower(F.coalesce(F.nullif(F.trim(raw), F.lit("")), F.lit("general")))
+
+
+def _label(raw: Column) -> Column:
+    """The trimmed label; null if it is empty, too long or holds control characters."""
+    x = F.trim(raw)
+    return F.when((x != "") & (F.octet_length(x) <= LABEL_BYTES) & ~x.rlike(r"\p{Cntrl}"), x)
+
+
+def normalize_agent(raw: Column, model: Column) -> Column:
+    """An agent's label with its model in brackets, where it names none and one is known; null for labels that are empty, too long or hold control characters."""
+    agent, of = _label(raw), _label(model)
+    named = F.when(agent.contains("(") | of.isNull(), agent).otherwise(F.concat(F.when(F.lower(agent) == "droid", F.upper(agent)).otherwise(agent), F.lit(" ("), of, F.lit(")")))
+    return F.when(F.octet_length(named) <= LABEL_BYTES, named)
+
+
 def excerpt(text: Column, terms: Column, n: int) -> Column:
     """A window of ``n`` characters around the first hit of the longest term, a third of it before the hit. The lower-case text is made once a row."""
 

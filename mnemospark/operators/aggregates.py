@@ -35,17 +35,31 @@ def rollup_all(events: DataFrame, earlier: DataFrame | None = None) -> DataFrame
     return (detail if earlier is None else detail.unionByName(earlier.select(COUNTERS))).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in COUNTERS])
 
 
-def savings(rows: DataFrame) -> DataFrame:
-    """Sums by day, agent, operation and over all, in one job; level names the grouping."""
-    sets = rows.groupingSets([["day"], ["agent"], ["operation"], []], "day", "agent", "operation")
-    return sets.agg(
-        F.sum("saved").alias("saved"), F.sum("served").alias("served"), F.sum("baseline").alias("baseline"), F.count(F.lit(1)).alias("events"), F.grouping_id().alias("gid")
-    ).select(
-        F.when(F.col("gid") == 3, "day").when(F.col("gid") == 5, "agent").when(F.col("gid") == 6, "operation").otherwise("all").alias("level"),
-        F.coalesce("day", "agent", "operation").alias("name"),
-        "saved", "served", "baseline", "events",
-        F.round(S.ratio(100.0 * F.col("saved"), F.col("baseline")), 4).alias("percent"),
-    )
+def payload_counters(events: DataFrame, types: dict[str, str], keys: dict[str, list[str]], as_of: str, days: int, payload: str = "data") -> DataFrame:
+    """Rows for a rollup (ts, agent, operation, saved, served, baseline, hits) from events (ts, agent, type, JSON payload) of the last ``days`` before ``as_of``.
+
+    ``types`` names the operation of each event type that counts. Of a counter's ``keys`` the first that a payload holds as a number gives its value, else 0.
+    """
+    t = at(as_of)
+    names = F.create_map(*[F.lit(x) for kv in types.items() for x in kv])
+    value = lambda k: F.coalesce(*[F.get_json_object(payload, f"$.{x}").try_cast("double") for x in keys[k]], F.lit(0.0)).cast("long")
+    rows = events.where(F.col("type").isin(*types) & (F.col("ts") > t - F.make_dt_interval(days=F.lit(days))) & (F.col("ts") <= t))
+    return rows.select("ts", "agent", names[F.col("type")].alias("operation"), *[value(k).alias(k) for k in ("saved", "served", "baseline", "hits")])
+
+
+def savings(rows: DataFrame, rollups: DataFrame | None = None) -> DataFrame:
+    """Sums by day, agent, operation and over all, in one job; level names the grouping.
+
+    ``rollups`` (day, operation, counters) hold what is no longer there in detail; they know no agents, so that level is of the details alone.
+    """
+    detail = rows.select("day", "agent", "operation", "saved", "served", "baseline", F.lit(1).cast("long").alias("events"), F.lit(True).alias("known"))
+    if rollups is not None:
+        detail = detail.unionByName(rollups.select("day", F.lit(None).cast("string").alias("agent"), "operation", "saved", "served", "baseline", "events", F.lit(False).alias("known")))
+    sets = detail.groupingSets([["day"], ["agent"], ["operation"], []], "day", "agent", "operation")
+    sums = sets.agg(*[F.sum(c).alias(c) for c in ("saved", "served", "baseline", "events")], F.max("known").alias("known"), F.grouping_id().alias("gid"))
+    level = F.when(F.col("gid") == 3, "day").when(F.col("gid") == 5, "agent").when(F.col("gid") == 6, "operation").otherwise("all")
+    named = sums.withColumn("level", level).where((F.col("level") != "agent") | F.col("known"))
+    return named.select("level", F.coalesce("day", "agent", "operation").alias("name"), "saved", "served", "baseline", "events", F.round(S.ratio(100.0 * F.col("saved"), F.col("baseline")), 4).alias("percent"))
 
 
 def heatmap(events: DataFrame) -> DataFrame:

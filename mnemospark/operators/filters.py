@@ -41,7 +41,7 @@ def visible_to(df: DataFrame, callers: DataFrame, sent: int = 4096, parts: int =
     else:
         buckets = -(-n // sent)
         dealt = who.withColumn("__b", F.pmod(F.xxhash64("caller"), F.lit(buckets))).withColumn("__p", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-        cut = open_.withColumn("__p", F.pmod(F.monotonically_increasing_id(), F.lit(parts)).cast("int")).withColumn("__b", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).cast("long"))
+        cut = open_.withColumn("__p", F.pmod(F.monotonically_increasing_id(), F.lit(parts)).cast("int")).withColumn("__b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(buckets - 1).cast("long"))))
         shared = cut.join(dealt, ["__b", "__p"]).drop("__b", "__p")
     return mine.unionByName(shared.select(*mine.columns))
 

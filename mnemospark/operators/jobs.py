@@ -22,11 +22,29 @@ from mnemospark.plans.scratch import discard, materialize
 NEGATIONS = "not never no without avoid dont can't cannot disable disabled forbid forbidden against".split()
 FLIPS = (("always", "never"), ("must", "never"), ("allow", "forbid"), ("enable", "disable"), ("use", "avoid"))
 AGREES, RELATED, CORE, FLIP_LEAST = 0.84, 0.40, 0.35, 0.55
+# fixed value: the variance below which priorities say nothing
+FLAT = 0.0001
+#: Items of one context that a fold takes.
+MOST_ITEMS = 10_000
 
 
-def term_groups(queries: DataFrame, synonyms: DataFrame) -> DataFrame:
-    """(query_id, group, term): every search keyword with its synonyms (term, synonym) as alternatives."""
-    words = queries.select("query_id", F.explode(F.array_distinct(T.search_keywords(F.col("query")))).alias("group"))
+def term_groups(queries: DataFrame, synonyms: DataFrame, aliases: list[tuple[list[str], list[str]]] = (), low_signal: list[str] = T.LOW_SIGNAL) -> DataFrame:
+    """(query_id, group, term): every search keyword with its synonyms (term, synonym) as alternatives.
+
+    Natural queries of six keywords or more lose those of low signal, unless no other is left. ``aliases`` are (phrases, terms): where a
+    query holds all phrases the terms are keywords too.
+    """
+    asked = queries.select("query_id", F.lower("query").alias("low"), T.query_shape(F.col("query"))["naturalish"].alias("natural"), T.search_keywords(F.col("query")).alias("words"))
+    telling = F.filter("words", lambda w: ~w.isin(*low_signal)) if low_signal else F.col("words")
+    kept = F.when(F.col("natural") & (F.size("words") >= 6) & (F.size(telling) > 0), telling).otherwise(F.col("words"))
+    none = F.array().cast("array<string>")
+    meant = []
+    for phrases, terms in aliases:
+        held = F.lit(True)
+        for phrase in phrases:
+            held = held & F.col("low").contains(phrase)
+        meant.append(F.when(held, F.array(*[F.lit(t) for t in terms])).otherwise(none))
+    words = asked.select("query_id", F.explode(F.array_distinct(F.concat(kept, *meant))).alias("group"))
     more = words.join(synonyms.select(F.col("term").alias("group"), F.col("synonym").alias("term")), "group").select("query_id", "group", "term")
     return words.select("query_id", "group", F.col("group").alias("term")).unionByName(more).distinct()
 
@@ -307,10 +325,20 @@ def pack_greedy(items: DataFrame, budget: int, least: float = 0.7) -> DataFrame:
 
 
 def allocate_budget(items: DataFrame, most: int, least: int, cap: int) -> DataFrame:
-    """Per context a share of ``cap`` tokens for each item: ``least`` each, then by priority, at most ``most`` and its own size."""
+    """Per context a share of ``cap`` tokens for each item: ``least`` each, then by priority, at most ``most`` and its own size.
+
+    Where priorities say nothing, as one item does or a variance below ``FLAT``, items get what they need in order until the cap is spent.
+    A context's items are one task's: contexts are small by nature, a few dozen items; over ``MOST_ITEMS`` is an error.
+    """
 
     def share(part: pd.DataFrame) -> pd.DataFrame:
+        if len(part) > MOST_ITEMS:
+            raise ValueError(f"a context has over {MOST_ITEMS} items")
         part = part.sort_values(["priority", "name"], ascending=[False, True])
+        if len(part) <= 1 or part["priority"].var(ddof=0) < FLAT:
+            need = part["tokens"].clip(upper=most).astype(float)
+            part["share"] = (cap - (need.cumsum() - need)).clip(lower=0).clip(upper=need).round(6)
+            return part[["context", "name", "share"]]
         need = part["tokens"].clip(upper=most).astype(float)
         given = need.clip(upper=least)
         over = given.cumsum() - cap
@@ -324,37 +352,64 @@ def allocate_budget(items: DataFrame, most: int, least: int, cap: int) -> DataFr
     return items.select("context", "name", F.col("tokens").cast("long").alias("tokens"), F.col("priority").cast("double").alias("priority")).groupBy("context").applyInPandas(share, "context long, name string, share double")
 
 
-def apply_budget(results: DataFrame, budget: int, least: float = 0.0, most: int = 12, similarity: float = 0.84, pressure: float = 0.82) -> DataFrame:
-    """Per query the results (rank, source, relevance, tokens, terms) that fit a token budget.
+def explain_budget(results: DataFrame, budget: int, least: float = 0.0, most: int = 12, similarity: float = 0.84, pressure: float = 0.82) -> DataFrame:
+    """Per query what becomes of each result (source, relevance, tokens, terms, query_terms) under a token budget, in the order of relevance:
+    (query_id, source, rank, reason, alike, added, spent).
 
-    Later ones like one already taken are skipped unless they bring a new query term; it stops early once all
-    query terms (query_terms) are covered and the budget is mostly spent.
+    reason: taken; weak (relevance below ``least``); late (behind the first ``most``); alike (as one taken, without a new query term); no room; covered (all
+    query terms are covered and the budget is mostly spent, so it stopped before). alike is the highest likeness to one taken, added
+    the query terms that it would add, spent the tokens so far.
     """
-    top = results.where(F.col("relevance") >= least)
-    top = W.rank_within(top.drop("rank"), ["query_id"], [F.desc("relevance"), F.col("source")]).where(F.col("rank") <= most)
+    ranked = W.rank_within(results.drop("rank"), ["query_id"], [F.desc("relevance"), F.col("source")])
+    early = F.when(F.col("relevance") < least, "weak").when(F.col("rank") > most, "late")
+    ranked = ranked.withColumn("early", early)
 
     def fold(part: pd.DataFrame) -> pd.DataFrame:
-        spent, taken, covered, out = 0, [], set(), []
+        spent, taken, covered, done, out = 0, [], set(), False, []
         for row in part.sort_values("rank").itertuples(index=False):
             terms, wanted = set(row.terms), set(row.query_terms)
-            if len(taken) >= 2 and wanted and wanted <= covered and spent >= pressure * budget:
-                break
+            done = done or (len(taken) >= 2 and bool(wanted) and wanted <= covered and spent >= pressure * budget)
             alike = max((len(terms & t) / len(terms | t) for t in taken if terms | t), default=0.0)
-            if taken and terms and not (terms & wanted - covered) and alike >= similarity or spent + row.tokens > budget:
-                continue
-            spent += row.tokens
-            taken.append(terms)
-            covered |= terms & wanted
-            out.append((row.query_id, row.source, row.rank, spent))
-        return pd.DataFrame(out, columns=["query_id", "source", "rank", "spent"]).astype({"query_id": "int64", "rank": "int32", "spent": "int64"})
+            added = len(terms & wanted - covered)
+            reason = "covered" if done else "alike" if taken and terms and not added and alike >= similarity else "no room" if spent + row.tokens > budget else "taken"
+            if reason == "taken":
+                spent += row.tokens
+                taken.append(terms)
+                covered |= terms & wanted
+            out.append((row.query_id, row.source, row.rank, reason, round(alike, 6), added, spent))
+        return pd.DataFrame(out, columns=["query_id", "source", "rank", "reason", "alike", "added", "spent"]).astype({"query_id": "int64", "rank": "int32", "added": "int32", "spent": "int64"})
+
+    schema = "query_id long, source string, rank int, reason string, alike double, added int, spent long"
+    # ``most`` results a query at most are folded
+    open_ = ranked.where("early is null").select("query_id", "rank", "source", F.col("tokens").cast("long").alias("tokens"), "terms", "query_terms")
+    gone = ranked.where("early is not null").select("query_id", "source", "rank", F.col("early").alias("reason"), F.lit(None).cast("double").alias("alike"), F.lit(None).cast("int").alias("added"), F.lit(None).cast("long").alias("spent"))
+    return open_.groupBy("query_id").applyInPandas(fold, schema).unionByName(gone)
 
-    return top.select("query_id", "rank", "source", F.col("tokens").cast("long").alias("tokens"), "terms", "query_terms").groupBy("query_id").applyInPandas(fold, "query_id long, source string, rank int, spent long")
+
+def apply_budget(results: DataFrame, budget: int, least: float = 0.0, most: int = 12, similarity: float = 0.84, pressure: float = 0.82) -> DataFrame:
+    """Per query the results (source, relevance, tokens, terms, query_terms) that fit a token budget: (query_id, source, rank, spent).
+
+    Later ones like one already taken are skipped unless they bring a new query term; it stops early once all
+    query terms are covered and the budget is mostly spent. Ranks are those among the results of relevance ``least`` or more.
+    """
+    return explain_budget(results, budget, least, most, similarity, pressure).where("reason = 'taken'").select("query_id", "source", "rank", "spent")
 
 
 def search_clusters(queries: DataFrame, clusters: DataFrame, boost: float = 1.15, floor: float = 0.3, k: int = 5) -> DataFrame:
-    """Clusters (id, centroid) nearest to each query vector, with a boost."""
-    found = J.vector_topk(queries, clusters.select("id", F.col("centroid").alias("vector")), k, floor)
-    return found.select("query_id", "rank", "id", F.round(F.col("cosine") * boost, 6).alias("relevance"))
+    """Clusters (id, centroid) nearest to each query vector, with a boost.
+
+    Where queries have a caller and clusters owner_id and visibility, a caller sees shared and team clusters and its own.
+    """
+    rows = clusters.withColumn("vector", F.col("centroid"))
+    if "caller" not in queries.columns:
+        found = J.vector_topk(queries, rows.select("id", "vector"), k, floor)
+        return found.select("query_id", "rank", "id", F.round(F.col("cosine") * boost, 6).alias("relevance"))
+    open_ = F.coalesce(F.col("visibility").isin("shared", "team"), F.lit(False))
+    shared = J.vector_topk(queries.where("caller is not null"), rows.where(open_ & F.col("owner_id").isNotNull()).select("id", "vector"), k, floor).select("query_id", "id", "cosine")
+    own = queries.where(V.usable()).select("query_id", "caller", F.col("vector").alias("qv")).join(rows.where(~open_ & V.usable()).select(F.col("owner_id").alias("caller"), "id", "vector"), "caller")
+    own = own.select("query_id", "id", S.cosine(F.col("qv"), F.col("vector")).alias("cosine")).where(F.col("cosine") > floor)
+    ranked = W.rank_within(shared.unionByName(own), ["query_id"], [F.desc(F.round("cosine", 9)), F.col("id")]).where(F.col("rank") <= k)
+    return ranked.select("query_id", "rank", "id", F.round(F.col("cosine") * boost, 6).alias("relevance"))
 
 
 def cleanup_report(entries: DataFrame, ratio: float = 0.5) -> DataFrame:
@@ -395,15 +450,18 @@ def retrieve_semantic(queries: DataFrame, query_vectors: DataFrame, vectors: Dat
     return W.top_k(apply_boosts(materialize(found, "semantic"), queries, "semantic"), k).select("query_id", "rank", "id", "source", "relevance", "entropy")
 
 
-def retrieve_budgeted(results: DataFrame, edges: DataFrame, corpus: DataFrame, queries: DataFrame, budget: int, share: float = 0.5) -> DataFrame:
-    """Results (query_id, source, relevance) joined by associated sources, packed into a token budget per query.
+def retrieve_budgeted(results: DataFrame, edges: DataFrame, corpus: DataFrame, queries: DataFrame, budget: int, share: float = 0.5, least: float = 0.0) -> DataFrame:
+    """Results (query_id, source, relevance, method) joined by associated sources, packed into a token budget per query, with what became of each.
 
-    An associated source's relevance is its strength by the strongest of its query, times ``share`` of the query's best.
+    An associated source's relevance is its strength by the strongest of its query, times ``share`` of the query's best; its method is
+    ``associated``. ``corpus`` has the texts (source, text) of all sources, clusters included. Columns: those of ``explain_budget``, relevance, tokens and method.
     """
     extra = J.associate(results.select("query_id", "source"), edges)
     top = extra.groupBy("query_id").agg(F.max("strength").alias("most")).join(results.groupBy("query_id").agg(F.max("relevance").alias("best")), "query_id")
-    more = extra.join(top, "query_id").select("query_id", "source", F.round(share * F.col("best") * F.col("strength") / F.col("most"), 4).alias("relevance"))
-    every = results.select("query_id", "source", "relevance").unionByName(more)
+    more = extra.join(top, "query_id").select("query_id", "source", F.round(share * F.col("best") * F.col("strength") / F.col("most"), 4).alias("relevance"), F.lit("associated").alias("method"))
+    every = results.select("query_id", "source", "relevance", "method").unionByName(more)
     texts = corpus.select("source", T.tokens(F.col("text")).alias("tokens"), T.token_set(F.col("text"), "terms").alias("terms"))
     terms = queries.select("query_id", F.array_distinct(T.search_keywords(F.col("query"))).alias("query_terms"))
-    return apply_budget(every.join(texts, "source").join(terms, "query_id").withColumn("rank", F.lit(0)), budget)
+    asked = materialize(every.join(texts, "source").join(terms, "query_id"), "budget-results")
+    told = explain_budget(asked, budget, least)
+    return told.join(asked.select("query_id", "source", "relevance", "tokens", "method"), ["query_id", "source"])

@@ -86,7 +86,21 @@ def a18(s, d):
     return op.table_counts({t: s.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "events", "embeddings", "labels")})
 
 
+def a04_rollups(s, d):
+    """The first days only as a stored rollup, the others in detail."""
+    e = _ev(s, d)
+    old = op.rollup_hourly(e.where("ts < timestamp_ntz'2024-01-10'"))
+    return op.savings(e.where("ts >= timestamp_ntz'2024-01-10'").withColumn("day", F.date_format("ts", "yyyy-MM-dd")), old)
+
+
+def a01_payload(s, d):
+    e = _ev(s, d).select("ts", "agent", F.col("event_type").alias("type"), F.when(F.col("event_id") % 3 == 0, F.to_json(F.struct(F.col("saved").alias("savedTokens"), "hits"))).otherwise(F.to_json(F.struct("saved", F.col("served").alias("tokens"), F.lit("x").alias("baseline")))).alias("data"))
+    keys = {"saved": ["saved", "savedTokens"], "served": ["served", "tokens"], "baseline": ["baseline", "saved"], "hits": ["hits"]}
+    return op.rollup_hourly(op.payload_counters(e, {"click": "recall", "purchase": "store", "view": "tool"}, keys, AS_OF, 20))
+
+
 QUERIES = {
+    "a04_savings_with_rollups": a04_rollups, "a01_payload_rollup": a01_payload,
     "a01_rollup_hourly": lambda s, d: op.rollup_hourly(_ev(s, d)),
     "a02_merge_rollup": lambda s, d: op.merge_rollup(op.rollup_hourly(_ev(s, d).where("event_id % 2 = 0")), op.rollup_hourly(_ev(s, d).where("event_id % 2 = 1"))),
     "a03_rollup_all": lambda s, d: op.rollup_all(_ev(s, d).where("k >= 50"), op.rollup_hourly(_ev(s, d).where("k < 50"))),
@@ -137,6 +151,10 @@ SQL = {
     "a05_heatmap": f"{_EV} select dayofweek(ts)::integer as weekday, hour(ts)::integer as hour, count(*) as events from v_event group by 1, 2",
     "a06_recall_stats": f"{_TIER} select * from st",
     "a07_comparison_gate": f"{_TIER} select sum(n)::bigint as samples, 'hits,largest_share' as blockers, false as ready from st having max(share) > 5 and sum(hits) < 1000000000 and sum(n) >= 500",
+    "a04_savings_with_rollups": f"""{_EV}, e as (select *, strftime(ts, '%Y-%m-%d') as day, ts < timestamp '2024-01-10' as old from v_event), g as (select coalesce(day, operation) as name, case when day is not null then 'day' when operation is not null then 'operation' else 'all' end as level, sum(saved)::bigint as saved, sum(served)::bigint as served, sum(baseline)::bigint as baseline, count(*) as events from e group by grouping sets ((day), (operation), ())
+      union all select agent, 'agent', sum(saved)::bigint, sum(served)::bigint, sum(baseline)::bigint, count(*) from e where not old group by 1) select *, round(case when baseline > 0 then 100.0::double * saved / baseline else 0 end, 4)::double as percent from g""",
+    "a01_payload_rollup": f"""{_EV}, p as (select ts, case event_type when 'click' then 'recall' when 'purchase' then 'store' when 'view' then 'tool' end as operation, saved, case when event_id % 3 = 0 then 0 else served end as served, case when event_id % 3 = 0 then 0 else saved end as baseline, case when event_id % 3 = 0 then hits else 0 end as hits from v_event where event_type in ('click', 'purchase', 'view') and ts > {_NOW} - to_days(20) and ts <= {_NOW})
+      select strftime(ts, '%Y-%m-%d') as day, hour(ts)::integer as hour, operation, sum(saved)::bigint as saved, sum(greatest(served, 0))::bigint as served, sum(greatest(baseline, 0))::bigint as baseline, count(*) as events, sum((hits > 0)::int)::bigint as hits, sum((hits <= 0)::int)::bigint as misses from p group by 1, 2, 3""",
     "a08_digest": f"{_EV} select count(*) as total, sum((strftime(ts, '%Y-%m-%d') = '2024-01-15')::int)::bigint as today, sum((strftime(ts, '%Y-%m-%d') = '2024-01-15' and operation = 'boot')::int)::bigint as boots, sum(case when strftime(ts, '%Y-%m-%d') = '2024-01-15' then saved else 0 end)::bigint as saved_today, sum(saved)::bigint as saved from v_event",
     "a08_digest_top": f"{_EV} select agent, count(*) as n from v_event where strftime(ts, '%Y-%m-%d') = '2024-01-15' group by 1 order by 2 desc, 1 limit 5",
     "a09_feedback_stats": f"{_FB} select count(*) as total, sum((signal > 0)::int)::bigint as positive, sum((signal < 0)::int)::bigint as negative, count(distinct result_source) as sources from v_feedback",

@@ -98,6 +98,12 @@ def m13(spark, d):
     return view(spark, d, "v_event").select("event_id", T.normalize_client(raw).alias("client"), T.normalize_depth(F.element_at(F.array(F.lit("Multi Step"), F.lit("user_stated"), F.lit(""), F.lit("x")), (F.col("k") % 4 + 1).cast("int"))).alias("depth"))
 
 
+def m13_labels(spark, d):
+    pick = lambda *x: F.element_at(F.array(*[F.lit(v) for v in x]), (F.col("k") % len(x) + 1).cast("int"))
+    e = view(spark, d, "v_event")
+    return e.select("event_id", T.normalize_outcome(pick(" OK ", "Mixed", "error", "other", None)).alias("outcome"), T.normalize_task_class(pick("  ", "Coding ", None)).alias("task_class"), T.normalize_agent(pick("Droid", " codex ", "x (y)", "", None, "a\tb"), F.when(F.col("event_id") % 2 == 0, F.col("event_type"))).alias("agent"))
+
+
 def m14(spark, d):
     return _docs(spark, d).select("doc_id", F.md5(T.redact(F.col("text")).cast("binary")).alias("digest"), (T.redact(F.col("text")) != F.col("text")).alias("redacted"))
 
@@ -183,7 +189,7 @@ QUERIES = {
     "f09_hash_sample": lambda s, d: op.hash_sample(_mem(s, d), ["id"], 20).select("id"),
     "f10_since": lambda s, d: op.since(view(s, d, "v_event"), "3d", "2024-01-20 00:00:00").select("event_id", "user_id"),
     "m01_entropy": m1, "m02_keywords": m2, "m04_query_shape": m4, "m07_compound": m7, "m10_trust": m10, "m12_retention": m12,
-    "m13_normalize_labels": m13, "m14_redact": m14, "m15_excerpt": m15, "m16_key_points": m16, "m18_compress": m18,
+    "m13_normalize_labels": m13, "m13_task_labels": m13_labels, "m14_redact": m14, "m15_excerpt": m15, "m16_key_points": m16, "m18_compress": m18,
     "m19_classify_message": m19, "m26_tokens": m26, "m27_cosine": m27, "m28_quantize": m28, "m29_jaccard": m29,
     "m30_content_hash": m30, "m34_query_terms": m34, "m37_parse_ts": m37, "m38_parse_source": m38, "m39_decay": m39,
 }
@@ -240,6 +246,7 @@ SQL = {
     "m10_trust": f"{_MEM} select id, round(least(1.0::double, score * 1.2::double) * ([1.0, 0.85, 0.8, 0.6, 0.5, 0.7])[(id % 6 + 1)::int]::double, 4) as trust from v_memory",
     "m12_retention": f"""{_MEM}, r as (select id, case id % 6 when 0 then 'durable' when 1 then 'audit' when 2 then 'ephemeral' when 3 then 'operational' else case when id % 12 = 4 then 'durable' when {_any('lower(text)', S.RETENTION_PHRASES[0][1])} then 'durable' when {_any('lower(text)', S.RETENTION_PHRASES[1][1])} then 'audit' when id % 12 = 5 then 'ephemeral' else 'operational' end end as retention from v_memory)
       select id, retention, case retention when 'operational' then 90 when 'audit' then 365 when 'ephemeral' then 14 end::integer as ttl_days from r""",
+    "m13_task_labels": f"{_EV} select event_id, ['success', 'partial', 'failure', null, null][(k % 5 + 1)::int] as outcome, ['general', 'coding', 'general'][(k % 3 + 1)::int] as task_class, case when event_id % 2 = 0 then ['DROID (' || event_type || ')', 'codex (' || event_type || ')', 'x (y)', null, null, null][(k % 6 + 1)::int] else ['Droid', 'codex', 'x (y)', null, null, null][(k % 6 + 1)::int] end as agent from v_event",
     "m13_normalize_labels": f"{_EV} select event_id, 'client-' || event_type as client, ['multi-step', 'user-stated', 'single-shot', 'single-shot'][(k % 4 + 1)::int] as depth from v_event",
     "m14_redact": f"select doc_id, md5({_RED}) as digest, {_RED} <> text as redacted from documents",
     "m15_excerpt": """with t as (select doc_id, text, length(text) as n, case when instr(lower(text), 'schen') > 0 then instr(lower(text), 'schen') when instr(lower(text), 'erth') > 0 then instr(lower(text), 'erth') when instr(lower(text), 'tion') > 0 then instr(lower(text), 'tion') end as hit from documents),

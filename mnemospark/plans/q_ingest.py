@@ -123,7 +123,17 @@ def str08(s, d):
     return s.read.schema("agent string, id long").parquet(f"{run}/out")
 
 
+def snk01(s, d):
+    """What is written of the active rows, read back."""
+    import uuid
+
+    path = f"{shared_dir(s)}/export-{uuid.uuid4().hex}"
+    src.export_active(_mem(s, d).select("id", "source", "status", "score"), path)
+    return s.read.parquet(path).select("id", "source", "score")
+
+
 QUERIES = {
+    "snk01_export_active": snk01,
     "src01_load_corpus": lambda s, d: src.load_corpus(s, d)["documents"].groupBy("lang").agg(F.count(F.lit(1)).alias("n")),
     "src02_explode_conversations": src02,
     "src04_extract_section": src04,
@@ -153,6 +163,7 @@ SQL = {
     "src01_load_corpus": "select lang, count(*) as n from documents group by 1",
     "src02_explode_conversations": "select 'c' || conv_id as title, role, row_number() over (partition by conv_id order by turn)::integer as turn, length(trim(text, ' ')) as n from conversations where length(trim(text, ' ')) >= 30",
     "src04_extract_section": "select doc_id, length(trim(substr(text, 1, case when position(chr(10) || '## ' in text) > 0 then position(chr(10) || '## ' in text) - 1 else length(text) end), ' ')) + 1 as n from documents",
+    "snk01_export_active": f"{_MEM} select id, source, score from v_memory where status = 'active'",
     "snk02_export_page": f"{_MEM}, p as (select id, source, row_number() over (order by id) as rn from v_memory where id > 250 order by id limit 101) select id, source, (select count(*) from p) > 100 as has_more, case when (select count(*) from p) > 100 then (select max(id) from p where rn <= 100) end as next_id from p where rn <= 100",
     "snk03_export_changes": f"{_MEM} select id from v_memory where updated_at > timestamp '2024-01-01' and updated_at <= timestamp '2024-01-20'",
     "snk04_import_rows": f"{_MEM} select case when id % 6 = 0 then id + 100000 else id end as id, source, case when id % 6 = 0 then null else lang end as lang from v_memory",

@@ -31,10 +31,16 @@ def hybrid_retrieve(s, d):
     query_vectors = v.where("vec_id % 50 = 0").select((F.col("vec_id") / 50).cast("long").alias("query_id"), F.col("vec_id").alias("own"), F.col("embedding").alias("vector")).join(queries.select("query_id"), "query_id", "left_semi")
     vectors = v.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")).join(corpus.select("id"), "id", "left_semi")
     boosts = agg.feedback_boost(view(s, d, "v_feedback"), AS_OF).withColumnRenamed("result_source", "source")
-    labelled = v.select(F.col("vec_id").alias("id"), F.col("label").cast("long").alias("cluster_id"), F.col("embedding").alias("vector")).join(corpus.select("id", "source", "text"), "id")
+    clusters, members = _clusters(s, d)
+    return op.retrieve(queries, corpus, vectors, query_vectors, AS_OF, boosts=boosts, clusters=clusters, members=members, floor=0.0)
+
+
+def _clusters(s, d):
+    """The labelled vectors as clusters that speak by their first document, and a third of the documents as members."""
+    labelled = view(s, d, "v_vector").select(F.col("vec_id").alias("id"), F.col("label").cast("long").alias("cluster_id"), F.col("embedding").alias("vector")).join(_mem(s, d).select("id", "source", "text"), "id")
     named = labelled.groupBy("cluster_id").agg(F.min_by("text", "id").alias("text"))
     clusters = agg.centroids(labelled.select("cluster_id", "vector")).join(named, "cluster_id").select(F.col("cluster_id").alias("id"), F.concat(F.lit("cluster::"), "cluster_id").alias("source"), "text", "centroid")
-    return op.retrieve(queries, corpus, vectors, query_vectors, AS_OF, boosts=boosts, clusters=clusters, members=labelled.where("id % 3 = 0").select("cluster_id", "source"), floor=0.0)
+    return clusters, labelled.where("id % 3 = 0").select("cluster_id", "source")
 
 
 def job04(s, d):
@@ -56,6 +62,21 @@ def job05_vectors(s, d):
     return op.leader_clusters(J.vector_pairs(v, 0.35).select("a", "b"), v.select("id"), 3)
 
 
+def job07_visible(s, d):
+    """Cluster search by callers: a third of the clusters belong to one owner each, the rest to all."""
+    v = view(s, d, "v_vector")
+    mean = agg.centroids(v.select(F.col("label").alias("cluster_id"), F.col("embedding").alias("vector")))
+    clusters = mean.select(F.col("cluster_id").cast("long").alias("id"), "centroid", (F.col("cluster_id") % 4).cast("long").alias("owner_id"), F.when(F.col("cluster_id") % 3 == 0, "private").otherwise("shared").alias("visibility"))
+    queries = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.when(F.col("vec_id") % 350 != 0, F.col("vec_id") / 50 % 4).cast("long").alias("caller"), F.col("embedding").alias("vector"))
+    return op.search_clusters(queries, clusters, floor=0.0, k=4)
+
+
+def job08_copies(s, d):
+    """Groups of equal token sets as clusters."""
+    members = J.jaccard_classes(_tokens(s, d))[1]
+    return op.archive_duplicates(_mem(s, d).select("id", "score"), members.select(F.col("member").alias("id"), F.col("id").alias("leader")))
+
+
 def job07(s, d):
     v = view(s, d, "v_vector")
     clusters = agg.centroids(v.select(F.col("label").alias("cluster_id"), F.col("embedding").alias("vector"))).withColumnRenamed("cluster_id", "id").withColumn("id", F.col("id").cast("long"))
@@ -100,7 +121,7 @@ def job10(s, d):
 
 def m03(s, d):
     syn = s.createDataFrame([("erth", "earth"), ("the", "tha"), ("der", "die")], "term string, synonym string")
-    return op.term_groups(view(s, d, "v_query"), syn)
+    return op.term_groups(view(s, d, "v_query"), syn, [(["erth"], ["earthy", "ground"]), (["der", "ein"], ["eine"])])
 
 
 def f11(s, d):
@@ -120,7 +141,8 @@ def job03(s, d):
     corpus = _mem(s, d)
     basket = _candidates(s, d).where("relevance > 0.8").groupBy("query_id").agg(F.collect_set("source").alias("items"), F.lit(None).cast("timestamp_ntz").alias("seen"))
     edges = agg.co_occurrence(basket).select("a", "b", "n")
-    return op.retrieve_budgeted(hybrid_retrieve(s, d), edges, corpus, view(s, d, "v_query"), 4000)
+    texts = corpus.select("source", "text").unionByName(_clusters(s, d)[0].select("source", "text"))
+    return op.retrieve_budgeted(hybrid_retrieve(s, d), edges, texts, view(s, d, "v_query"), 4000)
 
 
 def job06_consolidate(s, d):
@@ -160,7 +182,7 @@ def job11_items(s, d):
 
 
 QUERIES = {
-    "job06_consolidate": job06_consolidate, "job12_admit_batch": job12, "job11_capsule_items": job11_items,
+    "job07_visible_clusters": job07_visible, "job08_archive_copies": job08_copies, "job06_consolidate": job06_consolidate, "job12_admit_batch": job12, "job11_capsule_items": job11_items,
     "job11_context_capsule": lambda s, d: context_capsule(job11_items(s, d), 260),
     "f11_novelty": f11, "job02_semantic_retrieve": job02, "job03_budgeted_retrieve": job03,
     "job01_hybrid_retrieve": hybrid_retrieve, "job04_headlines": job04, "job05_leader_clusters": _leaders, "job05_leader_vectors": job05_vectors,
@@ -185,6 +207,11 @@ _PAIR = "list_has_any({x}.t, ['erth', 'ung'])"
 _PAIRS = f"p as (select x.id as a, y.id as b, {_JJ.format(a='x.t', b='y.t')} as s, {_PAIR.format(x='x')} as na, {_PAIR.format(x='y')} as nb, (list_contains(x.t, 'tion') and list_contains(y.t, 'heit')) or (list_contains(x.t, 'heit') and list_contains(y.t, 'tion')) as flip, list_filter(x.t, lambda w: w not in ('erth', 'ung')) as ca, list_filter(y.t, lambda w: w not in ('erth', 'ung')) as cb from t x join t y on {{on}} and len(x.t) > 0 and len(x.t) >= 0.4 * len(y.t) and len(y.t) >= 0.4 * len(x.t) where {_JJ.format(a='x.t', b='y.t')} >= 0.4::double - 1e-9)"
 _IDLE, _SEEN = f"(epoch({_NOW}) - epoch(updated_at)) / 86400", f"(epoch({_NOW}) - epoch(coalesce(last_accessed, created_at))) / 86400"
 
+_LOW = "(" + ", ".join(f"'{w}'" for w in T.LOW_SIGNAL) + ")"
+_TELLING = f"list_filter(words, lambda w: w not in {_LOW})"
+#: Keywords that count as groups: natural queries of six and more lose those of low signal.
+_GROUPED = f"""kq as (select query_id, len(list_filter(regexp_split_to_array(trim(query), '[ \t\n]+'), lambda w: w <> '')) >= 8 or length(trim(query)) >= 56 or trim(query) like '%?' as nat, list_filter(list_filter(string_split(regexp_replace(lower(query), '[^a-z0-9-]+', ' ', 'g'), ' '), lambda w: w <> ''), lambda w: length(w) > 1) as words from v_query),
+  gq as (select distinct query_id, unnest(case when nat and len(words) >= 6 and len({_TELLING}) > 0 then {_TELLING} else words end) as term from kq)"""
 _EXCERPT = "case when length({t}) <= 300 then {t} else case when {at} > 1 then '...' else '' end || substr({t}, {at}, 300) || case when {at} + 300 <= length({t}) then '...' else '' end end"
 #: Start of a text's excerpt: a third before the first hit of the longest term held.
 _AT = "greatest(1, least(coalesce(greatest(instr(lower({t}), list_sort(list_transform(list_filter(said, lambda t: contains(lower({t}), t)), lambda t: {{'l': -length(t), 't': t}}))[1].t) - 100, 1), 1), length({t}) - 299))"
@@ -198,7 +225,7 @@ def _cut(table: str, text: str, columns: str) -> str:
 
 _RETRIEVE = (
     _TERMS
-    + f""", {duck('v_memory')[5:]}, sq as (select query_id, list(term) as said from qt group by 1), need as (select query_id, count(*) as need from qt group by 1), h as (select query_id, id, count(distinct term) as matched, sum(tf)::bigint as tf from qt join p using (term) group by 1, 2),
+    + f""", {duck('v_memory')[5:]}, {_GROUPED}, sq as (select query_id, list(term) as said from qt group by 1), need as (select query_id, count(*) as need from gq group by 1), h as (select query_id, id, count(distinct term) as matched, sum(tf)::bigint as tf from gq join p using (term) group by 1, 2),
   k as (select query_id, id, matched, row_number() over (partition by query_id order by tf desc, id) as rank from h join need using (query_id) where matched = need),
   f as (select query_id, id, matched, row_number() over (partition by query_id order by matched desc, tf desc, id) as rank from h where query_id not in (select query_id from k)),
   sh as (select query_id, (position('/' in query) > 0 or position('"' in query) > 0 or position('`' in query) > 0 or position('::' in query) > 0 or position(chr(92) in query) > 0 or len(list_filter(['.rs', '.ts', '.js', '.py'], lambda w: contains(lower(query), w))) > 0 or len(string_split(trim(query), ' ')) <= 3 or length(trim(query)) <= 24) as e, (len(list_filter(regexp_split_to_array(trim(query), '[ \t\n]+'), lambda w: w <> '')) >= 8 or length(trim(query)) >= 56 or trim(query) like '%?') as n from v_query),
@@ -268,14 +295,16 @@ SQL = {
       {SOUGHT}, {lifted_rows("x", *ENTROPY_RATES["semantic"])}, y as (select *, row_number() over (partition by query_id order by relevance desc, source)::integer as rank from lift) select query_id, rank, id, source, relevance, entropy from y where rank <= 10""",
     "job01_hybrid_retrieve": _RETRIEVE,
     "job04_headlines": f"{_CAND} select query_id, count(*) as results, sum(ceil(strlen(text) / 3.8::double))::bigint as full, sum(ceil(strlen(c.source) / 3.8::double))::bigint as served, (sum(ceil(strlen(text) / 3.8::double)) - sum(ceil(strlen(c.source) / 3.8::double)))::bigint as saved from c join documents on doc_id = id where relevance >= 0.5 group by 1",
+    "job07_visible_clusters": "with p as (select label, i, avg(embedding[i]::double) as x from embeddings, range(1, 65) r(i) group by 1, 2), c as (select label, list(x order by i) as v from p group by 1), s as (select vec_id as query_id, c.label::bigint as id, list_dot_product(embedding::double[], v) / sqrt(list_dot_product(v, v) * list_dot_product(embedding::double[], embedding::double[])) as c from embeddings e, c where vec_id % 50 = 0 and vec_id % 350 <> 0 and (c.label % 3 <> 0 or c.label % 4 = vec_id // 50 % 4)), r as (select *, row_number() over (partition by query_id order by round(c, 9) desc, id)::integer as rank from s where c > 0.0) select query_id, rank, id, round(c * 1.15::double, 6) as relevance from r where rank <= 4",
+    "job08_archive_copies": f"{_MEM}, {_TOK}, k as (select id, min(id) over (partition by list_sort(t)) as leader from t), r as (select m.id, leader, row_number() over (partition by leader order by score desc, m.id) as rn from v_memory m join k using (id)) select id, leader, case when rn = 1 then 'active' else 'archived' end as status from r",
     "job07_search_clusters": "with p as (select label, i, avg(embedding[i]::double) as x from embeddings, range(1, 65) r(i) group by 1, 2), c as (select label, list(x order by i) as v from p group by 1), s as (select vec_id as query_id, c.label::bigint as id, list_dot_product(embedding::double[], v) / sqrt(list_dot_product(v, v) * list_dot_product(embedding::double[], embedding::double[])) as c from embeddings, c where vec_id % 50 = 0), r as (select *, row_number() over (partition by query_id order by round(c, 9) desc, id)::integer as rank from s where c > 0.05) select query_id, rank, id, round(c * 1.15::double, 6) as relevance from r where rank <= 3",
     "job09_age": f"{duck('v_memory', 'v_feedback')}, g as (select result_source as source, count(*) as good from v_feedback where signal > 0 and created_at >= {_NOW} - to_days(14) group by 1) select id, age_tier as before, case when status <> 'active' then age_tier when not pinned and score < 0.15 and {_SEEN} > 3 then 'archived' when age_tier = 'fresh' and {_IDLE} > 3 and coalesce(good, 0) < 5 then 'recent' when age_tier = 'recent' and {_IDLE} > 14 and coalesce(good, 0) < 5 then 'old' when age_tier = 'old' and {_IDLE} > 60 then 'archived' else age_tier end as after from v_memory left join g using (source)",
     "job10_compact": f"""{duck('v_memory', 'v_event', 'v_history')}, a as (select * from v_event where ts >= {_NOW} - to_days(14) or event_type = 'purchase'), n as (select count(*) as a, sum((event_type = 'purchase')::int) as p from a),
       l as (select * from v_memory where expires_at is null or expires_at > {_NOW}), e as (select query, 'u' || (user_id % 12) as u, count(*) as n from v_history group by 1, 2)
       select 'age_out' as step, (select count(*) from v_event) as before, (select a from n) as after union all select 'overflow', a, (p + least(a - p, greatest(0, 5000 - p)))::bigint from n union all select 'expired', (select count(*) from v_memory), (select count(*) from l)
       union all select 'orphans', (select count(*) from embeddings), (select count(*) from embeddings where vec_id * 3 in (select id from l where status = 'active')) union all select 'singletons', count(*), sum((n >= 2)::int)::bigint from e""",
-    "m03_term_groups": duck("v_query")
-    + ", w as (select distinct query_id, unnest(list_filter(list_filter(string_split(regexp_replace(lower(query), '[^a-z0-9-]+', ' ', 'g'), ' '), lambda w: w <> ''), lambda w: length(w) > 1)) as \"group\" from v_query) select query_id, \"group\", \"group\" as term from w union all select query_id, \"group\", s from w join (values ('erth', 'earth'), ('the', 'tha'), ('der', 'die')) y(t, s) on t = \"group\"",
+    "m03_term_groups": f"""{duck("v_query")}, {_GROUPED}, w as (select query_id, term as "group" from gq union select query_id, unnest(case when contains(lower(query), 'erth') then ['earthy', 'ground'] else [] end) from v_query union select query_id, unnest(case when contains(lower(query), 'der') and contains(lower(query), 'ein') then ['eine'] else [] end) from v_query)
+      select query_id, "group", "group" as term from w union all select query_id, "group", s from w join (values ('erth', 'earth'), ('the', 'tha'), ('der', 'die')) y(t, s) on "group" = t""",
     "job11_capsule_items": f"{_ITEMS} select agent, section, priority, text, tokens from items",
     "job11_context_capsule": f"""{_ITEMS}, r as (select *, row_number() over (partition by agent order by priority desc, section) as i from items),
       f as (select agent, 0::bigint as i, 260::bigint as room, null::varchar as section, 0::bigint as used from (select distinct agent from r) union all

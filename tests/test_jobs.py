@@ -172,3 +172,61 @@ def test_rate_audit_in_pieces_equals_one_fold(spark, seed):
         kept[k] = [*times, t] if want[i] else times
     df = spark.createDataFrame(rows, "event_id long, t double, k string").select("event_id", "k", F.timestamp_seconds("t").cast("timestamp_ntz").alias("ts"))
     assert {r["event_id"]: r["accepted"] for r in streams.rate_audit(df, 2, 10, ["k"]).collect()} == want
+
+
+def brute_share(items, most, least, cap):
+    """The whole of an allocation for one context, item by item."""
+    items = sorted(items, key=lambda x: (-x[2], x[0]))
+    need = [min(t, most) for _, t, _ in items]
+    mean = sum(p for *_, p in items) / len(items)
+    given, left = [0.0] * len(items), float(cap)
+    if len(items) == 1 or sum((p - mean) ** 2 for *_, p in items) / len(items) < 1e-4:
+        for i, n in enumerate(need):
+            given[i] = min(n, left)
+            left -= given[i]
+    else:
+        for i, n in enumerate(need):
+            given[i] = min(n, least, left)
+            left -= given[i]
+        while left > 1e-9 and (open_ := [i for i in range(len(items)) if need[i] - given[i] > 1e-9]):
+            total = sum(max(items[i][2], 1e-9) for i in open_)
+            parts = {i: min(left * max(items[i][2], 1e-9) / total, need[i] - given[i]) for i in open_}
+            for i, x in parts.items():
+                given[i] += x
+            left -= sum(parts.values())
+    return {n: round(g, 6) for (n, *_), g in zip(items, given, strict=True)}
+
+
+def test_shares_equal_a_slow_form(spark):
+    rng = random.Random(4)
+    contexts = {c: [(f"n{i}", rng.randint(0, 900), rng.choice([0.5, 0.5, 0.9, 0.1]) if c % 3 else 0.5) for i in range(rng.randint(1, 12))] for c in range(30)}
+    df = spark.createDataFrame([(c, *x) for c, items in contexts.items() for x in items], "context long, name string, tokens long, priority double")
+    got = {}
+    for r in jobs.allocate_budget(df, 600, 40, 1500).collect():
+        got.setdefault(r["context"], {})[r["name"]] = r["share"]
+    for c, items in contexts.items():
+        assert got[c] == pytest.approx(brute_share(items, 600, 40, 1500), abs=1e-5)
+
+
+def test_what_becomes_of_budgeted_results(spark):
+    rows = [(1, "a", 0.9, 10, ["x", "y"], ["x", "q"]), (1, "b", 0.8, 10, ["x", "y"], ["x", "q"]), (1, "c", 0.7, 100, ["z"], ["x", "q"]), (1, "d", 0.6, 10, ["q", "y"], ["x", "q"]), (1, "e", 0.5, 1, ["w"], ["x", "q"]), (1, "f", 0.4, 1, ["w"], ["x", "q"]), (1, "g", 0.1, 1, ["w"], ["x", "q"])]
+    df = spark.createDataFrame(rows, "query_id long, source string, relevance double, tokens long, terms array<string>, query_terms array<string>")
+    got = {r["source"]: (r["reason"], r["added"], r["spent"]) for r in jobs.explain_budget(df, 24, 0.2, 5).collect()}
+    assert got == {"a": ("taken", 1, 10), "b": ("alike", 0, 10), "c": ("no room", 0, 10), "d": ("taken", 1, 20), "e": ("covered", 0, 20), "f": ("late", None, None), "g": ("weak", None, None)}
+
+
+def test_callers_in_buckets_see_the_same(spark):
+    rows = spark.createDataFrame([(i, i % 5 if i % 7 else None, ["private", "team", "shared", None][i % 4]) for i in range(60)], "id long, owner_id long, visibility string")
+    callers = spark.createDataFrame([(c,) for c in [*range(9), None, 3]], "caller long")
+    few, many = (sorted((r["caller"], r["id"]) for r in filters.visible_to(rows, callers, sent, 3).collect()) for sent in (100, 2))
+    assert few == many == sorted((c, i) for c in range(9) for i in range(60) if i % 7 and (i % 4 in (1, 2) or i % 5 == c))
+
+
+def test_pair_agreement_equals_all_pairs(spark):
+    from mnemospark.operators import evaluate
+
+    rng = random.Random(6)
+    rows = [(q, i, rng.random(), rng.random()) for q in range(6) for i in range([1, 2, 3, 17, 32, 40][q])]
+    got = evaluate.proxy_agreement(spark.createDataFrame(rows, "query_id long, id long, full double, proxy double")).first()
+    pairs = [(a[2] > b[2]) == (a[3] > b[3]) for a in rows for b in rows if a[0] == b[0] and a[1] < b[1]]
+    assert got["pair_agreement"] == round(sum(pairs) / len(pairs), 6)
