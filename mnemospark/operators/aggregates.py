@@ -268,3 +268,39 @@ def eval_snapshot(outcomes: DataFrame) -> DataFrame:
     names = ["success", "median_latency", "retries"]
     cols = [F.round(f"{k}_{m}", 6).alias(f"{k}_{m}") for k in ("baseline", "assisted") for m in names]
     return by.select(*cols, *[F.round(F.col(f"assisted_{m}") - F.col(f"baseline_{m}"), 6).alias(f"delta_{m}") for m in names])
+
+
+def eval_signals(memories: DataFrame, decisions: DataFrame, events: DataFrame, as_of: str, days: int) -> DataFrame:
+    """One row: active memories and decisions, open conflicts, and the rates of the last ``days`` (1 to 180) before ``as_of``.
+
+    Entries: status, score, pinned, retrievals, last_accessed, expires_at, trust_score; decisions also disputes. events: kind (decision_conflict, decision_resolve, recall_query,
+    consensus), ts, promoted, failed. conflict_burden: open conflicts by active decisions; decay_burden: active rows below one half that are not
+    pinned; resolution_velocity: resolutions a day; contradiction_rate: conflicts by recalls; hits are active rows retrieved in the window: stale_hit_rate of memories that
+    are weak or expired, low_trust_hit_rate of all; consensus_precision: promoted by promoted and failed. Rates of nothing are 0.
+    """
+    days = max(1, min(180, days))
+    t = at(as_of)
+    since = t - F.make_dt_interval(days=F.lit(days))
+    count = lambda x: F.coalesce(F.sum(F.coalesce(x, F.lit(False)).cast("long")), F.lit(0))
+    active = F.col("status") == "active"
+    hit = active & (F.col("retrievals") > 0) & (F.col("last_accessed") >= since)
+    weak = F.col("score") < 0.5
+    both = [count(active).alias("active"), count(active & weak & ~F.col("pinned")).alias("decayed"), count(hit).alias("hits"), count(hit & (F.col("trust_score") < 0.5)).alias("low")]
+    m = memories.agg(*both, count(hit & (weak | (F.col("expires_at") <= t))).alias("stale")).select(*[F.col(c).alias(f"m_{c}") for c in ("active", "decayed", "hits", "low", "stale")])
+    d = decisions.agg(*both, count((F.col("status") == "disputed") & F.col("disputes").isNotNull()).alias("open")).select(*[F.col(c).alias(f"d_{c}") for c in ("active", "decayed", "hits", "low", "open")])
+    kind = lambda k: F.col("kind") == k
+    e = events.where(F.col("ts") >= since).agg(*[count(kind(k)).alias(n) for k, n in (("decision_conflict", "conflicts"), ("decision_resolve", "resolved"), ("recall_query", "recalls"))], *[F.coalesce(F.sum(F.when(kind("consensus"), F.col(c))), F.lit(0)).alias(c) for c in ("promoted", "failed")])
+    rate = lambda a, b: F.round(S.ratio(a, b), 6)
+    c = F.col
+    return m.crossJoin(d).crossJoin(e).select(
+        c("m_active").alias("active_memories"),
+        c("d_active").alias("active_decisions"),
+        c("d_open").alias("open_conflicts"),
+        rate(c("d_open"), c("d_active")).alias("conflict_burden"),
+        rate(c("m_decayed") + c("d_decayed"), c("m_active") + c("d_active")).alias("decay_burden"),
+        F.round(c("resolved") / F.lit(float(days)), 6).alias("resolution_velocity"),
+        rate(c("conflicts"), c("recalls")).alias("contradiction_rate"),
+        rate(c("m_stale"), c("m_hits")).alias("stale_hit_rate"),
+        rate(c("m_low") + c("d_low"), c("m_hits") + c("d_hits")).alias("low_trust_hit_rate"),
+        rate(c("promoted"), c("promoted") + c("failed")).alias("consensus_precision"),
+    )

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from mnemospark.functions import scores as S
 from mnemospark.functions import text as T
+from mnemospark.operators import aggregates as agg
 from mnemospark.operators import joins as J
 from mnemospark.operators import vectors as V
 from mnemospark.operators import windows as W
@@ -257,6 +258,72 @@ def compact(events: DataFrame, embeddings: DataFrame, entries: DataFrame, edges:
     return out
 
 
+STRIPPED = "[compacted]"
+
+
+def compact_tables(
+    events: DataFrame,
+    rollups: DataFrame,
+    entries: DataFrame,
+    embeddings: DataFrame,
+    members: DataFrame,
+    feedback: DataFrame,
+    edges: DataFrame,
+    as_of: str,
+    model: str,
+    *,
+    savings: tuple[str, ...] = (),
+    protected: tuple[str, ...] = (),
+    caps: dict[str, int] | None = None,
+    keep: int = 52_000,
+    savings_days: int = 7,
+    rollup_days: int = 120,
+    event_days: int = 14,
+    strip_days: int = 90,
+    feedback_days: int = 60,
+    least_active: int = 50,
+) -> dict[str, tuple[DataFrame, DataFrame]]:
+    """A whole retention pass: step -> (before, after), each step working on what the one before left; the last frame of a table is its new state.
+
+    savings_rollup: ``savings`` events (with saved, served, baseline, hits, operation) over ``savings_days`` old become counters added to ``rollups``; rollup_prune: counters of
+    old days go; age_out, type_caps, overflow: events that are not ``protected`` go by age, by their type's cap (newest stay) and by the room for all; text_strip: texts of
+    archived and superseded entries go after ``strip_days``; expired: entries; covered, orphans: embeddings of cluster members and of entries that are gone; orphan_members: members
+    of entries that are gone; feedback: old signals become one row a source; stale_model: embeddings of other models, once ``least_active`` are of ``model``; singletons: pairs seen once.
+    """
+    t = at(as_of)
+    ago = lambda days: t - F.make_dt_interval(days=F.lit(days))
+    steps: dict[str, tuple[DataFrame, DataFrame]] = {}
+    old = (F.col("ts") < ago(savings_days)) & F.col("event_type").isin(*savings) if savings else F.lit(False)
+    steps["savings_rollup"] = events, events.where(~F.coalesce(old, F.lit(False)))
+    merged = agg.merge_rollup(rollups, agg.rollup_hourly(events.where(old)))
+    steps["rollup_prune"] = merged, merged.where(F.col("day") >= F.date_format(ago(rollup_days), "yyyy-MM-dd"))
+    left = steps["savings_rollup"][1]
+    aged = left.where((F.col("ts") >= ago(event_days)) | F.col("event_type").isin(*protected))
+    limits = events.sparkSession.createDataFrame(list((caps or {}).items()), "event_type string, cap int")
+    capped = W.keep_latest(aged, ["event_type"], [F.desc("event_id")], caps=limits)
+    steps |= {"age_out": (left, aged), "type_caps": (aged, capped), "overflow": (capped, W.trim_overflow(capped, keep, list(protected)))}
+    strip = F.col("status").isin("archived", "superseded") & (F.coalesce("updated_at", "created_at") < ago(strip_days))
+    stripped = entries.withColumn("text", F.when(strip, F.lit(STRIPPED)).otherwise(F.col("text")))
+    told = lambda df: df.where(F.col("text") != STRIPPED)
+    live = stripped.where(F.col("expires_at").isNull() | (F.col("expires_at") >= t))
+    steps |= {"text_strip": (told(entries), told(stripped)), "expired": (stripped, live)}
+    covered = J.prune_covered(embeddings, members)
+    kept, _ = J.prune_orphans(covered, live)
+    steps |= {"covered": (embeddings, covered), "orphans": (covered, kept), "orphan_members": (members, J.prune_orphans(members, live)[0])}
+    steps["feedback"] = feedback, agg.compact_feedback(feedback, as_of, feedback_days)
+    mine = F.lower("model") == model.lower()
+    enough = kept.agg(F.coalesce(F.sum(mine.cast("long")), F.lit(0)).alias("__n")).where(F.col("__n") >= least_active)
+    stale = kept.where(~F.coalesce(mine, F.lit(False))).select("vec_id").crossJoin(F.broadcast(enough)).drop("__n")  # enough: one row or none
+    steps |= {"stale_model": (kept, kept.join(stale, "vec_id", "left_anti")), "singletons": (edges, prune_singletons(edges))}
+    return steps
+
+
+def compaction_report(steps: dict[str, tuple[DataFrame, DataFrame]]) -> DataFrame:
+    """(step, before, after): rows of each step."""
+    count = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
+    return reduce(DataFrame.unionByName, [count(a, "before").crossJoin(count(b, "after")).select(F.lit(k).alias("step"), "before", "after") for k, (a, b) in steps.items()])
+
+
 def contradiction(a: Column, b: Column, similarity: Column, negations=NEGATIONS, flips=FLIPS) -> Column:
     """Whether token arrays contradict: one is negated and their cores overlap, or they hold opposite words."""
     neg = F.array(*[F.lit(w) for w in negations])

@@ -99,7 +99,16 @@ def a01_payload(s, d):
     return op.rollup_hourly(op.payload_counters(e, {"click": "recall", "purchase": "store", "view": "tool"}, keys, AS_OF, 20))
 
 
+def a15_signals(s, d):
+    m = view(s, d, "v_memory")
+    dec = m.where("id % 2 = 1").withColumn("disputes", F.when(F.col("id") % 3 == 0, F.col("id") - 1)).withColumn("status", F.when(F.col("id") % 31 == 0, "disputed").otherwise(F.col("status")))
+    kinds = F.when(F.col("event_type") == "click", "recall_query").when(F.col("event_type") == "purchase", "decision_conflict").when(F.col("event_type") == "signup", "decision_resolve").when(F.col("event_type") == "view", "consensus")
+    e = _ev(s, d).select("ts", kinds.alias("kind"), (F.col("k") % 3).alias("promoted"), (F.col("k") % 2).alias("failed"))
+    return op.eval_signals(m.where("id % 2 = 0"), dec, e, AS_OF, 20)
+
+
 QUERIES = {
+    "a15_eval_signals": a15_signals,
     "a04_savings_with_rollups": a04_rollups, "a01_payload_rollup": a01_payload,
     "a01_rollup_hourly": lambda s, d: op.rollup_hourly(_ev(s, d)),
     "a02_merge_rollup": lambda s, d: op.merge_rollup(op.rollup_hourly(_ev(s, d).where("event_id % 2 = 0")), op.rollup_hourly(_ev(s, d).where("event_id % 2 = 1"))),
@@ -155,6 +164,11 @@ SQL = {
       union all select agent, 'agent', sum(saved)::bigint, sum(served)::bigint, sum(baseline)::bigint, count(*) from e where not old group by 1) select *, round(case when baseline > 0 then 100.0::double * saved / baseline else 0 end, 4)::double as percent from g""",
     "a01_payload_rollup": f"""{_EV}, p as (select ts, case event_type when 'click' then 'recall' when 'purchase' then 'store' when 'view' then 'tool' end as operation, saved, case when event_id % 3 = 0 then 0 else served end as served, case when event_id % 3 = 0 then 0 else saved end as baseline, case when event_id % 3 = 0 then hits else 0 end as hits from v_event where event_type in ('click', 'purchase', 'view') and ts > {_NOW} - to_days(20) and ts <= {_NOW})
       select strftime(ts, '%Y-%m-%d') as day, hour(ts)::integer as hour, operation, sum(saved)::bigint as saved, sum(greatest(served, 0))::bigint as served, sum(greatest(baseline, 0))::bigint as baseline, count(*) as events, sum((hits > 0)::int)::bigint as hits, sum((hits <= 0)::int)::bigint as misses from p group by 1, 2, 3""",
+    "a15_eval_signals": f"""{duck("v_memory", "v_event")}, x as (select *, id % 2 = 0 as mem, case when id % 2 = 1 and id % 31 = 0 then 'disputed' else status end as st from v_memory), y as (select *, st = 'active' and retrievals > 0 and last_accessed >= {_NOW} - to_days(20) as hit from x),
+      a as (select count(*) filter (where mem and st = 'active') as ma, count(*) filter (where not mem and st = 'active') as da, count(*) filter (where not mem and st = 'disputed' and id % 3 = 0) as oc, count(*) filter (where st = 'active' and score < 0.5 and not pinned) as dc,
+        count(*) filter (where hit and mem) as mh, count(*) filter (where hit) as h, count(*) filter (where hit and mem and (score < 0.5 or expires_at <= {_NOW})) as sh, count(*) filter (where hit and trust_score < 0.5) as lh from y),
+      e as (select count(*) filter (where event_type = 'purchase') as c, count(*) filter (where event_type = 'signup') as r, count(*) filter (where event_type = 'click') as q, sum(k % 3) filter (where event_type = 'view') as p, sum(k % 2) filter (where event_type = 'view') as f from v_event where ts >= {_NOW} - to_days(20))
+      select ma as active_memories, da as active_decisions, oc as open_conflicts, round(oc / da, 6)::double as conflict_burden, round(dc / (ma + da), 6)::double as decay_burden, round(r / 20.0::double, 6) as resolution_velocity, round(c / q, 6)::double as contradiction_rate, round(sh / mh, 6)::double as stale_hit_rate, round(lh / h, 6)::double as low_trust_hit_rate, round(p / (p + f), 6)::double as consensus_precision from a, e""",
     "a08_digest": f"{_EV} select count(*) as total, sum((strftime(ts, '%Y-%m-%d') = '2024-01-15')::int)::bigint as today, sum((strftime(ts, '%Y-%m-%d') = '2024-01-15' and operation = 'boot')::int)::bigint as boots, sum(case when strftime(ts, '%Y-%m-%d') = '2024-01-15' then saved else 0 end)::bigint as saved_today, sum(saved)::bigint as saved from v_event",
     "a08_digest_top": f"{_EV} select agent, count(*) as n from v_event where strftime(ts, '%Y-%m-%d') = '2024-01-15' group by 1 order by 2 desc, 1 limit 5",
     "a09_feedback_stats": f"{_FB} select count(*) as total, sum((signal > 0)::int)::bigint as positive, sum((signal < 0)::int)::bigint as negative, count(distinct result_source) as sources from v_feedback",

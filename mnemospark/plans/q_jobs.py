@@ -119,6 +119,16 @@ def job10(s, d):
     return op.compact(view(s, d, "v_event"), _emb(s, d), _mem(s, d), edges, AS_OF)
 
 
+def job10_tables(s, d):
+    e = view(s, d, "v_event")
+    rollups = agg.rollup_hourly(e.where("event_id % 50 = 0"))
+    steps = op.compact_tables(
+        e, rollups, _mem(s, d), _emb(s, d), _emb(s, d).where("vec_id % 9 = 0").select("target_type", "target_id"), view(s, d, "v_feedback"), _edges(s, d), AS_OF, "MINI",
+        savings=("signup",), protected=("purchase",), caps={"view": 100, "error": 40}, keep=900, savings_days=10, rollup_days=20, event_days=14, strip_days=45, feedback_days=20, least_active=10,
+    )
+    return op.compaction_report(steps)
+
+
 def m03(s, d):
     syn = s.createDataFrame([("erth", "earth"), ("the", "tha"), ("der", "die")], "term string, synonym string")
     return op.term_groups(view(s, d, "v_query"), syn, [(["erth"], ["earthy", "ground"]), (["der", "ein"], ["eine"])])
@@ -190,7 +200,7 @@ QUERIES = {
     "job07_search_clusters": job07,
     "job08_archive_duplicates": lambda s, d: op.archive_duplicates(_mem(s, d), _leaders(s, d)),
     "job09_age": lambda s, d: op.age(_mem(s, d), view(s, d, "v_feedback"), AS_OF),
-    "job10_compact": job10,
+    "job10_compact": job10, "job10_compact_tables": job10_tables,
     "job13_cleanup_report": lambda s, d: op.cleanup_report(_mem(s, d).select("id", "text", F.concat(F.lit("s"), (F.col("id") % 700).cast("string")).alias("source"))).groupBy("kind").agg(F.count(F.lit(1)).alias("n")),
     "m03_term_groups": m03, "m22_classify_pairs": m22, "m23_resolve_incoming": m23, "m24_apply_resolutions": m24, "m25_consensus": m25,
     "wn15_allocate_budget": lambda s, d: op.allocate_budget(_items(s, d), 600, 40, 3000),
@@ -299,6 +309,18 @@ SQL = {
     "job08_archive_copies": f"{_MEM}, {_TOK}, k as (select id, min(id) over (partition by list_sort(t)) as leader from t), r as (select m.id, leader, row_number() over (partition by leader order by score desc, m.id) as rn from v_memory m join k using (id)) select id, leader, case when rn = 1 then 'active' else 'archived' end as status from r",
     "job07_search_clusters": "with p as (select label, i, avg(embedding[i]::double) as x from embeddings, range(1, 65) r(i) group by 1, 2), c as (select label, list(x order by i) as v from p group by 1), s as (select vec_id as query_id, c.label::bigint as id, list_dot_product(embedding::double[], v) / sqrt(list_dot_product(v, v) * list_dot_product(embedding::double[], embedding::double[])) as c from embeddings, c where vec_id % 50 = 0), r as (select *, row_number() over (partition by query_id order by round(c, 9) desc, id)::integer as rank from s where c > 0.05) select query_id, rank, id, round(c * 1.15::double, 6) as relevance from r where rank <= 3",
     "job09_age": f"{duck('v_memory', 'v_feedback')}, g as (select result_source as source, count(*) as good from v_feedback where signal > 0 and created_at >= {_NOW} - to_days(14) group by 1) select id, age_tier as before, case when status <> 'active' then age_tier when not pinned and score < 0.15 and {_SEEN} > 3 then 'archived' when age_tier = 'fresh' and {_IDLE} > 3 and coalesce(good, 0) < 5 then 'recent' when age_tier = 'recent' and {_IDLE} > 14 and coalesce(good, 0) < 5 then 'old' when age_tier = 'old' and {_IDLE} > 60 then 'archived' else age_tier end as after from v_memory left join g using (source)",
+    "job10_compact_tables": f"""{duck('v_memory', 'v_event', 'v_history', 'v_feedback')}, sr as (select * from v_event where not (event_type = 'signup' and ts < {_NOW} - to_days(10))),
+      ru as (select distinct strftime(ts, '%Y-%m-%d') as day, hour(ts) as hour, operation from v_event where event_id % 50 = 0 or (event_type = 'signup' and ts < {_NOW} - to_days(10))),
+      ao as (select * from sr where ts >= {_NOW} - to_days(14) or event_type = 'purchase'), tc as (select * from (select *, row_number() over (partition by event_type order by event_id desc) as rn from ao) where rn <= case event_type when 'view' then 100 when 'error' then 40 else rn end),
+      n as (select count(*) as a, sum((event_type = 'purchase')::int) as p from tc), l as (select * from v_memory where expires_at is null or expires_at >= {_NOW}),
+      em as (select vec_id, vec_id * 3 as t, vec_id % 4 = 0 as mini from embeddings), cv as (select * from em where vec_id % 9 <> 0), orp as (select * from cv where t in (select id from l where status = 'active')), mb as (select t from em where vec_id % 9 = 0),
+      ed as (select query, 'u' || (user_id % 12) as u, count(*) as n from v_history group by 1, 2)
+      select 'savings_rollup' as step, (select count(*) from v_event) as before, (select count(*) from sr) as after union all select 'rollup_prune', count(*), count(*) filter (where day >= strftime({_NOW} - to_days(20), '%Y-%m-%d')) from ru
+      union all select 'age_out', (select count(*) from sr), (select count(*) from ao) union all select 'type_caps', (select count(*) from ao), (select count(*) from tc) union all select 'overflow', a, (p + least(a - p, greatest(0, 900 - p)))::bigint from n
+      union all select 'text_strip', count(*), count(*) filter (where not (status = 'archived' and updated_at < {_NOW} - to_days(45))) from v_memory union all select 'expired', (select count(*) from v_memory), (select count(*) from l)
+      union all select 'covered', (select count(*) from em), (select count(*) from cv) union all select 'orphans', (select count(*) from cv), (select count(*) from orp) union all select 'orphan_members', (select count(*) from mb), (select count(*) from mb where t in (select id from l where status = 'active'))
+      union all select 'feedback', count(*), count(*) filter (where created_at >= {_NOW} - to_days(20)) + count(distinct case when created_at < {_NOW} - to_days(20) then result_source end) from v_feedback
+      union all select 'stale_model', count(*), case when count(*) filter (where mini) >= 10 then count(*) filter (where mini) else count(*) end from orp union all select 'singletons', count(*), sum((n >= 2)::int)::bigint from ed""",
     "job10_compact": f"""{duck('v_memory', 'v_event', 'v_history')}, a as (select * from v_event where ts >= {_NOW} - to_days(14) or event_type = 'purchase'), n as (select count(*) as a, sum((event_type = 'purchase')::int) as p from a),
       l as (select * from v_memory where expires_at is null or expires_at > {_NOW}), e as (select query, 'u' || (user_id % 12) as u, count(*) as n from v_history group by 1, 2)
       select 'age_out' as step, (select count(*) from v_event) as before, (select a from n) as after union all select 'overflow', a, (p + least(a - p, greatest(0, 5000 - p)))::bigint from n union all select 'expired', (select count(*) from v_memory), (select count(*) from l)
