@@ -49,7 +49,7 @@ FILLER_LINES = (
 
 def ascii_words(text: Column) -> Column:
     """Lower-case words of a-z, 0-9 and '-'; other characters part words."""
-    return F.filter(F.split(F.regexp_replace(F.lower(text), "[^a-z0-9-]+", " "), " "), lambda w: w != "")
+    return F.filter(F.split(F.lower(text), "[^a-z0-9-]+"), lambda w: w != "")
 
 
 def search_keywords(text: Column) -> Column:
@@ -259,7 +259,7 @@ def excerpt(text: Column, terms: Column, n: int) -> Column:
     """A window of ``n`` characters around the first hit of the longest term, a third of it before the hit. The lower-case text is made once a row."""
 
     def window(low: Column) -> Column:
-        found = F.filter(terms, lambda t: F.instr(low, t) > 0)
+        found = F.filter(terms, lambda t: F.contains(low, t))
         best = F.array_min(F.transform(found, lambda t: F.struct((-F.length(t)).alias("l"), t.alias("t"))))["t"]
         return F.coalesce(F.greatest(F.instr(low, best) - n // 3, F.lit(1)), F.lit(1))
 

@@ -82,12 +82,22 @@ def fact_snippets(turns: DataFrame, n: int, personal: str, fact: str) -> DataFra
     return best.select("conv_id", "rank", "turn", "score", F.col("s").alias("snippet"))
 
 
-def compact_payload(events: DataFrame, schema: str, clip: int = 64, payload: str = "data") -> DataFrame:
-    """JSON payloads cut to known keys, with long strings clipped."""
+def compact_payload(events: DataFrame, schema: str, clip: int = 64, payload: str = "data", cap: int | None = None, kind: str = "type", keep: tuple[str, ...] = (), least: tuple[str, ...] = ()) -> DataFrame:
+    """JSON payloads cut to known keys, with long strings clipped.
+
+    With ``cap`` a payload of more bytes is cut to its ``keep`` keys, and where these are too many yet to ``least``; both then say that it was truncated, the
+    event's ``kind`` and how many bytes it had.
+    """
     p = F.from_json(payload, schema)
     fields = [x.strip().split(" ")[:2] for x in schema.split(",")]
-    cols = [(F.left(p[k], F.lit(clip)) if t == "string" else p[k]).alias(k) for k, t in fields]
-    return events.withColumn(payload, F.to_json(F.struct(*cols)))
+    cols = {k: (F.left(p[k], F.lit(clip)) if t == "string" else p[k]).alias(k) for k, t in fields}
+    whole = F.to_json(F.struct(*cols.values()))
+    if cap is None:
+        return events.withColumn(payload, whole)
+    size = F.octet_length(whole)
+    told = [F.lit(True).alias("truncated"), F.col(kind).alias("type"), size.alias("bytes")]
+    some, few = (F.to_json(F.struct(*told, *[cols[k] for k in names])) for names in (keep, least))
+    return events.withColumn(payload, F.when(size <= cap, whole).when(F.octet_length(some) <= cap, some).otherwise(few))
 
 
 def detail_rerank(results: DataFrame, bonuses: list[tuple[str, float]], terms: str = "terms") -> DataFrame:

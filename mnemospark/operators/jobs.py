@@ -75,8 +75,10 @@ def retrieve(
     results by entropy, entities and alignment, feedback (source, boost) multiplies, and the k best stay. Intermediate scores stay as columns.
     """
     spark = queries.sparkSession
-    post = materialize(J.build_postings(corpus, ["text"]), "postings")
+    query_vectors = materialize(query_vectors, "query-vectors")
+    clusters = None if clusters is None else materialize(clusters, "clusters")
     groups = materialize(term_groups(queries, synonyms if synonyms is not None else spark.createDataFrame([], "term string, synonym string")), "term-groups")
+    post = materialize(J.term_counts(corpus, groups), "term-counts")
     strict = materialize(J.keyword_candidates(groups, post, depth), "keyword-strict")
     words = strict.unionByName(J.keyword_fallback(groups, post, strict, depth)).select("query_id", "id", "matched")
     facts = corpus.select("id", "source", "score", "created_at", "retrievals")
@@ -87,7 +89,7 @@ def retrieve(
     lexical = S.lexical_score(S.ranking_weights(F.col("shape"), F.col("terms")), F.col("terms"), F.col("matched"), F.col("score"), F.floor(days), F.col("retrievals"))
     keyword = materialize(scored.select("query_id", "id", "source", "matched", "terms", F.round(lexical, 9).alias("relevance")), "keyword")
     clear = W.keyword_confident(keyword).where("confident").select("query_id")
-    semantic = J.semantic_candidates(queries, query_vectors.join(clear, "query_id", "left_anti"), vectors, corpus, depth, floor, mode=mode)
+    semantic = materialize(J.semantic_candidates(queries, query_vectors.join(clear, "query_id", "left_anti"), vectors, corpus, depth, floor, mode=mode), "semantic")
     lists = keyword.select("query_id", "id", F.lit("keyword").alias("list"), "relevance").unionByName(semantic.select("query_id", "id", F.lit("semantic").alias("list"), "relevance"))
     ranked = W.rank_within(lists, ["query_id", "list"], [F.desc("relevance"), F.col("id")]).join(queries.select("query_id", S.fusion_weights(T.query_shape(F.col("query"))).alias("w")), "query_id")
     weight = F.when(F.col("list") == "keyword", F.col("w.keyword")).otherwise(F.col("w.semantic"))

@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mnemospark.functions import scores as S
@@ -42,18 +42,35 @@ def bm25(terms: DataFrame, postings: DataFrame, n_docs: DataFrame, weights: dict
     return hit.groupBy("query_id", "id").agg(F.countDistinct("term").alias("matched"), F.sum(part).alias("bm25"))
 
 
+def term_counts(docs: DataFrame, groups: DataFrame, text: str = "text") -> DataFrame:
+    """(term, id, tf) of the terms that ``groups`` (query_id, group, term) name: all that keyword search needs of the documents (id, text)."""
+    words = docs.select("id", F.explode(T.search_keywords(F.col(text))).alias("term"))
+    return words.join(groups.select("term").distinct(), "term", "left_semi").groupBy("term", "id").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def _tf(postings: DataFrame) -> DataFrame:
+    """(term, id, tf), added up over fields where there are any."""
+    return postings.groupBy("term", "id").agg(F.sum("tf").alias("tf")) if "field" in postings.columns else postings
+
+
+def _matched(groups: DataFrame) -> Column:
+    """How many groups a (query_id, id) matches; terms that stand for a group alone need no distinct count."""
+    several = groups.groupBy("query_id", "group").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return (F.count(F.lit(1)) if several.isEmpty() else F.countDistinct("group")).alias("matched")
+
+
 def keyword_candidates(groups: DataFrame, postings: DataFrame, k: int) -> DataFrame:
     """Documents that match all term groups of a query (query_id, group, term): the k with the most occurrences.
 
     A group's terms are alternatives. Ties go to the smaller id. Only documents of a query's rarest group can
-    match all, so they alone meet its other terms.
+    match all, so they alone meet its other terms. ``postings``: those of ``build_postings`` or ``term_counts``.
     """
-    tf = postings.groupBy("term", "id").agg(F.sum("tf").alias("tf"))
+    tf = _tf(postings)
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     sizes = groups.join(df, "term", "left").groupBy("query_id", "group").agg(F.sum(F.coalesce("df", F.lit(0))).alias("df"))
     rarest = sizes.groupBy("query_id").agg(F.min_by("group", F.struct("df", "group")).alias("group"), F.count(F.lit(1)).alias("need"), F.min("df").alias("least")).where("least > 0")
     first = groups.join(rarest.select("query_id", "group"), ["query_id", "group"]).join(tf.drop("tf"), "term").select("query_id", "id").distinct()
-    hit = first.join(groups, "query_id").join(tf, ["term", "id"]).groupBy("query_id", "id").agg(F.countDistinct("group").alias("matched"), F.sum("tf").alias("tf"))
+    hit = first.join(groups, "query_id").join(tf, ["term", "id"]).groupBy("query_id", "id").agg(_matched(groups), F.sum("tf").alias("tf"))
     full = hit.join(rarest.select("query_id", "need"), "query_id").where(F.col("matched") == F.col("need"))
     return rank_within(full, ["query_id"], [F.desc("tf"), F.col("id")]).where(F.col("rank") <= k).select("query_id", "id", "matched", "tf", "rank")
 
@@ -61,8 +78,7 @@ def keyword_candidates(groups: DataFrame, postings: DataFrame, k: int) -> DataFr
 def keyword_fallback(groups: DataFrame, postings: DataFrame, found: DataFrame, k: int) -> DataFrame:
     """For queries without candidates: documents that match any group, by groups matched, then occurrences."""
     left = groups.join(found.select("query_id").distinct(), "query_id", "left_anti")
-    tf = postings.groupBy("term", "id").agg(F.sum("tf").alias("tf"))
-    hit = left.join(tf, "term").groupBy("query_id", "id").agg(F.countDistinct("group").alias("matched"), F.sum("tf").alias("tf"))
+    hit = left.join(_tf(postings), "term").groupBy("query_id", "id").agg(_matched(groups), F.sum("tf").alias("tf"))
     return rank_within(hit, ["query_id"], [F.desc("matched"), F.desc("tf"), F.col("id")]).where(F.col("rank") <= k).select("query_id", "id", "matched", "tf", "rank")
 
 

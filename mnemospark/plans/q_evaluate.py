@@ -20,8 +20,8 @@ def _rating(s, d):
 def _metrics(s, d):
     """Keyword retrieval of benchmark passages, measured against the documents that quote them."""
     docs = _docs(s, d)
-    post = materialize(joins.build_postings(docs, ["text"]), "postings")
     groups = materialize(_groups(s, d), "term-groups")
+    post = materialize(joins.term_counts(docs, groups), "term-counts")
     found = materialize(joins.keyword_candidates(groups, post, 10), "keyword-strict")
     every = found.unionByName(joins.keyword_fallback(groups, post, found, 10))
     results = every.join(docs.select("id", T.tokens(F.col("text")).alias("tokens")), "id")

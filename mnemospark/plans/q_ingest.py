@@ -145,6 +145,7 @@ QUERIES = {
     "m32_fact_snippets": lambda s, d: op.fact_snippets(_turn(s, d), 3, "(^| )(the|der|la|el) ", "erth|tion|heit"),
     "m33_detail_rerank": m33,
     "m36_compact_payload": lambda s, d: op.compact_payload(_ev(s, d).withColumn("data", F.to_json(F.struct("event_type", F.col("agent").alias("other"), "k"))), "event_type string, k long", 4).select("event_id", "data"),
+    "m36_payload_cap": lambda s, d: op.compact_payload(_ev(s, d).withColumn("data", F.to_json(F.struct("agent", "event_type", F.repeat(F.lit("x"), F.col("k").cast("int")).alias("query"), "k"))), "agent string, event_type string, query string, k long", 90, cap=95, kind="event_type", keep=("agent", "k"), least=("agent",)).select("event_id", "data"),
     "str01_stream_rollup": str01,
     "str02_batch_dedup": lambda s, d: st.batch_dedup(_ev(s, d), ["event_type", "hits"], 600).select("event_id"),
     "str03_rate_audit": lambda s, d: st.rate_audit(_ev(s, d), 3, 7200, ["event_type", "operation"]).select("event_id", "accepted"),
@@ -178,6 +179,8 @@ SQL = {
       r as (select *, row_number() over (partition by conv_id order by score desc, turn, pos)::integer as rank from k where rn = 1) select conv_id, rank, turn, score, s as snippet from r where rank <= 3""",
     "m33_detail_rerank": "with c as (select doc_id % 20 as query_id, 'doc::' || doc_id as source, 10.0::double * len(list_filter(['erth', 'tion', 'heit'], lambda w: contains(lower(text), w))) + case when contains(lower(text), 'ing') then 3 else 0 end - case when contains(text, '&&&') then 5 else 0 end as detail from documents) select query_id, source, detail::double as detail, row_number() over (partition by query_id order by detail desc, source)::integer as rank from c",
     "m36_compact_payload": f"""{_EV} select event_id, '{{"event_type":"' || left(event_type, 4) || '","k":' || k || '}}' as data from v_event""",
+    "m36_payload_cap": f"""{_EV}, w as (select *, '{{"agent":"' || agent || '","event_type":"' || event_type || '","query":"' || repeat('x', least(k, 90)::int) || '","k":' || k || '}}' as j from v_event), t as (select *, '{{"truncated":true,"type":"' || event_type || '","bytes":' || strlen(j) || ',"agent":"' || agent || '"' as h from w)
+      select event_id, case when strlen(j) <= 95 then j when strlen(h || ',"k":' || k || '}}') <= 95 then h || ',"k":' || k || '}}' else h || '}}' end as data from t""",
     "str01_stream_rollup": f"{_EV} select strftime(ts, '%Y-%m-%d') as day, hour(ts)::integer as hour, operation, sum(saved)::bigint as saved, sum(served)::bigint as served, count(*) as events from v_event group by 1, 2, 3",
     "str02_batch_dedup": f"{_EV}, p as (select event_id, ts, lag(ts) over (partition by event_type, hits order by ts, event_id) as prev from v_event) select event_id from p where prev is null or epoch_us(ts) - epoch_us(prev) > 600000000",
     "str03_load_count": f"{_EV}, t as (select event_id, event_type, {_S} as t from v_event) select event_id, count(*) over (partition by event_type order by t range between 3600 preceding and current row) as load from t",
