@@ -262,6 +262,27 @@ def digest(events: DataFrame, as_of_day: str, n: int = 5) -> tuple[DataFrame, Da
     return totals, top
 
 
+def daily_report(tables: dict[str, DataFrame], recalled: dict[str, DataFrame], events: DataFrame, as_of_day: str, n: int = 5) -> DataFrame:
+    """(section, name, total, today): rows of each table (created_at) and those of the day; ``recalled``: of each table (id, source, retrievals)
+    the ``n`` most retrieved; boots: per agent of the day; savings: saved, served and baseline of events (ts, operation, agent), all and the day's.
+    """
+    today = lambda c: F.date_format(c, "yyyy-MM-dd") == as_of_day
+    parts = [df.agg(F.count(F.lit(1)).alias("total"), F.coalesce(F.sum(today("created_at").cast("long")), F.lit(0)).alias("today")).select(F.lit("counts").alias("section"), F.lit(name).alias("name"), "total", "today") for name, df in tables.items()]
+    for name, df in recalled.items():
+        top = df.where("retrievals > 0").orderBy(F.desc("retrievals"), "id").limit(n)
+        parts.append(top.select(F.lit(f"recalled {name}").alias("section"), F.col("source").alias("name"), F.col("retrievals").cast("long").alias("total"), F.lit(None).cast("long").alias("today")))
+    boots = events.where(today("ts") & (F.col("operation") == "boot")).groupBy("agent").agg(F.count(F.lit(1)).alias("today"))
+    parts.append(boots.select(F.lit("boots").alias("section"), F.col("agent").alias("name"), F.lit(None).cast("long").alias("total"), "today"))
+    names = ("saved", "served", "baseline")
+    sums = events.agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in names], *[F.coalesce(F.sum(F.when(today("ts"), F.col(c))), F.lit(0)).cast("long").alias(f"{c}_today") for c in names])
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("total"), F.col(f"{c}_today").alias("today")) for c in names])).alias("x")
+    parts.append(sums.select(pairs).select(F.lit("savings").alias("section"), "x.name", "x.total", "x.today"))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 def eval_snapshot(outcomes: DataFrame) -> DataFrame:
     """Baseline and assisted tasks side by side: success rate, median latency and mean retries, and their deltas."""
     by = outcomes.groupBy().pivot("task_class", ["baseline", "assisted"]).agg(F.avg((F.col("outcome") == "success").cast("double")).alias("success"), F.percentile("latency_ms", 0.5).alias("median_latency"), F.avg("retries").alias("retries"))

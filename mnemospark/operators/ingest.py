@@ -31,6 +31,42 @@ def triage(turns: DataFrame, words: list[str], least: float = 0.02, much: float
     return g.select("conv_id", "turns", F.round(d, 6).alias("density"), F.when(d >= much, "owner").when(d < least, "other").otherwise("uncertain").alias("whose"))
 
 
+# fixed values: tools that only the owner's conversations use, and what signals are worth
+OWNER_TOOLS = ("python", "browser", "dalle", "bio")
+PER_DENSITY, PER_OTHER, CODE_WORTH, LONG_WORTH, TOOL_WORTH, LONG_TURNS = 8.0, 0.3, 0.3, 0.1, 0.2, 20
+
+
+def triage_scores(turns: DataFrame, words: list[str], others: list[str]) -> DataFrame:
+    """Per conversation of (conv_id, role, text, tool): turns, owner_score, other_score and whose it is: owner, other or uncertain.
+
+    The owner's score grows with the share of ``words`` among the words of users' turns, with two code fences or more, over 20 turns and an owner's tool; the
+    other's with the phrases of ``others`` that a user's turn holds, each once. Between the two bounds it stays uncertain. Null texts are empty.
+    """
+    low = F.lower(F.coalesce("text", F.lit("")))
+    user = F.coalesce(F.col("role") == "user", F.lit(False))
+    said = F.filter(F.split(low, r"\s+"), lambda w: w != "")
+    fences = ((F.length(low) - F.length(F.replace(low, F.lit("```"), F.lit("")))) / 3).cast("long")
+    rows = turns.select(
+        "conv_id",
+        F.when(user, F.size(said)).otherwise(0).alias("n"),
+        F.when(user, F.size(F.filter(said, lambda w: w.isin(*words)))).otherwise(0).alias("hits"),
+        fences.alias("fences"),
+        F.coalesce(F.col("tool").isin(*OWNER_TOOLS), F.lit(False)).alias("tool"),
+        *[(user & low.contains(x)).cast("int").alias(f"other_{i}") for i, x in enumerate(others)],
+    )
+    g = rows.groupBy("conv_id").agg(F.count(F.lit(1)).alias("turns"), F.sum("n").alias("n"), F.sum("hits").alias("hits"), F.sum("fences").alias("fences"), F.max("tool").alias("tool"), *[F.max(f"other_{i}").alias(f"other_{i}") for i in range(len(others))])
+    one = F.lit(1.0)
+    owner = F.least(one, F.col("hits") / F.greatest("n", F.lit(1)) * PER_DENSITY)
+    for when, worth in ((F.col("fences") >= 2, CODE_WORTH), (F.col("turns") > LONG_TURNS, LONG_WORTH), (F.col("tool"), TOOL_WORTH)):
+        owner = F.when(when, F.least(one, owner + worth)).otherwise(owner)
+    held = F.lit(0)
+    for i in range(len(others)):
+        held = held + F.col(f"other_{i}")
+    scored = g.select("conv_id", "turns", F.round(owner, 9).alias("own"), F.round(F.least(one, held * PER_OTHER), 9).alias("oth"))
+    label = F.when((F.col("own") >= 0.35) & (F.col("oth") < 0.2), "owner").when((F.col("oth") >= 0.2) & (F.col("own") < 0.2), "other").otherwise("uncertain")
+    return scored.select("conv_id", "turns", F.round("own", 3).alias("owner_score"), F.round("oth", 3).alias("other_score"), label.alias("whose"))
+
+
 def summarize_entries(entries: DataFrame, signals=T.SIGNAL_WORDS, most: int = 5, clip: int = 500) -> DataFrame:
     """Per session (session, seq, text): up to three entries joined, of more those with a signal; and the tokens saved in percent.
 

@@ -99,6 +99,12 @@ def a01_payload(s, d):
     return op.rollup_hourly(op.payload_counters(e, {"click": "recall", "purchase": "store", "view": "tool"}, keys, AS_OF, 20))
 
 
+def a08_report(s, d):
+    m = view(s, d, "v_memory")
+    tables = {"memories": m.where("id % 2 = 0"), "decisions": m.where("id % 2 = 1"), "events": _ev(s, d).withColumnRenamed("ts", "created_at")}
+    return op.daily_report(tables, {k: tables[k] for k in ("memories", "decisions")}, _ev(s, d), "2024-01-15")
+
+
 def a15_signals(s, d):
     m = view(s, d, "v_memory")
     dec = m.where("id % 2 = 1").withColumn("disputes", F.when(F.col("id") % 3 == 0, F.col("id") - 1)).withColumn("status", F.when(F.col("id") % 31 == 0, "disputed").otherwise(F.col("status")))
@@ -108,7 +114,7 @@ def a15_signals(s, d):
 
 
 QUERIES = {
-    "a15_eval_signals": a15_signals,
+    "a15_eval_signals": a15_signals, "a08_daily_report": a08_report,
     "a04_savings_with_rollups": a04_rollups, "a01_payload_rollup": a01_payload,
     "a01_rollup_hourly": lambda s, d: op.rollup_hourly(_ev(s, d)),
     "a02_merge_rollup": lambda s, d: op.merge_rollup(op.rollup_hourly(_ev(s, d).where("event_id % 2 = 0")), op.rollup_hourly(_ev(s, d).where("event_id % 2 = 1"))),
@@ -164,6 +170,11 @@ SQL = {
       union all select agent, 'agent', sum(saved)::bigint, sum(served)::bigint, sum(baseline)::bigint, count(*) from e where not old group by 1) select *, round(case when baseline > 0 then 100.0::double * saved / baseline else 0 end, 4)::double as percent from g""",
     "a01_payload_rollup": f"""{_EV}, p as (select ts, case event_type when 'click' then 'recall' when 'purchase' then 'store' when 'view' then 'tool' end as operation, saved, case when event_id % 3 = 0 then 0 else served end as served, case when event_id % 3 = 0 then 0 else saved end as baseline, case when event_id % 3 = 0 then hits else 0 end as hits from v_event where event_type in ('click', 'purchase', 'view') and ts > {_NOW} - to_days(20) and ts <= {_NOW})
       select strftime(ts, '%Y-%m-%d') as day, hour(ts)::integer as hour, operation, sum(saved)::bigint as saved, sum(greatest(served, 0))::bigint as served, sum(greatest(baseline, 0))::bigint as baseline, count(*) as events, sum((hits > 0)::int)::bigint as hits, sum((hits <= 0)::int)::bigint as misses from p group by 1, 2, 3""",
+    "a08_daily_report": f"""{duck("v_memory", "v_event")}, x as (select case when id % 2 = 0 then 'memories' else 'decisions' end as name, strftime(created_at, '%Y-%m-%d') = '2024-01-15' as t from v_memory union all select 'events', strftime(ts, '%Y-%m-%d') = '2024-01-15' from v_event),
+      r as (select id % 2 as p, source, retrievals, row_number() over (partition by id % 2 order by retrievals desc, id) as rn from v_memory where retrievals > 0), e as (select *, strftime(ts, '%Y-%m-%d') = '2024-01-15' as t from v_event)
+      select 'counts' as section, name, count(*) as total, sum(t::int)::bigint as today from x group by 2 union all select case p when 0 then 'recalled memories' else 'recalled decisions' end, source, retrievals, null from r where rn <= 5
+      union all select 'boots', agent, null, count(*) from e where t and operation = 'boot' group by 2 union all select 'savings', 'saved', sum(saved)::bigint, sum(case when t then saved else 0 end)::bigint from e
+      union all select 'savings', 'served', sum(served)::bigint, sum(case when t then served else 0 end)::bigint from e union all select 'savings', 'baseline', sum(baseline)::bigint, sum(case when t then baseline else 0 end)::bigint from e""",
     "a15_eval_signals": f"""{duck("v_memory", "v_event")}, x as (select *, id % 2 = 0 as mem, case when id % 2 = 1 and id % 31 = 0 then 'disputed' else status end as st from v_memory), y as (select *, st = 'active' and retrievals > 0 and last_accessed >= {_NOW} - to_days(20) as hit from x),
       a as (select count(*) filter (where mem and st = 'active') as ma, count(*) filter (where not mem and st = 'active') as da, count(*) filter (where not mem and st = 'disputed' and id % 3 = 0) as oc, count(*) filter (where st = 'active' and score < 0.5 and not pinned) as dc,
         count(*) filter (where hit and mem) as mh, count(*) filter (where hit) as h, count(*) filter (where hit and mem and (score < 0.5 or expires_at <= {_NOW})) as sh, count(*) filter (where hit and trust_score < 0.5) as lh from y),

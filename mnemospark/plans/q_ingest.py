@@ -52,6 +52,11 @@ def m20(s, d):
     return op.triage(_turn(s, d), ["the", "of", "der", "la"], 0.05, 0.12)
 
 
+def m20_scores(s, d):
+    turns = _turn(s, d).select("conv_id", "role", F.when(F.col("turn") % 2 == 0, F.concat(F.lit("``` "), "text")).otherwise(F.col("text")).alias("text"), F.when((F.col("conv_id") % 7 == 0) & (F.col("turn") == 1), "python").alias("tool"))
+    return op.triage_scores(turns, ["the", "of", "der", "la"], ["erth th", "ung", "elle"])
+
+
 def m21(s, d):
     return op.extract_memories(_turn(s, d), decision=["erth", "tion"], preference=["ung"], fact=["elle"])
 
@@ -141,7 +146,7 @@ QUERIES = {
     "snk03_export_changes": lambda s, d: src.export_changes(_mem(s, d), "2024-01-01 00:00:00", "2024-01-20 00:00:00").select("id"),
     "snk04_import_rows": snk04,
     "snk05_assign_owner": lambda s, d: src.assign_owner(_mem(s, d).withColumn("owner_id", F.when(F.col("id") % 3 == 0, F.col("owner_id"))).withColumn("visibility", F.when(F.col("id") % 4 == 0, F.col("visibility"))), 9).select("id", "owner_id", "visibility"),
-    "m17_summarize_entries": m17, "m20_triage": m20, "m21_extract_memories": m21, "m31_chunk": m31,
+    "m17_summarize_entries": m17, "m20_triage": m20, "m20_triage_scores": m20_scores, "m21_extract_memories": m21, "m31_chunk": m31,
     "m32_fact_snippets": lambda s, d: op.fact_snippets(_turn(s, d), 3, "(^| )(the|der|la|el) ", "erth|tion|heit"),
     "m33_detail_rerank": m33,
     "m36_compact_payload": lambda s, d: op.compact_payload(_ev(s, d).withColumn("data", F.to_json(F.struct("event_type", F.col("agent").alias("other"), "k"))), "event_type string, k long", 4).select("event_id", "data"),
@@ -173,6 +178,13 @@ SQL = {
       c as (select *, left(array_to_string(case when len(l) <= 3 then l when len(good) > 0 then good[1:5] else l[1:3] end, ' | '), 500) as summary, array_to_string(l, ' ') as raw from g)
       select session, len(l)::integer as entries, summary, round(case when strlen(raw) > 0 then 100.0::double * (ceil(strlen(raw) / 3.8::double) - ceil(strlen(summary) / 3.8::double)) / ceil(strlen(raw) / 3.8::double) else 0 end, 4)::double as saved from c""",
     "m20_triage": f"{_TURN}, g as (select conv_id, sum(case when role = 'user' then len(list_filter({_KW}, lambda w: w in ('the', 'of', 'der', 'la'))) else 0 end) as h, sum(case when role = 'user' then len({_KW}) else 0 end) as w, sum((role = 'user')::int)::bigint as turns from v_turn group by 1), x as (select *, case when w > 0 then h / w else 0 end::double as d from g) select conv_id, turns, round(d, 6) as density, case when d >= 0.12 then 'owner' when d < 0.05 then 'other' else 'uncertain' end as whose from x",
+    "m20_triage_scores": rf"""{_TURN}, t as (select conv_id, role = 'user' as u, turn, lower(case when turn % 2 = 0 then '``` ' || text else text end) as low from v_turn),
+      w as (select *, list_filter(regexp_split_to_array(low, '\s+'), lambda w: w <> '') as ws from t),
+      g as (select conv_id, count(*) as turns, sum(case when u then len(ws) else 0 end) as n, sum(case when u then len(list_filter(ws, lambda w: w in ('the', 'of', 'der', 'la'))) else 0 end) as h, sum((length(low) - length(replace(low, '```', ''))) // 3) as f, bool_or(conv_id % 7 = 0 and turn = 1) as tool,
+        max((u and contains(low, 'erth th'))::int) + max((u and contains(low, 'ung'))::int) + max((u and contains(low, 'elle'))::int) as o from w group by 1),
+      a as (select *, least(1.0::double, h / greatest(n, 1)::double * 8) as x0 from g), b as (select *, case when f >= 2 then least(1.0::double, x0 + 0.3::double) else x0 end as x1 from a), c as (select *, case when turns > 20 then least(1.0::double, x1 + 0.1::double) else x1 end as x2 from b),
+      e as (select *, round(case when tool then least(1.0::double, x2 + 0.2::double) else x2 end, 9) as own, round(least(1.0::double, o * 0.3::double), 9) as oth from c)
+      select conv_id, turns, round(own, 3) as owner_score, round(oth, 3) as other_score, case when own >= 0.35 and oth < 0.2 then 'owner' when oth >= 0.2 and own < 0.2 then 'other' else 'uncertain' end as whose from e""",
     "m21_extract_memories": f"{_TURN}, c as (select *, {_HIT(['erth', 'tion'])} as h, {_HIT(['ung'])} as p, {_HIT(['elle'])} as f from v_turn where role = 'user' and length(text) between 30 and 2000 and not (trim(text) like '%?' and length(text) < 100)) select conv_id, turn, case when h >= 2 then 'decision' when p >= 1 then 'preference' else 'fact' end as kind, round(case when h >= 2 then least(0.9, 0.5 + h * 0.1) when p >= 1 then least(0.85, 0.5 + p * 0.15) else least(0.8, 0.5 + f * 0.15) end::double, 6) as confidence, trim(left(text, 500), ' ') || case when length(text) > 500 then '...' else '' end as text from c where h >= 2 or p >= 1 or f >= 1",
     "m32_fact_snippets": rf"""{_TURN}, s as (select conv_id, turn, unnest(p) as s, generate_subscripts(p, 1) as pos from (select conv_id, turn, list_filter(list_transform(regexp_split_to_array(text, '[.\n]'), lambda x: trim(x, ' ')), lambda x: strlen(x) > 5) as p from v_turn where role = 'user')),
       k as (select *, 2 * regexp_matches(lower(s), 'erth|tion|heit')::int + regexp_matches(lower(s), '\d')::int + (length(s) > 40)::int as score, row_number() over (partition by conv_id, lower(s) order by turn, pos) as rn from s where regexp_matches(lower(s), '(^| )(the|der|la|el) ')),
