@@ -131,8 +131,8 @@ def subtree_sums(rows: DataFrame, weights: DataFrame, sums: list[str], deepest:
     return total
 
 
-def _chunks(parts: Iterator[pa.RecordBatch], most: int = 1 << 16) -> Iterator[pa.RecordBatch]:
-    """Runs of one node's ids in ascending rows become comma-joined pieces of ``most`` ids at most."""
+def _chunks(parts: Iterator[pa.RecordBatch], most: int = 1 << 11) -> Iterator[pa.RecordBatch]:
+    """Runs of one node's ids in ascending rows become comma-joined pieces of ``most`` ids at most: some 20 kB, so a batch of pieces stays small too."""
     node, first, ids = None, None, []
     out: list[tuple] = []
 
