@@ -111,6 +111,7 @@ def ranking_weights(shape: Column, groups: Column) -> Column:
     """Struct (keyword, score, recency, retrieval) that sums to 1."""
     exact, natural = shape["exactish"] & ~shape["naturalish"], shape["naturalish"] & ~shape["exactish"]
     few, many = groups <= 1, groups >= 5
+    # fixed values: a weight, and its steps for exact and natural queries, few and many groups
     steps = {"keyword": (0.40, 0.12, -0.08, 0.05, -0.04), "score": (0.25, -0.03, 0.05, 0.01, 0.02), "recency": (0.20, -0.05, 0.02, -0.03, 0.01), "retrieval": (0.15, -0.04, 0.01, -0.03, 0.01)}
     raw = {
         k: F.greatest(F.lit(0.05), a + F.when(exact, b).when(natural, c).otherwise(0.0) + F.when(few, d).when(many, e).otherwise(0.0))

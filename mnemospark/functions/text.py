@@ -45,6 +45,8 @@ FILLER_LINES = (
     r"Next,? I (will|need to|should)\b.*", r"First,? I (will|need to|should)\b.*", r"After completing (this|the|all)\b.*",
     r"The (current |following )?task (is|was)\b.*", r"Summary:?\s*", r"\s*",
 )
+# fixed values: home folders
+HOME_FOLDERS = (r"C:\\Users\\[^\\]+", r"C:/Users/[^/]+", r"/c/Users/[^/]+", r"/home/[^/\s]+")
 
 
 def ascii_words(text: Column) -> Column:
@@ -155,8 +157,13 @@ def strip_filler(text: Column, fillers=FILLER_LINES) -> Column:
 
 
 def compress(text: Column, max_length: int = 500) -> Column:
-    """Filler out, home folders as '~', white space collapsed; long texts as the first sentence of each paragraph."""
-    x = F.regexp_replace(strip_filler(text), r"C:\\Users\\[^\\]+|(C:|/c)/Users/[^/]+|/home/[^/\s]+", "~")
+    """Filler out, home folders as '~', white space collapsed; long texts as the first sentence of each paragraph.
+
+    Filler are the lines of ``FILLER_LINES``; narration in other words stays, as do lines that go on with a fact.
+    """
+    x = strip_filler(text)
+    for folder in HOME_FOLDERS:
+        x = F.regexp_replace(x, folder, "~")
     x = F.trim(F.regexp_replace(F.regexp_replace(x, "\n{3,}", "\n\n"), r"[ \t]+(?=\n|$)", ""))
     paragraphs = F.filter(F.transform(F.split(x, "\n\n"), lambda p: F.trim(p)), lambda p: p != "")
     facts = F.array_join(F.transform(paragraphs, lambda p: F.when(p.rlike(r"^.+?\.\s"), F.regexp_extract(p, r"^(.+?\.)\s", 1)).otherwise(F.substring(p, 1, 200))), " ")
