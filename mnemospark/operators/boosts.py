@@ -61,5 +61,5 @@ def apply_boosts(results: DataFrame, queries: DataFrame, route: str = "hybrid")
     j = j.withColumn("alignment", alignment_boost(F.col("query"), F.col("focus"), F.col("source"), F.col("excerpt")))
     steps = (S.clamp((F.col("entropy") - ENTROPY_FLOOR) * rate, 0.0, most), F.col("entity"), F.col("alignment"))
     for step in steps:
-        j = j.withColumn("relevance", F.round(F.col("relevance") * (1 + step), 4))
+        j = j.withColumn("relevance", S.rounded(F.col("relevance") * (1 + step), 4))
     return j.withColumn("entropy", F.round("entropy", 4)).drop("query", "wanted", "focus")
