@@ -38,30 +38,43 @@ def _unit(vectors) -> np.ndarray:
     return a / np.linalg.norm(a, axis=1, keepdims=True)
 
 
+def _places(line: np.ndarray, ids: np.ndarray, grp: np.ndarray, k: int, cut: Cut | None) -> np.ndarray:
+    """Places of a query's k nearest rows, ties to the smaller id; with ``cut`` of all down to ``cut`` of the cosine of the k-th group."""
+    n = len(line)
+    most = min(n, k if cut is None else 16 * k)
+    near = np.arange(n) if most == n else np.flatnonzero(line >= np.partition(line, n - most)[n - most] - 2e-9)
+    if cut is None:
+        return near[np.lexsort((ids[near], -np.round(line[near], 9)))][:k]
+    for found in (near, np.arange(n)):
+        order = found[np.argsort(-line[found], kind="stable")]
+        first = np.sort(np.unique(grp[order], return_index=True)[1])
+        if len(first) >= k:  # what rounds to the same relevance may tie
+            return np.flatnonzero(line >= cut(line[order[first[k - 1]]]) - 1e-8)
+    return np.arange(n)
+
+
 def _best(k: int, cut: Cut | None):
     """Of a cell of queries and one of vectors: per query the k nearest above its floor; with ``cut`` all down to ``cut`` of the cosine of the k-th group."""
 
     def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = {"query_id": [], "id": [], "cosine": []}
+        asked, found, near = [], [], []
         by_length = right["v"].map(len) if len(right) else None
         for length, queries in left.groupby(left["qv"].map(len)) if len(left) and len(right) else []:
             rows = right[by_length == length]
             if not len(rows):
                 continue
-            ids = rows["id"].to_numpy()
-            for qid, own, floor, line in zip(queries["query_id"], queries["own"], queries["floor"], _unit(queries["qv"]) @ _unit(rows["v"]).T, strict=True):
-                line[ids == own] = -np.inf
-                order = np.lexsort((ids, -np.round(line, 9)))
-                if cut is None:
-                    order = order[:k]
-                else:
-                    first = np.flatnonzero(~rows["grp"].iloc[order].duplicated().to_numpy())
-                    order = order if len(first) < k else order[line[order] >= cut(line[order[first[k - 1]]]) - 1e-9]
-                order = order[line[order] > floor]
-                out["query_id"] += [qid] * len(order)
-                out["id"] += ids[order].tolist()
-                out["cosine"] += np.minimum(line[order], 1.0).tolist()
-        return pd.DataFrame(out).astype({"query_id": "int64", "id": "int64", "cosine": float})
+            ids, grp, unit = rows["id"].to_numpy(), rows["grp"].to_numpy(), _unit(rows["v"]).T
+            for at in range(0, len(queries), 512):
+                some = queries.iloc[at : at + 512]
+                for qid, own, floor, line in zip(some["query_id"], some["own"], some["floor"], _unit(some["qv"]) @ unit, strict=True):
+                    line[ids == own] = -np.inf
+                    order = _places(line, ids, grp, k, cut)
+                    order = order[line[order] > floor]
+                    asked.append(np.full(len(order), qid, np.int64))
+                    found.append(ids[order])
+                    near.append(np.minimum(line[order], 1.0))
+        whole = lambda parts, kind: np.concatenate(parts).astype(kind) if parts else np.array([], kind)
+        return pd.DataFrame({"query_id": whole(asked, np.int64), "id": whole(found, np.int64), "cosine": whole(near, float)})
 
     return best
 
@@ -83,7 +96,8 @@ def exact(queries: DataFrame, vectors: DataFrame, k: int, floor: float, block_ro
     Each pair of blocks is one matrix product. The query table is stated and small beside the vectors: the work
     is its size times theirs.
     """
-    n_q, n_v = (max(1, -(-t.count() // block_rows)) for t in (queries, vectors))
+    # with ``cut`` a query keeps a share of a block's rows, so cells have few queries
+    n_q, n_v = max(1, -(-queries.count() // (block_rows if cut is None else max(1, block_rows // 8)))), max(1, -(-vectors.count() // block_rows))
     q = _queries(queries, floor).select(F.pmod(F.xxhash64("query_id"), F.lit(n_q)).cast("int").alias("qb"), "*", F.explode(F.sequence(F.lit(0), F.lit(n_v - 1))).alias("vb"))
     v = _vectors(vectors).select(F.pmod(F.xxhash64("id"), F.lit(n_v)).cast("int").alias("wb"), "*", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))).alias("pb"))
     return q.groupBy("qb", "vb").cogroup(v.groupBy("pb", "wb")).applyInPandas(_best(k, cut), "query_id long, id long, cosine double")
