@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from mnemospark.functions import scores as S
 from mnemospark.operators.filters import at
+from mnemospark.plans.scratch import materialize
 
 COUNTERS = ["saved", "served", "baseline", "events", "hits", "misses"]
 
@@ -217,8 +218,10 @@ def centroids(members: DataFrame) -> DataFrame:
 
 def cluster_labels(words: DataFrame, share: float = 0.4, n: int = 4) -> DataFrame:
     """(cluster_id, label) from (cluster_id, member_id, word): frequent words of many members, joined by '-'."""
-    sizes = words.groupBy("cluster_id").agg(F.countDistinct("member_id").alias("size"))
-    freq = words.groupBy("cluster_id", "word").agg(F.count(F.lit(1)).alias("tf"), F.countDistinct("member_id").alias("df")).join(sizes, "cluster_id")
+    # words are counted per member once; both counts of members read that table, so texts are split once
+    per = materialize(words.groupBy("cluster_id", "member_id", "word").agg(F.count(F.lit(1)).alias("n")), "label-words")
+    sizes = per.select("cluster_id", "member_id").distinct().groupBy("cluster_id").agg(F.count("member_id").alias("size"))
+    freq = per.groupBy("cluster_id", "word").agg(F.sum("n").alias("tf"), F.count("member_id").alias("df")).join(sizes, "cluster_id")
     score = F.round(F.col("tf") * F.greatest(F.log(F.col("size") / F.col("df")), F.lit(0.1)), 9)
     top = freq.where(F.col("df") >= share * F.col("size")).withColumn("rn", F.row_number().over(Window.partitionBy("cluster_id").orderBy(score.desc(), "word"))).where(F.col("rn") <= n)
     named = top.groupBy("cluster_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rn", "word"))), lambda s: s["word"]), "-").alias("label"))
