@@ -148,7 +148,7 @@ def m28(spark, d):
 def m29(spark, d):
     docs = _docs(spark, d).select("doc_id", "text")
     pairs = docs.join(docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("other")), "doc_id")
-    j = lambda v, e=1.0: F.round(T.jaccard(T.token_set(F.col("text"), v), T.token_set(F.col("other"), v), e), 6).alias(v)
+    j = lambda v, e=1.0: F.round(T.text_jaccard(F.col("text"), F.col("other"), v, e), 6).alias(v)
     return pairs.select("doc_id", j("ws"), j("lower2"), j("alnum3", 0.0), j("lower3"), j("terms"))
 
 
