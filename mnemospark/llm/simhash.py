@@ -153,6 +153,24 @@ def _first(hashes: np.ndarray, similarity: float, often: np.ndarray, rank: np.nd
     return hashes[:p]
 
 
+def _print_of(hashes: np.ndarray) -> int:
+    """SimHash of a set given by its hashes, as a signed long: a bit is set if it is set in over half of them."""
+    counts = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), _BLOCK):
+        part = np.ascontiguousarray(hashes[at : at + _BLOCK], "<i8")
+        counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<i8")[0])
+
+
+def _ball_pairs(prints: DataFrame) -> DataFrame:
+    """Pairs (a, b, sizes) of rows (node, n, fp) that meet in a ball: rows of one fingerprint with its first, and the firsts of fingerprints within two bits."""
+    firsts = materialize(prints.groupBy("fp").agg(F.min_by(F.struct("node", "n"), "node").alias("x")), "near-balls")
+    same = prints.join(firsts, "fp").where("node <> x.node").select(F.col("x.node").alias("a"), F.col("node").alias("b"), (F.col("n") + F.col("x.n")).alias("sizes"))
+    x, y = (firsts.select(F.col("fp").alias(end), F.col("x").alias(f"x{end}")) for end in "ab")
+    met = links(firsts).join(x, "a").join(y, "b")
+    return same.unionByName(met.select(F.least("xa.node", "xb.node").alias("a"), F.greatest("xa.node", "xb.node").alias("b"), (F.col("xa.n") + F.col("xb.n")).alias("sizes")))
+
+
 def _parity(hashes: np.ndarray) -> bytes:
     """Bitmap of the set: a bit for each value of the hashes' low bits, set where an odd number of members have it; about a bit a member."""
     bits = 1 << max(8, int(len(hashes)).bit_length())
@@ -180,7 +198,8 @@ def near_classes(
     """One row per document: doc_id, component_id (smallest doc_id in its group of near duplicates).
 
     Near duplicates are all pairs whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
-    Candidates are complete: texts of equal words are one class; in one order of all shingles two such
+    Texts of equal words are one class. Rows that meet in a ball of their shingles' SimHashes come first: those that are as similar
+    are linked. Balls lose pairs, so the other candidates are complete, over what is not in one group yet: in one order of all shingles two such
     sets share a shingle among the first fifth of each, and their sizes and its places there bound what they can have in
     common. Any order is right; shingles that are frequent in one of ``sample`` documents come last (the
     ``listed`` most frequent ones), so that common passages are no meeting points.
@@ -209,25 +228,47 @@ def near_classes(
     top = part.groupBy("t").agg(F.count(F.lit(1)).alias("f")).where("f > 2").orderBy(F.desc("f"), "t").limit(listed).toPandas().sort_values("t")
     order = spark.sparkContext.broadcast((top["t"].to_numpy(np.int64), top["f"].to_numpy(np.int64)))
 
-    @F.pandas_udf("digest binary, n int, firsts array<long>, odd binary")
+    @F.pandas_udf("digest binary, n int, firsts array<long>, odd binary, fp long")
     def prints_of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         known: dict[bytes, int] = {}
         often, rank = order.value
         for batch in batches:
             found = [shingles(x, shingle, known) for x in batch]
-            yield pd.DataFrame({"digest": [d for d, _ in found], "n": [len(s) for _, s in found], "firsts": [_first(s, similarity, often, rank) for _, s in found], "odd": [_parity(s) for _, s in found]})
+            columns = {"firsts": lambda s: _first(s, similarity, often, rank), "odd": _parity, "fp": _print_of}
+            yield pd.DataFrame({"digest": [d for d, _ in found], "n": [len(s) for _, s in found], **{c: [f(s) for _, s in found] for c, f in columns.items()}})
 
     prints = materialize(rows.select("node", prints_of("text").alias("p")).select("node", "p.*"), "near-prints")
     owners = materialize(prints.groupBy("digest").agg(F.min("node").alias("owner"), F.count(F.lit(1)).alias("n")), "near-owners")
     copies = owners.where("n > 1").select("digest", "owner")
     same = materialize(prints.select("digest", "node").join(copies, "digest").where("node <> owner").select("node", "owner"), "near-same")
-    alone = prints.select("node", "n", "firsts").join(same.select("node"), "node", "left_anti")
+    alone = prints.select("node", "n", "firsts", "fp").join(same.select("node"), "node", "left_anti")
     held = alone.select("node", "n", F.posexplode("firsts").alias("i", "t")).select("t", "node", "n", (F.col("i") + 1).alias("i"))
     shared = held.groupBy("t").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("t")
     held = materialize(held.join(shared, "t"), "near-held")
     maps = prints.select("node", "odd")
 
     labels, edges = None, None
+
+    def link(pairs: DataFrame) -> None:
+        """Add the pairs (a, b, sizes) that are as similar to the edges."""
+        nonlocal labels, edges
+        near = pairs.join(maps.select(F.col("node").alias("a"), F.col("odd").alias("oa")), "a").join(maps.select(F.col("node").alias("b"), F.col("odd").alias("ob")), "b")
+        near = near.where(apart("oa", "ob") <= F.lit((1 - similarity) / (1 + similarity)) * F.col("sizes") + 1e-9)
+        pairs = materialize(near.select("a", "b"), "near-pairs")
+        wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "near-wanted")
+        n_wanted = wanted.count()
+        if n_wanted:
+            sets = rows.join(F.broadcast(wanted) if n_wanted <= broadcast_ids else wanted, "node", "left_semi").select("node", sets_of("text").alias("s"))
+            sets = materialize(sets, "near-shingles")
+            both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
+            both = both.withColumn("common", F.size(F.array_intersect("sa", "sb")))
+            alike = materialize(both.where(F.col("common") >= similarity * (F.size("sa") + F.size("sb") - F.col("common")) - 1e-9).select("a", "b"), "near-links")
+            discard(sets)
+            edges = alike if edges is None else edges.unionByName(alike)
+            labels = components(edges).select("node", F.col("component").alias("label"))
+        discard(pairs, wanted)
+
+    link(_ball_pairs(alone.select("node", "n", "fp")))
     for step in range(stars + 1):
         seen = held.withColumn("label", F.col("node"))
         if labels is not None:
@@ -249,22 +290,9 @@ def near_classes(
             x = open_.where("label <> lead.label")
             pairs = x.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("i").alias("ia"), *[F.col(f"lead.{c}").alias(f"{d}b" if c != "node" else "b") for c, d in (("node", ""), ("n", "n"), ("i", "i"))])
         pairs = pairs.where(_may("na", "ia", "nb", "ib", similarity))
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), (F.col("na") + F.col("nb")).alias("sizes")).distinct()
-        near = pairs.join(maps.select(F.col("node").alias("a"), F.col("odd").alias("oa")), "a").join(maps.select(F.col("node").alias("b"), F.col("odd").alias("ob")), "b")
-        near = near.where(apart("oa", "ob") <= F.lit((1 - similarity) / (1 + similarity)) * F.col("sizes") + 1e-9)
-        pairs = materialize(near.select("a", "b"), "near-pairs")
-        wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "near-wanted")
-        n_wanted = wanted.count()
-        if n_wanted:
-            sets = rows.join(F.broadcast(wanted) if n_wanted <= broadcast_ids else wanted, "node", "left_semi").select("node", sets_of("text").alias("s"))
-            sets = materialize(sets, "near-shingles")
-            both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
-            both = both.withColumn("common", F.size(F.array_intersect("sa", "sb")))
-            alike = materialize(both.where(F.col("common") >= similarity * (F.size("sa") + F.size("sb") - F.col("common")) - 1e-9).select("a", "b"), "near-links")
-            discard(sets)
-            edges = alike if edges is None else edges.unionByName(alike)
-            labels = components(edges).select("node", F.col("component").alias("label"))
-        discard(pairs, wanted, *([open_] if step == stars else []))
+        link(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), (F.col("na") + F.col("nb")).alias("sizes")).distinct())
+        if step == stars:
+            discard(open_)
     discard(held, prints)
     found = same.select("node", "owner").unionByName(owners.select(F.col("owner").alias("node"), "owner"))
     if labels is not None:
