@@ -6,25 +6,24 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mnemospark.functions import scores as S
+from mnemospark.operators.joins import sent
+from mnemospark.plans.scratch import materialize
 
 
 def quotations(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(query_id, id) of passages (query_id, passage) and the documents (id, text) that hold them whole.
 
-    A text holds all words of a passage but its first and last as words of its own, parted by single spaces: both meet on up to five of them,
-    and the whole passage is sought then. Passages of two words or fewer are sought in every text. Empty and null passages are in none.
+    A text holds all words of a passage but its first and last as words of its own, parted by single spaces: both meet on the one of them
+    that is rarest in all texts, and the whole passage is sought then. Passages of two words or fewer are sought in every text. Empty and null passages are in none.
     """
-    items = items.where(F.length("passage") > 0).withColumn("words", F.split("passage", " ", -1)).withColumn("n", F.least(F.size("words") - 2, F.lit(5)))
-    held = lambda n: F.xxhash64(F.lit(n), F.array_join(F.slice("words", 2, n), " "))
-    # the words are bound once a text: as a plain column they would be split again for each place
-    grams = lambda n: F.flatten(F.transform(F.array(F.split("text", " ", -1)), lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - n + 1, F.lit(1))), lambda i: F.xxhash64(F.lit(n), F.array_join(F.slice(w, i, n), " ")))))
-    met = docs.join(items.where("n < 1").select("query_id", F.col("passage").alias("short")), F.contains("text", "short")).select("query_id", "id")
-    for r in items.where("n > 0").select("n").distinct().collect():  # five at most
-        n = r["n"]
-        keys = items.where(F.col("n") == n).select("query_id", held(n).alias("at"))
-        at = docs.select("id", F.explode(F.array_distinct(grams(n))).alias("at")).join(keys, "at").select("query_id", "id")
-        met = met.unionByName(at.join(items.select("query_id", "passage"), "query_id").join(docs, "id").where(F.contains("text", "passage")).select("query_id", "id"))
-    return met
+    items = items.where(F.length("passage") > 0).withColumn("words", F.split("passage", " ", -1))
+    met = docs.join(items.where(F.size("words") < 3).select("query_id", F.col("passage").alias("short")), F.contains("text", "short")).select("query_id", "id")
+    inner = items.where(F.size("words") > 2).select("query_id", "passage", F.explode(F.slice("words", F.lit(2), F.size("words") - 2)).alias("word"))
+    words = docs.select("id", F.explode_outer(F.split("text", " ", -1)).alias("word"))  # joins drop null ones
+    counts = words.join(sent(inner.select("word").distinct()), "word", "left_semi").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    rarest = materialize(inner.join(counts, "word").groupBy("query_id", "passage").agg(F.min_by("word", F.struct("n", "word")).alias("word")), "passage-words")
+    at = words.join(sent(rarest), "word").select("query_id", "passage", "id").distinct()
+    return met.unionByName(at.join(docs, "id").where(F.contains("text", "passage")).select("query_id", "id"))
 
 
 def retrieval_metrics(results: DataFrame, gold: DataFrame) -> DataFrame:
