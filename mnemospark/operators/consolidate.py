@@ -21,7 +21,8 @@ def describe(entries: DataFrame, clusters: DataFrame) -> DataFrame:
     The digest tells whether the members are the same; centroids are rounded, so that the order of a sum does not show.
     """
     rows = entries.join(clusters, "id")
-    words = rows.select(F.col("leader").alias("cluster_id"), F.col("id").alias("member_id"), F.explode(T.content_keywords(F.col("text"))).alias("word"))
+    # outer: a plain explode would have the words made a second time, to test whether there are any
+    words = rows.select(F.col("leader").alias("cluster_id"), F.col("id").alias("member_id"), F.explode_outer(T.content_keywords(F.col("text"))).alias("word")).where("word is not null")
     labels = agg.cluster_labels(words).withColumnRenamed("cluster_id", "leader")
     mean = agg.centroids(rows.select(F.col("leader").alias("cluster_id"), "vector")).select(F.col("cluster_id").alias("leader"), F.transform("centroid", lambda x: F.round(x, 9)).alias("centroid"))
     sums = rows.groupBy("leader").agg(F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64(F.lit("a"), "id")).alias("x"), F.bit_xor(F.xxhash64(F.lit("b"), "id")).alias("y"))
