@@ -619,6 +619,33 @@ def test_line_dedup_equals_brute_force(spark):
     assert whole == {i: ("\n".join(x for k, x in enumerate(t.split("\n")) if want[i, k]), "mine", 1) for i, t in docs}
 
 
+def test_complete_line_dedup_equals_all_pairs(spark):
+    rng = random.Random(8)
+    letters = "etaoin shrdlu é\U00010428"
+    base = [" ".join("".join(rng.choice("etaoinsé") for _ in range(rng.randint(1, 8))) for _ in range(n)) for n in (1, 1, 2, 3, 4, 6, 9, 14, 25, 60)]
+
+    def vary(line, k):  # edits anywhere, or at one end, so that places shift
+        for _ in range(k):
+            at = rng.randrange(len(line) + 1) if k % 2 else rng.choice([0, len(line)])
+            line = line[:at] + rng.choice(["", rng.choice(letters)]) + line[at + rng.randint(0, 1) :]
+        return line
+
+    rows = [(k, vary(x, e if j % 3 else int(0.2 * len(x)) + rng.randint(0, 1))) for k, (x, e, j) in enumerate(itertools.product(base, (0, 1, 3, 5, 8), range(4)))]
+    lines = sorted({norm(x) for _, x in rows} - {""})
+    links = [(i, j) for i in range(len(lines)) for j in range(i) if alike(lines[i], lines[j])]
+    group, at, seen, want = union_find(range(len(lines)), links), {n: k for k, n in enumerate(lines)}, set(), {}
+    for k, x in rows:
+        want[k] = not norm(x) or group[at[norm(x)]] not in seen
+        seen |= {group[at[norm(x)]]} if norm(x) else set()
+    df = spark.createDataFrame(rows, DOCS)
+    assert {r["doc_id"]: r["kept"] for r in line_dedup.dedup(df, complete=True).collect()} == want
+    assert {r["doc_id"]: r["kept"] for r in line_dedup.dedup(df).collect()} != want
+    # all pairs by themselves, in cells of a few lines
+    alone = spark.createDataFrame(list(enumerate(lines)), "id long, norm string").withColumn("label", F.col("id"))
+    got = [tuple(sorted((r["a"], r["b"]))) for r in line_dedup.all_links(alone, 0.8, block=25).collect()]
+    assert sorted(got) == sorted((j, i) for i, j in links) and len(links) > 300
+
+
 def test_lines_find_what_edit_similarity_finds(spark, texts):
     rng = random.Random(11)
     lines = list({n: None for _, t in texts for x in (t or "").split("\n") if len((n := norm(x)).split(" ")) > 2})[:250]
