@@ -7,7 +7,6 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from mnemospark.functions import scores as S
 from mnemospark.operators.filters import at
@@ -145,74 +144,41 @@ def stream_pairs(baskets: DataFrame, path: str, checkpoint: str, most: int = 10)
     return rows.writeStream.foreachBatch(merge_sink(path, ["a", "b"], ["n"])).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-CURSOR = "ts timestamp, id long"
-
-
-class _Cursors(StatefulProcessor):
-    """Keyed by agent: the last row (ts, id) that the agent was given. The acknowledged rows are the first cursors."""
-
-    def __init__(self, latest: int):
-        self.latest = latest
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.cursor = handle.getValueState("cursor", CURSOR)
-
-    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:  # noqa: N802, N803
-        row = initialState.iloc[0]
-        if not pd.isna(row["ts"]):
-            self.cursor.update((row["ts"].to_pydatetime(), int(row["id"])))
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        agent, known = key[0], self.cursor.get() if self.cursor.exists() else None
-        last, held = known, []
-        for part in rows:
-            if not len(part):
-                continue
-            if known is not None:
-                since, seen = pd.Timestamp(known[0]), known[1]
-                part = part[(part["ts"] > since) | ((part["ts"] == since) & (part["id"] > seen))]
-            if len(part):
-                top = part.sort_values(["ts", "id"]).iloc[-1]
-                at = (top["ts"].to_pydatetime(), int(top["id"]))
-                last = at if last is None or at > tuple(last) else last
-            new = part[part["author"] != agent]
-            if known is not None:
-                yield new.assign(agent=agent)[["agent", "id"]]
-            else:  # no anchor: only the newest are wanted
-                held = [pd.concat([*held, new]).sort_values(["ts", "id"]).tail(self.latest)]
-        if held:
-            yield held[0].assign(agent=agent)[["agent", "id"]]
-        if last is not None:
-            self.cursor.update(tuple(last))
-
-    def close(self) -> None:
-        pass
-
-
-def stream_unread(feed: DataFrame, acks: DataFrame, latest: int = 200, agents_per_bucket: int = 1024) -> DataFrame:
-    """Streaming twin of ``joins.unread``: (agent, id) of the feed rows (id, ts, author) that each agent has not seen, once.
-
-    An agent's cursor (ts, id) is keyed state: it starts at the row that ``acks`` (agent, ack_id, ack_ts) names and moves with every
-    micro-batch, over restarts too, as state and source positions are committed together. An agent whose ack_ts is null
-    has lost its row: its first batch gives the ``latest`` newest rows of others, later ones all. As with any cursor, a row
-    that arrives after rows of a later time is not given. Agents meet the rows in buckets, so no agents are broadcast
-    unless Spark finds them small. It needs the RocksDB state store.
+def unread_sink(acks: DataFrame, out: str, checkpoint: str, latest: int = 200, agents_per_bucket: int = 1024):
+    """A foreachBatch function that gives each agent the feed rows (id, ts, author) it has not seen, once: the streaming twin of ``joins.unread``.
+
+    The cursors (agent, at: ts and id) are a table that each micro-batch reads from the folder of the one before and writes to its own, as
+    it does with what it gives; replays overwrite both. The first ones are those of ``acks`` (agent, ack_id, ack_ts). An agent whose ack_ts is null has lost its
+    row: its first batch gives the ``latest`` newest rows of others, later ones all. As with any cursor, a row that arrives after
+    rows of a later time is not given. Agents meet the rows in buckets, so no agents are broadcast unless Spark finds them small.
     """
-    buckets = max(1, -(-acks.count() // agents_per_bucket))
-    at = lambda c: F.pmod(F.xxhash64(c), F.lit(buckets)).cast("int")
-    agents = acks.select("agent", at("agent").alias("__bucket"))
-    met = feed.select("id", "ts", "author", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).alias("__bucket")).join(agents, "__bucket").drop("__bucket")
-    start = acks.select("agent", F.col("ack_ts").alias("ts"), F.coalesce("ack_id", F.lit(0)).cast("long").alias("id")).groupBy("agent")
-    return met.groupBy("agent").transformWithStateInPandas(_Cursors(latest), "agent string, id long", "Append", "None", initialState=start)
+    schema = "agent string, at struct<ts: timestamp, id: bigint>"
+    here = F.struct(F.col("ts").alias("ts"), F.col("id").alias("id"))
+    of_others = ~F.col("author").eqNullSafe(F.col("agent"))
+
+    def give(batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
+        if epoch == 0:
+            start = F.struct(F.col("ack_ts").alias("ts"), F.coalesce("ack_id", F.lit(0)).cast("long").alias("id"))
+            acks.select(F.col("agent").cast("string"), F.when(F.col("ack_ts").isNotNull(), start).alias("at")).write.mode("overwrite").parquet(f"{checkpoint}/cursors/epoch=-1")
+        cursors = spark.read.schema(schema).parquet(f"{checkpoint}/cursors/epoch={epoch - 1}")
+        buckets = max(1, -(-cursors.count() // agents_per_bucket))
+        bucket = F.pmod(F.xxhash64("agent"), F.lit(buckets)).cast("int").alias("__bucket")
+        rows = batch.select("id", "ts", "author", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).alias("__bucket"))
+        given = rows.join(cursors.where("at is not null").select("agent", "at", bucket), "__bucket").where(of_others & (here > F.col("at"))).select("agent", "id")
+        lost = cursors.where("at is null").select("agent")
+        if not lost.isEmpty():  # an agent's newest rows of others are among the newest of each author
+            newest = lambda by: F.row_number().over(Window.partitionBy(by).orderBy(F.desc("ts"), F.desc("id")))
+            tops = batch.select("id", "ts", "author").withColumn("__k", newest("author")).where(F.col("__k") <= latest).drop("__k")
+            met = tops.crossJoin(lost).where(of_others).withColumn("__k", newest("agent")).where(F.col("__k") <= latest)
+            given = given.unionByName(met.select("agent", "id"))
+        given.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
+        top = batch.where("ts is not null").agg(F.max(here).alias("top"))
+        cursors.crossJoin(F.broadcast(top)).select("agent", F.greatest("at", "top").alias("at")).write.mode("overwrite").parquet(f"{checkpoint}/cursors/epoch={epoch}")
+
+    return give
 
 
 def run_unread(feed: DataFrame, acks: DataFrame, out: str, checkpoint: str, latest: int = 200):
-    """Start ``stream_unread`` on what the feed's source holds, into Parquet files under ``out`` that hold every row once; returns the query."""
-    conf, key = feed.sparkSession.conf, "spark.sql.streaming.stateStore.providerClass"
-    before = conf.get(key)
-    conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
-        rows = stream_unread(feed, acks, latest)
-        return rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
-    finally:
-        conf.set(key, before)
+    """Start ``unread_sink`` on what the feed's source holds, into Parquet files under ``out`` that hold every row (agent, id) once; returns the query."""
+    return feed.writeStream.foreachBatch(unread_sink(acks, out, checkpoint, latest)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
