@@ -185,11 +185,29 @@ def recommend_k(outcomes: DataFrame, as_of: str, base_k: int, rows: int = 40, da
     )
 
 
-def co_occurrence(baskets: DataFrame, most: int = 10) -> DataFrame:
-    """Pairs (a < b) of a basket's distinct items, the smallest ``most`` of them, with count and last time."""
-    items = baskets.select(F.slice(F.array_sort(F.array_distinct("items")), 1, most).alias("i"), "seen")
-    pairs = F.flatten(F.transform("i", lambda a: F.transform(F.filter("i", lambda b: b > a), lambda b: F.struct(a.alias("a"), b.alias("b")))))
-    return items.select(F.explode(pairs).alias("p"), "seen").groupBy("p.a", "p.b").agg(F.count(F.lit(1)).alias("n"), F.max("seen").alias("last_seen"))
+def co_occurrence(baskets: DataFrame, most: int | None = None, of: DataFrame | None = None, deal: int = 16) -> DataFrame:
+    """Pairs (a < b) of a basket's distinct items, with count and last time: of all its items, or of the smallest ``most`` if that is given.
+
+    ``of`` (item) leaves the pairs that hold one of its items, all of them, which is what partners of few items need. The items of a large basket
+    meet in ``deal`` parts, so no row holds its pairs and no task makes them all.
+    """
+    if most is not None:
+        items = baskets.select(F.slice(F.array_sort(F.array_distinct("items")), 1, most).alias("i"), "seen")
+        pairs = F.flatten(F.transform("i", lambda a: F.transform(F.filter("i", lambda b: b > a), lambda b: F.struct(a.alias("a"), b.alias("b")))))
+        met = items.select(F.explode(pairs).alias("p"), "seen").select("p.a", "p.b", "seen")
+        if of is not None:
+            met = met.join(of.select(F.col("item").alias("a"), F.lit(True).alias("mine")).distinct(), "a", "left").join(of.select(F.col("item").alias("b"), F.lit(True).alias("other")).distinct(), "b", "left").where("mine or other")
+    else:
+        numbered = baskets.select(F.monotonically_increasing_id().alias("basket"), "seen", "items")
+        items = materialize(numbered.select("basket", "seen", F.explode(F.array_distinct("items")).alias("item")).where("item is not null"), "basket-items")
+        if of is None:
+            items = items.withColumn("wanted", F.lit(True))
+        else:
+            items = items.join(of.select("item", F.lit(True).alias("wanted")).distinct(), "item", "left").withColumn("wanted", F.coalesce("wanted", F.lit(False)))
+        mine = items.where("wanted").select("basket", F.col("item").alias("x"), "seen", F.pmod(F.xxhash64("item"), F.lit(deal)).cast("int").alias("part"))
+        other = items.select("basket", F.col("item").alias("y"), "wanted", F.explode(F.sequence(F.lit(0), F.lit(deal - 1))).alias("part"))
+        met = mine.join(other, ["basket", "part"]).where("x < y or x > y and not wanted").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "seen")
+    return met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.max("seen").alias("last_seen"))
 
 
 def prune_singletons(edges: DataFrame, least: int = 2) -> DataFrame:

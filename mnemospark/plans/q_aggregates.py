@@ -133,8 +133,8 @@ QUERIES = {
     "a13_compact_feedback": lambda s, d: op.compact_feedback(_fb(s, d), AS_OF, 20),
     "a14_recommend_k": lambda s, d: op.recommend_k(_out(s, d), AS_OF, 10),
     "a15_eval_snapshot": lambda s, d: op.eval_snapshot(_out(s, d)),
-    "a16_co_occurrence": lambda s, d: op.co_occurrence(_baskets(s, d)),
-    "a17_prune_singletons": lambda s, d: op.prune_singletons(op.co_occurrence(_baskets(s, d))).select("a", "b", "n"),
+    "a16_co_occurrence": lambda s, d: op.co_occurrence(_baskets(s, d), 10),
+    "a17_prune_singletons": lambda s, d: op.prune_singletons(op.co_occurrence(_baskets(s, d), 10)).select("a", "b", "n"),
     "a18_table_counts": a18,
     "a20_centroids": a20,
     "a21_cluster_labels": a21,

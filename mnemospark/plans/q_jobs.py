@@ -149,9 +149,11 @@ def job02(s, d):
 def job03(s, d):
     corpus = _mem(s, d)
     basket = _candidates(s, d).where("relevance > 0.8").groupBy("query_id").agg(F.collect_set("source").alias("items"), F.lit(None).cast("timestamp_ntz").alias("seen"))
-    edges = agg.co_occurrence(basket).select("a", "b", "n")
+    results = materialize(hybrid_retrieve(s, d), "budget-retrieved")
+    # results alone are anchors, so pairs of other sources are not asked for
+    edges = agg.co_occurrence(basket, of=results.select(F.col("source").alias("item"))).select("a", "b", "n")
     texts = corpus.select("source", "text").unionByName(_clusters(s, d)[0].select("source", "text"))
-    return op.retrieve_budgeted(hybrid_retrieve(s, d), edges, texts, view(s, d, "v_query"), 4000)
+    return op.retrieve_budgeted(results, edges, texts, view(s, d, "v_query"), 4000)
 
 
 def job06_consolidate(s, d):
