@@ -5,13 +5,17 @@ row reads and changes lies among the classes of equal token sets next to its own
 decide whose first open row comes before every open row within two steps of likeness: those can't touch each other. A
 class decides its rows up to the next such row of another class at once: rows before the first that wins are disputed, that one
 takes the target's place, and those behind merge into it. So copies cost no rounds, and rounds are as many as the
-longest chain of different texts that wait for each other.
+longest chain of different texts that wait for each other. Where a bound is given, one task passes over the rows left in order
+as soon as the classes that they read fit it, so long chains take no rounds of their own.
 """
 
 from __future__ import annotations
 
+import heapq
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +26,9 @@ from mnemospark.plans.scratch import discard, materialize
 
 #: fixed value: what a merge adds to the target's score
 MERGE_BONUS = 5.0
+#: Edges between classes, open and active rows that one task takes, whose memory this bounds.
+IN_ONE = 4_000_000
+KINDS = ("CONTRADICTS", "AGREES", "REFINES")
 
 
 def _relations(rows: DataFrame, least: float, negations, flips) -> tuple[DataFrame, DataFrame]:
@@ -45,11 +52,73 @@ def _wins(kind: Column) -> Column:
     return F.when(kind == "CONTRADICTS", more).when(kind == "REFINES", more | (F.col("trust") == F.col("trust2")) | F.col("agent").eqNullSafe(F.col("agent2"))).otherwise(F.lit(False))
 
 
-def resolve_in_order(batch: DataFrame, base: DataFrame, least: float = RELATED, negations=NEGATIONS, flips=FLIPS, max_rounds: int = 200) -> DataFrame:
+def _pass_in_order(open_: DataFrame, active: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, action, target, class) of the open rows by one pass over ascending ids in one task.
+
+    Rows (id, class, agent, trust); edges (c, d, jaccard, kind) of the open rows' classes, both ways and with themselves.
+    """
+    none = lambda kind: F.lit(None).cast(kind)
+    row = lambda t, part: t.select(F.lit(part).alias("part"), "id", "class", none("long").alias("other"), F.col("agent").cast("string").alias("agent"), "trust", none("int").alias("kind"))
+    kind = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind")).cast("int") - 1
+    edge = edges.select(F.lit(2).alias("part"), none("long").alias("id"), F.col("c").alias("class"), F.col("d").alias("other"), none("string").alias("agent"), F.col("jaccard").alias("trust"), kind.alias("kind"))
+
+    def settle(table: pa.Table) -> pa.Table:
+        part = table["part"].to_numpy()
+        cut = lambda k: table.filter(pa.array(part == k))
+        known, links = cut(1), cut(2)
+        facts = {i: (c, a, t) for i, c, a, t in zip(*(known[x].to_pylist() for x in ("id", "class", "agent", "trust")), strict=True)}
+        heaps: dict[int, list[int]] = {}
+        for i, (c, _, _) in facts.items():
+            heaps.setdefault(c, []).append(i)
+        for heap in heaps.values():
+            heapq.heapify(heap)
+        source = links["class"].to_numpy()
+        by = np.argsort(source, kind="stable")
+        source, other, likeness, kinds = source[by], links["other"].to_numpy()[by], links["trust"].to_numpy()[by], links["kind"].to_numpy()[by]
+        rows = cut(0)
+        first, last = np.searchsorted(source, rows["class"].to_numpy(), "left"), np.searchsorted(source, rows["class"].to_numpy(), "right")
+        fields = [rows[x].to_pylist() for x in ("id", "class", "agent", "trust")]
+        ids, classes, agents, trusts = fields
+        nan = lambda x: x is not None and x != x  # noqa: E731  (Spark has NaN equal to itself and above all else)
+        more = lambda x, y: x is not None and y is not None and (x > y or nan(x) and not nan(y))
+        even = lambda x, y: x is not None and y is not None and (x == y or nan(x) and nan(y))
+        gone: set[int] = set()
+        out: list[tuple] = []
+        for k in sorted(range(len(ids)), key=ids.__getitem__):
+            i, c, agent, trust = ids[k], classes[k], agents[k], trusts[k]
+            best = None
+            for d, s, kind in zip(other[first[k] : last[k]].tolist(), likeness[first[k] : last[k]].tolist(), kinds[first[k] : last[k]].tolist(), strict=True):
+                heap = heaps.get(d)
+                while heap and heap[0] in gone:
+                    heapq.heappop(heap)
+                if heap and (best is None or (s, -heap[0]) > best[:2]):
+                    best = (s, -heap[0], KINDS[kind])
+            if best is None:
+                out.append((i, "insert", None, "UNRELATED"))
+            else:
+                target, kind = -best[1], best[2]
+                _, agent2, trust2 = facts[target]
+                wins = kind == "CONTRADICTS" and more(trust, trust2) or kind == "REFINES" and (more(trust, trust2) or even(trust, trust2) or agent == agent2)
+                out.append((i, "merge" if kind == "AGREES" else "supersede" if wins else "dispute", target, kind))
+                if not wins:
+                    continue
+                gone.add(target)
+            facts[i] = (c, agent, trust)
+            heapq.heappush(heaps.setdefault(c, []), i)
+        cells = list(zip(*out, strict=True)) or [[], [], [], []]
+        types = (pa.int64(), pa.string(), pa.int64(), pa.string())
+        return pa.table({n: pa.array(v, t) for n, v, t in zip(("id", "action", "target", "class"), cells, types, strict=True)})
+
+    every = row(open_, 0).unionByName(row(active, 1)).unionByName(edge).withColumn("all", F.lit(0))
+    return every.groupBy("all").applyInArrow(lambda t: settle(t), "id long, action string, target long, class string")
+
+
+def resolve_in_order(batch: DataFrame, base: DataFrame, least: float = RELATED, negations=NEGATIONS, flips=FLIPS, max_rounds: int = 200, in_one: int = 0) -> DataFrame:
     """(id, action, target, class) of batch rows (id, agent, trust, tokens) as a pass by ascending id over the active base (id, agent, trust, tokens) decides them.
 
     insert: nothing alike; merge: into the target; supersede: the row takes the target's place; dispute: it is kept beside it, and
-    nothing is compared with it later. Ids are unique over both tables. Rows without tokens are inserted. It raises an error after ``max_rounds``.
+    nothing is compared with it later. Ids are unique over both tables. Rows without tokens are inserted. As soon as the open rows, the active rows next to them
+    and their classes' edges are no more than ``in_one``, one task passes over them in order. It raises an error after ``max_rounds``.
     """
     columns = ["id", "agent", "trust", "tokens"]
     incoming, known = batch.select(columns), base.select(columns)
@@ -60,7 +129,14 @@ def resolve_in_order(batch: DataFrame, base: DataFrame, least: float = RELATED,
     open_, out = materialize(rows.where("some").drop("some"), "admit-open"), []
     nobody = rows.where("not some").select("id", F.lit("insert").alias("action"), F.lit(None).cast("long").alias("target"), F.lit("UNRELATED").alias("class"))
     stern = edges.where("c = d and kind = 'CONTRADICTS'").select(F.col("c").alias("class"), F.lit(True).alias("stern"))
+    last = None
     while not open_.isEmpty():
+        if in_one:
+            asked = edges.join(open_.select(F.col("class").alias("c")).distinct(), "c", "left_semi")
+            beside_open = active.join(asked.select(F.col("d").alias("class")).distinct(), "class", "left_semi")
+            if asked.count() + open_.count() + beside_open.count() <= in_one:
+                last = materialize(_pass_in_order(open_, beside_open, asked), "admit-decided")
+                break
         if len(out) >= max_rounds:
             raise RuntimeError(f"a batch did not settle in {max_rounds} rounds")
         first = materialize(open_.groupBy("class").agg(F.min("id").alias("u")), "admit-first")
@@ -92,7 +168,7 @@ def resolve_in_order(batch: DataFrame, base: DataFrame, least: float = RELATED,
         discard(active, open_, first, ready)
         active, open_ = still, rest
     found = [d.select("id", "action", "target", F.col("kind").alias("class")) for d in out]
-    return reduce(DataFrame.unionByName, found, nobody)
+    return reduce(DataFrame.unionByName, found if last is None else [*found, last], nobody)
 
 
 def fold_merges(rows: DataFrame, decisions: DataFrame) -> DataFrame:
@@ -130,7 +206,7 @@ def admit_batch(batch: DataFrame, base: DataFrame, least_quality: int = 20, leas
     words = lambda t: t.withColumn("tokens", T.token_set(F.coalesce("text", F.lit("")), "lower2"))
     graded = materialize(batch.select("id", "agent", "trust", "text", "context", T.quality(F.coalesce("text", F.lit(""))).alias("quality")), "admit-batch")
     good, poor = graded.where(F.col("quality") >= least_quality), graded.where(F.col("quality") < least_quality)
-    decided = materialize(resolve_in_order(words(good), words(base.where("status = 'active'")), least, negations, flips), "admit-decisions")
+    decided = materialize(resolve_in_order(words(good), words(base.where("status = 'active'")), least, negations, flips, in_one=IN_ONE), "admit-decisions")
     fields = ["id", "text", "context", "score", "quality", "merged"]
     both = base.select(fields).unionByName(good.select("id", "text", "context", F.lit(0.0).alias("score"), "quality", F.lit(0).cast("long").alias("merged")))
     folded = fold_merges(both, decided)
